@@ -20,8 +20,11 @@ from .common import keyed, same_row, small
 
 WINDOW_WORDS = 10
 
+#: What ends a word: ASCII that is neither letter nor digit, listed character by character, which Java tests by table and not range by range.
+BREAKS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+
 #: A word before A-Z are lower-cased: digits, ASCII letters and all that is not ASCII.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = f"[^{BREAKS}]++"
 
 
 def raw_words(text: Column) -> Column:
@@ -110,7 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     cuts = runs.groupBy(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th")).agg(F.sort_array(F.collect_list(F.struct("_at", "_end"))).alias("_cuts"))
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (th == F.col("_cut_th")), "left")
-    units = F.regexp_extract_all(docs["text"], F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:" + RAW_WORD + r"|$)"), F.lit(0))
+    units = F.regexp_extract_all(docs["text"], F.lit(f"[{BREAKS}]*+(?:{RAW_WORD}|$)"), F.lit(0))
     kept = F.filter(units, lambda _, i: ~F.exists("_cuts", lambda c: (i >= c["_at"]) & (i < c["_end"])))
     cut = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.ltrim(F.array_join(kept, "")))
     return joined.select(*[cut.alias(c) if c == "text" else docs[c] for c in names])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .decontaminate import op1_decontaminate
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .decontaminate import op1_decontaminate
+from .fingerprint import op7_fingerprint
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op6_bpe": op6_bpe,
+    "op7_fingerprint": op7_fingerprint,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .decontaminate import op1_decontaminate
 from .fingerprint import op7_fingerprint
+from .quality import op2_quality
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .decontaminate import op1_decontaminate
 from .fingerprint import op7_fingerprint
+from .near_dup import op10_near_dup
 from .quality import op2_quality
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import python_batches, table
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 #: Symbols of one merge call; longer batches of new words are cut, a single longer word is not.
 FLAT_SYMBOLS = 2_000_000
 
 #: White space as the vocabulary's normaliser and pre-tokeniser see it (fixed values of Unicode's White_Space).
-SPACE = r"\t\n\v\f\r \x85\xa0  -     　"
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = re.escape(SPACES)
+SEPARATORS = re.compile("[\x1c-\x1f]")
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -49,6 +51,7 @@ class Vocabulary:
         model = spec["model"]
         ids: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
+        self.encoder: Encoder | None = None
         self.kinds = Letters()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*ids.values(), *self.added.values()]) + 1
@@ -64,8 +67,8 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([ids[a + b] for a, b in merges], np.int64)
 
-    def merged(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each word (not empty)."""
+    def merged(self, words: list[str]) -> list[bytes]:
+        """The ids of each word (not empty), as 32-bit integers."""
         raw = [w.encode("utf-8", "replace") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -103,9 +106,9 @@ class Vocabulary:
             symbols, owner = symbols[keep], owner[keep]
         owner, symbols = np.concatenate(done_owner), np.concatenate(done_symbols)
         order = np.argsort(owner, kind="stable")
-        symbols = symbols[order].tolist()
-        cuts = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(raw))))).tolist()
-        return [tuple(symbols[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        symbols = symbols[order].astype(np.int32).tobytes()
+        cuts = np.concatenate(([0], 4 * np.cumsum(np.bincount(owner, minlength=len(raw))))).tolist()
+        return [symbols[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Letters:
@@ -129,57 +132,76 @@ class Letters:
 
 
 class Encoder:
-    """Encodes texts with a vocabulary and a bounded cache of words."""
+    """Encodes texts with a vocabulary. No pattern crosses white space, so that what stands between it is encoded once and kept in a bounded cache."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
         letters, digits = vocabulary.kinds.letters, vocabulary.kinds.digits
         self.lower = vocabulary.kinds.lower | {ord("Σ"): "σ"}  # letter by letter, so that a final sigma gets no form of its own
         self.composed = vocabulary.kinds.composed
-        self.word = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+")
+        self.word = re.compile(rf"[{letters}]+|[{digits}]|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACE}{letters}{digits}]+")
         self.special = re.compile("|".join(map(re.escape, sorted(self.v.added, key=len, reverse=True))) or r"(?!)")
 
-    def words(self, text: str) -> list[str]:
-        """The words of the text in NFC and lower case."""
+    @classmethod
+    def of(cls, vocabulary: Vocabulary) -> Encoder:
+        """The encoder of a vocabulary, kept as long as the Python worker has that."""
+        if vocabulary.encoder is None:
+            vocabulary.encoder = cls(vocabulary)
+        return vocabulary.encoder
+
+    def chunks(self, text: str) -> list[str]:
+        """What stands between white space, in NFC and lower case."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text.translate(self.composed)).translate(self.lower)
-        return self.word.findall(text.lower())
+            text = unicodedata.normalize("NFC", text.translate(self.composed) if self.composed else text).translate(self.lower)
+        text = text.lower()
+        if SEPARATORS.search(text):  # white space to str.split(), but not to the vocabulary
+            return re.split(f"[{SPACE}]+", text.strip(SPACES))
+        return text.split()
 
-    def pieces(self, text: str) -> list[str | int]:
+    def pieces(self, text: str) -> list[str | bytes]:
         if "<|" not in text or not self.special.search(text):
-            return self.words(text)
-        out: list[str | int] = []
+            return self.chunks(text)
+        out: list[str | bytes] = []
         at = 0
         for m in self.special.finditer(text):
-            out += [*self.words(text[at : m.start()]), self.v.added[m[0]]]
+            out += [*self.chunks(text[at : m.start()]), np.int32(self.v.added[m[0]]).tobytes()]
             at = m.end()
-        return out + self.words(text[at:])
+        return out + self.chunks(text[at:])
 
-    def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if isinstance(w, str) and w not in self.cache]
+    def learn(self, chunks: Iterable[str | bytes]) -> None:
+        new = [c for c in dict.fromkeys(chunks) if c not in self.cache and isinstance(c, str)]
+        cut = [self.word.findall(c) for c in new]
+        words: dict[str, bytes] = dict.fromkeys(chain.from_iterable(cut), b"")
         part, size = [], 0
-        for w in new:
+        for w in list(words):
             part.append(w)
             size += len(w)
             if size >= FLAT_SYMBOLS:
-                self.cache.update(zip(part, self.v.merged(part), strict=True))
+                words.update(zip(part, self.v.merged(part), strict=True))
                 part, size = [], 0
         if part:
-            self.cache.update(zip(part, self.v.merged(part), strict=True))
+            words.update(zip(part, self.v.merged(part), strict=True))
+        for c, own in zip(new, cut, strict=True):
+            self.cache[c] = words[own[0]] if len(own) == 1 else b"".join(map(words.__getitem__, own))
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
         cut = [self.pieces(t or "") for t in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         self.learn(chain.from_iterable(cut))
-        get = self.cache
-        for pieces in cut:
-            yield list(chain.from_iterable(get[p] if isinstance(p, str) else (p,) for p in pieces))
-
-    def decode(self, ids: Iterable[int]) -> str:
+        get = self.cache.__getitem__
+        for chunks in cut:
+            try:
+                found = b"".join(map(get, chunks))
+            except KeyError:  # ids of added tokens stand for themselves
+                found = b"".join(c if isinstance(c, bytes) else get(c) for c in chunks)
+            yield np.frombuffer(found, np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
         """The tokens with blanks between them: the vocabulary file names no decoder."""
-        return " ".join(map(self.v.tokens.__getitem__, ids))
+        return " ".join(map(self.v.tokens.__getitem__, ids.tolist()))
 
 
 def default_path() -> str:
@@ -196,15 +218,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(shared.value)
+        coder = Encoder.of(shared.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a in range(0, len(texts), 64):
-                ids = list(coder.encode(texts[a : a + 64]))
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-                yield pa.RecordBatch.from_arrays([keys.slice(a, 64), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([coder.decode(x) for x in ids], pa.string())], ["k", "ids", "decoded"])
+            ids = list(coder.encode(texts))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(list(map(len, ids))))), pa.int32())
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))), pa.array(map(coder.decode, ids), pa.string())], ["k", "ids", "decoded"])
 
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(run, f"k {kind}, ids array<int>, decoded string").withColumnRenamed("k", key)

@@ -8,11 +8,13 @@ from .fingerprint import op7_fingerprint
 from .near_dup import op10_near_dup
 from .pii import op3_pii
 from .quality import op2_quality
+from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
     "op10_near_dup": op10_near_dup,

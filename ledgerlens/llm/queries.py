@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .decontaminate import op1_decontaminate
 from .fingerprint import op7_fingerprint
+from .html_extract import op5_html_extract
 from .near_dup import op10_near_dup
 from .pii import op3_pii
 from .quality import op2_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_pii": op3_pii,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html_extract": op5_html_extract,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
     "op10_near_dup": op10_near_dup,

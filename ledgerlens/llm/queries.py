@@ -10,6 +10,7 @@ from .near_dup import op10_near_dup
 from .pii import op3_pii
 from .quality import op2_quality
 from .substring_dedup import op4_substring_dedup
+from .warc import op9_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
+    "op9_warc": op9_warc,
     "op10_near_dup": op10_near_dup,
 }
 

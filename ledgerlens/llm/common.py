@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Rows of a table that may be broadcast; the operators count a table before they broadcast it and join by shuffle above it.
 BROADCAST_ROWS = 500_000
 
-#: Rows of one Arrow batch. Batches hold whole texts, so that the default of 10,000 rows can be gigabytes.
-ARROW_ROWS = 256
+#: Bytes of one Arrow batch. Batches hold whole texts, so that the default of 10,000 rows without a limit can be gigabytes.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,8 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, since batches hold whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the bytes of an Arrow batch, since batches hold whole texts. A longer text is a batch by itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,7 +72,7 @@ def work_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # the default codec keeps direct memory until the heap is collected
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

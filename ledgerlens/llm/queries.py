@@ -10,8 +10,16 @@ from .near_dup import op10_near_dup
 from .pii import op3_pii
 from .quality import op2_quality
 from .substring_dedup import op4_substring_dedup
+from .token_store import op8_token_store
 from .warc import op9_warc
 
+def pipeline(spark, sf_dir: str):
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -20,8 +28,10 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op6_bpe": op6_bpe,
     "op7_fingerprint": op7_fingerprint,
+    "op8_token_store": op8_token_store,
     "op9_warc": op9_warc,
     "op10_near_dup": op10_near_dup,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

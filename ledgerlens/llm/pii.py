@@ -101,12 +101,15 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, bits: float = BITS, support: int = SUPPORT) -> DataFrame | None:
     """(term) of the terms that leave at most ``bits`` bits about some entity; None if there are no candidates at all."""
-    around = spans.select(F.col("match").alias("entity"), F.lower("around").alias("_around"))
-    around = around.withColumn("_context", F.xxhash64("_around"))
+    around = spans.select("doc_id", "_th", F.col("match").alias("entity"), F.lower("around").alias("_around")).withColumn("_context", F.xxhash64("_around"))
     often = around.groupBy("entity").agg(F.approx_count_distinct("_context", 0.05).alias("n")).where(F.col("n") >= 0.8 * support).select("entity")
-    pairs = around.join(often, "entity").select("entity", "_context", F.explode(F.regexp_extract_all("_around", F.lit(WORD), F.lit(0))).alias("term"))
+    word = F.explode(F.regexp_extract_all("_around", F.lit(WORD), F.lit(0))).alias("term")
+    pairs = around.join(often, "entity").select("entity", "_context", word)
     seen = pairs.groupBy("entity", "term", "_context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
-    seen = saved(seen.where(F.col("contexts") >= support).select("entity", "term", "together"), "disclosure")
+    # a term near entities in d documents occurs d times at least: common words go before all words are counted
+    spread = around.select("doc_id", "_th", word).distinct().groupBy("term").agg(F.count("*").alias("least"))
+    seen = seen.where(F.col("contexts") >= support).join(spread, "term").where(F.log2(F.col("least") / F.col("together")) <= bits)
+    seen = saved(seen.select("entity", "term", "together"), "disclosure")
     candidates = seen.groupBy("term").agg(F.max("together").alias("together"))
     rows = candidates.count()
     if not rows:
@@ -151,7 +154,7 @@ def per_document(found: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, bits: float = BITS, support: int = SUPPORT) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first."""
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first. n_chars, if there, follows."""
     names = docs.columns
     order = Window.partitionBy("doc_id", "_th").orderBy("_start", "kind")
     found = spans(docs, bits, support).withColumn("_edge", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -169,7 +172,8 @@ def sanitise(docs: DataFrame, bits: float = BITS, support: int = SUPPORT) -> Dat
         ),
     )
     text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.array_join(parts, ""))
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in names])
+    size = F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else None
+    return joined.select(*[text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else docs[c] for c in names])
 
 
 def shown(spans: Column) -> Column:

@@ -1,7 +1,8 @@
 """Token ids in a content-addressed store.
 
 Documents are encoded to ids, each closed by an end id. Where a rolling hash of the last ``WINDOW`` ids ends in zeros the stream is
-cut, so that equal passages give equal chunks; a chunk is named by the BLAKE2b digest of its little-endian ids. The store is four
+cut, so that equal passages give equal chunks; a chunk is named by the BLAKE2b digest of its little-endian ids, of 16 bits each if the
+vocabulary allows it, else of 32. The store is four
 Parquet tables below one path:
 
     packs      what the encoding tasks wrote, a row per document; deleted once the other tables are there
@@ -96,6 +97,7 @@ def pack(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
     python_batches(spark)
     ranks, added = vocabulary(tokenizer)
     shared = spark.sparkContext.broadcast((ranks, added))
+    width = 2 if max([*ranks.values(), *added.values(), end_id]) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -108,13 +110,13 @@ def pack(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
             with np.errstate(over="ignore"):
                 for text in batch.column(2).to_pylist():
                     ids = np.append(encoding.encode_to_numpy(text, allowed_special="all"), np.uint32(end_id))
-                    raw, ends = ids.astype("<u4").tobytes(), cut(ids)
-                    parts = [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+                    raw, ends = ids.astype(f"<u{width}").tobytes(), cut(ids)
+                    parts = [raw[width * a : width * b] for a, b in zip([0, *ends], ends, strict=False)]
                     digests = [hashlib.blake2b(p, digest_size=DIGEST).digest() for p in parts]
                     out["n_tokens"].append(len(ids))
                     out["root"].append(merkle(digests))
                     out["digests"].append(digests)
-                    out["sizes"].append([len(p) // 4 for p in parts])
+                    out["sizes"].append([len(p) // width for p in parts])
                     fresh = []
                     for d, p in zip(digests, parts, strict=True):
                         fresh.append(None if d in seen else p)
@@ -182,18 +184,19 @@ def manifest(spark: SparkSession, path: str) -> None:
 
 
 def verified_chunks(spark: SparkSession, path: str, data: bool = False) -> DataFrame:
-    """digest, n, crc (and data) of all chunks, each checked against its name."""
+    """digest, n, crc (and data) of all chunks as 32-bit ids, each checked against its name."""
     python_batches(spark)
     names = ["digest", "n", "crc"] + ["data"] * data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
+            crcs, wide = [], []
             for digest, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if hashlib.blake2b(raw, digest_size=DIGEST).digest() != digest or len(raw) != 4 * n:
+                if hashlib.blake2b(raw, digest_size=DIGEST).digest() != digest or len(raw) not in (2 * n, 4 * n):
                     raise ValueError(f"chunk {digest.hex()} isn't what its name says")
-                crcs.append(zlib.crc32(raw))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64()), *([batch.column(2)] * data)], names)
+                wide.append(np.frombuffer(raw, "<u2").astype("<u4").tobytes() if len(raw) == 2 * n else raw)
+                crcs.append(zlib.crc32(wide[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64()), *([pa.array(wide, pa.binary())] if data else [])], names)
 
     rows = spark.read.parquet(f"{path}/chunks").select("digest", "n", "data")
     return rows.mapInArrow(run, "digest binary, n int, crc bigint" + ", data binary" * data)

@@ -7,7 +7,7 @@ A page becomes a tree. For every node C and T count the characters and tags belo
 b standing for the body (Sun, Song, Liao: "DOM based content extraction via text density", 2011); zero counts of links are one. The
 node with the largest sum of its children's densities is the core of the text. The least density on the path from it to the body is
 the threshold: as long as a sibling of the chosen subtree reaches it, the parent is chosen, and an article or main element around
-the core is chosen whole. Before that go elements that are no text of the article by name, role or class: menus, headers, footers,
+the core is chosen whole, as is one within it that has half of its characters. Before that go elements that are no text of the article by name, role or class: menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments.
 
 The text is taken block by block: character references decoded, white space as one blank, blocks and line breaks joined by a line
@@ -194,6 +194,9 @@ def main_node(tree: Tree) -> int:
     while i >= 0:
         path.append(i)
         i = tree.parent[i]
+    inside = [i for i in range(best + 1, tree.end[best]) if tree.tags[i] in WHOLE and not tree.gone[i] and 2 * chars[i] >= chars[best]]
+    if inside:
+        return inside[0]
     whole = [i for i in path if tree.tags[i] in WHOLE]
     if whole:
         return whole[-1]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import merchants as m
 from ledgerlens.functions import text as t
-from ledgerlens.operators import documents, explain, history, learning, retrieval, scoring
+from ledgerlens.operators import answers, documents, explain, history, learning, retrieval, scoring
 from ledgerlens.operators.features import FEATURES, features
 from ledgerlens.operators.transactions import parse
+from ledgerlens.plans import training
 from ledgerlens.plans.risk import analyse
 from ledgerlens.streaming.velocity import velocity
 
@@ -259,6 +260,34 @@ def ranking_metrics(spark, d):
     return rounded(found, ["mrr", "ndcg", "ndcg_log2", "precision"], 6)
 
 
+def answer_prompts(spark, d):
+    best = retrieval.rerank(hits(spark, d), 5).withColumn("page_number", (F.col("chunk_id") % 3).cast("int"))
+    asked_for = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("risk").alias("query"), F.concat(F.lit("doc_"), F.col("label").cast("string")).alias("document_name"))
+    return answers.prompts(asked_for, best).select("query_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+def answer_parse(spark, d):
+    c = table(spark, d, "conversations")
+    text = F.concat(F.lit("Well.\n**Answer:** "), F.left("text", F.lit(30)), F.lit("\n\n  more \n**Confidence:** HIGH\n"), F.when(F.col("turn") % 2 == 0, "**Source:** Section 1").otherwise(""))
+    return c.select("conv_id", "turn", answers.parsed(text).alias("p")).select("conv_id", "turn", "p.*")
+
+
+def risk_text_report(spark, d):
+    rows = analyse(order_transactions(spark, d)).withColumn("report_id", explain.report_id(F.concat(F.lit("customer "), F.col("statement_id").cast("string"), F.lit(".pdf")), F.lit("20260101"))).withColumn("generated", F.lit("2026-01-01"))
+    rows = rows.withColumn("document_name", F.concat(F.col("statement_id").cast("string"), F.lit(".pdf")))
+    return rows.select("statement_id", answers.text_report().alias("report"), answers.summary_report().alias("summary"), answers.offline_summary(F.round("risk_score", 2), F.col("is_fraud"), F.col("reasons")).alias("offline"))
+
+
+def model_compare(spark, d):
+    f = features(event_transactions(spark, d)).withColumn("label", (F.col("total_debits") > F.lit(53)).cast("int"))
+    return training.compare(f, ["total_transactions", "avg_transaction_amount", "unique_merchants"], "statement_id", ["logistic_regression", "random_forest"], trees=10)
+
+
+def model_learning_curve(spark, d):
+    f = features(order_transactions(spark, d)).withColumn("label", (F.col("max_transaction") > F.lit(400000)).cast("int"))
+    return training.learning_curve(f, ["total_transactions", "avg_transaction_amount"], "statement_id", sizes=(0.5, 1.0))
+
+
 def embedding_cache(spark, d):
     docs = table(spark, d, "documents").select(F.left("text", F.lit(40)).alias("content"))
     cache = docs.where(F.xxhash64("content") % 2 == 0).select(F.md5("content").alias("md5")).distinct().withColumn("vector", F.array(F.lit(0.0).cast("float")))
@@ -366,7 +395,7 @@ QUERIES = {
         risk_verdict, risk_features_events, risk_features_orders, risk_features_all_statements, risk_rule_score, risk_takeover, risk_reasons, risk_key_metrics, hybrid_verdict_grid, band_tables, calibration,
         merchant_predicates, statement_parse, document_signals, document_statistics, document_compliance, document_tidy, document_clean, document_masks, amount_formats, section_titles, page_range_join, chunks, chunk_statistics,
         vector_search, vector_threshold, rerank, ranking_metrics, embedding_cache, history_latest, history_insert, history_visible, report_search, report_newest, report_levels, report_flags,
-        model_metrics, model_areas, model_curves, model_histogram, model_standardise, model_impute, model_profile, model_split, model_rank, anomaly_forest, event_velocity,
+        model_metrics, model_areas, model_curves, model_histogram, model_standardise, model_impute, model_profile, model_split, model_rank, anomaly_forest, event_velocity, answer_prompts, answer_parse, risk_text_report, model_compare, model_learning_curve,
     )
 }
 
@@ -501,6 +530,9 @@ SELECT CAST(least(floor((o_totalprice - low) / w), 79) AS INT) AS bin, count(*)
     "model_split": "SELECT quality, count(*) AS n, true AS fair FROM labels WHERE quality IS NOT NULL GROUP BY 1",
     "model_rank": "SELECT p_brand, n, CAST(row_number() OVER (ORDER BY n DESC, auc DESC, p_brand DESC) AS INT) AS rank FROM (SELECT p_brand, avg(p_retailprice) AS auc, count(*) AS n FROM part GROUP BY 1)",
     "event_velocity": "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 4) AS amount FROM events GROUP BY 1, 2",
+    "answer_parse": r"""
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(left(text, 30) || chr(10) || chr(10) || '  more ', chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS answer,
+       CASE WHEN turn % 2 = 0 THEN 'Section 1' ELSE '' END AS source, 'HIGH' AS confidence, '' AS context FROM conversations""",
     "section_titles": r"""
 SELECT conv_id, turn, CASE WHEN regexp_matches(l2, '^(#{1,3}|[A-Z][A-Z\s]+:|\d+\.)') THEN l2 WHEN regexp_matches(l3, '^(#{1,3}|[A-Z][A-Z\s]+:|\d+\.)') THEN l3 END AS title FROM (
   SELECT conv_id, turn, trim(x[2]) AS l2, trim(coalesce(x[3], '')) AS l3 FROM (SELECT conv_id, turn, string_split('intro' || chr(10) || CASE WHEN turn % 2 = 0 THEN '# ' WHEN turn % 3 = 0 THEN '2. ' ELSE '' END || left(text, 20), chr(10)) AS x FROM conversations))""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import merchants as m
 from ledgerlens.functions import text as t
 from ledgerlens.functions.dates import normalised_date
-from ledgerlens.operators import documents, explain, history, learning, retrieval, scoring
+from ledgerlens.operators import answers, documents, explain, history, learning, retrieval, scoring
 from ledgerlens.operators.features import FEATURES, features, vector
 from ledgerlens.operators.transactions import parse
 from ledgerlens.plans.risk import analyse
@@ -193,3 +193,24 @@ def test_stream_equals_batch(spark, sf, tmp_path):
         query.stop()
     key = lambda df: sorted((r["user_id"], r["window_start"], r["n"], round(r["amount"], 4)) for r in df.collect())
     assert key(spark.sql("select * from velocity")) == key(velocity(batch)) and isinstance(key(velocity(batch))[0][1], datetime.datetime)
+
+
+def test_prompts_and_responses(spark):
+    asked = spark.createDataFrame([(1, "risk?", "a.pdf"), (2, "none?", "b.pdf")], "query_id int, query string, document_name string")
+    ranked = spark.createDataFrame([(1, 1, "c1", 3, "Risk", 0.876, 1.0, "x" * 600), (1, 2, "c2", None, None, 0.5, 0.75, "short")], "query_id int, rank int, chunk_id string, page_number int, section_title string, final_score double, confidence double, content string")
+    found = {r["query_id"]: r["prompt"] for r in answers.prompts(asked, ranked).collect()}
+    assert "[Section 1] Page 3 | Risk (Relevance: 0.88, Confidence: 1.00)" in found[1] and "x" * 500 + "... [truncated]" in found[1] and "[Section 2] (Relevance: 0.50" in found[1]
+    assert "No relevant information found" in found[2] and answers.NOT_FOUND in found[2]
+    given = spark.createDataFrame([(1, "risk?", "**Answer:** Yes\n indeed\n\n**Source:** Section 1\n**Confidence:** HIGH\n**Context:** c"), (2, "none?", None), (3, "plain?", "no marks")], "query_id int, query string, answer_text string")
+    rows = {r["query_id"]: r for r in answers.responses(given, ranked).collect()}
+    assert (rows[1]["answer"], rows[1]["source"], rows[1]["confidence"], rows[1]["context"], rows[1]["chunks_retrieved"]) == ("Yes\nindeed", "Section 1", "HIGH", "c", 2)
+    assert rows[1]["citations"][0].asDict() == {"chunk_id": "c1", "page": 3, "section": "Risk", "relevance_score": "0.876"}
+    assert (rows[2]["answer"], rows[2]["confidence"], rows[2]["citations"]) == (answers.NOT_FOUND, "LOW", []) and (rows[3]["answer"], rows[3]["confidence"]) == ("", "UNKNOWN")
+
+
+def test_reports(spark):
+    tx = [(45000, "debit", "CasinoXYZ"), (12000, "debit", "Gambling House"), (5000, "debit", "Crypto Exchange"), (50000, "credit", "Employer Salary")]
+    row = analyse(statement(spark, tx)).withColumn("report_id", F.lit("R")).withColumn("generated", F.lit("now")).withColumn("document_name", F.lit("d.pdf"))
+    r = row.select(answers.text_report(F.create_map(F.lit("page_count"), F.lit("3"))).alias("text"), answers.summary_report().alias("line")).first()
+    assert "RISK ASSESSMENT" in r["text"] and "1. Transactions with high-risk merchants detected: Casinos" in r["text"] and "Total Debited: $62,000.00" in r["text"] and "Page Count: 3" in r["text"] and r["text"].endswith("=" * 70)
+    assert r["line"].startswith("🟢 LOW Risk Score: 14.91/100 | Document: d.pdf | Issues: ") and "Action: No immediate action required" in r["line"]

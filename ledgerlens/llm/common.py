@@ -69,9 +69,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, shrink: int = 1) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    ``shrink``: rows so light that the last stage needs only one in so many of the shuffle partitions, and as few files.
+    """
     path = work_path(df.sparkSession, name)
+    if shrink > 1:
+        df = df.coalesce(max(1, partitions(df.sparkSession) // shrink))
     df.write.option("compression", "zstd").parquet(path)  # the default codec keeps direct memory until the heap is collected
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -109,14 +109,14 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, bits: float = BITS, supp
     # a term near entities in d documents occurs d times at least: common words go before all words are counted
     spread = around.select("doc_id", "_th", word).distinct().groupBy("term").agg(F.count("*").alias("least"))
     seen = seen.where(F.col("contexts") >= support).join(spread, "term").where(F.log2(F.col("least") / F.col("together")) <= bits)
-    seen = saved(seen.select("entity", "term", "together"), "disclosure")
+    seen = saved(seen.select("entity", "term", "together"), "disclosure", shrink=8)
     candidates = seen.groupBy("term").agg(F.max("together").alias("together"))
     rows = candidates.count()
     if not rows:
         return None
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("term"))
     total = words.join(small(candidates.select("term"), rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("total"))
-    return saved(seen.join(total, "term").where(F.log2(F.col("total") / F.col("together")) <= bits).select("term").distinct(), "terms")
+    return saved(seen.join(total, "term").where(F.log2(F.col("total") / F.col("together")) <= bits).select("term").distinct(), "terms", shrink=8)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, bits: float = BITS, support: int = SUPPORT) -> DataFrame:
     """(doc_id, _th, kind, _start, _end) of base entities and of disclosing terms outside them."""
-    base = saved(base_spans(docs), "base")
+    base = saved(base_spans(docs), "base", shrink=8)
     terms = disclosing_terms(docs, base, bits, support)
     base = base.select("doc_id", "_th", "kind", "_start", "_end").distinct()
     if terms is None or terms.isEmpty():

@@ -58,18 +58,28 @@ def classification_metrics(rows: DataFrame, label: str, predicted: str, by: list
     return a.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def thresholds(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """A row per distinct score, descending: cumulative true and false positives. Rows are counted per score before the one ordered pass."""
-    per = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    order = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("score", F.sum("pos").over(order).alias("tp"), F.sum("neg").over(order).alias("fp"), "pos", "neg")
+def thresholds(rows: DataFrame, label: str, score: str, buckets: int = 64) -> DataFrame:
+    """A row per distinct score, descending: cumulative true and false positives.
+
+    Rows are counted per score; running sums are taken within ranges of scores and shifted by the sums of the ranges above, of which
+    the driver sees one row each.
+    """
+    per = rows.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    cuts = sorted(set(per.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
+    per = per.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score"))))
+    sums = {r["_b"]: (r["p"], r["n"]) for r in per.groupBy("_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()}
+    above = [tuple(sum(sums.get(k, (0, 0))[i] for k in range(b + 1, len(cuts) + 1)) for i in (0, 1)) for b in range(len(cuts) + 1)]
+    shift = lambda i: F.get(F.array(*[F.lit(x[i]) for x in above]).cast("array<bigint>"), F.col("_b"))
+    order = Window.partitionBy("_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return per.select("score", (F.sum("pos").over(order) + shift(0)).alias("tp"), (F.sum("neg").over(order) + shift(1)).alias("fp"), "pos", "neg")
 
 
 def curves(rows: DataFrame, label: str, score: str) -> DataFrame:
     """score, true and false positive rate, precision: the points of the ROC and precision-recall curves."""
     t = thresholds(rows, label, score)
-    whole = t.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    return t.crossJoin(F.broadcast(whole)).select("score", (F.col("tp") / F.nullif(F.col("_p"), F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif(F.col("_n"), F.lit(0))).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+    p, n = t.agg(F.sum("pos"), F.sum("neg")).first()
+    rate = lambda c, total: F.col(c) / F.lit(total) if total else F.lit(None).cast("double")
+    return t.select("score", rate("tp", p).alias("tpr"), rate("fp", n).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def areas(rows: DataFrame, label: str, score: str) -> DataFrame:
@@ -109,14 +119,14 @@ def isolation_trees(rows: DataFrame, columns: list[str], trees: int = 200, sampl
 
     Rows take part in a tree if their hash is below the sample's share of all; only the trees, of bounded size, reach the driver.
     """
-    spark = rows.sparkSession
     total = rows.count()
     if not total:
         return []
     share = min(1.0, 2.0 * sample / total)
     values = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).withColumn("_r", F.xxhash64("x"))
-    picks = spark.range(trees).select(F.col("id").cast("int").alias("tree"))
-    dealt = values.crossJoin(F.broadcast(picks)).withColumn("_h", F.xxhash64("_r", "tree", F.lit(seed))) if share >= 1 else values.withColumn("tree", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.when(F.pmod(F.xxhash64("_r", t, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)), t.cast("int")))))).where("tree is not null").withColumn("_h", F.xxhash64("_r", "tree", F.lit(seed)))
+    part = lambda t: F.when(F.pmod(F.xxhash64("_r", t, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)), t.cast("int"))
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), part), lambda t: t.isNotNull())
+    dealt = values.select("x", "_r", F.explode(drawn).alias("tree")).withColumn("_h", F.xxhash64("_r", "tree", F.lit(seed)))
 
     def grow(batch: pd.DataFrame) -> pd.DataFrame:
         tree = int(batch["tree"].iloc[0])

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.batches import bounded
 from ledgerlens.functions.text import blank_words, section_title
 
 # Keywords and weights that the rerank score is defined by.
@@ -66,6 +67,7 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 200, overla
                 if whole:
                     yield pd.DataFrame({"k": [k] * len(whole), "position": range(len(whole)), "content": whole, "page_number": pd.Series([None if a < 0 else a // PAGE_CHARS + 1 for a in at], dtype="Int32")})
 
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
     found = rows.mapInPandas(run, "k string, position int, content string, page_number int").where(F.btrim("content") != "")
     return found.select(

@@ -520,7 +520,7 @@ SELECT l_returnflag, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) A
 FROM (SELECT l_returnflag, count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn
       FROM (SELECT l_returnflag, l_quantity > 25 AS y, l_extendedprice > 50000 AS p FROM lineitem) GROUP BY 1)""",
     "model_areas": f"WITH {_STEPS} SELECT round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM cum",
-    "model_curves": f"WITH {_STEPS} SELECT CAST(score AS BIGINT) AS score, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr, round(tp / (tp + fp), 6) AS precision FROM cum, tot",
+    "model_curves": f"WITH {_STEPS} SELECT CAST(score AS DOUBLE) AS score, round(tp / p, 6) AS tpr, round(fp / n, 6) AS fpr, round(tp / (tp + fp), 6) AS precision FROM cum, tot",
     "model_histogram": """
 WITH b AS (SELECT min(o_totalprice) AS low, (max(o_totalprice) - min(o_totalprice)) / 80 AS w, count(*) AS n FROM orders)
 SELECT CAST(least(floor((o_totalprice - low) / w), 79) AS INT) AS bin, count(*) AS count, round(count(*) / (any_value(n) * any_value(w)), 10) AS density FROM orders, b GROUP BY 1""",

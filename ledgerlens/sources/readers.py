@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.batches import bounded
+
 NEEDED = {"date", "amount", "type"}
 MAX_BYTES = 30 << 20
 
@@ -68,6 +70,7 @@ def pages(rows: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
                     texts = [""]
                 yield pd.DataFrame({"path": path, "page_number": range(1, len(texts) + 1), "text": [t.strip() for t in texts]})
 
+    bounded(rows.sparkSession)
     return rows.select("path", "content").mapInPandas(run, "path string, page_number int, text string")
 
 

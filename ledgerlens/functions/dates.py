@@ -10,9 +10,13 @@ FORMATS = ["d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "d/M/yyyy",
 SHAPES = [r"\d{1,2} [A-Za-z]{3} \d{4}", r"\d{1,2} [A-Za-z]{4,} \d{4}", r"[A-Za-z]{3} \d{1,2} \d{4}", r"[A-Za-z]{4,} \d{1,2} \d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}/\d{1,2}/\d{2}", r"\d{1,2}-\d{1,2}-\d{4}", r"\d{1,2}-\d{1,2}-\d{2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{4}-\d{1,2}-\d{1,2}"]
 
 
-def normalised_date(raw: Column) -> Column:
-    """yyyy-MM-dd, or null. Two-digit years from 69 on are of the last century."""
-    text = F.initcap(F.btrim(F.regexp_replace(F.regexp_replace(raw, ",", ""), r"\s+", " ")))
+def tidied(raw: Column) -> Column:
+    """A written date with single blanks, without commas, months with a capital."""
+    return F.initcap(F.btrim(F.regexp_replace(F.regexp_replace(raw, ",", ""), r"\s+", " ")))
+
+
+def normalised_date(text: Column) -> Column:
+    """yyyy-MM-dd of a tidied date, or null. Two-digit years from 69 on are of the last century."""
     tried = []
     for form, shape in zip(FORMATS, SHAPES, strict=True):
         day = F.to_date(F.try_to_timestamp(F.when(text.rlike(f"^{shape}$"), text), F.lit(form)))

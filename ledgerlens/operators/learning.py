@@ -138,8 +138,8 @@ def isolation_trees(rows: DataFrame, columns: list[str], trees: int = 200, sampl
         def build(part: np.ndarray, depth: int) -> int:
             me = len(nodes)
             nodes.append(())
-            spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
-            if depth >= limit or len(part) <= 1 or not len(spread):
+            spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 else []
+            if depth >= limit or not len(spread):
                 nodes[me] = (-1, 0.0, -1, -1, float(depth + path_length(len(part))))
                 return me
             f = int(random.choice(spread))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.dates import normalised_date
+from ledgerlens.functions.dates import normalised_date, tidied
 
 # Patterns and word lists that the fields are defined by.
 DATE = r"(?i)(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{2,4})"
@@ -43,7 +43,7 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
     rows = lines(statements, key, text).withColumn("low", F.lower("line"))
     rows = rows.where(~F.col("low").rlike("|".join(MARKERS)))
     rows = rows.withColumn("raw_date", F.regexp_extract("line", DATE, 0)).where("raw_date <> ''")
-    rows = rows.withColumn("date", normalised_date(F.col("raw_date"))).where("date is not null")
+    rows = rows.withColumn("tidy_date", tidied(F.col("raw_date"))).withColumn("date", normalised_date(F.col("tidy_date"))).where("date is not null")
     rows = rows.withColumn("date_end", F.regexp_instr("line", F.lit(DATE)) - 1 + F.length("raw_date"))
     rows = rows.withColumn("gaps", F.split("line", AMOUNT, -1)).withColumn("full", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(0)))
     rows = rows.withColumn("number", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(1))).withColumn("suffix", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(2)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import merchants as m
 from ledgerlens.functions import text as t
-from ledgerlens.functions.dates import normalised_date
+from ledgerlens.functions.dates import normalised_date, tidied
 from ledgerlens.operators import answers, documents, explain, history, learning, retrieval, scoring
 from ledgerlens.operators.features import FEATURES, features, vector
 from ledgerlens.operators.transactions import parse
@@ -112,7 +112,7 @@ def test_statement_lines(spark):
 
 @pytest.mark.parametrize(("raw", "want"), [("05 January 2025", "2025-01-05"), ("Jan 5, 2025", "2025-01-05"), ("5/1/70", "1970-01-05"), ("5/1/68", "2068-01-05"), ("31/02/2025", None), ("5-1/2025", None), ("JAN 05 2025", "2025-01-05")])
 def test_dates(spark, raw, want):
-    assert spark.range(1).select(normalised_date(F.lit(raw)).alias("d")).first()["d"] == want
+    assert spark.range(1).select(normalised_date(tidied(F.lit(raw))).alias("d")).first()["d"] == want
 
 
 def test_merchant_predicates(spark):

@@ -34,6 +34,11 @@ def has_word(padded: Column, words: list[str]) -> Column:
     return padded.rlike(" (?:" + "|".join(words) + ") ")
 
 
+def some(value: Column) -> Column:
+    """The value, without the row if it is null. A filter would be pushed below the columns that the value is made of and find each again."""
+    return F.explode(F.filter(F.array(value), lambda x: x.isNotNull()))
+
+
 def parse(statements: DataFrame, key: str = "statement_id", text: str = "text") -> DataFrame:
     """(key, seq, date, amount, type, merchant) of all lines that hold a transaction.
 
@@ -43,7 +48,8 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
     rows = lines(statements, key, text).withColumn("low", F.lower("line"))
     rows = rows.where(~F.col("low").rlike("|".join(MARKERS)))
     rows = rows.withColumn("raw_date", F.regexp_extract("line", DATE, 0)).where("raw_date <> ''")
-    rows = rows.withColumn("tidy_date", tidied(F.col("raw_date"))).withColumn("date", normalised_date(F.col("tidy_date"))).where("date is not null")
+    rows = rows.withColumn("tidy_date", tidied(F.col("raw_date")))
+    rows = rows.select("*", some(normalised_date(F.col("tidy_date"))).alias("date"))
     rows = rows.withColumn("date_end", F.regexp_instr("line", F.lit(DATE)) - 1 + F.length("raw_date"))
     rows = rows.withColumn("gaps", F.split("line", AMOUNT, -1)).withColumn("full", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(0)))
     rows = rows.withColumn("number", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(1))).withColumn("suffix", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(2)))
@@ -61,7 +67,7 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
         ),
     )
     usable = F.filter(found, lambda x: (x["start"] >= F.col("date_end")) & x["amount"].isNotNull() & (F.contains(x["number"], F.lit(".")) | (F.length(F.replace(x["number"], F.lit(","), F.lit(""))) <= 8)))
-    rows = rows.withColumn("best", F.array_min(usable)).where("best is not null")
+    rows = rows.select("*", some(F.array_min(usable)).alias("best"))
     padded = F.concat(F.lit(" "), F.col("low"), F.lit(" "))
     kind = F.when(F.lower("best.suffix") == "dr", "debit").when(F.lower("best.suffix") == "cr", "credit").when(has_word(padded, DEBIT_WORDS), "debit").when(has_word(padded, CREDIT_WORDS), "credit").otherwise("debit")
     after = F.btrim(F.substring("line", F.col("best.start") + F.col("best.len") + 1, F.length("line")), F.lit(EDGE))

@@ -1,8 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences, at line ends and after . ! or ?; a sentence of more than ``UNIT_WORDS`` words counts as several.
-Every run of ``RUN`` consecutive sentences with at least ``MIN_WORDS`` words (all sentences, in a shorter text) is hashed to 96
-bits. Of the places of a hash over all documents the first, by doc_id and position, stays; sentences covered by any other place
+Every run of ``RUN`` consecutive sentences (all sentences, in a shorter text), and of as many more as it takes to have ``MIN_WORDS``
+words, is hashed to 96 bits. Of the places of a hash over all documents the first, by doc_id and position, stays; sentences covered by any other place
 are removed, with the white space before them. Both the search for firsts, a partial hash aggregate, and the join back deal rows of
 fixed size by hash; a very common run is combined before the shuffle and its join partition can be split by adaptive execution.
 
@@ -32,15 +32,19 @@ def units_of(text: Column) -> Column:
 
 
 def runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _th, _at, _end, _h1, _h2): every run of sentences long enough to be looked for."""
+    """(doc_id, _th, _at, _end, _h1, _h2): every run of ``run`` sentences, and of as many more as it takes to have ``min_words`` words."""
     units = keyed(docs, "doc_id").select("doc_id", "_th", units_of(F.col("_text")).alias("_u"))
     units = units.select("doc_id", "_th", F.transform("_u", lambda u: F.xxhash64(F.trim(F.lower(F.regexp_replace(u, r"\s++", " "))))).alias("_uh"), F.transform("_u", lambda u: F.regexp_count(u, F.lit(r"\S++"))).alias("_uw"))
     n = F.size("_uh")
     spread = units.where(n > 0).select("doc_id", "_th", "_uh", "_uw", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - run))).alias("_at"))
     part = [F.get("_uh", F.col("_at") + i) for i in range(run)]
     words = sum((F.coalesce(F.get("_uw", F.col("_at") + i), F.lit(0)) for i in range(1, run)), F.get("_uw", F.col("_at")))
-    spread = spread.where(words >= min_words)
-    return spread.select("doc_id", "_th", "_at", F.least(F.col("_n"), F.col("_at") + run).alias("_end"), F.xxhash64(*part).alias("_h1"), F.hash(*part).alias("_h2"))
+    # every sentence has a word, so that min_words of them are enough
+    more = F.aggregate(F.slice("_uw", F.col("_at") + run + 1, max(0, min_words - run)), F.struct(words.alias("w"), F.lit(0).alias("n")), lambda x, w: F.when(x["w"] < min_words, F.struct((x["w"] + w).alias("w"), (x["n"] + 1).alias("n"))).otherwise(x))
+    spread = spread.withColumn("_more", F.when(words >= min_words, F.lit(0)).otherwise(F.when(more["w"] >= min_words, more["n"]))).where("_more IS NOT NULL")
+    rest = F.slice("_uh", F.col("_at") + run + 1, F.col("_more"))
+    hashed = [F.when(F.col("_more") == 0, f(*part)).otherwise(f(*part, F.array_join(rest.cast("array<string>"), " "))) for f in (F.xxhash64, F.hash)]
+    return spread.select("doc_id", "_th", "_at", F.least(F.col("_n"), F.col("_at") + run + F.col("_more")).alias("_end"), hashed[0].alias("_h1"), hashed[1].alias("_h2"))
 
 
 def place() -> Column:

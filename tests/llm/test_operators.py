@@ -216,6 +216,13 @@ def test_repeated_sentences_of_odd_rows(spark, odd, none):
     assert substring_dedup.dedup(none).count() == 0
 
 
+def test_repeated_short_sentences_are_found(spark):
+    junk = " ".join(f"W{i}!!" for i in range(60))
+    rows = [(1, f"{junk} Own end."), (2, f"Start here. {junk}\nTail."), (3, "A. B. C. D."), (4, "A. B. C. D."), (5, f"{junk} {junk}")]
+    found = by_id(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True))
+    assert {i: (r["text"], r["n_removed"]) for i, r in found.items()} == {1: (rows[0][1], 0), 2: ("Start here.\nTail.", 60), 3: ("A. B. C. D.", 0), 4: ("A. B. C. D.", 0), 5: ("", 120)}
+
+
 # 5
 
 PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use cookies to track all of what you do here, my friend.</div>

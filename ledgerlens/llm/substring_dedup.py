@@ -3,7 +3,14 @@
 A text is cut into sentences, at line ends and after . ! or ?; a sentence of more than ``UNIT_WORDS`` words counts as several.
 Every run of ``RUN`` consecutive sentences (all sentences, in a shorter text), and of as many more as it takes to have ``MIN_WORDS``
 words, is hashed to 96 bits. Of the places of a hash over all documents the first, by doc_id and position, stays; sentences covered by any other place
-are removed, with the white space before them. Both the search for firsts, a partial hash aggregate, and the join back deal rows of
+are removed, with the white space before them.
+
+Sentences are cut from where they begin, so that a passage that begins inside one may share no run with its other places. What
+runs leave is therefore searched word by word: of ``PASSAGE`` consecutive words that stay whole, all places but the first are removed
+too. Candidates are windows' least hashes of ``GRAM`` words, one of which any two equal passages share; they are compared as
+whole windows only where a candidate is repeated and kept.
+
+Both the search for firsts, a partial hash aggregate, and the join back deal rows of
 fixed size by hash; a very common run is combined before the shuffle and its join partition can be split by adaptive execution.
 
 Edge cases: null texts stay null and have no sentences; empty texts stay; rows that share id and text are one document and keep
@@ -13,19 +20,32 @@ other columns are returned by ``dedup``.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, saved, table
+from .common import keyed, python_batches, saved, small, table
 
 UNIT_WORDS = 16
 RUN = 3
 MIN_WORDS = 8
 
+#: Words of a repeated passage that is found wherever it begins, and of the pieces by which it is looked for.
+PASSAGE = 51
+GRAM = 16
+
 #: A sentence with the white space before it; what is left of a text without one is white space.
 UNIT = rf"\s*+\S++(?:(?<![.!?])[^\S\n]++\S++){{0,{UNIT_WORDS - 1}}}+|\s++"
 
 
+#: A word with the white space before it, or the white space at the end.
+TOKEN = r"\s*+\S++|\s++"
+
+
 def units_of(text: Column) -> Column:
     """The sentences of a text; put together they are the text."""
     return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
@@ -58,21 +78,201 @@ def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> Dat
     firsts = every.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = every.join(firsts, ["_h1", "_h2"]).where(F.col("_place") > F.col("_first")).select("doc_id", "_th", "_at", "_end").distinct()
     order = Window.partitionBy("doc_id", "_th").orderBy("_at", "_end")
+    return stretches(later)
+
+
+def stretches(later: DataFrame) -> DataFrame:
+    """(doc_id, _th, _start, _end): the union of (doc_id, _th, _at, _end) as disjoint stretches."""
+    order = Window.partitionBy("doc_id", "_th").orderBy("_at", "_end")
     later = later.repartition("doc_id", "_th").withColumn("_edge", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     later = later.withColumn("_group", F.sum(F.when(F.col("_at") <= F.col("_edge"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return later.groupBy("doc_id", "_th", "_group").agg(F.min("_at").alias("_start"), F.max("_end").alias("_end")).drop("_group")
 
 
+def per_document(cuts: DataFrame, name: str) -> DataFrame:
+    """(_cut_id, _cut_th, ``name``): the stretches of each document that has any, in order."""
+    return cuts.groupBy(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th")).agg(F.sort_array(F.collect_list(F.struct("_start", "_end"))).alias(name))
+
+
+def of_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["_cut_id"]) & (a["_th"] == b["_cut_th"])
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64))])[:n]
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word of a text, in lower case."""
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    solid = ~SPACE[raw]
+    starts = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]))
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    raw, solid, starts = raw[starts[0] :], solid[starts[0] :], starts - starts[0]
+    at = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
+    at[~solid] = 0
+    values = np.where(solid, BYTES[raw] * powers(0x9E3779B97F4A7C15, int(at.max()) + 1)[at], np.uint64(0))
+    return mixed(np.add.reduceat(values, starts))
+
+
+def window_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
+    """A hash of each n consecutive words."""
+    if len(words) < n:
+        return np.empty(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, len(words)))])
+    return mixed((sums[n:] - sums[:-n]) * powers(pow(base, -1, 1 << 64), len(words) - n + 1))
+
+
+BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+
+
+def chosen(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of pieces of GRAM words: the first least one of each PASSAGE words, so that equal passages choose alike."""
+    grams = window_hashes(words, GRAM, BASES[0])
+    wide = PASSAGE - GRAM + 1
+    if len(grams) < wide:
+        return np.empty(0, np.int64), grams[:0]
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, wide).argmin(axis=1) + np.arange(len(grams) - wide + 1))
+    return at, grams[at]
+
+
+#: UNIT for Python; Java's white space is ASCII.
+UNIT_HERE = re.compile(UNIT.replace(r"[^\S\n]", r"[ \t\x0b\f\r]").replace(r"\S", r"[^ \t\n\x0b\f\r]").replace(r"\s", r"[ \t\n\x0b\f\r]"))
+
+
+def kept_words(text: str, cuts: list[dict] | None, n: int) -> np.ndarray:
+    """Which of n words are in none of ``cuts``, stretches of sentences."""
+    kept = np.ones(n, bool)
+    if cuts:
+        ends = [0, *np.cumsum([len(u.encode().split()) for u in UNIT_HERE.findall(text)]).tolist()]
+        for c in cuts:
+            kept[ends[c["_start"]] : ends[c["_end"]]] = False
+    return kept
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, _th, _at, _h): the chosen pieces of every document."""
+    python_batches(docs.sparkSession)
+    rows = keyed(docs, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                found = [chosen(word_hashes(x)) for x in batch.column(1).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(a) for a, _ in found]), pa.int64())
+            at, h = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(h.astype(np.uint64).view(np.int64))], ["doc_id", "_th", "_at", "_h"])
+
+    return rows.select("doc_id", "_text", "_th").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th bigint, _at int, _h bigint")
+
+
+def kept_pieces(rows: DataFrame) -> DataFrame:
+    """_h of the pieces at ``_ats`` of (_text, _cuts, _ats) that are kept whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.empty(0, np.uint64)]
+            with np.errstate(over="ignore"):
+                for text, cuts, ats in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                    words = word_hashes(text)
+                    kept, grams = kept_words(text, cuts, len(words)), window_hashes(words, GRAM, BASES[0])
+                    out.append(grams[[a for a in ats if kept[a : a + GRAM].all()]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).view(np.int64))], ["_h"])
+
+    return rows.select("_text", "_cuts", "_ats").mapInArrow(run, "_h bigint")
+
+
+def windows(rows: DataFrame) -> DataFrame:
+    """(doc_id, _th, _at, _end, _kept, _h1, _h2): the windows of PASSAGE words around the pieces at ``_ats``; _kept: no word is in ``_cuts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], [[np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
+            with np.errstate(over="ignore"):
+                for i, (text, cuts, ats) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 5)), strict=True)):
+                    words = word_hashes(text)
+                    n = len(words) - PASSAGE + 1
+                    near = np.zeros(n, bool)
+                    for a in ats:
+                        near[max(0, a + GRAM - PASSAGE) : a + 1] = True
+                    lost = np.concatenate([[0], np.cumsum(~kept_words(text, cuts, len(words)))])
+                    at = np.flatnonzero(near)
+                    row += [i] * len(at)
+                    for o, x in zip(out, (at, lost[at + PASSAGE] == lost[at], *(window_hashes(words, PASSAGE, b)[at] for b in BASES)), strict=True):
+                        o.append(x)
+            at, kept, one, two = (np.concatenate(o) for o in out)
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(at.astype(np.int32)), pa.array((at + PASSAGE).astype(np.int32)), pa.array(kept), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                ["doc_id", "_th", "_at", "_end", "_kept", "_h1", "_h2"],
+            )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "_th", "_text", "_cuts", "_ats").mapInArrow(run, f"doc_id {kind}, _th bigint, _at int, _end int, _kept boolean, _h1 bigint, _h2 bigint")
+
+
+def passages(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """(doc_id, _th, _start, _end): disjoint stretches of words that ``cut`` leaves whole, covered by windows of PASSAGE words seen before."""
+    every = saved(pieces(docs).withColumn("_place", place()), "pieces")
+    firsts = every.groupBy("_h").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).where("_last > _first").drop("_last")
+    later = every.join(firsts, "_h").where(F.col("_place") > F.col("_first"))
+
+    def with_text(places: DataFrame) -> DataFrame:
+        ats = places.groupBy(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th")).agg(F.collect_set("_at").alias("_ats"))
+        both = ats.alias("a").join(cut.alias("c"), F.col("a._cut_id").eqNullSafe(F.col("c._cut_id")) & (F.col("a._cut_th") == F.col("c._cut_th")), "left").select("a._cut_id", "a._cut_th", "_ats", "_cuts")
+        both = saved(both, "places")
+        both = small(both, both.count())
+        rows = keyed(docs, "doc_id")
+        return rows.join(both, of_document(rows, both))
+
+    kept = saved(kept_pieces(with_text(later)).distinct(), "kept")
+    near = with_text(every.join(small(kept, kept.count()), "_h"))
+    found = saved(windows(near).withColumn("_place", place()), "windows")
+    firsts = found.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.max(F.when(F.col("_kept"), F.col("_place"))).alias("_last")).where("_last > _first").drop("_last")
+    return stretches(found.join(firsts, ["_h1", "_h2"]).where(F.col("_kept") & (F.col("_place") > F.col("_first"))).select("doc_id", "_th", "_at", "_end").distinct())
+
+
 def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
-    """``docs`` with repeated sentences removed from text; with ``counts`` also n_sentences and n_removed."""
+    """``docs`` with repeated sentences and passages removed from text; with ``counts`` also n_sentences and n_removed (whole or in part)."""
     names = docs.columns
-    cut = repeated(docs, run, min_words).groupBy(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th")).agg(F.sort_array(F.collect_list(F.struct("_start", "_end"))).alias("_cuts"))
+    cut = saved(per_document(repeated(docs, run, min_words), "_cuts"), "cuts")
+    gone = per_document(passages(docs, cut), "_gone")
+    both = cut.join(gone.select(F.col("_cut_id").alias("_gone_id"), F.col("_cut_th").alias("_gone_th"), "_gone"), F.col("_cut_id").eqNullSafe(F.col("_gone_id")) & (F.col("_cut_th") == F.col("_gone_th")), "full")
+    both = both.select(F.when(F.col("_cut_th").isNull(), F.col("_gone_id")).otherwise(F.col("_cut_id")).alias("_cut_id"), F.coalesce("_cut_th", "_gone_th").alias("_cut_th"), "_cuts", "_gone")
     th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (th == F.col("_cut_th")), "left")
+    joined = docs.join(both, docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (th == F.col("_cut_th")), "left")
     units = units_of(docs["text"])
-    kept = F.filter(units, lambda _, i: ~F.exists("_cuts", lambda c: (i >= c["_start"]) & (i < c["_end"])))
-    text = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.ltrim(F.array_join(kept, "")))
-    removed = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda n, c: n + c["_end"] - c["_start"]), F.lit(0)).cast("long")
+
+    def inside(cuts: str, i: Column) -> Column:
+        return F.coalesce(F.exists(cuts, lambda c: (i >= c["_start"]) & (i < c["_end"])), F.lit(False))
+
+    # documents without passages: whole sentences; others: words, whose numbers go on from sentence to sentence
+    kept = F.filter(units, lambda _, i: ~inside("_cuts", i))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit("").alias("text"), F.lit(0).alias("n"))
+
+    def step(x: Column, u: Column) -> Column:
+        tokens = F.regexp_extract_all(u, F.lit(TOKEN), F.lit(0))
+        stay = F.when(inside("_cuts", x["i"]), F.array().cast("array<string>")).otherwise(F.filter(tokens, lambda _, j: ~inside("_gone", x["at"] + j)))
+        return F.struct((x["i"] + 1).alias("i"), (x["at"] + F.size(tokens)).alias("at"), F.concat(x["text"], F.array_join(stay, "")).alias("text"), (x["n"] + (F.size(stay) < F.size(tokens)).cast("int")).alias("n"))
+
+    by_word = F.aggregate(units, start, step)
+    text = F.when(F.col("_gone").isNotNull(), F.ltrim(by_word["text"])).when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.ltrim(F.array_join(kept, "")))
+    removed = F.coalesce(F.when(F.col("_gone").isNotNull(), by_word["n"]).otherwise(F.aggregate("_cuts", F.lit(0), lambda n, c: n + c["_end"] - c["_start"])), F.lit(0)).cast("long")
     more = [F.coalesce(F.regexp_count(docs["text"], F.lit(UNIT)), F.lit(0)).cast("long").alias("n_sentences"), removed.alias("n_removed")] if counts else []
     return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in names], *more)
 

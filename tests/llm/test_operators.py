@@ -223,6 +223,23 @@ def test_repeated_short_sentences_are_found(spark):
     assert {i: (r["text"], r["n_removed"]) for i, r in found.items()} == {1: (rows[0][1], 0), 2: ("Start here.\nTail.", 60), 3: ("A. B. C. D.", 0), 4: ("A. B. C. D.", 0), 5: ("", 120)}
 
 
+def test_passages_are_found_wherever_they_begin(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"Own start {passage} tail one. More of it."), (2, f"Here three other words {passage} and another end. Last."), (3, passage[:-4]), (4, "  ".join(passage.split()[5:55]) + "."), (5, f"x\u00a0y {passage.upper()}\u2003z \n")]
+    found = by_id(substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True))
+    assert {i: r["text"] for i, r in found.items()} == {1: rows[0][1], 2: "Here three other words and another end. Last.", 3: "", 4: rows[3][1], 5: "x\u00a0y W59\u2003z \n"}
+    assert [found[i]["n_removed"] > 0 for i in range(1, 6)] == [False, True, True, False, True]
+
+
+def test_no_passage_is_kept_twice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = {}
+    for i, r in sorted(by_id(substring_dedup.dedup(docs)).items()):
+        w = (r["text"] or "").lower().encode().split()
+        for k in range(len(w) - 50):
+            assert seen.setdefault(tuple(w[k : k + 51]), (i, k)) == (i, k)
+
+
 # 5
 
 PAGE = """<html><head><title>t</title></head><body class="has-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">We use cookies to track all of what you do here, my friend.</div>

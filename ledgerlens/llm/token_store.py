@@ -169,8 +169,8 @@ def level_above(nodes: DataFrame) -> DataFrame:
     return up.select("bucket", (F.col("level") + 1).alias("level"), "node", F.sha2(F.array_join(F.transform("_c", lambda c: F.hex(c["hash"])), ""), 256).alias("_h")).select("bucket", "level", "node", F.unhex("_h").alias("hash"))
 
 
-def manifest(spark: SparkSession, path: str) -> None:
-    """Merkle trees over the roots of each bucket's documents, up to one node."""
+def tree(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, level, node, hash): Merkle trees over the roots of each bucket's documents in the recipes, up to one node."""
     nodes = spark.read.parquet(f"{path}/recipes").select("bucket", F.lit(0).alias("level"), F.col("seq").cast("long").alias("node"), F.col("root").alias("hash"))
     most = nodes.agg(F.max("node")).first()[0] or 0
     levels = [level_above(nodes)]
@@ -180,7 +180,19 @@ def manifest(spark: SparkSession, path: str) -> None:
     every = levels[0]
     for x in levels[1:]:
         every = every.unionByName(x)
-    every.write.option("compression", "zstd").parquet(f"{path}/manifests")
+    return every
+
+
+def manifest(spark: SparkSession, path: str) -> None:
+    """Write the trees of all buckets."""
+    tree(spark, path).write.option("compression", "zstd").parquet(f"{path}/manifests")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Fail unless the recipes give every node of the stored trees and no other, so that none is lost, repeated or replaced."""
+    own, stored = tree(spark, path), spark.read.parquet(f"{path}/manifests").withColumnRenamed("hash", "_stored")
+    if odd := own.join(stored, ["bucket", "level", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("_stored"))).select("bucket").first():
+        raise ValueError(f"the recipes of bucket {odd[0]} don't give its manifest")
 
 
 def verified_chunks(spark: SparkSession, path: str, data: bool = False) -> DataFrame:
@@ -240,7 +252,11 @@ def combined(parts: list[list[dict]], table: np.ndarray) -> np.ndarray:
 
 
 def checked(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: its chunks are there, are what their names say, and give its root and length."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: its chunks are there, are what their names say, and give its root and length.
+
+    The recipes are compared with the manifests at once, the rest when rows are read.
+    """
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     entries = recipes.select("bucket", "seq", F.posexplode("digests").alias("i", "digest"))
     found = entries.join(verified_chunks(spark, path), "digest", "left")
@@ -260,7 +276,8 @@ def checked(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and ids (little-endian 32-bit, in one binary) of every document, put together from its chunks."""
+    """doc_id, start and ids (little-endian 32-bit, in one binary) of every document, put together from its chunks; the recipes are compared with the manifests at once."""
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     entries = recipes.select("bucket", "seq", "doc_id", "start", F.posexplode("digests").alias("i", "digest")).join(verified_chunks(spark, path, data=True), "digest")
     per = entries.groupBy("bucket", "seq", "doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("i", "data"))).alias("_p"))

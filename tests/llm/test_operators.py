@@ -353,6 +353,20 @@ def test_changed_chunks_are_found(spark):
         token_store.checked(spark, path).collect()
 
 
+def test_changed_recipes_are_found(spark):
+    path = work_path(spark, "test-store")
+    token_store.write(spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string"), path)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows, kind = recipes.collect(), recipes.schema
+    assert token_store.checked(spark, path).count() == 40
+    other = {**rows[5].asDict(), "root": rows[6]["root"], "digests": rows[6]["digests"]}
+    for bad in (rows[1:], rows[:-1], [*rows, rows[3]], [*rows[:5], tuple(other[c] for c in kind.names), *rows[6:]]):
+        spark.createDataFrame(bad, kind).write.mode("overwrite").parquet(f"{path}/recipes")
+        for read in (token_store.checked, token_store.documents):
+            with pytest.raises(ValueError, match="don't give its manifest"):
+                read(spark, path)
+
+
 def test_chunks_are_cut_by_content():
     random = np.random.default_rng(3)
     a = random.integers(0, 50_000, 5000).astype(np.uint32)

@@ -15,6 +15,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -111,24 +112,40 @@ class Vocabulary:
         return [symbols[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+#: Code points that the letter tables are made of at a time.
+LETTER_BLOCK = 4096
+
+
 class Letters:
-    """What counts as a letter or digit, and lower case and NFC where the interpreter's Unicode version differs, as the tokenizers library has them."""
+    """What counts as a letter or digit, and lower case and NFC where the interpreter's Unicode version differs, as the tokenizers library has them.
+
+    The code points are looked at block by block, so that no more than one block's strings are held.
+    """
 
     def __init__(self) -> None:
         from tokenizers import Regex, normalizers, pre_tokenizers
 
-        chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
-        text = "".join(chars)
-
-        def kind(letter: str) -> str:
-            spans = [span for _, span in pre_tokenizers.Split(Regex(rf"\p{{{letter}}}+"), "removed", invert=True).pre_tokenize_str(text)]
-            runs = [(chars[a], chars[b - 1]) for a, b in spans]
-            return "".join(f"\\U{ord(a):08x}-\\U{ord(b):08x}" for a, b in runs)
-
-        self.letters, self.digits = kind("L"), kind("N")
-        low, nfc = (n.normalize_str("\n".join(chars[11:])).split("\n") for n in (normalizers.Lowercase(), normalizers.NFC()))
-        self.lower = {ord(c): x for c, x in zip(chars[11:], low, strict=True) if x != c.lower()}
-        self.composed = {ord(c): x for c, x in zip(chars[11:], nfc, strict=True) if x != unicodedata.normalize("NFC", c)}
+        splits = [pre_tokenizers.Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True) for kind in "LN"]
+        low, nfc = normalizers.Lowercase(), normalizers.NFC()
+        found: list[list[list[int]]] = [[], []]
+        self.lower: dict[int, str] = {}
+        self.composed: dict[int, str] = {}
+        for first in range(0, sys.maxunicode + 1, LETTER_BLOCK):
+            points = [c for c in range(first, first + LETTER_BLOCK) if not 0xD800 <= c < 0xE000 and c != 10]
+            if not points:
+                continue
+            chars = list(map(chr, points))
+            text = "".join(chars)
+            for runs, split in zip(found, splits, strict=True):
+                for _, (a, b) in split.pre_tokenize_str(text):
+                    if runs and runs[-1][1] + 1 == points[a]:
+                        runs[-1][1] = points[b - 1]
+                    else:
+                        runs.append([points[a], points[b - 1]])
+            lines = "\n".join(chars)
+            self.lower |= {c: x for c, x in zip(points, low.normalize_str(lines).split("\n"), strict=True) if x != chr(c).lower()}
+            self.composed |= {c: x for c, x in zip(points, nfc.normalize_str(lines).split("\n"), strict=True) if x != unicodedata.normalize("NFC", chr(c))}
+        self.letters, self.digits = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) for runs in found)
 
 
 class Encoder:
@@ -141,6 +158,7 @@ class Encoder:
         self.lower = vocabulary.kinds.lower | {ord("Σ"): "σ"}  # letter by letter, so that a final sigma gets no form of its own
         self.composed = vocabulary.kinds.composed
         self.word = re.compile(rf"[{letters}]+|[{digits}]|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACE}{letters}{digits}]+")
+        self.heads = {t[:2] for t in self.v.added}  # what a text must contain for an added token to be looked for
         self.special = re.compile("|".join(map(re.escape, sorted(self.v.added, key=len, reverse=True))) or r"(?!)")
 
     @classmethod
@@ -160,7 +178,7 @@ class Encoder:
         return text.split()
 
     def pieces(self, text: str) -> list[str | bytes]:
-        if "<|" not in text or not self.special.search(text):
+        if not any(h in text for h in self.heads) or not self.special.search(text):
             return self.chunks(text)
         out: list[str | bytes] = []
         at = 0
@@ -210,11 +228,17 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a tokenizer file, made once a process."""
+    return Vocabulary(path)
+
+
 def encode_decode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ids array<int> and decoded string of every row."""
     spark = docs.sparkSession
     python_batches(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary(path or default_path()))
+    shared = spark.sparkContext.broadcast(vocabulary(path or default_path()))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,5 +9,8 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Bound the batches that Python functions get by bytes, since their rows hold whole texts."""
+    """Bound the batches that Python functions get by bytes, since their rows hold whole texts.
+
+    The setting stays for the session: plans run later than they are made, and read it then.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.batches import bounded as python_batches
+
 #: Rows of a table that may be broadcast; the operators count a table before they broadcast it and join by shuffle above it.
 BROADCAST_ROWS = 500_000
 
-#: Bytes of one Arrow batch. Batches hold whole texts, so that the default of 10,000 rows without a limit can be gigabytes.
-ARROW_BYTES = 4 << 20
+#: Paths that ``saved`` has written while ``scratch`` is open, the innermost last.
+OPEN: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,18 +45,27 @@ def same_row(a: DataFrame, b: DataFrame, *keys: str) -> Column:
     return test
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` allow it."""
-    return F.broadcast(df) if rows <= limit else df
+def covered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses, and the new names by the old ones."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
 
+def uncovered(rows: DataFrame, names: dict[str, str], **instead: Column) -> DataFrame:
+    """The columns of ``docs`` back under their names, ``instead`` of some of them others."""
+    return rows.select(*[instead.get(c, F.col(new)).alias(c) for c, new in names.items()])
 
-def python_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, since batches hold whole texts. A longer text is a batch by itself."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark is local, as in tests.
+
+    A cluster without that setting is an error: each machine would write to a disk of its own.
+    """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if found:
@@ -60,6 +73,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(found)
         return found
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
     return context.getCheckpointDir()
 
@@ -69,12 +84,31 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``saved`` writes inside is deleted at the end, when all that was made of it must have been written."""
+    OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in OPEN.pop():
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def saved(df: DataFrame, name: str, shrink: int = 1) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors.
 
+    Results of the operators read these tables lazily; within ``scratch`` they are deleted at its end, else they stay.
     ``shrink``: rows so light that the last stage needs only one in so many of the shuffle partitions, and as few files.
     """
     path = work_path(df.sparkSession, name)
+    if OPEN:
+        OPEN[-1].append(path)
     if shrink > 1:
         df = df.coalesce(max(1, partitions(df.sparkSession) // shrink))
     df.write.option("compression", "zstd").parquet(path)  # the default codec keeps direct memory until the heap is collected

@@ -1,12 +1,14 @@
 """Benchmark decontamination: document word windows against a broadcast hash set of benchmark n-grams.
 
-Every benchmark item becomes windows of ``n`` consecutive words (an item of fewer words is one window). Document windows are
-hashed from their word hashes, looked up in the broadcast windows, and each hash match is verified on the words themselves.
-The scan is one Generate and one broadcast hash join, so that documents aren't shuffled; only verified hits are.
-The window table is counted before it is broadcast and joined by shuffle above ``BROADCAST_ROWS``.
+Every benchmark item becomes windows of ``n`` consecutive words (an item of fewer words is one window). Documents are cut into words
+once; the hashes of their windows of all lengths that occur are looked up in the hashes of the benchmark's windows, and the places
+found, a document's id and a position each, are verified on the words of the documents that have any.
+The scan is one pass with one hash join, without a shuffle of documents. The window hashes are counted before they are broadcast;
+above ``BROADCAST_ROWS`` they are joined by shuffle, of ids, positions and hashes only.
 
 Edge cases: null and empty texts have no words, no hits and no items; repeated rows get equal results; null ids are kept;
-items without words are ignored; an empty benchmark contaminates nothing; other columns are not read.
+items without words are ignored; an empty benchmark contaminates nothing; other columns are not read, and come back as they were
+whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, same_row, small
+from .common import covered, keyed, same_row, saved, small, text_of, uncovered
 
 WINDOW_WORDS = 10
 
@@ -41,41 +43,52 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def windows(df: DataFrame, length: int, *carry: str) -> DataFrame:
-    """A row per window of ``length`` words of _words: its start _at and its _hash."""
-    last = F.size("_wh") - length
-    spread = df.where(last >= 0).select(*carry, "_words", "_wh", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
-    return spread.withColumn("_hash", F.xxhash64(*[F.get("_wh", F.col("_at") + i) for i in range(length)]))
+def window_hash(at: Column, length: int) -> Column:
+    """The hash of the ``length`` words from ``at`` on; null if there are fewer."""
+    return F.when(at + length <= F.size("_wh"), F.xxhash64(*[F.get("_wh", at + i) for i in range(length)]))
 
 
-def window_text(length: int) -> Column:
-    return normalised(F.array_join(F.slice("_words", F.col("_at") + 1, length), " "))
+def window_text(at: Column, length: Column) -> Column:
+    return normalised(F.array_join(F.slice("_words", at + 1, length), " "))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """Distinct (item_id, _len, _hash, _window) of the benchmark."""
     items = benchmark.select("item_id", raw_words(F.coalesce("text", F.lit(""))).alias("_words")).withColumn("_wh", word_hashes(F.col("_words")))
-    found = None
-    for length in range(1, n + 1):
-        kept = items.where(F.size("_words") >= n) if length == n else items.where(F.size("_words") == length)
-        part = windows(kept, length, "item_id").select("item_id", F.lit(length).alias("_len"), "_hash", window_text(length).alias("_window"))
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    items = items.withColumn("_len", F.least(F.lit(n), F.size("_words")))
+    spots = items.select("item_id", "_words", "_wh", "_len", F.explode(F.when(F.col("_len") > 0, F.sequence(F.lit(0), F.size("_words") - F.col("_len")))).alias("_at"))
+    hashed = F.coalesce(*[F.when(F.col("_len") == k, window_hash(F.col("_at"), k)) for k in range(1, n + 1)])
+    return spots.select("item_id", "_len", hashed.alias("_hash"), window_text(F.col("_at"), F.col("_len")).alias("_window")).distinct()
+
+
+def places(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, _th, _at, _len, _hash): where a document's window has the length and hash of one of ``grams``, in one pass over ``docs``."""
+    texts = keyed(docs, "doc_id").select("doc_id", "_th", word_hashes(raw_words(F.col("_text"))).alias("_wh"))
+    last = F.size("_wh") - lengths[0]
+    spots = texts.select("doc_id", "_th", "_wh", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("_at"))
+    if len(lengths) == 1:
+        found = spots.select("doc_id", "_th", "_at", F.lit(lengths[0]).alias("_len"), window_hash(F.col("_at"), lengths[0]).alias("_hash"))
+    else:
+        each = F.array(*[F.struct(F.lit(k).alias("n"), window_hash(F.col("_at"), k).alias("h")) for k in lengths])
+        found = spots.select("doc_id", "_th", "_at", F.explode(each).alias("_w")).select("doc_id", "_th", "_at", F.col("_w.n").alias("_len"), F.col("_w.h").alias("_hash"))
+    known = saved(grams.select(F.col("_hash").alias("_h"), F.col("_len").alias("_l")).distinct(), "hashes", shrink=8)
+    return found.join(small(known, known.count()), (F.col("_hash") == F.col("_h")) & (F.col("_len") == F.col("_l")), "left_semi")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
     """(doc_id, _th, _at, _end, item_id): each verified occurrence of a benchmark window; _at and _end count words."""
-    grams = benchmark_windows(benchmark, n).cache()
-    sizes = {r["_len"]: r["count"] for r in grams.groupBy("_len").count().collect()}  # at most n rows
-    texts = keyed(docs, "doc_id").select("doc_id", "_th", raw_words(F.col("_text")).alias("_words")).withColumn("_wh", word_hashes(F.col("_words")))
-    found = None
-    for length, rows in sorted(sizes.items() or [(n, 0)]):
-        own = grams.where(F.col("_len") == length).select("item_id", F.col("_hash").alias("_h"), "_window")
-        spread = windows(texts, length, "doc_id", "_th")
-        part = spread.join(small(own, rows), F.col("_hash") == F.col("_h")).where(window_text(length) == F.col("_window"))
-        part = part.select("doc_id", "_th", "_at", (F.col("_at") + length).alias("_end"), "item_id")
-        found = part if found is None else found.unionByName(part)
-    return found
+    grams = saved(benchmark_windows(benchmark, n), "grams", shrink=8)
+    lengths = sorted(r["_len"] for r in grams.select("_len").distinct().collect())  # at most n rows
+    spots = saved(places(docs, grams, lengths or [n]), "places", shrink=4)
+    per = spots.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_own")).agg(F.collect_set(F.struct("_at", "_len", "_hash")).alias("_spots"))
+    per = saved(per, "spots", shrink=8)
+    texts = keyed(docs, "doc_id")
+    few = small(per, per.count())
+    texts = texts.join(few, texts["doc_id"].eqNullSafe(few["_id"]) & (texts["_th"] == few["_own"])).select("doc_id", "_th", raw_words(F.col("_text")).alias("_words"), "_spots")
+    told = texts.select("doc_id", "_th", "_words", F.explode("_spots").alias("_s"))
+    told = told.select("doc_id", "_th", F.col("_s._at").alias("_at"), F.col("_s._len").alias("_n"), F.col("_s._hash").alias("_h"), window_text(F.col("_s._at"), F.col("_s._len")).alias("_t"))
+    found = told.join(small(grams, grams.count()), (F.col("_h") == F.col("_hash")) & (F.col("_t") == F.col("_window")))
+    return found.select("doc_id", "_th", "_at", (F.col("_at") + F.col("_n")).alias("_end"), "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS) -> DataFrame:
@@ -97,11 +110,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
 
     Cutting keeps the text before and after each run of hit words. Columns of ``docs`` are returned as they are.
     """
-    names = docs.columns
+    rows, names = covered(docs)
+    th = F.xxhash64(text_of(names["text"]))
+    own = lambda other: F.col(names["doc_id"]).eqNullSafe(F.col(other)) & (th == F.col("_own"))
     if mode == "document":
-        bad = hits(docs, benchmark, n).select(F.col("doc_id").alias("_bad_id"), F.col("_th").alias("_bad_th")).distinct()
-        th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (th == F.col("_bad_th")), "left_anti").select(*[docs[c] for c in names])
+        bad = saved(hits(docs, benchmark, n).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_own")).distinct(), "bad", shrink=8)
+        return uncovered(rows.join(small(bad, bad.count()), own("_id"), "left_anti"), names)
     if mode != "span":
         raise ValueError(f"unknown mode {mode!r}")
     order = Window.partitionBy("doc_id", "_th").orderBy("_at")
@@ -110,13 +124,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS,
     runs = runs.withColumn("_edge", edge)
     runs = runs.withColumn("_run", F.sum(F.when(F.col("_at") <= F.col("_edge"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy("doc_id", "_th", "_run").agg(F.min("_at").alias("_at"), F.max("_end").alias("_end"))
-    cuts = runs.groupBy(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th")).agg(F.sort_array(F.collect_list(F.struct("_at", "_end"))).alias("_cuts"))
-    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (th == F.col("_cut_th")), "left")
-    units = F.regexp_extract_all(docs["text"], F.lit(f"[{BREAKS}]*+(?:{RAW_WORD}|$)"), F.lit(0))
+    cuts = runs.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_own")).agg(F.sort_array(F.collect_list(F.struct("_at", "_end"))).alias("_cuts"))
+    text = F.col(names["text"])
+    units = F.regexp_extract_all(text, F.lit(f"[{BREAKS}]*+(?:{RAW_WORD}|$)"), F.lit(0))
     kept = F.filter(units, lambda _, i: ~F.exists("_cuts", lambda c: (i >= c["_at"]) & (i < c["_end"])))
-    cut = F.when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.ltrim(F.array_join(kept, "")))
-    return joined.select(*[cut.alias(c) if c == "text" else docs[c] for c in names])
+    return uncovered(rows.join(cuts, own("_id"), "left"), names, text=F.when(F.col("_cuts").isNull(), text).otherwise(F.ltrim(F.array_join(kept, ""))))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

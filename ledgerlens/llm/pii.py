@@ -2,9 +2,9 @@
 
 Base entities (e-mail, IP address, card and phone number) are pattern matches with checks. Around each one lie context terms. For
 an entity e and a term t the corpus gives n(e, t), the occurrences of t in contexts of e, and n(t), all its occurrences. The
-information that t leaves about e is IC(e) - PMI(e; t) = log2(n(t) / n(e, t)) bits; a term that leaves at most ``BITS`` bits
-discloses e and becomes a span of kind "term" wherever it stands. Pairs seen in fewer than ``SUPPORT`` different contexts are no
-evidence and are left alone. Base spans always stay; a term within one is part of it.
+information that t leaves about e is IC(e) - PMI(e; t) = log2(n(t) / n(e, t)) bits. Small counts are weak evidence: n(e, t) counts
+different contexts only, and its share of n(t) is taken at the lower end of its confidence interval (Wilson's, ``Z`` deviations). A
+term that so leaves at most ``BITS`` bits discloses e and becomes a span of kind "term" wherever it stands. Base spans always stay; a term within one is part of it.
 
 All is Catalyst. A match's offset is the running sum of the lengths of the pieces and matches before it, taken in a window over
 the matches of a document; texts aren't shuffled for base entities. Term counts are partial aggregates over exploded words, joined
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, same_row, saved, small, table
+from .common import covered, keyed, same_row, saved, small, table, text_of, uncovered
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -35,9 +35,17 @@ PATTERNS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 WORD = r"[\p{L}\p{M}]{3,}+"
 
+#: Characters to each side of an entity whose whole words are its context.
 CONTEXT_CHARS = 80
-SUPPORT = 5
 BITS = 1.0
+#: Deviations of the lower bound: 95 of 100 from one side.
+Z = 1.645
+
+
+def share_low(hits: Column, trials: Column, z: float = Z) -> Column:
+    """The lower end of Wilson's confidence interval of a share."""
+    p = hits / trials
+    return (p + z * z / (2 * trials) - z * F.sqrt(p * (1 - p) / trials + z * z / (4 * trials * trials))) / (1 + z * z / trials)
 
 
 def luhn(digits: Column) -> Column:
@@ -63,6 +71,16 @@ def valid(kind: Column, match: Column) -> Column:
     )
 
 
+def before(piece: Column) -> Column:
+    """The whole words in the last characters of a piece of text."""
+    return F.when(F.length(piece) > CONTEXT_CHARS, F.regexp_replace(F.right(piece, F.lit(CONTEXT_CHARS + 1)), r"^[\p{L}\p{M}]*+", "")).otherwise(piece)
+
+
+def after(piece: Column) -> Column:
+    """The whole words in the first characters of a piece of text."""
+    return F.when(F.length(piece) > CONTEXT_CHARS, F.regexp_replace(F.left(piece, F.lit(CONTEXT_CHARS + 1)), r"(?<![\p{L}\p{M}])[\p{L}\p{M}]*+$", "")).otherwise(piece)
+
+
 def matches(texts: DataFrame, patterns: dict[int, str], needs: dict[int, str]) -> DataFrame:
     """``texts`` (doc_id, _th, _text) exploded to matches: doc_id, _th, _row, kind, i (number), before (length of the piece before it), match, around.
 
@@ -78,7 +96,7 @@ def matches(texts: DataFrame, patterns: dict[int, str], needs: dict[int, str]) -
 
     def placed(k: int) -> Column:
         rows = F.arrays_zip(F.col(f"_f{k}").alias("m"), F.col(f"_p{k}").alias("p"), F.slice(f"_p{k}", 2, F.greatest(F.lit(0), F.size(f"_p{k}"))).alias("n"))
-        return F.transform(rows, lambda z, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(z["p"]).alias("before"), z["m"].alias("match"), F.concat(F.right(z["p"], F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(z["n"], F.lit(CONTEXT_CHARS))).alias("around")))
+        return F.transform(rows, lambda z, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(z["p"]).alias("before"), z["m"].alias("match"), F.concat(before(z["p"]), F.lit(" "), after(z["n"])).alias("around")))
 
     found = numbered.select("doc_id", "_th", "_row", F.explode(F.concat(*map(placed, patterns))).alias("_m"))
     return found.select("doc_id", "_th", "_row", "_m.*").where(F.col("match").isNotNull())
@@ -99,24 +117,28 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "_th", "_row", "kind", "_start", "_end", "match", "around")
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, bits: float = BITS, support: int = SUPPORT) -> DataFrame | None:
-    """(term) of the terms that leave at most ``bits`` bits about some entity; None if there are no candidates at all."""
+def disclosing_terms(docs: DataFrame, spans: DataFrame, bits: float = BITS, z: float = Z) -> DataFrame | None:
+    """(entity, term, contexts, total) of the terms that leave at most ``bits`` bits about an entity; None if there are no candidates at all."""
     around = spans.select("doc_id", "_th", F.col("match").alias("entity"), F.lower("around").alias("_around")).withColumn("_context", F.xxhash64("_around"))
-    often = around.groupBy("entity").agg(F.approx_count_distinct("_context", 0.05).alias("n")).where(F.col("n") >= 0.8 * support).select("entity")
+    # even if it stood nowhere else a term must be seen in so many contexts for the lower bound to be high enough
+    least = z * z / (2**bits - 1)
+    often = around.groupBy("entity").agg(F.approx_count_distinct("_context", 0.05).alias("n")).where(F.col("n") >= 0.8 * least).select("entity")
     word = F.explode(F.regexp_extract_all("_around", F.lit(WORD), F.lit(0))).alias("term")
     pairs = around.join(often, "entity").select("entity", "_context", word)
     seen = pairs.groupBy("entity", "term", "_context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
     # a term near entities in d documents occurs d times at least: common words go before all words are counted
     spread = around.select("doc_id", "_th", word).distinct().groupBy("term").agg(F.count("*").alias("least"))
-    seen = seen.where(F.col("contexts") >= support).join(spread, "term").where(F.log2(F.col("least") / F.col("together")) <= bits)
-    seen = saved(seen.select("entity", "term", "together"), "disclosure", shrink=8)
-    candidates = seen.groupBy("term").agg(F.max("together").alias("together"))
+    trials = lambda total: F.col("contexts") + F.greatest(F.lit(0), F.col(total) - F.col("together"))  # noqa: E731  what stands apart, and contexts
+    left = lambda total: -F.log2(share_low(F.col("contexts"), trials(total), z))
+    seen = seen.where(F.col("contexts") >= least).join(spread, "term").where(left("least") <= bits)
+    seen = saved(seen.select("entity", "term", "together", "contexts"), "disclosure", shrink=8)
+    candidates = seen.select("term").distinct()
     rows = candidates.count()
     if not rows:
         return None
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))).alias("term"))
-    total = words.join(small(candidates.select("term"), rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("total"))
-    return saved(seen.join(total, "term").where(F.log2(F.col("total") / F.col("together")) <= bits).select("term").distinct(), "terms", shrink=8)
+    total = words.join(small(candidates, rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("total"))
+    return saved(seen.join(total, "term").where(left("total") <= bits).select("entity", "term", "contexts", "total"), "terms", shrink=8)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -131,10 +153,11 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return placed.select("doc_id", "_th", "kind", "_start", "_end").distinct()
 
 
-def spans(docs: DataFrame, bits: float = BITS, support: int = SUPPORT) -> DataFrame:
+def spans(docs: DataFrame, bits: float = BITS, z: float = Z) -> DataFrame:
     """(doc_id, _th, kind, _start, _end) of base entities and of disclosing terms outside them."""
     base = saved(base_spans(docs), "base", shrink=8)
-    terms = disclosing_terms(docs, base, bits, support)
+    found = disclosing_terms(docs, base, bits, z)
+    terms = None if found is None else found.select("term").distinct()
     base = base.select("doc_id", "_th", "kind", "_start", "_end").distinct()
     if terms is None or terms.isEmpty():
         return base
@@ -153,27 +176,27 @@ def per_document(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "_th").agg(F.sort_array(F.collect_list(F.struct(F.col("_start").alias("start"), "kind", F.col("_end").alias("end")))).alias("_spans"))
 
 
-def sanitise(docs: DataFrame, bits: float = BITS, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, bits: float = BITS, z: float = Z) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named after the first. n_chars, if there, follows."""
-    names = docs.columns
+    rows, names = covered(docs)
     order = Window.partitionBy("doc_id", "_th").orderBy("_start", "kind")
-    found = spans(docs, bits, support).withColumn("_edge", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    found = spans(docs, bits, z).withColumn("_edge", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("_group", F.sum(F.when(F.col("_start") < F.col("_edge"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     found = found.groupBy("doc_id", "_th", "_group").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.min_by("kind", F.struct("_start", "kind")).alias("kind"))
-    per = per_document(found).select(F.col("doc_id").alias("_span_id"), F.col("_th").alias("_span_th"), "_spans")
-    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(per, docs["doc_id"].eqNullSafe(F.col("_span_id")) & (th == F.col("_span_th")), "left")
+    per = per_document(found).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_own"), "_spans")
+    text = F.col(names["text"])
+    joined = rows.join(per, F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(names["text"])) == F.col("_own")), "left")
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, TERM]])
     parts = F.transform(
         F.sequence(F.lit(0), F.size("_spans")),
         lambda i: F.concat(
             F.when(i > 0, F.get(label, F.get("_spans", i - 1)["kind"])).otherwise(""),
-            F.substring(docs["text"], F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get("_spans", i)["start"], F.length(docs["text"])) - F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0))),
+            F.substring(text, F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get("_spans", i)["start"], F.length(text)) - F.coalesce(F.get("_spans", i - 1)["end"], F.lit(0))),
         ),
     )
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.array_join(parts, ""))
-    size = F.when(F.col("_spans").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else None
-    return joined.select(*[text.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else docs[c] for c in names])
+    clean = F.when(F.col("_spans").isNull(), text).otherwise(F.array_join(parts, ""))
+    size = {"n_chars": F.when(F.col("_spans").isNull(), F.col(names["n_chars"])).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))} if "n_chars" in names else {}
+    return uncovered(joined, names, text=clean, **size)
 
 
 def shown(spans: Column) -> Column:

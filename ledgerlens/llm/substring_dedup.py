@@ -1,34 +1,36 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences, at line ends and after . ! or ?; a sentence of more than ``UNIT_WORDS`` words counts as several.
-Every run of ``RUN`` consecutive sentences (all sentences, in a shorter text), and of as many more as it takes to have ``MIN_WORDS``
-words, is hashed to 96 bits. Of the places of a hash over all documents the first, by doc_id and position, stays; sentences covered by any other place
-are removed, with the white space before them.
+A text is cut into words at ASCII white space and into sentences at line ends and after words that end in . ! or ?; a sentence of
+more than ``UNIT_WORDS`` words counts as several. Every run of ``RUN`` consecutive sentences (all sentences, in a shorter text),
+and of as many more as it takes to have ``MIN_WORDS`` words, is hashed to 128 bits over its lower-cased words. Of the places of a
+hash over all documents the first, by doc_id and position, stays; sentences covered by any other place are removed, with the white
+space before them.
 
 Sentences are cut from where they begin, so that a passage that begins inside one may share no run with its other places. What
 runs leave is therefore searched word by word: of ``PASSAGE`` consecutive words that stay whole, all places but the first are removed
 too. Candidates are windows' least hashes of ``GRAM`` words, one of which any two equal passages share; they are compared as
 whole windows only where a candidate is repeated and kept.
 
-Both the search for firsts, a partial hash aggregate, and the join back deal rows of
-fixed size by hash; a very common run is combined before the shuffle and its join partition can be split by adaptive execution.
+Runs and candidates come from one pass over the texts, as rows of fixed size: a place and a hash. The search for firsts is a partial
+hash aggregate, saved before it is joined back, so that adaptive execution can split the join of a very common run. Texts
+are joined again only for documents that hold a kept candidate, and to be cut.
 
-Edge cases: null texts stay null and have no sentences; empty texts stay; rows that share id and text are one document and keep
-what it keeps; null ids come first; ties don't occur, since a place is an id and a position; texts of any length are cut whole;
-other columns are returned by ``dedup``.
+Edge cases: null texts stay null and have no sentences; empty texts and texts of white space stay; white space at the end belongs to the last
+sentence; rows that share id and text are one document and keep what it keeps; null ids come first; ids must be integers; ties
+don't occur, since a place is an id and a position; texts of any length are cut whole; other columns come back as they were whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, python_batches, saved, small, table
+from .common import covered, keyed, python_batches, saved, small, table, text_of
 
 UNIT_WORDS = 16
 RUN = 3
@@ -38,68 +40,13 @@ MIN_WORDS = 8
 PASSAGE = 51
 GRAM = 16
 
-#: A sentence with the white space before it; what is left of a text without one is white space.
-UNIT = rf"\s*+\S++(?:(?<![.!?])[^\S\n]++\S++){{0,{UNIT_WORDS - 1}}}+|\s++"
-
-
-#: A word with the white space before it, or the white space at the end.
-TOKEN = r"\s*+\S++|\s++"
-
-
-def units_of(text: Column) -> Column:
-    """The sentences of a text; put together they are the text."""
-    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
-
-
-def runs(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _th, _at, _end, _h1, _h2): every run of ``run`` sentences, and of as many more as it takes to have ``min_words`` words."""
-    units = keyed(docs, "doc_id").select("doc_id", "_th", units_of(F.col("_text")).alias("_u"))
-    units = units.select("doc_id", "_th", F.transform("_u", lambda u: F.xxhash64(F.trim(F.lower(F.regexp_replace(u, r"\s++", " "))))).alias("_uh"), F.transform("_u", lambda u: F.regexp_count(u, F.lit(r"\S++"))).alias("_uw"))
-    n = F.size("_uh")
-    spread = units.where(n > 0).select("doc_id", "_th", "_uh", "_uw", n.alias("_n"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), n - run))).alias("_at"))
-    part = [F.get("_uh", F.col("_at") + i) for i in range(run)]
-    words = sum((F.coalesce(F.get("_uw", F.col("_at") + i), F.lit(0)) for i in range(1, run)), F.get("_uw", F.col("_at")))
-    # every sentence has a word, so that min_words of them are enough
-    more = F.aggregate(F.slice("_uw", F.col("_at") + run + 1, max(0, min_words - run)), F.struct(words.alias("w"), F.lit(0).alias("n")), lambda x, w: F.when(x["w"] < min_words, F.struct((x["w"] + w).alias("w"), (x["n"] + 1).alias("n"))).otherwise(x))
-    spread = spread.withColumn("_more", F.when(words >= min_words, F.lit(0)).otherwise(F.when(more["w"] >= min_words, more["n"]))).where("_more IS NOT NULL")
-    rest = F.slice("_uh", F.col("_at") + run + 1, F.col("_more"))
-    hashed = [F.when(F.col("_more") == 0, f(*part)).otherwise(f(*part, F.array_join(rest.cast("array<string>"), " "))) for f in (F.xxhash64, F.hash)]
-    return spread.select("doc_id", "_th", "_at", F.least(F.col("_n"), F.col("_at") + run + F.col("_more")).alias("_end"), hashed[0].alias("_h1"), hashed[1].alias("_h2"))
-
-
-def place() -> Column:
-    """doc_id and position as one number that a hash aggregate can take the minimum of."""
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_at").cast("decimal(10,0)")
-
-
-def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _th, _start, _end): disjoint stretches of sentences that are covered by runs seen before, of documents that have any."""
-    every = saved(runs(docs, run, min_words).withColumn("_place", place()), "runs")
-    firsts = every.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = every.join(firsts, ["_h1", "_h2"]).where(F.col("_place") > F.col("_first")).select("doc_id", "_th", "_at", "_end").distinct()
-    order = Window.partitionBy("doc_id", "_th").orderBy("_at", "_end")
-    return stretches(later)
-
-
-def stretches(later: DataFrame) -> DataFrame:
-    """(doc_id, _th, _start, _end): the union of (doc_id, _th, _at, _end) as disjoint stretches."""
-    order = Window.partitionBy("doc_id", "_th").orderBy("_at", "_end")
-    later = later.repartition("doc_id", "_th").withColumn("_edge", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    later = later.withColumn("_group", F.sum(F.when(F.col("_at") <= F.col("_edge"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return later.groupBy("doc_id", "_th", "_group").agg(F.min("_at").alias("_start"), F.max("_end").alias("_end")).drop("_group")
-
-
-def per_document(cuts: DataFrame, name: str) -> DataFrame:
-    """(_cut_id, _cut_th, ``name``): the stretches of each document that has any, in order."""
-    return cuts.groupBy(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th")).agg(F.sort_array(F.collect_list(F.struct("_start", "_end"))).alias(name))
-
-
-def of_document(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["_cut_id"]) & (a["_th"] == b["_cut_th"])
-
-
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+STOP = np.zeros(256, bool)
+STOP[[ord(c) for c in ".!?"]] = True
+BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+#: What the hash of a sentence's first word differs by in the hash of a run.
+OPENS = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -110,35 +57,72 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+POWERS: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), base, np.uint64))])[:n]
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word of a text, in lower case."""
+    """1, base, base^2, ... modulo 2^64, n of them."""
+    known = POWERS.get(base)
+    if known is None or len(known) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        POWERS[base] = known = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
+    return known[:n]
+
+
+def bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes begin and end."""
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = ~SPACE[raw]
+    step = np.diff(solid)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def openings(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = UNIT_WORDS) -> np.ndarray:
+    """Which words begin a sentence."""
+    n = len(starts)
+    first = np.ones(n, bool)
+    if n > 1:
+        lines = np.concatenate([np.zeros(1, np.int64), np.cumsum(raw == 10)])
+        first[1:] = STOP[raw[ends[:-1] - 1]] | (lines[starts[1:]] > lines[ends[:-1]])
+    place = np.arange(n)
+    return first | ((place - np.maximum.accumulate(np.where(first, place, 0))) % most == 0)
+
+
+def parsed(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of a text, in lower case, and which words begin a sentence."""
     raw = np.frombuffer(text.lower().encode(), np.uint8)
-    solid = ~SPACE[raw]
-    starts = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]))
+    starts, ends = bounds(raw)
     if not len(starts):
-        return np.empty(0, np.uint64)
-    raw, solid, starts = raw[starts[0] :], solid[starts[0] :], starts - starts[0]
-    at = np.arange(len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
-    at[~solid] = 0
-    values = np.where(solid, BYTES[raw] * powers(0x9E3779B97F4A7C15, int(at.max()) + 1)[at], np.uint64(0))
-    return mixed(np.add.reduceat(values, starts))
+        return np.empty(0, np.uint64), np.empty(0, bool)
+    size = ends - starts
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    letters = raw[within + np.repeat(starts, size)]
+    hashes = np.add.reduceat(BYTES[letters] * powers(BASES[0], int(size.max()))[within], np.cumsum(size) - size)
+    return mixed(hashes), openings(raw, starts, ends)
+
+
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the words of each span."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, len(words)))])
+    return mixed((sums[end] - sums[start]) * powers(pow(base, -1, 1 << 64), len(words) + 1)[start])
 
 
 def window_hashes(words: np.ndarray, n: int, base: int) -> np.ndarray:
     """A hash of each n consecutive words."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * powers(base, len(words)))])
-    return mixed((sums[n:] - sums[:-n]) * powers(pow(base, -1, 1 << 64), len(words) - n + 1))
+    start = np.arange(max(0, len(words) - n + 1))
+    return span_hashes(words, start, start + n, base)
 
 
-BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+def runs(words: np.ndarray, opens: np.ndarray, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and two hashes of every run of ``run`` sentences, and of as many more as it takes to have ``min_words`` words."""
+    edge = np.append(np.flatnonzero(opens), len(words))
+    n = len(edge) - 1
+    first = np.arange(max(0, n - run) + 1 if n else 0)
+    last = np.maximum(np.minimum(first + run, n), np.searchsorted(edge, edge[first] + min_words))
+    first, last = first[last <= n], last[last <= n]
+    start, end = edge[first], edge[last]
+    marked = words + np.where(opens, OPENS, np.uint64(0))
+    return start, end, span_hashes(marked, start, end, BASES[0]), span_hashes(marked, start, end, BASES[1])
 
 
 def chosen(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,130 +135,173 @@ def chosen(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, grams[at]
 
 
-#: UNIT for Python; Java's white space is ASCII.
-UNIT_HERE = re.compile(UNIT.replace(r"[^\S\n]", r"[ \t\x0b\f\r]").replace(r"\S", r"[^ \t\n\x0b\f\r]").replace(r"\s", r"[ \t\n\x0b\f\r]"))
+def as_long(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))
+
 
+def as_int(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.empty(0, np.int64), *parts]).astype(np.int32))
 
-def kept_words(text: str, cuts: list[dict] | None, n: int) -> np.ndarray:
-    """Which of n words are in none of ``cuts``, stretches of sentences."""
-    kept = np.ones(n, bool)
-    if cuts:
-        ends = [0, *np.cumsum([len(u.encode().split()) for u in UNIT_HERE.findall(text)]).tolist()]
-        for c in cuts:
-            kept[ends[c["_start"]] : ends[c["_end"]]] = False
-    return kept
 
+MARK_RUN, MARK_PIECE = 0, 1
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, _th, _at, _h): the chosen pieces of every document."""
+
+def marks(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, _th, kind, _at, _end, _h1, _h2): all runs and all chosen pieces of every document, in words."""
     python_batches(docs.sparkSession)
-    rows = keyed(docs, "doc_id")
+    rows = keyed(docs, "doc_id").select("doc_id", "_th", "_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            owner, kinds, at, end, one, two = [], [], [], [], [], []
             with np.errstate(over="ignore"):
-                found = [chosen(word_hashes(x)) for x in batch.column(1).to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(found)), [len(a) for a, _ in found]), pa.int64())
-            at, h = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(at.astype(np.int32)), pa.array(h.astype(np.uint64).view(np.int64))], ["doc_id", "_th", "_at", "_h"])
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    words, opens = parsed(text)
+                    start, stop, h1, h2 = runs(words, opens, run, min_words)
+                    place, h = chosen(words)
+                    owner.append(np.full(len(start) + len(place), i))
+                    kinds += [np.full(len(start), MARK_RUN), np.full(len(place), MARK_PIECE)]
+                    at += [start, place]
+                    end += [stop, place + GRAM]
+                    one += [h1, h]
+                    two += [h2, h]
+            row = as_int(owner)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), as_int(kinds), as_int(at), as_int(end), as_long(one), as_long(two)], ["doc_id", "_th", "kind", "_at", "_end", "_h1", "_h2"])
+
+    return rows.mapInArrow(made, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th bigint, kind int, _at int, _end int, _h1 bigint, _h2 bigint")
 
-    return rows.select("doc_id", "_text", "_th").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th bigint, _at int, _h bigint")
 
+def place() -> Column:
+    """doc_id and position as one number that a hash aggregate can take the minimum of."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_at").cast("decimal(10,0)")
 
-def kept_pieces(rows: DataFrame) -> DataFrame:
-    """_h of the pieces at ``_ats`` of (_text, _cuts, _ats) that are kept whole."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.empty(0, np.uint64)]
-            with np.errstate(over="ignore"):
-                for text, cuts, ats in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                    words = word_hashes(text)
-                    kept, grams = kept_words(text, cuts, len(words)), window_hashes(words, GRAM, BASES[0])
-                    out.append(grams[[a for a in ats if kept[a : a + GRAM].all()]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).view(np.int64))], ["_h"])
+def later_places(rows: DataFrame, name: str) -> DataFrame:
+    """The rows of (_h1, _h2, _place, ...) whose hashes have a place before theirs."""
+    firsts = rows.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).where("_last > _first").drop("_last")
+    return rows.join(saved(firsts, name, shrink=4), ["_h1", "_h2"]).where(F.col("_place") > F.col("_first"))
 
-    return rows.select("_text", "_cuts", "_ats").mapInArrow(run, "_h bigint")
+
+def stretches(later: DataFrame) -> DataFrame:
+    """(doc_id, _th, _start, _end): the union of (doc_id, _th, _at, _end) as disjoint stretches."""
+    order = Window.partitionBy("doc_id", "_th").orderBy("_at", "_end")
+    later = later.repartition("doc_id", "_th").withColumn("_edge", F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    later = later.withColumn("_group", F.sum(F.when(F.col("_at") <= F.col("_edge"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return later.groupBy("doc_id", "_th", "_group").agg(F.min("_at").alias("_start"), F.max("_end").alias("_end")).drop("_group")
+
+
+def per_document(cuts: DataFrame, name: str) -> DataFrame:
+    """(_id, _own, ``name``): the stretches of each document that has any, in order."""
+    return cuts.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_own")).agg(F.sort_array(F.collect_list(F.struct("_start", "_end"))).alias(name))
+
+
+def of_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["_id"]) & (a["_th"] == b["_own"])
+
+
+def inside(cuts: list[dict] | None, n: int) -> np.ndarray:
+    """Which of n words are in one of ``cuts``."""
+    out = np.zeros(n, bool)
+    for c in () if cuts is None else cuts:
+        out[c["_start"] : c["_end"]] = True
+    return out
 
 
 def windows(rows: DataFrame) -> DataFrame:
     """(doc_id, _th, _at, _end, _kept, _h1, _h2): the windows of PASSAGE words around the pieces at ``_ats``; _kept: no word is in ``_cuts``."""
+    python_batches(rows.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, out = [], [[np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]]
+            owner, places, kept, one, two = [], [], [np.empty(0, bool)], [], []
             with np.errstate(over="ignore"):
                 for i, (text, cuts, ats) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 5)), strict=True)):
-                    words = word_hashes(text)
-                    n = len(words) - PASSAGE + 1
-                    near = np.zeros(n, bool)
+                    words, _ = parsed(text)
+                    near = np.zeros(len(words) - PASSAGE + 1, bool)
                     for a in ats:
                         near[max(0, a + GRAM - PASSAGE) : a + 1] = True
-                    lost = np.concatenate([[0], np.cumsum(~kept_words(text, cuts, len(words)))])
                     at = np.flatnonzero(near)
-                    row += [i] * len(at)
-                    for o, x in zip(out, (at, lost[at + PASSAGE] == lost[at], *(window_hashes(words, PASSAGE, b)[at] for b in BASES)), strict=True):
-                        o.append(x)
-            at, kept, one, two = (np.concatenate(o) for o in out)
-            row = pa.array(row, pa.int64())
+                    lost = np.concatenate([[0], np.cumsum(inside(cuts, len(words)))])
+                    owner.append(np.full(len(at), i))
+                    places.append(at)
+                    kept.append(lost[at + PASSAGE] == lost[at])
+                    one.append(span_hashes(words, at, at + PASSAGE, BASES[0]))
+                    two.append(span_hashes(words, at, at + PASSAGE, BASES[1]))
+            row, at = as_int(owner), np.concatenate([np.empty(0, np.int64), *places])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(at.astype(np.int32)), pa.array((at + PASSAGE).astype(np.int32)), pa.array(kept), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                [batch.column(0).take(row), batch.column(1).take(row), as_int([at]), as_int([at + PASSAGE]), pa.array(np.concatenate(kept)), as_long(one), as_long(two)],
                 ["doc_id", "_th", "_at", "_end", "_kept", "_h1", "_h2"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "_th", "_text", "_cuts", "_ats").mapInArrow(run, f"doc_id {kind}, _th bigint, _at int, _end int, _kept boolean, _h1 bigint, _h2 bigint")
-
-
-def passages(docs: DataFrame, cut: DataFrame) -> DataFrame:
-    """(doc_id, _th, _start, _end): disjoint stretches of words that ``cut`` leaves whole, covered by windows of PASSAGE words seen before."""
-    every = saved(pieces(docs).withColumn("_place", place()), "pieces")
-    firsts = every.groupBy("_h").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).where("_last > _first").drop("_last")
-    later = every.join(firsts, "_h").where(F.col("_place") > F.col("_first"))
-
-    def with_text(places: DataFrame) -> DataFrame:
-        ats = places.groupBy(F.col("doc_id").alias("_cut_id"), F.col("_th").alias("_cut_th")).agg(F.collect_set("_at").alias("_ats"))
-        both = ats.alias("a").join(cut.alias("c"), F.col("a._cut_id").eqNullSafe(F.col("c._cut_id")) & (F.col("a._cut_th") == F.col("c._cut_th")), "left").select("a._cut_id", "a._cut_th", "_ats", "_cuts")
-        both = saved(both, "places")
-        both = small(both, both.count())
-        rows = keyed(docs, "doc_id")
-        return rows.join(both, of_document(rows, both))
-
-    kept = saved(kept_pieces(with_text(later)).distinct(), "kept")
-    near = with_text(every.join(small(kept, kept.count()), "_h"))
-    found = saved(windows(near).withColumn("_place", place()), "windows")
+    return rows.select("doc_id", "_th", "_text", "_cuts", "_ats").mapInArrow(made, f"doc_id {kind}, _th bigint, _at int, _end int, _kept boolean, _h1 bigint, _h2 bigint")
+
+
+def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The repeated runs and then the repeated passages of every document that has any: (_id, _own, _cuts) and (_id, _own, _gone), stretches of words."""
+    every = saved(marks(docs, run, min_words), "marks").withColumn("_place", place())
+    later = later_places(every.where(F.col("kind") == MARK_RUN), "first-runs")
+    cuts = saved(per_document(stretches(later.select("doc_id", "_th", "_at", "_end")), "_cuts"), "cuts", shrink=2)
+
+    pieces = every.where(F.col("kind") == MARK_PIECE)
+    again = later_places(pieces, "first-pieces").select("doc_id", "_th", "_at", "_end", "_h1")
+    again = again.join(cuts, of_document(again, cuts), "left")
+    kept = again.where(F.col("_cuts").isNull() | ~F.exists("_cuts", lambda c: (F.col("_at") < c["_end"]) & (F.col("_end") > c["_start"])))
+    kept = saved(kept.select(F.col("_h1").alias("_h")).distinct(), "kept", shrink=8)
+    near = pieces.join(small(kept, kept.count()), F.col("_h1") == F.col("_h"), "left_semi")
+    near = saved(near.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_own")).agg(F.collect_set("_at").alias("_ats")), "near", shrink=4)
+
+    ids = near.select("_id", "_own")
+    ids = small(ids, ids.count())
+    texts = keyed(docs, "doc_id")
+    texts = texts.join(ids, of_document(texts, ids), "left_semi").dropDuplicates(["doc_id", "_th"])
+    texts = texts.join(near, of_document(texts, near)).select("doc_id", "_th", "_text", "_ats")
+    texts = texts.join(cuts, of_document(texts, cuts), "left").select("doc_id", "_th", "_text", "_cuts", "_ats")
+    found = saved(windows(texts).withColumn("_place", place()), "windows")
     firsts = found.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.max(F.when(F.col("_kept"), F.col("_place"))).alias("_last")).where("_last > _first").drop("_last")
-    return stretches(found.join(firsts, ["_h1", "_h2"]).where(F.col("_kept") & (F.col("_place") > F.col("_first"))).select("doc_id", "_th", "_at", "_end").distinct())
+    passages = found.where("_kept").join(saved(firsts, "first-windows", shrink=4), ["_h1", "_h2"]).where(F.col("_place") > F.col("_first")).select("doc_id", "_th", "_at", "_end")
+    return cuts, saved(per_document(stretches(passages), "_gone"), "gone", shrink=4)
+
+
+def cut(text: str, cuts: list[dict] | None, gone: list[dict] | None) -> tuple[str, int, int]:
+    """The text without the words of both, its number of sentences, and of those removed whole or in part."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    starts, ends = bounds(raw)
+    n = len(starts)
+    if not n:
+        return text, 0, 0
+    sentence = np.cumsum(openings(raw, starts, ends)) - 1
+    lost = inside(cuts, n) | inside(gone, n)
+    if not lost.any():
+        return text, int(sentence[-1]) + 1, 0
+    edges = np.concatenate([[0], ends[:-1], [len(raw)]])  # of each word with the white space before it, and after the last
+    keep = np.repeat(~lost, np.diff(edges))
+    return raw[keep].tobytes().decode().lstrip(" "), int(sentence[-1]) + 1, len(np.unique(sentence[lost]))
+
+
+def cut_texts(text: Column, cuts: Column, gone: Column) -> Column:
+    """Struct of what ``cut`` gives."""
+
+    @F.pandas_udf("text string, n_sentences long, n_removed long")
+    def made(texts: pd.Series, cuts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([cut(*x) for x in zip(texts, cuts, gone, strict=True)], columns=["text", "n_sentences", "n_removed"])
+
+    return made(text, cuts, gone)
 
 
 def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """``docs`` with repeated sentences and passages removed from text; with ``counts`` also n_sentences and n_removed (whole or in part)."""
-    names = docs.columns
-    cut = saved(per_document(repeated(docs, run, min_words), "_cuts"), "cuts")
-    gone = per_document(passages(docs, cut), "_gone")
-    both = cut.join(gone.select(F.col("_cut_id").alias("_gone_id"), F.col("_cut_th").alias("_gone_th"), "_gone"), F.col("_cut_id").eqNullSafe(F.col("_gone_id")) & (F.col("_cut_th") == F.col("_gone_th")), "full")
-    both = both.select(F.when(F.col("_cut_th").isNull(), F.col("_gone_id")).otherwise(F.col("_cut_id")).alias("_cut_id"), F.coalesce("_cut_th", "_gone_th").alias("_cut_th"), "_cuts", "_gone")
-    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(both, docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (th == F.col("_cut_th")), "left")
-    units = units_of(docs["text"])
-
-    def inside(cuts: str, i: Column) -> Column:
-        return F.coalesce(F.exists(cuts, lambda c: (i >= c["_start"]) & (i < c["_end"])), F.lit(False))
-
-    # documents without passages: whole sentences; others: words, whose numbers go on from sentence to sentence
-    kept = F.filter(units, lambda _, i: ~inside("_cuts", i))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit("").alias("text"), F.lit(0).alias("n"))
-
-    def step(x: Column, u: Column) -> Column:
-        tokens = F.regexp_extract_all(u, F.lit(TOKEN), F.lit(0))
-        stay = F.when(inside("_cuts", x["i"]), F.array().cast("array<string>")).otherwise(F.filter(tokens, lambda _, j: ~inside("_gone", x["at"] + j)))
-        return F.struct((x["i"] + 1).alias("i"), (x["at"] + F.size(tokens)).alias("at"), F.concat(x["text"], F.array_join(stay, "")).alias("text"), (x["n"] + (F.size(stay) < F.size(tokens)).cast("int")).alias("n"))
-
-    by_word = F.aggregate(units, start, step)
-    text = F.when(F.col("_gone").isNotNull(), F.ltrim(by_word["text"])).when(F.col("_cuts").isNull(), docs["text"]).otherwise(F.ltrim(F.array_join(kept, "")))
-    removed = F.coalesce(F.when(F.col("_gone").isNotNull(), by_word["n"]).otherwise(F.aggregate("_cuts", F.lit(0), lambda n, c: n + c["_end"] - c["_start"])), F.lit(0)).cast("long")
-    more = [F.coalesce(F.regexp_count(docs["text"], F.lit(UNIT)), F.lit(0)).cast("long").alias("n_sentences"), removed.alias("n_removed")] if counts else []
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in names], *more)
+    rows, names = covered(docs)
+    cuts, gone = repeated(docs, run, min_words)
+    more = gone.select(F.col("_id").alias("_id2"), F.col("_own").alias("_own2"), "_gone")
+    both = cuts.join(more, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_own") == F.col("_own2")), "full")
+    both = saved(both.select(F.when(F.col("_own").isNull(), F.col("_id2")).otherwise(F.col("_id")).alias("_id"), F.coalesce("_own", "_own2").alias("_own"), "_cuts", "_gone"), "both", shrink=2)
+    python_batches(docs.sparkSession)
+    text = F.col(names["text"])
+    joined = rows.join(both, F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(names["text"])) == F.col("_own")), "left")
+    made = joined.select(*names.values(), cut_texts(text_of(names["text"]), F.col("_cuts"), F.col("_gone")).alias("_made"))
+    out = [F.when(text.isNotNull(), F.col("_made.text")).alias(c) if c == "text" else F.col(new).alias(c) for c, new in names.items()]
+    return made.select(*out, *([F.col("_made.n_sentences"), F.col("_made.n_removed")] if counts else []))
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,13 +5,13 @@ A page becomes a tree. For every node C and T count the characters and tags belo
     C / T * log(C T / (LC LT)) / log(ln(C LC / (C - LC) + LCb C / Cb + e)),
 
 b standing for the body (Sun, Song, Liao: "DOM based content extraction via text density", 2011); zero counts of links are one. The
-node with the largest sum of its children's densities is the core of the text. The least density on the path from it to the body is
-the threshold: as long as a sibling of the chosen subtree reaches it, the parent is chosen, and an article or main element around
-the core is chosen whole, as is one within it that has half of its characters. Before that go elements that are no text of the article by name, role or class: menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments.
+block with the largest sum of its children's densities is the core of the text; the text that stands in it between its inner blocks,
+inline elements included, is a child of its share of the density. The least density on the path from the core to the body is the threshold: as
+long as a sibling of the chosen subtree reaches it, the parent is chosen. Before that go elements that are no text of the article by
+name, role or class: menus, headers (but not an article's), footers, sidebars, notices, adverts, forms, scripts, styles and comments.
 
 The text is taken block by block: character references decoded, white space as one blank, blocks and line breaks joined by a line
-end. Pages are taken one by one, without a shuffle.
+end. Pages are taken one by one, without a shuffle, in time linear in their length.
 
 Edge cases: null and empty pages and pages without a body of text give the empty text; unclosed and stray tags are closed and
 skipped as browsers do; repeated rows give equal texts; pages of any length are read whole; other columns are not read.
@@ -61,6 +61,8 @@ class Tree:
         self.tags, self.parent, self.end, self.gone = ["#"], [-1], [0], [False]
         self.events: list[tuple[int, str | None]] = []
         self.open = [0]
+        self.depths: dict[str, list[int]] = {}  # where in the stack each tag is open
+        self.blocks = [0]  # and where those are that aren't inline
         at = 0
         while m := TOKEN.search(page, at):
             self.text(page[at : m.start()])
@@ -84,8 +86,24 @@ class Tree:
         if raw:
             self.events.append((self.open[-1], html.unescape(raw) if "&" in raw else raw))
 
+    def push(self, name: str) -> None:
+        depth = len(self.open)
+        self.open.append(len(self.tags) - 1)
+        self.depths.setdefault(name, []).append(depth)
+        if name not in INLINE:
+            self.blocks.append(depth)
+
     def pop(self) -> None:
-        self.end[self.open.pop()] = len(self.tags)
+        i = self.open.pop()
+        self.end[i] = len(self.tags)
+        if i:
+            self.depths[self.tags[i]].pop()
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
+
+    def depth(self, names: set[str] | frozenset[str]) -> int:
+        """Where in the stack the last of these tags is open, 0 for none."""
+        return max((self.depths[x][-1] for x in names if self.depths.get(x)), default=0)
 
     def unwind(self, depth: int) -> None:
         while len(self.open) > depth:
@@ -95,20 +113,10 @@ class Tree:
         tags, stack = self.tags, self.open
         if name not in INLINE:
             self.events.append((stack[-1], None))
-            if name != "br":
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == "p":
-                        self.unwind(k)
-                        break
-                    if tags[stack[k]] not in INLINE:
-                        break
-        if name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in SCOPES[name]:
-                    break
-                if tags[stack[k]] in CLOSES[name]:
-                    self.unwind(k)
-                    break
+            if name != "br" and tags[stack[self.blocks[-1]]] == "p":
+                self.unwind(self.blocks[-1])
+        if name in CLOSES and (k := self.depth(CLOSES[name])) > self.depth(SCOPES[name]):
+            self.unwind(k)
         up = stack[-1]
         self.tags.append(name)
         self.parent.append(up)
@@ -117,14 +125,14 @@ class Tree:
         if name in VOID or attributes.endswith("/") and name in RAW | {"path"}:
             self.end[-1] = len(tags)
             if name in RAW:
-                stack.append(len(tags) - 1)
+                self.push(name)
         else:
-            stack.append(len(tags) - 1)
+            self.push(name)
 
     def is_gone(self, name: str, attributes: str) -> bool:
         if name in GONE or name in RAW:
             return True
-        if name == "header" and not any(self.tags[k] in WHOLE for k in self.open):
+        if name == "header" and not self.depth(WHOLE):
             return True
         if name in ("html", "body") or not attributes:
             return False
@@ -136,12 +144,11 @@ class Tree:
         return False
 
     def close(self, name: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[k]] == name:
-                if name not in INLINE:
-                    self.events.append((self.open[k], None))
-                self.unwind(k)
-                return
+        if self.depths.get(name):
+            k = self.depths[name][-1]
+            if name not in INLINE:
+                self.events.append((self.open[k], None))
+            self.unwind(k)
 
 
 def densities(tree: Tree) -> tuple[list[float], list[int]]:
@@ -179,27 +186,24 @@ def main_node(tree: Tree) -> int:
     """The root of the main text, -1 if there is none."""
     density, chars = densities(tree)
     n = len(tree.tags)
-    sums = [0.0] * n
+    # text of a block outside its inner blocks is a child of the block too, with its share of the block's density
+    block, own = [0] * n, [0] * n
     for i in range(1, n):
-        sums[tree.parent[i]] += density[i]
-    own = [0] * n
+        block[i] = block[tree.parent[i]] if tree.tags[i] in INLINE else i
     for i, text in tree.events:
         if text and not tree.gone[i]:
-            own[i] += len(text.strip())
-    # text that stands directly in a node is a child of density its length
-    best = max((i for i in range(n) if not tree.gone[i] and chars[i]), key=lambda i: (sums[i] + own[i], -i), default=-1)
+            own[block[i]] += len(text.strip())
+    sums = [density[i] * own[i] / chars[i] if chars[i] else 0.0 for i in range(n)]
+    for i in range(1, n):
+        if block[i] == i:
+            sums[block[tree.parent[i]]] += density[i]
+    best = max((i for i in range(n) if block[i] == i and not tree.gone[i] and chars[i]), key=lambda i: (sums[i], i), default=-1)
     if best < 0:
         return -1
     path, i = [], best
     while i >= 0:
         path.append(i)
         i = tree.parent[i]
-    inside = [i for i in range(best + 1, tree.end[best]) if tree.tags[i] in WHOLE and not tree.gone[i] and 2 * chars[i] >= chars[best]]
-    if inside:
-        return inside[0]
-    whole = [i for i in path if tree.tags[i] in WHOLE]
-    if whole:
-        return whole[-1]
     inner = [i for i in path if tree.tags[i] not in ("body", "html", "#")]
     threshold = min((density[i] for i in inner), default=0.0)
     beside: dict[int, list[int]] = {i: [] for i in path}
@@ -208,7 +212,7 @@ def main_node(tree: Tree) -> int:
             beside[tree.parent[k]].append(k)
     on_path, top = set(path), best
     for i in path[1:]:
-        if tree.tags[top] in INLINE or any(k not in on_path and density[k] >= threshold and tree.tags[k] not in INLINE for k in beside[i]):
+        if any(k not in on_path and density[k] >= threshold and tree.tags[k] not in INLINE for k in beside[i]):
             top = i
     return top
 

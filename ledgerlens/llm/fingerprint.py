@@ -9,7 +9,7 @@ All is Catalyst: words are hashed and sorted inside the row, runs give the count
 version) takes the minima over its terms. Texts are shuffled once, by range bucket of doc_id.
 
 Edge cases: null and empty texts have no terms and share one fingerprint (likeness 1 among themselves, 0 to others); a text
-without words is one term; equal texts have equal fingerprints; repeated rows follow each other in the order; a single row is
+without words is one term; ids must be numbers; equal texts have equal fingerprints; repeated rows follow each other in the order; a single row is
 its own successor; null ids come first; other columns are not read.
 """
 
@@ -81,22 +81,27 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "_text", samples:
     return least.select(*keys, F.when(F.col("_s0").isNotNull(), F.array(*[f"_s{k}" for k in range(samples)])).alias("_sig"))
 
 
+def fingerprint(sig: Column) -> Column:
+    """A signature as 16 bits of the hash of every sample."""
+    return F.transform(sig, lambda x: F.xxhash64(x).bitwiseAND(F.lit(0xFFFF)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal samples."""
+    """The share of equal samples of two fingerprints."""
     equal = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     return F.when(a.isNull() | b.isNull(), (a.isNull() & b.isNull()).cast("double")).otherwise(equal / F.size(a))
 
 
-def shown(sig: Column, samples: int = SAMPLES) -> Column:
-    """A signature as text: 16 bits of the hash of every sample, in hex."""
-    digits = F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFF))), 4, "0"))), "")
+def shown(print_: Column, samples: int = SAMPLES) -> Column:
+    """A fingerprint as text, in hex."""
+    digits = F.array_join(F.transform(print_, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
     return F.coalesce(digits, F.lit("0" * 4 * samples))
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """_bucket, _n (order within it), _ghost, doc_id, _text, _edited: each text with its second half replaced by the next one's start."""
     order = ["doc_id", "_th"]
-    rows = with_successors(keyed(docs, "doc_id"), order)
+    rows = with_successors(keyed(docs, "doc_id"), order, "_text")
     by = Window.partitionBy("_bucket").orderBy("_ghost", *order)
     half = F.floor(F.length("_text") / 2).cast("int")
     rows = rows.withColumn("_next", F.lead("_text").over(by)).withColumn("_n", F.row_number().over(by))
@@ -113,7 +118,7 @@ def op7_fingerprint(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("_x.v") == 1, F.sha2(F.col("_x.t"), 256)).alias("edited_sha256"), F.length("_x.t").cast("long").alias("n_chars"),
     )
     by = Window.partitionBy("_bucket").orderBy("_n", "_v")
-    found = signatures(texts, keys)
+    found = signatures(texts, keys).withColumn("_sig", fingerprint(F.col("_sig")))
     found = found.select(*keys, "_sig", F.lead("_sig", 1).over(by).alias("_own"), F.lead("_sig", 2).over(by).alias("_then"), F.lead("edited_sha256", 1).over(by).alias("_sha"))
     found = found.where((F.col("_v") == 0) & ~F.col("_ghost"))
     return found.select(

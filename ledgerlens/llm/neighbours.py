@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
+#: Bytes of text that a bucket holds about.
+BUCKET_BYTES = 32 << 20
+
 
 def cut_points(ids: DataFrame, column: str, buckets: int) -> list[int]:
     """At most ``buckets`` - 1 values that split ``column`` into ranges of about equal counts."""
@@ -31,14 +34,15 @@ def bucket_of(column: Column, cuts: list[int]) -> Column:
     return F.when(column.isNull() | (group < 0), 0).otherwise(group * step + below(F.get(parts, group)))
 
 
-def with_successors(rows: DataFrame, order: list[str], buckets: int = 0) -> DataFrame:
-    """``rows`` with _bucket, dealt by it, and _ghost.
+def with_successors(rows: DataFrame, order: list[str], text: str) -> DataFrame:
+    """``rows`` with _bucket, a partition each, and _ghost.
 
-    Buckets are ranges of the first column of ``order``, nulls first. To each bucket comes a ghost: a copy of the first row of
+    Buckets are ranges of the first column of ``order``, nulls first, of about ``BUCKET_BYTES`` of ``text`` (as many as shuffle partitions at least). To each bucket comes a ghost: a copy of the first row of
     the next bucket (of the first bucket, for the last one), so that every row finds its successor within its bucket, after all
     others by (_ghost, *order). The driver sees one id and hash per bucket.
     """
-    buckets = buckets or partitions(rows.sparkSession)
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(partitions(rows.sparkSession), size // BUCKET_BYTES)
     cuts = cut_points(rows.select(order[0]), order[0], buckets)
     rows = rows.withColumn("_bucket", bucket_of(F.col(order[0]), cuts))
     firsts = sorted((r["_bucket"], r["_first"]) for r in rows.groupBy("_bucket").agg(F.min(F.struct(*order)).alias("_first")).collect() if r["_first"] is not None)
@@ -51,4 +55,4 @@ def with_successors(rows: DataFrame, order: list[str], buckets: int = 0) -> Data
     for i, c in enumerate(order):
         same = same & rows[c].eqNullSafe(table[f"_f{i}"])
     ghosts = rows.join(F.broadcast(table), same).select(*[rows[c] for c in rows.columns if c != "_bucket"], F.col("_target").alias("_bucket"), F.lit(True).alias("_ghost"))
-    return rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts).repartition(partitions(rows.sparkSession), "_bucket")
+    return rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts).repartitionById(len(cuts) + 1, F.col("_bucket").cast("int"))

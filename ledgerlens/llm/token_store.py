@@ -8,7 +8,7 @@ Parquet tables below one path:
     packs      what the encoding tasks wrote, a row per document; deleted once the other tables are there
     chunks     digest, n, data: each different chunk once
     recipes    bucket, seq, doc_id, start, n_tokens, root, digests: documents in ascending doc_id order, bucket by bucket
-    manifests  bucket, level, node, hash: Merkle trees over the documents' roots
+    manifests  bucket, level, node, hash: Merkle trees over the documents' roots, a bucket each, and, as bucket -1, one over theirs
 
 A document's root is the Merkle root of its chunks' digests. Reading checks every chunk against its name and every document against
 its root. CRCs of documents are combined from those of their chunks, so that chunks needn't be put together to verify a document;
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import keyed, partitions, python_batches, table, work_path
+from .common import discard, keyed, partitions, python_batches, table, work_path
 from .neighbours import bucket_of, cut_points
 
 END_ID = 2
@@ -159,8 +159,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     recipes = with_starts(packs.select("doc_id", "_th", "n_tokens", "root", "digests"))
     recipes.select("bucket", "seq", "doc_id", "start", "n_tokens", "root", "digests").write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest(spark, path)
-    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/packs")
-    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    discard(spark, f"{path}/packs")
 
 
 def level_above(nodes: DataFrame) -> DataFrame:
@@ -170,13 +169,18 @@ def level_above(nodes: DataFrame) -> DataFrame:
 
 
 def tree(spark: SparkSession, path: str) -> DataFrame:
-    """(bucket, level, node, hash): Merkle trees over the roots of each bucket's documents in the recipes, up to one node."""
+    """(bucket, level, node, hash): Merkle trees over the roots of each bucket's documents in the recipes, up to one node, and over those up to one root of all (bucket -1)."""
     nodes = spark.read.parquet(f"{path}/recipes").select("bucket", F.lit(0).alias("level"), F.col("seq").cast("long").alias("node"), F.col("root").alias("hash"))
-    most = nodes.agg(F.max("node")).first()[0] or 0
+    most, buckets = nodes.agg(F.max("node"), F.max("bucket")).first()
     levels = [level_above(nodes)]
-    while most >= FAN:
+    while (most or 0) >= FAN:
         most //= FAN
         levels.append(level_above(levels[-1]))
+    top = levels[-1].select(F.lit(-1).alias("bucket"), "level", F.col("bucket").cast("long").alias("node"), "hash")
+    levels.append(level_above(top))
+    while (buckets or 0) >= FAN:
+        buckets //= FAN
+        levels.append(level_above(levels[-1]))
     every = levels[0]
     for x in levels[1:]:
         every = every.unionByName(x)
@@ -191,8 +195,9 @@ def manifest(spark: SparkSession, path: str) -> None:
 def check_manifest(spark: SparkSession, path: str) -> None:
     """Fail unless the recipes give every node of the stored trees and no other, so that none is lost, repeated or replaced."""
     own, stored = tree(spark, path), spark.read.parquet(f"{path}/manifests").withColumnRenamed("hash", "_stored")
-    if odd := own.join(stored, ["bucket", "level", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("_stored"))).select("bucket").first():
-        raise ValueError(f"the recipes of bucket {odd[0]} don't give its manifest")
+    odd = own.join(stored, ["bucket", "level", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("_stored")))
+    if (bucket := odd.agg(F.max("bucket").alias("b")).first()["b"]) is not None:
+        raise ValueError(f"the recipes of bucket {bucket} don't give its manifest")
 
 
 def verified_chunks(spark: SparkSession, path: str, data: bool = False) -> DataFrame:

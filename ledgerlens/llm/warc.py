@@ -153,13 +153,17 @@ class Unpacked:
 
 
 def record_rows(source: pa.NativeFile, chunk: int = CHUNK) -> Iterator[tuple]:
-    """(page, type, refers, chunk_no, last, data, bytes so far, base32 SHA-1 so far) of all records of a file."""
+    """(page, type, refers, chunk_no, last, data, bytes so far, base32 SHA-1 so far, payload's bytes, its base32 SHA-1) of all records of a file.
+
+    The last two are what the record's headers say, which for a revisit is all there is of the payload.
+    """
     stream = Unpacked(source)
     while head := stream.until(b"\r\n\r\n"):
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         left = int(fields["Content-Length"])
         http = stream.until(b"\r\n\r\n")
         left -= len(http) + 4
+        whole = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
         page, refers = (fields.get(f, "").removeprefix(f"<{URN}").removesuffix(">") or None for f in ("WARC-Record-ID", "WARC-Refers-To"))
         digest, size, no = hashlib.sha1(), 0, 0
         while True:
@@ -167,16 +171,16 @@ def record_rows(source: pa.NativeFile, chunk: int = CHUNK) -> Iterator[tuple]:
             left -= len(data)
             size += len(data)
             digest.update(data)
-            if left == 0 and fields["WARC-Type"] == "response" and fields["WARC-Payload-Digest"] != "sha1:" + base64.b32encode(digest.digest()).decode():
+            if left == 0 and fields["WARC-Type"] == "response" and whole != (size, base64.b32encode(digest.digest()).decode()):
                 raise ValueError(f"the payload of {page} isn't what its digest says")
-            yield page, fields["WARC-Type"], refers, no, left == 0, data, size, base64.b32encode(digest.digest()).decode()
+            yield page, fields["WARC-Type"], refers, no, left == 0, data, size, base64.b32encode(digest.digest()).decode(), *whole
             no += 1
             if left == 0:
                 break
         stream.take(4)
 
 
-SCHEMA = "page string, record_type string, refers string, chunk_no int, last boolean, data binary, bytes bigint, digest string"
+SCHEMA = "page string, record_type string, refers string, chunk_no int, last boolean, data binary, bytes bigint, digest string, payload_bytes bigint, payload_digest string"
 
 
 def read(spark: SparkSession, files: list[str], chunk: int = CHUNK, data: bool = True) -> DataFrame:
@@ -185,7 +189,7 @@ def read(spark: SparkSession, files: list[str], chunk: int = CHUNK, data: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split(" ")[0] for part in SCHEMA.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -215,9 +219,5 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     files = write(pages, work_path(spark, "warc"))
     kind = pages.schema["page_id"].dataType
-    found = read(spark, files, data=False).select(F.col("page").cast(kind).alias("page_id"), "record_type", F.col("refers").cast(kind).alias("refers_to"), "bytes", "digest")
-    whole = found.where("record_type = 'response'").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
-    named = whole.select(F.col("page_id").alias("_id"), "payload_bytes", "payload_digest").distinct()
-    again = found.where("record_type = 'revisit'").drop("bytes", "digest")
-    again = again.join(named, again["refers_to"] == named["_id"])
-    return whole.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    found = read(spark, files, data=False)
+    return found.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to"))

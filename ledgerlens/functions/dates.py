@@ -16,14 +16,21 @@ def tidied(raw: Column) -> Column:
 
 
 def normalised_date(text: Column) -> Column:
-    """yyyy-MM-dd of a tidied date, or null. Two-digit years from 69 on are of the last century."""
-    tried = []
-    for form, shape in zip(FORMATS, SHAPES, strict=True):
-        day = F.to_date(F.try_to_timestamp(F.when(text.rlike(f"^{shape}$"), text), F.lit(form)))
-        if form.endswith("yy") and not form.endswith("yyyy"):
-            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
-        tried.append(day)
-    return F.date_format(F.coalesce(*tried), "yyyy-MM-dd")
+    """yyyy-MM-dd of a tidied date, or null. Two-digit years from 69 on are of the last century. The signs in it tell which formats are tried; no text has two shapes."""
+    def day(i: int) -> Column:
+        found = F.to_date(F.try_to_timestamp(text, F.lit(FORMATS[i])))
+        short = FORMATS[i].endswith("yy") and not FORMATS[i].endswith("yyyy")
+        return F.when(F.year(found) >= 2069, F.add_months(found, -1200)).otherwise(found) if short else found
+
+    def first(*tried: int) -> Column:
+        out = F.when(text.rlike(f"^{SHAPES[tried[0]]}$"), day(tried[0]))
+        for i in tried[1:]:
+            out = out.when(text.rlike(f"^{SHAPES[i]}$"), day(i))
+        return out
+
+    slashes, dashes = ([i for i, f in enumerate(FORMATS) if sign in f] for sign in "/-")
+    words = [i for i, f in enumerate(FORMATS) if " " in f]
+    return F.date_format(F.when(F.contains(text, F.lit("/")), first(*slashes)).when(F.contains(text, F.lit("-")), first(*dashes)).otherwise(first(*words)), "yyyy-MM-dd")
 
 
 def instant(text: Column) -> Column:

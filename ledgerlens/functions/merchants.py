@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 # Keyword lists that the scores are defined by.
 HIGH_RISK = ["casino", "gambling", "betting", "lottery", "atm", "nightclub", "bar", "adult", "money transfer", "wire transfer"]
 SENSITIVE = ["crypto", "bitcoin", "forex"]
-LEGITIMATE = (
-    "salary payroll employer emi loan installment repayment refund interest dividend government utility school hospital insurance mortgage rent "
-    "grocery groceries pharmacy supermarket amazon amzn flipkart uber swiggy zomato netflix spotify google apple microsoft restaurant food petrol "
-    "gas electricity water internet mobile phone"
-).split()
+LEGITIMATE = [
+    "salary", "payroll", "employer", "emi", "loan", "installment", "repayment", "refund", "interest", "dividend", "government", "utility", "school",
+    "hospital", "insurance", "mortgage", "rent", "grocery", "groceries", "pharmacy", "supermarket", "amazon", "amzn", "flipkart", "uber", "swiggy", "zomato",
+    "netflix", "spotify", "google", "apple", "microsoft", "restaurant", "food", "petrol", "gas", "electricity", "water", "internet", "mobile", "phone",
+]
 CASH_LIKE = ["atm", "cash", "withdrawal", "transfer"]
 CASH_OUT = ["atm", "cash withdrawal", "withdrawal", "transfer", "wire transfer", "unknown transfer", "intl", "international"]
 TRANSFERS = ["transfer", "wire transfer", "unknown transfer", "intl", "international"]

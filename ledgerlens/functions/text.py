@@ -58,8 +58,13 @@ def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1
 
 
+#: What a text must have for a pattern to be tried, where that isn't a digit.
+NEEDS = {"email_count": "@", "percentage_count": "(?i)%|percent"}
+
+
 def pattern_count(text: Column, name: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PATTERNS[name]))
+    """How often a pattern occurs; texts that lack what every match has aren't searched."""
+    return F.when(text.rlike(NEEDS.get(name, "[0-9]")), F.regexp_count(text, F.lit(PATTERNS[name]))).otherwise(0)
 
 
 def mask_sensitive(text: Column) -> Column:
@@ -80,6 +85,36 @@ def safe_name(name: Column) -> Column:
     return F.left(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", ""), F.lit(30))
 
 
+def preview(text: Column, size: int = PREVIEW_CHARS) -> Column:
+    """The first characters of a text, as prompts and lists show it."""
+    return F.left(text, F.lit(size))
+
+
+def file_base_name(name: Column) -> Column:
+    """A name without its ending, runs of what isn't a letter, digit, _ or - as _, at most 80 characters; a default for none."""
+    default = "risk_analysis_report"
+    base = F.regexp_replace(F.coalesce(F.nullif(name, F.lit("")), F.lit(default)), r"\.[^.]+$", "")
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(base, "[^a-zA-Z0-9_-]+", "_"), F.lit(80)), F.lit("")), F.lit(default))
+
+
+def format_bytes(size: Column) -> Column:
+    """-- for none, B, then KB and MB with one decimal."""
+    return (
+        F.when(F.coalesce(size, F.lit(0)) == 0, "--")
+        .when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B")))
+        .when(size < 1048576, F.concat(F.format_string("%.1f", size / 1024), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.1f", size / 1048576), F.lit(" MB")))
+    )
+
+
+def format_money(value: Column) -> Column:
+    return F.format_number(F.coalesce(value, F.lit(0.0)), 2)
+
+
+def format_percent(share: Column) -> Column:
+    return F.concat(F.format_string("%.2f", F.coalesce(share, F.lit(0.0)) * 100), F.lit("%"))
+
+
 def format_amount(amount: Column) -> Column:
     """$150K from 100,000 on, $1,500 from 1,000 on, else $50.25."""
     return (

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import format_money, preview
+
+from .scoring import band, clamp
+
 # What readers of prompts, answers and reports rely on.
 SHOWN_CHARS = 500
 NOT_FOUND = "Information not found in document."
@@ -24,7 +28,7 @@ def section(rank: Column, page: Column, title: Column, score: Column, confidence
         F.lit("[Section "), rank.cast("string"), F.lit("]"), F.when(page > 0, F.concat(F.lit(" Page "), page.cast("string"))).otherwise(""), F.when(title != "", F.concat(F.lit(" | "), title)).otherwise(""),
         F.lit(" (Relevance: "), F.format_string("%.2f", score), F.lit(", Confidence: "), F.format_string("%.2f", confidence), F.lit(")"),
     )
-    return F.concat(F.lit("\n"), head, F.lit("\n" + "-" * 60 + "\n"), F.left(content, F.lit(SHOWN_CHARS)), F.when(F.length(content) > SHOWN_CHARS, "... [truncated]").otherwise(""), F.lit("\n"))
+    return F.concat(F.lit("\n"), head, F.lit("\n" + "-" * 60 + "\n"), preview(content, SHOWN_CHARS), F.when(F.length(content) > SHOWN_CHARS, "... [truncated]").otherwise(""), F.lit("\n"))
 
 
 def prompts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -100,3 +104,40 @@ def offline_summary(score: Column, fraud: Column, issues: Column) -> Column:
         F.lit("This analysis identified a risk score of "), score.cast("string"), F.lit("/100 with "), F.when(fraud, "fraudulent activity detected").otherwise("no fraud detected"), F.lit(". "), F.size(issues).cast("string"),
         F.lit(" suspicious patterns were flagged. "), F.when(fraud, "Immediate manual review is recommended.").otherwise("Standard monitoring procedures apply."),
     )
+
+
+#: Fixed value: the answer of a pipeline without a model.
+MOCK_ANSWER = (
+    "- **Answer:** Based on the retrieved document sections, the information appears to indicate [specific data from context].\n"
+    "- **Source:** Financial Summary section, page 2-3\n"
+    "- **Confidence:** MEDIUM\n"
+    "- **Context:** This information is extracted from multiple document sections and synthesized based on the most relevant retrieved segments."
+)
+# What the prompts for reports ask for.
+SUMMARY_TASK = "Generate a professional 3-paragraph summary:\n1. Overall risk assessment\n2. Key red flags and patterns\n3. Recommended action\n\nKeep it factual, concise, and actionable for compliance review."
+ADVICE_TASK = (
+    "Generate a specific, actionable recommendation for compliance officers.\nInclude:\n1. Action urgency based on risk band\n2. Specific next steps (verification, investigation, monitoring)\n3. Timeline for action\n\n"
+    "Severity policy (must follow):\n- HIGH: may use urgent language and immediate manual review.\n- MEDIUM: do NOT use urgent/immediate language; recommend enhanced monitoring and targeted review.\n- LOW: no immediate action required.\n\nKeep it under 100 words."
+)
+
+
+def summary_prompt(score: Column) -> Column:
+    """The prompt for a summary of a row with document_name, is_fraud, key_metrics and reasons, of which the first ten are numbered."""
+    count = lambda label, c: F.concat(F.lit(f"- {label}: "), F.col(f"key_metrics.{c}").cast("string"))
+    money = lambda label, c: F.concat(F.lit(f"- {label}: $"), format_money(F.col(f"key_metrics.{c}")))
+    issues = F.transform(F.slice("reasons", 1, 10), lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r))
+    return F.concat_ws(
+        "\n", F.lit("Analyze this financial document fraud assessment:\n"), F.concat(F.lit("**Document:** "), F.col("document_name")), F.concat(F.lit("**Risk Score:** "), score.cast("string"), F.lit("/100")),
+        F.concat(F.lit("**Fraud Verdict:** "), F.when(F.col("is_fraud"), "FRAUDULENT ACTIVITY DETECTED").otherwise("No fraud detected"), F.lit("\n")), F.lit("**Transaction Metrics:**"),
+        count("Total Transactions", "total_transactions"), money("Total Debited", "total_debited"), money("Total Credited", "total_credited"), count("High-Risk Merchants", "high_risk_merchants"),
+        money("Max Transaction", "max_transaction_amount"), F.concat(count("Rapid Transactions", "rapid_transactions"), F.lit("\n")), F.lit("**Detected Issues:**"), F.concat(F.array_join(issues, "\n"), F.lit("\n")), F.lit(SUMMARY_TASK),
+    )
+
+
+def advice_prompt(score: Column) -> Column:
+    """The prompt for a recommendation: score, its band, and the first five reasons of a row with is_fraud and reasons."""
+    issues = F.transform(F.slice("reasons", 1, 5), lambda r: F.concat(F.lit("- "), r))
+    return F.concat_ws(
+        "\n", F.lit("Based on this fraud analysis:\n"), F.concat(F.lit("- Risk Score: "), score.cast("string"), F.lit("/100")), F.concat(F.lit("- Risk Band: "), band(clamp(score, 0.0, 100.0), "prompt")),
+        F.concat(F.lit("- Fraud Detected: "), F.when(F.col("is_fraud"), "YES").otherwise("NO")), F.concat(F.lit("- Flagged Issues: "), F.size("reasons").cast("string"), F.lit("\n")), F.lit("Issues:"), F.concat(F.array_join(issues, "\n"), F.lit("\n")), F.lit(ADVICE_TASK),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import format_bytes
+
 
 def latest(rows: DataFrame, keys: list[str], stamp: str, tie: str | None = None) -> DataFrame:
     """The newest row of each key: an upsert on plain files. max_by of the whole row combines before the shuffle."""
@@ -39,6 +41,36 @@ def newest(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.withColumn("_at", stamp).orderBy(F.desc("_at"), F.desc("id")).limit(n).withColumn("label", name).orderBy("_at", "id").drop("_at")
 
 
+def ordered(rows: DataFrame, by: str = "date", descending: bool = True) -> DataFrame:
+    """Reports by date, score or name (in any case), with their order's place as a column; ties by id."""
+    value = {"date": F.col("created_at"), "score": F.coalesce("risk_score", F.lit(0.0)), "name": F.lower(F.coalesce("name", F.lit("")))}[by]
+    return rows.orderBy(value.desc() if descending else value.asc(), "id")
+
+
+def with_metadata(rows: DataFrame, documents: DataFrame, key: str, document: str = "document_id") -> DataFrame:
+    """``rows`` with the metadata of their document, of which the first row by its columns counts; null where there is none."""
+    rest = [c for c in documents.columns if c != document]
+    first = documents.groupBy(document).agg(F.min(F.struct(*rest)).alias("_m")).select(F.col(document).alias("_document"), *[F.col(f"_m.{c}").alias(c) for c in rest])
+    return rows.join(first, F.col(key) == F.col("_document"), "left").drop("_document")
+
+
+def type_totals(transactions: DataFrame, key: str = "statement_id") -> DataFrame:
+    """(key, total_debit, debit_count, total_credit, credit_count): amounts by type, missing ones as 0."""
+    amount = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
+    of = lambda kind: (F.coalesce(F.sum(F.when(F.col("type") == kind, amount)), F.lit(0.0)).alias(f"total_{kind}"), F.count_if(F.col("type") == kind).alias(f"{kind}_count"))
+    return transactions.groupBy(key).agg(*of("debit"), *of("credit"))
+
+
+def first_transactions(transactions: DataFrame, n: int = 10, key: str = "statement_id") -> DataFrame:
+    """The first n transactions of each statement, by seq: a preview."""
+    return transactions.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).where(F.col("_i") <= n).drop("_i")
+
+
+def document_list(rows: DataFrame) -> DataFrame:
+    """What lists of documents show: id, name, size as text, and whether there is a file."""
+    return rows.select("id", "name", format_bytes(F.col("size")).alias("size"), (F.coalesce("file_path", F.lit("")) != "").alias("has_pdf"))
+
+
 def level_counts(rows: DataFrame) -> DataFrame:
     """One row: reports by level, and the mean score rounded half up."""
     return rows.agg(*[F.count_if(F.col("risk_level") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW")], F.count("*").alias("reports"), F.floor(F.avg("risk_score") + 0.5).cast("long").alias("mean_score"))

@@ -13,10 +13,33 @@ from pyspark.sql import functions as F
 EULER = 0.5772156649015329
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact interpolated quantiles. Approximate ones bracket each; only the values between, 4 of 10,000 rows and ties, are counted one by one."""
+    value = F.col(column).cast("double")
+    some = rows.where(value.isNotNull() & ~F.isnan(value)).select(value.alias("v"))
+    n = some.count()
+    if not n:
+        return [None] * len(shares)
+    room = 2e-4 + 2 / n
+    low, high = [max(0.0, p - room) for p in shares], [min(1.0, p + room) for p in shares]
+    found = some.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", low, 20_000).alias("low"), F.percentile_approx("v", high, 20_000).alias("high")).first()
+    edges = [(found["min"] if p == 0 else a, found["max"] if q == 1 else b) for p, q, a, b in zip(low, high, found["low"], found["high"], strict=True)]
+    below = some.agg(*[F.count_if(F.col("v") < a).alias(f"b{i}") for i, (a, _) in enumerate(edges)]).first()
+    out: list[float | None] = []
+    for i, (p, (a, b)) in enumerate(zip(shares, edges, strict=True)):
+        ranks = [math.floor(p * (n - 1)), min(math.floor(p * (n - 1)) + 1, n - 1)]
+        band = some.where((F.col("v") >= a) & (F.col("v") <= b)).groupBy("v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below[f"b{i}"]
+        marked = band.withColumn("upto", upto)
+        x, y = marked.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]).first()
+        out.append(x + ((y if y is not None else x) - x) * (p * (n - 1) - ranks[0]))
+    return out
+
+
 def impute_median(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls replaced by the column's median."""
-    found = rows.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
-    return rows.fillna({c: float(v) for c, v in found.items() if v is not None})
+    found = {c: quantiles(rows, c, [0.5])[0] for c in columns}
+    return rows.fillna({c: v for c, v in found.items() if v is not None})
 
 
 def moments(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -31,8 +54,8 @@ def standardise(rows: DataFrame, columns: list[str], by: dict[str, tuple[float,
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """``rows`` with is_test: per label the ``share`` of rows with the least hashes, found by one exact percentile per label."""
-    hashed = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    """``rows`` with is_test: per label the ``share`` of rows with the least hashes, exact up to a million rows a label and within a millionth beyond."""
+    hashed = rows.withColumn("_h", F.conv(F.left(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(seed))), F.lit(13)), 16, 10).cast("long"))
     cut = hashed.groupBy(label).agg(F.percentile_approx("_h", share, 1_000_000).alias("_cut"))
     return hashed.join(F.broadcast(cut), label).withColumn("is_test", F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
 
@@ -45,7 +68,28 @@ def downsample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def amount_profile(rows: DataFrame, column: str) -> DataFrame:
     """Median, 90th percentile (interpolated) and population deviation, at least the mean or 1 if there is none."""
     spread = F.stddev_pop(column)
-    return rows.agg(F.median(column).alias("median"), F.percentile(column, 0.9).alias("p90"), F.when(spread > 1e-9, spread).otherwise(F.greatest(F.avg(column), F.lit(1.0))).alias("spread"))
+    median, p90 = quantiles(rows, column, [0.5, 0.9])
+    return rows.agg(F.lit(median).cast("double").alias("median"), F.lit(p90).cast("double").alias("p90"), F.when(spread > 1e-9, spread).otherwise(F.greatest(F.avg(column), F.lit(1.0))).alias("spread"))
+
+
+def with_profile(rows: DataFrame, profile: DataFrame, column: str = "Amount") -> DataFrame:
+    """``rows`` with pdf_amount_zscore and pdf_above_pdf_p90: the amount against the one row of a profile of statements' amounts. Without the column, as they are."""
+    if column not in rows.columns:
+        return rows
+    p = profile.first()  # one row
+    if p is None or p["median"] is None:
+        return rows
+    return rows.withColumns({"pdf_amount_zscore": (F.col(column) - p["median"]) / p["spread"], "pdf_above_pdf_p90": (F.col(column) > p["p90"]).cast("double")})
+
+
+def label_mean(rows: DataFrame, label: str = "label") -> DataFrame:
+    """One row: rows, positives and their share."""
+    return rows.agg(F.count("*").alias("rows"), F.sum(F.col(label).cast("long")).alias("positives"), F.avg(label).alias("share"))
+
+
+def best_by(rows: DataFrame, name: str, metric: str) -> DataFrame:
+    """One row: the name with the greatest metric (of equal ones the least name) and that metric."""
+    return rows.agg(F.min_by(name, F.struct(-F.col(metric), F.col(name).cast("string"))).alias(name), F.max(metric).alias(metric))
 
 
 def classification_metrics(rows: DataFrame, label: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -114,16 +158,17 @@ def path_length(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + EULER) - 2 * (n - 1) / n
 
 
-def isolation_trees(rows: DataFrame, columns: list[str], trees: int = 200, sample: int = 256, seed: int = 42) -> list[dict]:
+def isolation_trees(rows: DataFrame, columns: list[str], key: str, trees: int = 200, sample: int = 256, seed: int = 42) -> list[dict]:
     """An isolation forest: each tree is grown in its own task from its sample of at most ``sample`` rows.
 
-    Rows take part in a tree if their hash is below the sample's share of all; only the trees, of bounded size, reach the driver.
+    Rows take part in a tree if the hash of their ``key`` is below twice the sample's share of all, so that rows of equal values are drawn like
+    others; only the trees, of bounded size, reach the driver.
     """
     total = rows.count()
     if not total:
         return []
     share = min(1.0, 2.0 * sample / total)
-    values = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).withColumn("_r", F.xxhash64("x"))
+    values = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.xxhash64(key).alias("_r"))
     part = lambda t: F.when(F.pmod(F.xxhash64("_r", t, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)), t.cast("int"))
     drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), part), lambda t: t.isNotNull())
     dealt = values.select("x", "_r", F.explode(drawn).alias("tree")).withColumn("_h", F.xxhash64("_r", "tree", F.lit(seed)))
@@ -157,8 +202,8 @@ def isolation_trees(rows: DataFrame, columns: list[str], trees: int = 200, sampl
     return [r.asDict() for r in sorted(found.collect(), key=lambda r: r["tree"])]
 
 
-def anomaly_score(forest: list[dict], columns: list[str], spark) -> Column:
-    """2^(-mean depth / expected depth) of a row, above 0.5 for what is isolated early."""
+def anomaly_score(forest: list[dict], columns: list[str] | Column, spark) -> Column:
+    """2^(-mean depth / expected depth) of a row's columns, or array, above 0.5 for what is isolated early."""
     shared = spark.sparkContext.broadcast([({k: np.array(t[k]) for k in ("feature", "cut", "low", "high", "depth")}, t["n"]) for t in forest])
 
     @F.pandas_udf("double")
@@ -180,7 +225,7 @@ def anomaly_score(forest: list[dict], columns: list[str], spark) -> Column:
                 total += t["depth"][at]
             yield pd.Series(2.0 ** (-(total / len(trees)) / scale))
 
-    return scored(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]))
+    return scored(columns if isinstance(columns, Column) else F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]))
 
 
 def outliers(scored: DataFrame, contamination: float = 0.05) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,30 +49,41 @@ def tail(text: str, size: int, mode: str) -> str:
 
 
 def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 200, overlap_mode: str = "last_word", key: str = "document_id", text: str = "text") -> DataFrame:
-    """(key, chunk_id, position, page_number, section_title, content, word_count, char_count), in chunks of about ``size`` tokens.
+    """(key, chunk_id, position, page_number, page_by_offset, section_title, content, word_count, char_count), in chunks of about ``size`` tokens.
 
-    Paragraphs are packed to the budget, longer ones by sentences, and each chunk begins with the end of the one before. Packing is
-    a fold over a document, so that it runs in Python, document by document; texts don't move.
+    Paragraphs are packed to the budget, longer ones by sentences, and each chunk begins with the end of the one before. page_number is that
+    of the chunk's text in the document, null if it doesn't stand there as it is; page_by_offset that of its own beginning. Packing is a fold
+    over a document, so that it runs in Python, batch by batch; texts don't move.
     """
     import re
 
     budget, kept = size * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
     paragraph, sentence = re.compile(r"\n\n+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, body in zip(batch["k"], batch["t"], strict=True):
-                chunks = [c for p in packed(paragraph.split(body or ""), "\n\n", budget) for c in (packed(sentence.split(p), " ", budget) if len(p) > budget else [p])]
-                whole = [c if i == 0 else tail(chunks[i - 1], kept, overlap_mode) + "\n\n" + c for i, c in enumerate(chunks)]
-                at = [(body or "").find(c) for c in whole]
-                if whole:
-                    yield pd.DataFrame({"k": [k] * len(whole), "position": range(len(whole)), "content": whole, "page_number": pd.Series([None if a < 0 else a // PAGE_CHARS + 1 for a in at], dtype="Int32")})
+            owner, position, content, page, offset = [], [], [], [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                body, at, before = body or "", 0, ""
+                chunks = [c for p in packed(paragraph.split(body), "\n\n", budget) for c in (packed(sentence.split(p), " ", budget) if len(p) > budget else [p])]
+                for i, c in enumerate(chunks):
+                    whole = c if i == 0 else tail(before, kept, overlap_mode) + "\n\n" + c
+                    found = body.find(whole)
+                    at = max(at, body.find(c[:40].partition("\n\n")[0], at))
+                    owner.append(row)
+                    position.append(i)
+                    content.append(whole)
+                    page.append(None if found < 0 else found // PAGE_CHARS + 1)
+                    offset.append(at // PAGE_CHARS + 1)
+                    before = c
+            keys = batch.column(0).take(pa.array(owner, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(position, pa.int32()), pa.array(content, pa.string()), pa.array(page, pa.int32()), pa.array(offset, pa.int32())], ["k", "position", "content", "page_number", "page_by_offset"])
 
     bounded(docs.sparkSession)
     rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
-    found = rows.mapInPandas(run, "k string, position int, content string, page_number int").where(F.btrim("content") != "")
+    found = rows.mapInArrow(run, "k string, position int, content string, page_number int, page_by_offset int").where(F.btrim("content") != "")
     return found.select(
-        F.col("k").alias(key), F.format_string("%s_chunk_%04d", "k", "position").alias("chunk_id"), "position", "page_number", section_title(F.col("content")).alias("section_title"), "content",
+        F.col("k").alias(key), F.format_string("%s_chunk_%04d", "k", "position").alias("chunk_id"), "position", "page_number", "page_by_offset", section_title(F.col("content")).alias("section_title"), "content",
         blank_words(F.col("content")).alias("word_count"), F.length("content").alias("char_count"),
     )
 
@@ -146,20 +158,35 @@ def ranking_metrics(ranked: DataFrame) -> DataFrame:
     return a
 
 
+def with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks with their vectors, by chunk_id and never by position; chunks without one have null."""
+    return chunks.join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
+
+
+def with_content(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits of a search with the chunks they name."""
+    return hits.join(chunks, "chunk_id")
+
+
 def embed(dims: int = 384):
-    """A pandas UDF text -> array<float>: signed hashed word counts, the stand-in where no model is at hand."""
-    import zlib
+    """A pandas UDF text -> array<float>: counts of lower-cased words, dealt and signed by their MD5, the stand-in where no model is at hand."""
+    import hashlib
 
     import numpy as np
 
     @F.pandas_udf("array<float>")
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
         for batch in texts:
             out = []
+            if len(known) > 500_000:
+                known.clear()
             for text in batch:
                 v = np.zeros(dims, np.float32)
                 for word in (text or "").lower().split():
-                    h = zlib.crc32(word.encode())
+                    h = known.get(word)
+                    if h is None:
+                        h = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
                     v[h % dims] += 1 if h & 0x80000000 else -1
                 out.append(v)
             yield pd.Series(out)
@@ -167,8 +194,16 @@ def embed(dims: int = 384):
     return vectors
 
 
-def embed_missing(texts: DataFrame, cache: DataFrame, embedder, text: str = "content") -> DataFrame:
-    """(md5, vector) of all distinct texts: those in the cache as they are, the rest computed."""
-    named = texts.select(F.md5(text).alias("md5"), text).dropDuplicates(["md5"])
-    new = named.join(cache, "md5", "left_anti").select("md5", embedder(F.col(text)).alias("vector"))
-    return cache.join(named, "md5", "left_semi").unionByName(new)
+def embed_missing(texts: DataFrame, cache: DataFrame, embedder, model: str = "hashed", force_refresh: bool = False, text: str = "content", key: str = "document_id") -> DataFrame:
+    """(key, model, md5, vector, cached) of all distinct texts of each document: those in ``cache`` (key, model, md5, vector) as they are, the rest computed.
+
+    With ``force_refresh`` all are computed. A text is embedded once, however many documents hold it.
+    """
+    by = [key, "model", "md5"]
+    named = texts.select(key, F.lit(model).alias("model"), F.md5(text).alias("md5"), F.col(text).alias("_text")).dropDuplicates(by)
+    new = named if force_refresh else named.join(cache.select(*by), by, "left_anti")
+    made = new.select("md5", "_text").dropDuplicates(["md5"]).select("md5", embedder(F.col("_text")).alias("vector"))
+    fresh = new.select(*by).join(made, "md5").select(*by, "vector", F.lit(False).alias("cached"))
+    if force_refresh:
+        return fresh
+    return cache.join(named.select(*by), by, "left_semi").select(*by, "vector", F.lit(True).alias("cached")).unionByName(fresh)

@@ -15,6 +15,7 @@ BANDS = {
     "inference": (0.3, 0.6, ["low", "medium", "high"]),
     "report": (45.0, 70.0, ["LOW", "MEDIUM", "HIGH"]),
     "confidence": (45.0, 70.0, ["Low", "Medium", "High"]),
+    "prompt": (45.0, 70.0, ["LOW", "MEDIUM", "HIGH"]),
     "gauge": (40.0, 70.0, ["green", "yellow", "red"]),
 }
 

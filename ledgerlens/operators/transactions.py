@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import normalised_date, tidied
@@ -51,14 +51,15 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
     rows = rows.withColumn("tidy_date", tidied(F.col("raw_date")))
     rows = rows.select("*", some(normalised_date(F.col("tidy_date"))).alias("date"))
     rows = rows.withColumn("date_end", F.regexp_instr("line", F.lit(DATE)) - 1 + F.length("raw_date"))
-    rows = rows.withColumn("gaps", F.split("line", AMOUNT, -1)).withColumn("full", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(0)))
-    rows = rows.withColumn("number", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(1))).withColumn("suffix", F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(2)))
-    ends = F.aggregate(
-        F.zip_with(F.slice("gaps", 1, F.size("full")), "full", lambda g, f: F.struct(F.length(g).alias("gap"), F.length(f).alias("len"))),
+    # each amount is found once in its line; what it is made of, and where it stands, follows from the match
+    rows = rows.select("*", F.explode(F.array(F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(0)))).alias("full"))
+    rows = rows.withColumn("number", F.transform("full", lambda x: F.regexp_extract(x, AMOUNT, 1))).withColumn("suffix", F.transform("full", lambda x: F.regexp_extract(x, AMOUNT, 2)))
+    starts = F.aggregate(
+        "full",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + x["gap"])).alias("starts")),
+        lambda acc, x: F.struct((F.call_function("locate", x, F.col("line"), acc["at"] + 1) - 1 + F.length(x)).alias("at"), F.concat(acc["starts"], F.array(F.call_function("locate", x, F.col("line"), acc["at"] + 1) - 1)).alias("starts")),
     )["starts"]
-    rows = rows.withColumn("starts", ends)
+    rows = rows.withColumn("starts", starts)
     found = F.transform(
         F.arrays_zip("full", "number", "suffix", "starts"),
         lambda x: F.struct(
@@ -75,3 +76,12 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
     rows = rows.withColumn("after", F.when(after.rlike(r"^\d+[\d,.]+\s*$"), "").otherwise(cleaned(after))).withColumn("between", cleaned(between))
     merchant = F.when(F.col("after") != "", F.col("after")).when(F.col("between") != "", F.col("between")).otherwise("UNKNOWN")
     return rows.select(key, "seq", "date", F.col("best.amount").alias("amount"), kind.alias("type"), merchant.alias("merchant"))
+
+
+def appended(lists: list[DataFrame], key: str = "statement_id") -> DataFrame:
+    """Transactions of several sources as one list per statement, source after source, numbered from 0 on."""
+    rows = None
+    for i, part in enumerate(lists):
+        part = part.withColumn("_source", F.lit(i))
+        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    return rows.withColumn("seq", (F.row_number().over(Window.partitionBy(key).orderBy("_source", "seq")) - 1).cast("long")).drop("_source")

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import merchants as m
+from ledgerlens.functions import storage
 from ledgerlens.functions import text as t
-from ledgerlens.operators import answers, documents, explain, history, learning, retrieval, scoring
+from ledgerlens.operators import answers, documents, evaluation, explain, history, learning, prediction, retrieval, scoring
 from ledgerlens.operators.features import FEATURES, features
 from ledgerlens.operators.transactions import parse
 from ledgerlens.plans import training
 from ledgerlens.plans.risk import analyse
+from ledgerlens.sources import readers
 from ledgerlens.streaming.velocity import velocity
 
 
@@ -136,7 +138,7 @@ def risk_verdict(spark, d):
 
 def risk_reasons(spark, d):
     rows = analyse(order_transactions(spark, d))
-    return rows.select("statement_id", F.size("reasons").cast("long").alias("n_reasons"), F.array_join("categories", ", ").alias("categories"), F.get("reasons", F.lit(0)).alias("first_reason"))
+    return rows.select("statement_id", F.array_join("categories", ", ").alias("categories"), F.array_join("reasons", " / ").alias("reasons"))
 
 
 def risk_key_metrics(spark, d):
@@ -206,7 +208,7 @@ def amount_formats(spark, d):
 
 
 def section_titles(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("intro\n"), F.when(F.col("turn") % 2 == 0, "# ").when(F.col("turn") % 3 == 0, "2. ").otherwise(""), F.left("text", F.lit(20))).alias("text"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("intro\n"), F.when(F.col("turn") % 2 == 0, "# ").when(F.col("turn") % 3 == 0, "2. ").otherwise(""), F.col("text")).alias("text"))
     return c.select("conv_id", "turn", t.section_title(F.col("text")).alias("title"))
 
 
@@ -219,8 +221,8 @@ def page_range_join(spark, d):
 
 
 def chunks(spark, d):
-    found = retrieval.chunk_documents(table(spark, d, "documents"), 100, 20, key="doc_id")
-    return found.select("doc_id", "chunk_id", "position", "page_number", "section_title", F.md5("content").alias("content_md5"), "word_count", "char_count")
+    found = retrieval.chunk_documents(table(spark, d, "documents"), 500, 200, key="doc_id")
+    return found.select("doc_id", "chunk_id", "position", "page_number", "page_by_offset", "section_title", F.md5("content").alias("content_md5"), "word_count", "char_count")
 
 
 def chunk_statistics(spark, d):
@@ -268,7 +270,7 @@ def answer_prompts(spark, d):
 
 def answer_parse(spark, d):
     c = table(spark, d, "conversations")
-    text = F.concat(F.lit("Well.\n**Answer:** "), F.left("text", F.lit(30)), F.lit("\n\n  more \n**Confidence:** HIGH\n"), F.when(F.col("turn") % 2 == 0, "**Source:** Section 1").otherwise(""))
+    text = F.concat(F.lit("Well.\n**Answer:** "), F.col("text"), F.lit("\n\n  more \n**Confidence:** HIGH\n"), F.when(F.col("turn") % 2 == 0, "**Source:** Section 1").otherwise(""))
     return c.select("conv_id", "turn", answers.parsed(text).alias("p")).select("conv_id", "turn", "p.*")
 
 
@@ -279,20 +281,23 @@ def risk_text_report(spark, d):
 
 
 def model_compare(spark, d):
+    """All four models with their presets over all features of users' statements."""
     f = features(event_transactions(spark, d)).withColumn("label", (F.col("total_debits") > F.lit(53)).cast("int"))
-    return training.compare(f, ["total_transactions", "avg_transaction_amount", "unique_merchants"], "statement_id", ["logistic_regression", "random_forest"], trees=10)
+    return training.compare(f, FEATURES, "statement_id")
 
 
 def model_learning_curve(spark, d):
     f = features(order_transactions(spark, d)).withColumn("label", (F.col("max_transaction") > F.lit(400000)).cast("int"))
-    return training.learning_curve(f, ["total_transactions", "avg_transaction_amount"], "statement_id", sizes=(0.5, 1.0))
+    return training.learning_curve(f, ["total_transactions", "avg_transaction_amount"], "statement_id")
 
 
 def embedding_cache(spark, d):
-    docs = table(spark, d, "documents").select(F.left("text", F.lit(40)).alias("content"))
-    cache = docs.where(F.xxhash64("content") % 2 == 0).select(F.md5("content").alias("md5")).distinct().withColumn("vector", F.array(F.lit(0.0).cast("float")))
-    found = retrieval.embed_missing(docs, cache, retrieval.embed(8))
-    return found.select("md5")
+    """Vectors of all documents' texts per source; a third is in the cache, of which a part is of another model and so is computed."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("document_id"), "doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    names = docs.select("document_id", F.when(F.col("doc_id") % 7 == 0, "other").otherwise("hashed").alias("model"), F.md5("content").alias("md5"), "doc_id").where("doc_id % 3 = 0")
+    cache = names.groupBy("document_id", "model", "md5").agg(F.array(F.lit(0.0).cast("float")).alias("vector"))
+    found = retrieval.embed_missing(docs.select("document_id", "content"), cache, retrieval.embed(8))
+    return found.select("document_id", "md5", "cached", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 def history_latest(spark, d):
@@ -369,7 +374,7 @@ def model_profile(spark, d):
 
 def model_split(spark, d):
     rows = learning.stratified_split(table(spark, d, "labels").where("quality is not null"), "quality", "doc_id")
-    return rows.groupBy("quality").agg(F.count("*").alias("n"), (F.abs(F.count_if("is_test") - 0.2 * F.count("*")) <= 2).alias("fair"))
+    return rows.select("doc_id", "quality", "is_test")
 
 
 def model_rank(spark, d):
@@ -378,11 +383,130 @@ def model_rank(spark, d):
 
 
 def anomaly_forest(spark, d):
-    columns = ["total_transactions", "avg_transaction_amount", "transaction_std_dev", "max_amount_zscore"]
-    rows = features(order_transactions(spark, d)).select("statement_id", *columns)
-    forest = learning.isolation_trees(rows, columns, trees=50)
-    scored = rows.withColumn("anomaly_score", learning.anomaly_score(forest, columns, spark))
-    return learning.outliers(scored, 0.05)
+    """The detector with its presets: all features, 200 trees."""
+    rows = features(order_transactions(spark, d))
+    return prediction.predict(rows, prediction.fit(rows, FEATURES, "statement_id"))
+
+
+#: A detector small enough for SQL: two trees of one and two cuts over five scaled features, so that the thirty are cut to five.
+SMALL_DETECTOR = prediction.Detector(
+    FEATURES[:5], [10.0, 8.0, 2.0, 4.0, 1.0], [5.0, 4.0, 1.0, 2.0, 1.0],
+    [
+        {"tree": 0, "n": 8, "feature": [0, -1, -1], "cut": [0.5, 0.0, 0.0], "low": [1, -1, -1], "high": [2, -1, -1], "depth": [0.0, 4.0, 1.0]},
+        {"tree": 1, "n": 8, "feature": [3, -1, 2, -1, -1], "cut": [-1.0, 0.0, 0.25, 0.0, 0.0], "low": [1, -1, 3, -1, -1], "high": [2, -1, 4, -1, -1], "depth": [0.0, 1.0, 0.0, 5.0, 2.0]},
+    ],
+    0.6,
+)
+
+
+def predict_batch(spark, d):
+    found = prediction.predict(features(order_transactions(spark, d)), SMALL_DETECTOR)
+    return rounded(found.withColumn("model", prediction.metadata(SMALL_DETECTOR, "small")).select("statement_id", "anomaly_score", "risk_score", "is_fraud", "risk_level", "model.*"), ["anomaly_score", "risk_score"], 6)
+
+
+def retrieval_evaluation(spark, d):
+    """Searches as test cases of their label's keywords, against the ten chunks found; one case in three hundred has no results."""
+    found = hits(spark, d).select(F.col("query_id").alias("case_id"), F.col("vector_rank").alias("rank"), "content", (F.col("query_id") % 7).cast("double").alias("latency_ms"))
+    cases = table(spark, d, "embeddings").where("vec_id % 50 = 0 OR vec_id % 300 = 1").select(F.col("vec_id").alias("case_id"), F.when(F.col("label") % 2 == 0, F.array(F.lit("Profit"), F.lit("never"))).otherwise(F.array(F.lit("COPYRIGHT"))).alias("keywords"))
+    return rounded(evaluation.evaluate(cases, found), ["mrr", "ndcg", "p_at_5"], 6)
+
+
+def retrieval_summary(spark, d):
+    found = retrieval_evaluation(spark, d)
+    return rounded(evaluation.summary(found), ["success_rate", "mean_reciprocal_rank", "mean_ndcg", "mean_precision_at_5", "mean_latency_ms"], 4, shift=SHIFT)
+
+
+def index_cycle(spark, d):
+    """Turns of conversations as an index: written, one part replaced, one deleted, then what is there of all conversations."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.lit(3.0), F.lit(4.0)).alias("embedding"))
+    path = storage.work_path(spark, "index")
+    readers.write_index(c, path)
+    readers.write_index(c.where("document_id % 5 = 1").withColumn("content", F.concat(F.lit("new "), F.col("content"))), path)
+    readers.delete_documents(spark, path, c.where("document_id % 5 = 2").select("document_id"))
+    ids = c.select("document_id").distinct()
+    stats = readers.index_stats(spark, path, ids)
+    norm = readers.read_index(spark, path).groupBy("document_id").agg(F.round(F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)")), 6).alias("norm"))
+    return readers.document_exists(spark, path, ids).join(stats, "document_id").join(norm, "document_id", "left").select("document_id", "exists", "chunks", "chars", "words", F.round("mean_chars", 4).alias("mean_chars"), "norm")
+
+
+def model_profile_columns(spark, d):
+    o = table(spark, d, "orders")
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") * 40).alias("Amount"))
+    return rounded(learning.with_profile(rows, learning.amount_profile(o, "o_totalprice")), ["pdf_amount_zscore"], 5)
+
+
+def label_share(spark, d):
+    rows = table(spark, d, "labels").where("quality is not null")
+    return rounded(learning.label_mean(rows, "quality"), ["share"], 6)
+
+
+def model_best(spark, d):
+    rows = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return learning.best_by(rows, "p_brand", "n")
+
+
+def report_order(spark, d):
+    """Places in the orders by score, name and date, of which each is a sort of all reports."""
+    rows = reports(spark, d)
+    found = None
+    for by, descending in (("score", True), ("name", False), ("date", True)):
+        first = history.ordered(rows, by, descending).limit(50)  # a page of the list
+        part = first.select(F.lit(by).alias("sorted_by"), "id", "name", "risk_score")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def report_metadata(spark, d):
+    """Reports with their document, named in JSON, of which the first by size and path counts."""
+    rows = reports(spark, d).withColumn("response", F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("c"), F.col("id") % 500).alias("id")).alias("storage_ref")).alias("data"))))
+    rows = rows.withColumn("document_id", readers.json_value("response", "$.data.storage_ref.id"))
+    docs = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey") % 400).alias("document_id"), (F.col("c_custkey") * 977).alias("size"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("/f/"), F.col("c_custkey").cast("string"))).alias("file_path"), F.col("c_name").alias("doc_name"))
+    found = history.with_metadata(rows.select("id", "document_id"), docs, "document_id")
+    shown = history.document_list(found.withColumnRenamed("doc_name", "name"))
+    return shown.select("id", "name", "size", "has_pdf")
+
+
+def type_totals(spark, d):
+    return rounded(history.type_totals(order_transactions(spark, d)), ["total_debit", "total_credit"], 2)
+
+
+def first_transactions(spark, d):
+    rows = history.first_transactions(event_transactions(spark, d))
+    return rows.select("statement_id", "seq", "type", F.round("amount", 4).alias("amount"))
+
+
+def report_accuracy(spark, d):
+    return reports(spark, d).groupBy("risk_level").agg(history.accuracy(F.col("risk_score")).alias("accuracy"))
+
+
+def reasons_with_takeover(spark, d):
+    """Reasons with the take-over's at the head unless it is among them, and the first five."""
+    rows = analyse(order_transactions(spark, d))
+    taken = explain.takeover_reason(F.col("takeover_score"))
+    every = F.when(taken != "", history.prepend_missing(F.col("reasons"), taken)).otherwise(F.col("reasons"))
+    return rows.select("statement_id", F.get(every, F.lit(0)).alias("head"), F.size(every).cast("long").alias("n"), F.size(F.slice(every, 1, 5)).cast("long").alias("shown"))
+
+
+def file_names(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.concat(F.col("p_name"), F.lit(" (v."), F.col("p_partkey").cast("string"), F.lit(").final.pdf"))).alias("name"), (F.col("p_partkey") * F.col("p_partkey") * 37 - 37).alias("size"))
+    return rows.select("p_partkey", t.file_base_name(F.col("name")).alias("base"), t.format_bytes(F.col("size")).alias("bytes"), t.format_money(F.col("size") / 8).alias("money"), t.format_percent((F.col("p_partkey") % 64) / 64.0).alias("percent"), F.length(t.preview(F.repeat("name", F.lit(30)))).alias("preview"))
+
+
+def report_prompts(spark, d):
+    rows = analyse(order_transactions(spark, d)).withColumn("document_name", F.concat(F.col("statement_id").cast("string"), F.lit(".pdf"))).withColumn("_s", F.floor("risk_score").cast("long"))
+    return rows.select("statement_id", F.md5(answers.advice_prompt(F.col("_s"))).alias("advice"), answers.summary_prompt(F.col("_s")).alias("summary"))
+
+
+def transactions_appended(spark, d):
+    """Statements of two sources as one list, numbered on."""
+    return transactions_of_both(spark, d).groupBy("statement_id").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+def transactions_of_both(spark, d):
+    from ledgerlens.operators.transactions import appended
+
+    events = event_transactions(spark, d).select("statement_id", "seq", "date", "amount", "type", "merchant")
+    return appended([events, order_transactions(spark, d).select("statement_id", "seq", "date", "amount", "type", "merchant")])
 
 
 def event_velocity(spark, d):
@@ -396,6 +520,8 @@ QUERIES = {
         merchant_predicates, statement_parse, document_signals, document_statistics, document_compliance, document_tidy, document_clean, document_masks, amount_formats, section_titles, page_range_join, chunks, chunk_statistics,
         vector_search, vector_threshold, rerank, ranking_metrics, embedding_cache, history_latest, history_insert, history_visible, report_search, report_newest, report_levels, report_flags,
         model_metrics, model_areas, model_curves, model_histogram, model_standardise, model_impute, model_profile, model_split, model_rank, anomaly_forest, event_velocity, answer_prompts, answer_parse, risk_text_report, model_compare, model_learning_curve,
+        predict_batch, retrieval_evaluation, retrieval_summary, index_cycle, model_profile_columns, label_share, model_best, report_order, report_metadata, type_totals, first_transactions, report_accuracy, reasons_with_takeover,
+        file_names, report_prompts, transactions_appended,
     )
 }
 
@@ -437,6 +563,48 @@ def _band(x: str, name: str) -> str:
 _GRID = """SELECT c_custkey, f, a, flag, round(0.2 * f + 0.8 * 100 * a, 4) AS c FROM (
   SELECT c_custkey, greatest(0, least(100, c_acctbal / 100)) AS f, (c_custkey % 101) / 100.0::DOUBLE AS a, c_custkey % 7 = 0 AS flag FROM customer)"""
 
+_TEXT = lambda x: " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+_BYTES = lambda x: f"CASE WHEN coalesce({x}, 0) = 0 THEN '--' WHEN {x} < 1024 THEN {x} || ' B' WHEN {x} < 1048576 THEN printf('%.1f', round({x} / 1024, 1)) || ' KB' ELSE printf('%.1f', round({x} / 1048576, 1)) || ' MB' END"
+_THICK, _THIN = "=" * 70, "-" * 70
+_TITLE = lambda x: f"'{_THIN}' || chr(10) || '{x}' || chr(10) || '{_THIN}'"
+#: Everything that is said of a statement: level, recommendation and all reasons in their order.
+_EXPLAINED = _ANALYSED + f""",
+cats AS (SELECT statement_id, string_agg(DISTINCT c, ', ' ORDER BY c) AS categories FROM (
+  SELECT statement_id, unnest(list_filter([{", ".join(f"CASE WHEN contains(lower(merchant), '{k}') THEN '{c}' END" for k, c in m.CATEGORIES)}], lambda x: x IS NOT NULL)) AS c FROM tx) GROUP BY 1),
+n AS (SELECT v.*, coalesce(categories, '') AS categories FROM v LEFT JOIN cats USING (statement_id)),
+found AS (SELECT *, list_filter([
+  CASE WHEN high_risk_merchants >= 1 AND categories <> '' THEN 'Transactions with high-risk merchants detected: ' || categories
+       WHEN high_risk_merchants > 1 THEN 'Multiple transactions with gambling, casino, or crypto merchants' WHEN high_risk_merchants >= 1 THEN 'A transaction with gambling, casino, or crypto merchants' END,
+  CASE WHEN takeover_score = 90 THEN '{explain.TAKEOVER[90.0]}' WHEN takeover_score = 75 THEN '{explain.TAKEOVER[75.0]}' END,
+  CASE WHEN high_risk_merchant_ratio >= 0.5 AND high_risk_merchants < 1 THEN 'Sustained trading or crypto activity detected; pattern is consistent but still warrants monitoring' END,
+  CASE WHEN large_debit_transactions >= 1 THEN 'Unusually large withdrawal amount detected (up to ' || {_MONEY('max_transaction')} || ')' END,
+  CASE WHEN rapid_same_merchant_transactions >= 2 THEN 'Multiple rapid transactions to the same merchant within short time window' END,
+  CASE WHEN txn_velocity_5min >= 1 THEN 'Extremely high transaction velocity: ' || CAST(txn_velocity_5min AS INT) || ' transactions within 5 minutes' END,
+  CASE WHEN txn_velocity_1hour >= 3 THEN 'High transaction frequency: ' || CAST(txn_velocity_1hour AS INT) || ' transactions within 1 hour' END,
+  CASE WHEN amount_spike_ratio >= 5 THEN 'Abnormal spending spike detected (' || printf('%.1f', amount_spike_ratio) || 'x above average)' END,
+  CASE WHEN high_value_transactions >= 3 THEN 'Multiple high-value transactions detected (' || CAST(high_value_transactions AS INT) || ')' END,
+  CASE WHEN avg_txn_per_day >= 10 THEN 'Unusually high transaction frequency (' || printf('%.1f', avg_txn_per_day) || ' transactions per day)' END,
+  CASE WHEN cash_like_activity >= 2 THEN 'Multiple ATM or cash-equivalent transactions detected' END,
+  CASE WHEN transaction_std_dev >= 20000 THEN 'High variation in transaction amounts (inconsistent spending pattern)' END,
+  CASE WHEN max_amount_zscore >= 3 THEN 'Transaction amount significantly deviates from normal pattern (z-score: ' || printf('%.1f', max_amount_zscore) || ')' END], lambda x: x IS NOT NULL) AS given FROM n),
+told AS (SELECT *, CASE WHEN len(given) > 0 THEN given ELSE ['{explain.FALLBACK}'] END AS reasons, {_band('risk_score', 'report')} AS risk_level,
+  CASE WHEN is_fraud AND risk_score >= 70 THEN '{_ADVICE["urgent"]}' WHEN is_fraud AND risk_score >= 45 THEN '{_ADVICE["review"]}' WHEN risk_score >= 45 THEN '{_ADVICE["enhanced"]}'
+       WHEN risk_score >= 35 THEN '{_ADVICE["standard"]}' ELSE '{_ADVICE["none"]}' END AS recommendation FROM found)
+"""
+_EVALUATED = f"""WITH {_NEAR},
+cases AS (SELECT vec_id AS case_id, label % 2 = 0 AS even FROM embeddings WHERE vec_id % 50 = 0 OR vec_id % 300 = 1),
+res AS (SELECT query_id, vector_rank AS k, lower(text || CASE WHEN doc_id % 3 = 0 THEN ' revenue profit index' ELSE ' Copyright footer' END) AS low FROM hits JOIN documents ON doc_id = chunk_id),
+rel AS (SELECT case_id, k, coalesce(CASE WHEN even THEN contains(low, 'profit') OR contains(low, 'never') ELSE contains(low, 'copyright') END, false) AS r FROM cases JOIN res ON query_id = case_id),
+per AS (SELECT case_id, count(*) AS n, count(*) FILTER (r) AS good, coalesce(1.0 / min(k) FILTER (r), 0) AS mrr, sum(CASE WHEN r THEN 1 / sqrt(k) ELSE 0 END) FILTER (k <= 5) / sum(1 / sqrt(k)) FILTER (k <= 5) AS ndcg, avg(CAST(r AS INT)) FILTER (k <= 5) AS p FROM rel GROUP BY 1),
+evaluated AS (SELECT case_id, coalesce(n, 0) AS retrieved_chunks, coalesce(good, 0) AS relevant_chunks, round(coalesce(mrr, 0), 6) AS mrr, round(coalesce(ndcg, 0), 6) AS ndcg, round(coalesce(p, 0), 6) AS p_at_5,
+  CAST(CASE WHEN n IS NULL THEN 0 ELSE case_id % 7 END AS DOUBLE) AS latency_ms, coalesce(good, 0) > 0 AS success FROM cases LEFT JOIN per USING (case_id))
+"""
+_RANKED = f"""WITH {_NEAR},
+c AS (SELECT hits.*, source, text || CASE WHEN doc_id % 3 = 0 THEN ' revenue profit index' ELSE ' Copyright footer' END AS body FROM hits JOIN documents ON doc_id = chunk_id),
+k AS (SELECT *, len(list_filter({retrieval.FINANCIAL}, lambda w: contains(lower(body), w))) AS fin, len(list_filter({retrieval.BOILERPLATE}, lambda w: contains(lower(body), w))) AS boiler, len(regexp_extract_all(body, '\\S+')) AS words FROM c),
+z AS (SELECT *, 0.7 * similarity + 0.3 * greatest(0.0, least(1.0, (0.5 + least(fin * 0.05, 0.2) - least(boiler * 0.1, 0.3) + 0.15) * CASE WHEN words < 20 THEN 0.8 ELSE 1.0 END)) AS fs FROM k),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fs DESC, vector_rank) AS rank FROM z)"""
+
 ORACLE_SQL = {
     "risk_features_events": _features(EVENTS_SQL) + f"SELECT statement_id, {ROUNDED_FEATURES_SQL} FROM f",
     "risk_features_orders": _features(ORDERS_SQL) + f"SELECT statement_id, {ROUNDED_FEATURES_SQL} FROM f",
@@ -451,26 +619,67 @@ SELECT statement_id, round(rule_score, 4) AS rule_score, round(risk_score, 3) AS
        CASE WHEN is_fraud AND risk_score >= 70 THEN '{_ADVICE["urgent"]}' WHEN is_fraud AND risk_score >= 45 THEN '{_ADVICE["review"]}' WHEN risk_score >= 45 THEN '{_ADVICE["enhanced"]}'
             WHEN risk_score >= 35 THEN '{_ADVICE["standard"]}' ELSE '{_ADVICE["none"]}' END AS recommendation
 FROM v""",
-    "risk_reasons": _ANALYSED + f""",
-cats AS (SELECT statement_id, string_agg(DISTINCT c, ', ' ORDER BY c) AS categories FROM (
-  SELECT statement_id, unnest(list_filter([{", ".join(f"CASE WHEN contains(lower(merchant), '{k}') THEN '{c}' END" for k, c in m.CATEGORIES)}], lambda x: x IS NOT NULL)) AS c FROM tx) GROUP BY 1),
-n AS (SELECT v.*, coalesce(categories, '') AS categories,
-  CAST(high_risk_merchants >= 1 AS INT) + CAST(takeover_score >= 70 AS INT) + CAST(high_risk_merchant_ratio >= 0.5 AND high_risk_merchants < 1 AS INT) + CAST(large_debit_transactions >= 1 AS INT)
-  + CAST(rapid_same_merchant_transactions >= 2 AS INT) + CAST(txn_velocity_5min >= 1 AS INT) + CAST(txn_velocity_1hour >= 3 AS INT) + CAST(amount_spike_ratio >= 5 AS INT) + CAST(high_value_transactions >= 3 AS INT)
-  + CAST(avg_txn_per_day >= 10 AS INT) + CAST(cash_like_activity >= 2 AS INT) + CAST(transaction_std_dev >= 20000 AS INT) + CAST(max_amount_zscore >= 3 AS INT) AS k FROM v LEFT JOIN cats USING (statement_id))
-SELECT statement_id, CAST(greatest(k, 1) AS BIGINT) AS n_reasons, categories,
-       CASE WHEN high_risk_merchants >= 1 AND categories <> '' THEN 'Transactions with high-risk merchants detected: ' || categories
-            WHEN high_risk_merchants > 1 THEN 'Multiple transactions with gambling, casino, or crypto merchants' WHEN high_risk_merchants >= 1 THEN 'A transaction with gambling, casino, or crypto merchants'
-            WHEN takeover_score = 90 THEN '{explain.TAKEOVER[90.0]}' WHEN takeover_score = 75 THEN '{explain.TAKEOVER[75.0]}'
-            WHEN high_risk_merchant_ratio >= 0.5 THEN 'Sustained trading or crypto activity detected; pattern is consistent but still warrants monitoring'
-            WHEN large_debit_transactions >= 1 THEN 'Unusually large withdrawal amount detected (up to ' || {_MONEY('max_transaction')} || ')'
-            WHEN rapid_same_merchant_transactions >= 2 THEN 'Multiple rapid transactions to the same merchant within short time window'
-            WHEN amount_spike_ratio >= 5 THEN 'Abnormal spending spike detected (' || printf('%.1f', amount_spike_ratio) || 'x above average)'
-            WHEN high_value_transactions >= 3 THEN 'Multiple high-value transactions detected (' || CAST(high_value_transactions AS INT) || ')'
-            WHEN avg_txn_per_day >= 10 THEN 'Unusually high transaction frequency (' || printf('%.1f', avg_txn_per_day) || ' transactions per day)'
-            WHEN cash_like_activity >= 2 THEN 'Multiple ATM or cash-equivalent transactions detected' WHEN transaction_std_dev >= 20000 THEN 'High variation in transaction amounts (inconsistent spending pattern)'
-            ELSE '{explain.FALLBACK}' END AS first_reason
-FROM n""",
+    "risk_reasons": _EXPLAINED + "SELECT statement_id, categories, array_to_string(reasons, ' / ') AS reasons FROM told",
+    "reasons_with_takeover": _EXPLAINED + f"""
+SELECT statement_id, CASE WHEN takeover_score = 60 THEN '{explain.TAKEOVER[60.0]}' ELSE reasons[1] END AS head, CAST(len(reasons) + CAST(takeover_score = 60 AS INT) AS BIGINT) AS n,
+       CAST(least(5, len(reasons) + CAST(takeover_score = 60 AS INT)) AS BIGINT) AS shown FROM told""",
+    "risk_text_report": _EXPLAINED + f"""
+SELECT statement_id, array_to_string(['{_THICK}' || chr(10) || 'FINANCIAL RISK COMPLIANCE REPORT' || chr(10) || '{_THICK}' || chr(10), 'Report ID: RISK_REPORT_customer' || statement_id || 'pdf_20260101', 'Generated: 2026-01-01', 'Document: ' || statement_id || '.pdf' || chr(10),
+  {_TITLE('RISK ASSESSMENT')}, 'Risk Level: ' || risk_level || ' (' || CAST(round(risk_score, 2) AS VARCHAR) || '/100)', 'ML Anomaly Score: 0.0',
+  'Fraud Verdict: ' || CASE WHEN is_fraud THEN 'YES - Fraudulent activity detected' ELSE 'NO - Activity within normal range' END || chr(10),
+  {_TITLE('DETECTED ISSUES')}, array_to_string(list_transform(reasons, lambda r, i: i || '. ' || r), chr(10)) || chr(10), {_TITLE('KEY TRANSACTION METRICS')},
+  'Total Transactions: ' || CAST(total_transactions AS INT), 'Total Debited: $' || format('{{:,.2f}}', round(total_debited, 2)), 'Total Credited: $' || format('{{:,.2f}}', round(total_credited, 2)), 'High-Risk Merchants: ' || CAST(high_risk_merchants AS INT),
+  'Max Transaction: $' || format('{{:,.2f}}', round(max_transaction, 2)), 'Unique Merchants: ' || CAST(unique_merchants AS INT), 'Rapid Transactions (5min): ' || CAST(greatest(txn_velocity_5min, rapid_same_merchant_transactions) AS INT),
+  'Large Debits: ' || CAST(large_debit_transactions AS INT) || chr(10), {_TITLE('RECOMMENDATION')}, recommendation || chr(10), '{_THICK}' || chr(10) || 'END OF REPORT' || chr(10) || '{_THICK}'], chr(10)) AS report,
+  CASE risk_level WHEN 'HIGH' THEN '🔴' WHEN 'MEDIUM' THEN '🟡' ELSE '🟢' END || ' ' || risk_level || ' Risk Score: ' || CAST(round(risk_score, 2) AS VARCHAR) || '/100 | Document: ' || statement_id || '.pdf | Issues: ' || array_to_string(reasons[1:3], ', ')
+  || CASE WHEN len(reasons) > 3 THEN ' (+' || (len(reasons) - 3) || ' more)' ELSE '' END || ' | Action: '
+  || CASE {" ".join(f"WHEN contains(recommendation, '{k}') THEN '{v}'" for k, v in answers.ACTIONS)} ELSE 'No immediate action required' END AS summary,
+  'This analysis identified a risk score of ' || CAST(round(risk_score, 2) AS VARCHAR) || '/100 with ' || CASE WHEN is_fraud THEN 'fraudulent activity detected' ELSE 'no fraud detected' END || '. ' || len(reasons) || ' suspicious patterns were flagged. '
+  || CASE WHEN is_fraud THEN 'Immediate manual review is recommended.' ELSE 'Standard monitoring procedures apply.' END AS offline FROM told""",
+    "report_prompts": _EXPLAINED + f"""
+SELECT statement_id, md5('Based on this fraud analysis:' || chr(10) || chr(10) || '- Risk Score: ' || CAST(floor(risk_score) AS BIGINT) || '/100' || chr(10) || '- Risk Band: ' || {_band('floor(risk_score)', 'prompt')} || chr(10) || '- Fraud Detected: ' || CASE WHEN is_fraud THEN 'YES' ELSE 'NO' END || chr(10)
+  || '- Flagged Issues: ' || len(reasons) || chr(10) || chr(10) || 'Issues:' || chr(10) || array_to_string(list_transform(reasons[1:5], lambda r: '- ' || r), chr(10)) || chr(10) || chr(10) || {_TEXT(answers.ADVICE_TASK)}) AS advice,
+  'Analyze this financial document fraud assessment:' || chr(10) || chr(10) || '**Document:** ' || statement_id || '.pdf' || chr(10) || '**Risk Score:** ' || CAST(floor(risk_score) AS BIGINT) || '/100' || chr(10) || '**Fraud Verdict:** ' || CASE WHEN is_fraud THEN 'FRAUDULENT ACTIVITY DETECTED' ELSE 'No fraud detected' END || chr(10) || chr(10)
+  || '**Transaction Metrics:**' || chr(10) || '- Total Transactions: ' || CAST(total_transactions AS INT) || chr(10) || '- Total Debited: $' || format('{{:,.2f}}', round(total_debited, 2)) || chr(10) || '- Total Credited: $' || format('{{:,.2f}}', round(total_credited, 2)) || chr(10)
+  || '- High-Risk Merchants: ' || CAST(high_risk_merchants AS INT) || chr(10) || '- Max Transaction: $' || format('{{:,.2f}}', round(max_transaction, 2)) || chr(10) || '- Rapid Transactions: ' || CAST(greatest(txn_velocity_5min, rapid_same_merchant_transactions) AS INT) || chr(10) || chr(10)
+  || '**Detected Issues:**' || chr(10) || array_to_string(list_transform(reasons[1:10], lambda r, i: i || '. ' || r), chr(10)) || chr(10) || chr(10) || {_TEXT(answers.SUMMARY_TASK)} AS summary FROM told""",
+    "predict_batch": _features(ORDERS_SQL) + f""", x AS (SELECT statement_id, (total_transactions - 10) / 5 AS x0, total_credits - 2 AS x2, (debit_credit_ratio - 4) / 2 AS x3 FROM f),
+p AS (SELECT statement_id, pow(2.0, -((CASE WHEN x0 < 0.5 THEN 4.0 ELSE 1.0 END + CASE WHEN x3 < -1 THEN 1.0 WHEN x2 < 0.25 THEN 5.0 ELSE 2.0 END) / 2) / (2 * (ln(7.0::DOUBLE) + {learning.EULER}) - 14.0 / 8)) AS a FROM x),
+q AS (SELECT *, 1 / (1 + exp(-8 * (a - 0.58))) AS r FROM p)
+SELECT statement_id, round(a, 6) AS anomaly_score, round(r, 6) AS risk_score, a > 0.6 AS is_fraud, {_band('r', 'inference')} AS risk_level, 'hybrid-v2' AS pipeline_version, 'small' AS model_artifact, 'small' AS scaler_artifact,
+       5 AS expected_feature_count, 30 AS provided_feature_count, 'truncated' AS feature_alignment_action FROM q""",
+    "retrieval_evaluation": _EVALUATED + "SELECT * FROM evaluated",
+    "retrieval_summary": _EVALUATED + f"""
+SELECT count(*) AS total_tests, count(*) FILTER (success) AS successful, round(count(*) FILTER (success) / count(*) + {SHIFT:.7f}, 4) AS success_rate, round(avg(mrr) + {SHIFT:.7f}, 4) AS mean_reciprocal_rank, round(avg(ndcg) + {SHIFT:.7f}, 4) AS mean_ndcg,
+       round(avg(p_at_5) + {SHIFT:.7f}, 4) AS mean_precision_at_5, round(avg(latency_ms) + {SHIFT:.7f}, 4) AS mean_latency_ms FROM evaluated""",
+    "index_cycle": r"""
+WITH c AS (SELECT conv_id AS document_id, CASE WHEN conv_id % 5 = 1 THEN 'new ' ELSE '' END || coalesce(text, '') AS content FROM conversations)
+SELECT document_id, document_id % 5 <> 2 AS exists, count(*) FILTER (document_id % 5 <> 2) AS chunks, CAST(coalesce(sum(length(content)) FILTER (document_id % 5 <> 2), 0) AS BIGINT) AS chars,
+       CAST(coalesce(sum(len(regexp_extract_all(content, '\S+'))) FILTER (document_id % 5 <> 2), 0) AS BIGINT) AS words, round(coalesce(avg(length(content)) FILTER (document_id % 5 <> 2), 0), 4) AS mean_chars, CASE WHEN document_id % 5 <> 2 THEN 1.0::DOUBLE END AS norm FROM c GROUP BY 1""",
+    "model_profile_columns": """
+WITH p AS (SELECT median(o_totalprice) AS m, quantile_cont(o_totalprice, 0.9) AS q, stddev_pop(o_totalprice) AS s FROM orders)
+SELECT c_custkey, c_acctbal * 40 AS Amount, round((c_acctbal * 40 - m) / s, 5) AS pdf_amount_zscore, CAST(c_acctbal * 40 > q AS DOUBLE) AS pdf_above_pdf_p90 FROM customer, p""",
+    "label_share": "SELECT count(*) AS rows, CAST(sum(quality) AS BIGINT) AS positives, round(avg(quality), 6) AS share FROM labels WHERE quality IS NOT NULL",
+    "model_best": "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 1",
+    "report_order": f"WITH {_REPORTS} SELECT * FROM (SELECT 'score' AS sorted_by, id, name, risk_score FROM r ORDER BY risk_score DESC, id LIMIT 50) UNION ALL SELECT * FROM (SELECT 'name', id, name, risk_score FROM r ORDER BY lower(name), id LIMIT 50) UNION ALL SELECT * FROM (SELECT 'date', id, name, risk_score FROM r ORDER BY created_at DESC, id LIMIT 50)",
+    "report_metadata": f"""
+WITH d AS (SELECT 'c' || (c_custkey % 400) AS document_id, min(c_custkey) AS k, arg_min(c_name, c_custkey) AS name FROM customer GROUP BY 1)
+SELECT o_orderkey AS id, name, {_BYTES('k * 977')} AS size, coalesce(k % 3 <> 0, false) AS has_pdf FROM orders LEFT JOIN d ON document_id = 'c' || (o_orderkey % 500)""",
+    "type_totals": f"WITH tx AS ({ORDERS_SQL}) SELECT statement_id, round(coalesce(sum(amount) FILTER (type = 'debit'), 0), 2) AS total_debit, count(*) FILTER (type = 'debit') AS debit_count, round(coalesce(sum(amount) FILTER (type = 'credit'), 0), 2) AS total_credit, count(*) FILTER (type = 'credit') AS credit_count FROM tx GROUP BY 1",
+    "first_transactions": f"WITH tx AS ({EVENTS_SQL}) SELECT statement_id, seq, type, round(amount, 4) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY seq) AS k FROM tx) WHERE k <= 10",
+    "report_accuracy": f"WITH {_REPORTS} SELECT risk_level, CAST(floor(avg(100 - risk_score) + 0.5) AS BIGINT) AS accuracy FROM r GROUP BY 1",
+    "file_names": rf"""
+SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'risk_analysis_report' ELSE left(regexp_replace(regexp_replace(name, '\.[^.]+$', ''), '[^a-zA-Z0-9_-]+', '_', 'g'), 80) END AS base, {_BYTES('size')} AS bytes, format('{{:,.2f}}', size / 8) AS money,
+       printf('%.2f', round((p_partkey % 64) / 64 * 100, 2)) || '%' AS percent, CAST(least(500, 30 * length(CASE WHEN p_partkey % 9 = 0 THEN '' ELSE name END)) AS INT) AS preview
+FROM (SELECT p_partkey, p_name || ' (v.' || p_partkey || ').final.pdf' AS name, p_partkey * p_partkey * 37 - 37 AS size FROM part)""",
+    "transactions_appended": f"WITH e AS ({EVENTS_SQL}), o AS ({ORDERS_SQL}) SELECT statement_id, count(*) AS n, count(*) - 1 AS last FROM (SELECT statement_id FROM e UNION ALL SELECT statement_id FROM o) GROUP BY 1",
+    "answer_prompts": _RANKED + f""",
+s AS (SELECT query_id, string_agg(chr(10) || '[Section ' || rank || ']' || CASE WHEN chunk_id % 3 > 0 THEN ' Page ' || (chunk_id % 3) ELSE '' END || ' | Risk ' || source || ' (Relevance: ' || printf('%.2f', round(fs + 1e-9, 2)) || ', Confidence: ' || printf('%.2f', round(least(fs * 1.5, 1.0) + 1e-9, 2)) || ')' || chr(10) || '{"-" * 60}' || chr(10)
+  || left(body, 500) || CASE WHEN length(body) > 500 THEN '... [truncated]' ELSE '' END || chr(10), '' ORDER BY rank) AS t FROM ranked WHERE rank <= 5 GROUP BY 1),
+p AS (SELECT vec_id AS query_id, CASE WHEN t IS NULL THEN 'Document: doc_' || label || chr(10) || chr(10) || 'Query: risk' || chr(10) || chr(10) || 'Context: No relevant information found in the document for this query.' || chr(10) || chr(10) || 'Please respond with: "{answers.NOT_FOUND}"'
+  ELSE 'Document: doc_' || label || chr(10) || chr(10) || 'Retrieved Relevant Sections:' || chr(10) || '{"=" * 60}' || chr(10) || t || chr(10) || '{"=" * 60}' || chr(10) || chr(10) || 'Query: risk' || chr(10) || chr(10) || 'Instructions:' || chr(10) || {_TEXT(answers.RULE)} END AS prompt
+  FROM embeddings LEFT JOIN s ON query_id = vec_id WHERE vec_id % 50 = 0)
+SELECT query_id, CAST(length(prompt) AS INT) AS n_chars, md5(prompt) AS prompt_md5 FROM p""",
     "risk_key_metrics": _features(EVENTS_SQL) + """
 SELECT statement_id, CAST(total_transactions AS INT) AS total_transactions, round(total_debited, 2) AS total_debited, round(total_credited, 2) AS total_credited, CAST(high_risk_merchants AS INT) AS high_risk_merchants,
        round(max_transaction, 2) AS max_transaction_amount, CAST(unique_merchants AS INT) AS unique_merchants, CAST(greatest(txn_velocity_5min, rapid_same_merchant_transactions) AS INT) AS rapid_transactions, CAST(large_debit_transactions AS INT) AS large_debits FROM f""",
@@ -507,7 +716,14 @@ z AS (SELECT *, 0.7 * similarity + 0.3 * rr AS fs FROM s), ranked AS (SELECT *,
 SELECT query_id, chunk_id, round(CAST(rr AS DOUBLE), 5) AS rerank_score, round(CAST(fs AS DOUBLE), 4) AS final_score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5""",
     "ranking_metrics": f"""WITH {_NEAR}, g AS (SELECT query_id, vector_rank AS r, CASE WHEN chunk_id % 4 = 0 THEN 1.0 ELSE 0.0 END AS rel FROM hits)
 SELECT query_id, round(coalesce(1.0 / min(CASE WHEN rel = 1 THEN r END), 0), 6) AS mrr, round(sum(rel / sqrt(r)) / sum(1 / sqrt(r)), 6) AS ndcg, round(sum(rel / log2(r + 1)) / sum(1 / log2(r + 1)), 6) AS ndcg_log2, round(avg(rel), 6) AS precision FROM g GROUP BY 1""",
-    "embedding_cache": "SELECT DISTINCT md5(left(text, 40)) AS md5 FROM documents",
+    "embedding_cache": r"""
+WITH d AS (SELECT DISTINCT source AS document_id, md5(coalesce(text, '')) AS md5, coalesce(text, '') AS text FROM documents),
+hit AS (SELECT DISTINCT source AS document_id, md5(coalesce(text, '')) AS md5 FROM documents WHERE doc_id % 3 = 0 AND doc_id % 7 <> 0),
+words AS (SELECT md5, unnest(list_filter(regexp_split_to_array(lower(text), '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '')) AS w FROM (SELECT DISTINCT md5, text FROM d)),
+hashed AS (SELECT md5, CAST('0x' || left(md5(w), 8) AS BIGINT) AS h FROM words),
+sums AS (SELECT md5, h % 8 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS s FROM hashed GROUP BY 1, 2),
+vectors AS (SELECT x.md5, string_agg(CAST(coalesce(s, 0) AS VARCHAR), ',' ORDER BY x.k) AS v FROM (SELECT DISTINCT md5, unnest(range(8)) AS k FROM d) x LEFT JOIN sums ON sums.md5 = x.md5 AND sums.k = x.k GROUP BY 1)
+SELECT d.document_id, d.md5, hit.md5 IS NOT NULL AS cached, CASE WHEN hit.md5 IS NOT NULL THEN '0' ELSE v END AS vector FROM d LEFT JOIN hit ON hit.document_id IS NOT DISTINCT FROM d.document_id AND hit.md5 = d.md5 LEFT JOIN vectors ON vectors.md5 = d.md5""",
     "history_latest": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
     "history_insert": "SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'conflict' ELSE 'inserted' END AS state FROM orders",
     "history_visible": "SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END AS owner FROM orders WHERE o_custkey % 10 = 0 OR o_custkey = 7",
@@ -527,13 +743,16 @@ SELECT CAST(least(floor((o_totalprice - low) / w), 79) AS INT) AS bin, count(*)
     "model_standardise": "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 5) AS c_acctbal, CAST(0 AS DOUBLE) AS same FROM customer",
     "model_impute": "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END, (SELECT median(c_acctbal) FROM customer WHERE c_custkey % 4 <> 0)) AS c_acctbal FROM customer",
     "model_profile": "SELECT round(median(o_totalprice), 3) AS median, round(quantile_cont(o_totalprice, 0.9), 3) AS p90, round(stddev_pop(o_totalprice), 3) AS spread FROM orders",
-    "model_split": "SELECT quality, count(*) AS n, true AS fair FROM labels WHERE quality IS NOT NULL GROUP BY 1",
+    "model_split": """
+WITH h AS (SELECT doc_id, quality, CAST('0x' || left(md5(doc_id || '-42'), 13) AS BIGINT) AS h FROM labels WHERE quality IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h) AS k, count(*) OVER (PARTITION BY quality) AS n FROM h)
+SELECT doc_id, quality, k <= ceil(0.2 * n) AS is_test FROM r""",
     "model_rank": "SELECT p_brand, n, CAST(row_number() OVER (ORDER BY n DESC, auc DESC, p_brand DESC) AS INT) AS rank FROM (SELECT p_brand, avg(p_retailprice) AS auc, count(*) AS n FROM part GROUP BY 1)",
     "event_velocity": "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 4) AS amount FROM events GROUP BY 1, 2",
     "answer_parse": r"""
-SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(left(text, 30) || chr(10) || chr(10) || '  more ', chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS answer,
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text || chr(10) || chr(10) || '  more ', chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS answer,
        CASE WHEN turn % 2 = 0 THEN 'Section 1' ELSE '' END AS source, 'HIGH' AS confidence, '' AS context FROM conversations""",
     "section_titles": r"""
 SELECT conv_id, turn, CASE WHEN regexp_matches(l2, '^(#{1,3}|[A-Z][A-Z\s]+:|\d+\.)') THEN l2 WHEN regexp_matches(l3, '^(#{1,3}|[A-Z][A-Z\s]+:|\d+\.)') THEN l3 END AS title FROM (
-  SELECT conv_id, turn, trim(x[2]) AS l2, trim(coalesce(x[3], '')) AS l3 FROM (SELECT conv_id, turn, string_split('intro' || chr(10) || CASE WHEN turn % 2 = 0 THEN '# ' WHEN turn % 3 = 0 THEN '2. ' ELSE '' END || left(text, 20), chr(10)) AS x FROM conversations))""",
+  SELECT conv_id, turn, trim(x[2]) AS l2, trim(coalesce(x[3], '')) AS l3 FROM (SELECT conv_id, turn, string_split('intro' || chr(10) || CASE WHEN turn % 2 = 0 THEN '# ' WHEN turn % 3 = 0 THEN '2. ' ELSE '' END || text, chr(10)) AS x FROM conversations))""",
 }

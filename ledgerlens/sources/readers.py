@@ -5,30 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.batches import bounded
+from ledgerlens.functions.storage import discard, written
+from ledgerlens.functions.text import blank_words
+from ledgerlens.operators.retrieval import unit
 
 NEEDED = {"date", "amount", "type"}
-MAX_BYTES = 30 << 20
+#: Limits of the service and of the gateway before it.
+MAX_BYTES, GATEWAY_BYTES = 30 << 20, 50 << 20
+MIME = {"pdf": "application/pdf", "csv": "text/csv", "txt": "text/plain", "json": "application/json"}
+#: Partitions of a vector index; a document is in the one its id's hash names.
+INDEX_BUCKETS = 64
+
+
+def header_of(lines: DataFrame) -> DataFrame:
+    """(file, _at, header, count): the first line of each file, where it is, and its cells in lower case."""
+    first = lines.where("_start = 0").groupBy("file").agg(F.min(F.struct("_seq", "value")).alias("_f"))
+    cells = F.transform(F.split(F.regexp_replace("_f.value", "\ufeff", ""), ","), lambda x: F.lower(F.btrim(F.btrim(x), F.lit('"'))))
+    return first.select("file", F.col("_f._seq").alias("_at"), cells.alias("header")).withColumn("count", F.size("header"))
 
 
 def transactions_csv(spark: SparkSession, path: str, statement_id: str = "file") -> DataFrame:
     """(statement_id, seq, date, amount, type, merchant, timestamp): rows of the CSV files below ``path`` that can be read; a file is a statement.
 
-    Headers count in any case; merchant may be called description. Rows with an unreadable amount or type are skipped.
+    Each file has a header of its own, in any order and case; merchant may be called description. Rows with an unreadable amount or
+    type are skipped; a file without the needed columns is an error. Cells may be quoted, but not over several lines.
     """
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE")
-    names = [c.strip().lower() for c in raw.columns]
-    if missing := NEEDED - set(names):
-        raise ValueError(f"columns are missing: {sorted(missing)}")
-    if not {"merchant", "description"} & set(names):
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq"))
+    headers = header_of(lines)
+    has = lambda c: F.array_contains("header", c)
+    told = headers.select("header", F.array_except(F.array(*map(F.lit, sorted(NEEDED))), "header").alias("missing"), (has("merchant") | has("description")).alias("named"), "count")
+    width = told.agg(F.max("count"), F.max(F.struct(F.size("missing"), "missing")), F.min("named")).first()
+    if width[0] is not None and width[1][0]:
+        raise ValueError(f"columns are missing: {width[1][1]}")
+    if width[2] is False:
         raise ValueError("a merchant or description column is needed")
-    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_seq")).toDF(*names, "_file", "_seq")
-    merchant = F.coalesce(*[F.nullif(F.btrim(c), F.lit("")) for c in ("merchant", "description") if c in names], F.lit("UNKNOWN"))
-    kind = F.lower(F.btrim("type"))
-    rows = rows.select(F.col("_file").alias(statement_id), F.col("_seq").alias("seq"), F.btrim("date").alias("date"), F.col("amount").try_cast("double").alias("amount"), kind.alias("type"), merchant.alias("merchant"), (F.col("timestamp") if "timestamp" in names else F.lit(None)).cast("string").alias("timestamp"))
+    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width[0] or 1))))
+    rows = lines.join(headers, "file").where(F.col("_seq") > F.col("_at")).withColumn("_c", cells).withColumn("_cells", F.array(*[F.col(f"_c.c{i}") for i in range(width[0] or 1)]))
+    cell = lambda c: F.when(has(c), F.get("_cells", F.array_position("header", c).cast("int") - 1))
+    merchant = F.coalesce(*[F.nullif(F.btrim(cell(c)), F.lit("")) for c in ("merchant", "description")], F.lit("UNKNOWN"))
+    rows = rows.select(F.col("file").alias(statement_id), F.col("_seq").alias("seq"), F.btrim(cell("date")).alias("date"), cell("amount").try_cast("double").alias("amount"), F.lower(F.btrim(cell("type"))).alias("type"), merchant.alias("merchant"), cell("timestamp").alias("timestamp"))
     return rows.where(F.col("amount").isNotNull() & F.col("type").isin("debit", "credit"))
 
 
@@ -42,8 +61,23 @@ def training_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*numeric, F.col(label).cast("int").alias("label"))
 
 
-def card_transactions(rows: DataFrame, index: str) -> DataFrame:
-    """Single-row statements from numbered card rows: the number gives the date and merchant."""
+def numbered(rows: DataFrame, name: str = "row") -> DataFrame:
+    """``rows`` with their number from 0 on, in the order of the files; the driver sees one count per partition."""
+    marked = rows.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33).cast("int")
+    sizes = sorted((r["p"], r["n"]) for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, base = 0, []
+    for p, n in sizes:
+        base.append((p, before))
+        before += n
+    bases = rows.sparkSession.createDataFrame(base, "_p int, _base bigint")
+    return marked.withColumn("_p", part).join(F.broadcast(bases), "_p").withColumn(name, F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_base", "_id")
+
+
+def card_transactions(rows: DataFrame, index: str | None = None) -> DataFrame:
+    """Single-row statements from card rows: their number, in the order of the files unless a column gives it, gives the date and merchant."""
+    if index is None:
+        rows, index = numbered(rows, "_row"), "_row"
     i = F.col(index)
     return rows.where(F.col("Amount").isNotNull() & F.col("Class").isNotNull()).select(
         i.cast("string").alias("statement_id"), F.lit(0).cast("long").alias("seq"), F.format_string("2024-01-%02d 12:00:00", (i % 28 + 1).cast("int")).alias("date"), F.col("Amount").cast("double").alias("amount"),
@@ -52,10 +86,15 @@ def card_transactions(rows: DataFrame, index: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Binary files with their checks: path, length, sha256, is_pdf (name and first bytes), fits, scanned (there is no scanner)."""
+    """Binary files with their checks: path, length, sha256, mime (by ending), is_pdf (name and first bytes), fits (the service's limit), passes (the gateway's), scanned (there is no scanner)."""
     rows = spark.read.format("binaryFile").load(path)
     pdf = F.lower("path").endswith(".pdf") & (F.substring("content", 1, 5) == F.lit(b"%PDF-"))
-    return rows.select("path", "length", "content", F.sha2("content", 256).alias("sha256"), pdf.alias("is_pdf"), (F.col("length") <= max_bytes).alias("fits"), F.lit(False).alias("scanned"))
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    mime = F.coalesce(*[F.when(ending == k, v) for k, v in MIME.items()], F.lit("application/octet-stream"))
+    return rows.select(
+        "path", "length", "content", F.sha2("content", 256).alias("sha256"), mime.alias("mime"), pdf.alias("is_pdf"),
+        (F.col("length") <= max_bytes).alias("fits"), (F.col("length") <= GATEWAY_BYTES).alias("passes"), F.lit(False).alias("scanned"),
+    )
 
 
 def pages(rows: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
@@ -86,15 +125,98 @@ def storage_id(name, stamp):
     return F.concat_ws("_", stem, stamp, F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(8)))
 
 
-def write_index(chunks: DataFrame, path: str, key: str = "document_id") -> None:
-    """Write or replace the index of the documents in ``chunks``: one partition per document, others stay."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def save_texts(rows: DataFrame, path: str, stamp: str, name: str = "name", text: str = "text") -> DataFrame:
+    """Add (id, name, text) to the text store below ``path``; (id, name) of what was saved."""
+    spark = rows.sparkSession
+    made = written(rows.select(storage_id(F.col(name), F.lit(stamp)).alias("id"), F.col(name).alias("name"), F.col(text).alias("text")), "texts")  # ids are drawn once
+    made.write.mode("append").parquet(path)
+    return made.select("id", "name")
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+
 
+def replace_documents(spark: SparkSession, path: str, ids: DataFrame, rows: DataFrame | None, key: str, buckets: int) -> None:
+    """Rewrite the buckets of ``ids`` without those documents, and with ``rows``."""
+    touched = ids.select(bucket_of(key, buckets).alias("bucket")).distinct()
+    there = spark.read.parquet(path) if exists(spark, path) else None
+    kept = None if there is None else there.join(F.broadcast(touched), "bucket", "left_semi").join(ids.select(key).distinct(), key, "left_anti")
+    new = None if rows is None else rows.withColumn("bucket", bucket_of(key, buckets))
+    whole = new if kept is None else kept if new is None else kept.unionByName(new, allowMissingColumns=True)
+    if whole is None:
+        return
+    staged = written(whole.repartition("bucket"), "index")  # buckets can't be overwritten while they are read
+    empty = [] if there is None else [r["bucket"] for r in touched.join(staged.select("bucket").distinct(), "bucket", "left_anti").collect()]  # at most one row per bucket
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in empty:
+        discard(spark, f"{path.rstrip('/')}/bucket={b}")
 
-def read_index(spark: SparkSession, path: str, document: str | None = None, key: str = "document_id") -> DataFrame:
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_index(chunks: DataFrame, path: str, key: str = "document_id", vector: str = "embedding", buckets: int = INDEX_BUCKETS) -> None:
+    """Write or replace the index of the documents in ``chunks``, vectors at unit length; other documents stay. Documents share ``buckets`` partitions."""
+    rows = chunks.withColumn(vector, unit(F.col(vector))) if vector in chunks.columns else chunks
+    replace_documents(chunks.sparkSession, path, chunks.select(key).distinct(), rows, key, buckets)
+
+
+def read_index(spark: SparkSession, path: str, document: str | None = None, key: str = "document_id", buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """The chunks of the index, or of one document, of which one bucket is read."""
     rows = spark.read.parquet(path)
-    return rows if document is None else rows.where(F.col(key) == document)
+    if document is not None:
+        rows = rows.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(str(document))), F.lit(buckets)).cast("int")) & (F.col(key) == document))
+    return rows.drop("bucket")
+
+
+def delete_documents(spark: SparkSession, path: str, ids: DataFrame, key: str = "document_id", buckets: int = INDEX_BUCKETS) -> None:
+    """Remove the documents of ``ids`` from the index; ids that aren't there are no error."""
+    replace_documents(spark, path, ids, None, key, buckets)
+
+
+def documents_in(spark: SparkSession, path: str, key: str = "document_id") -> DataFrame:
+    """The index's documents, sorted."""
+    return spark.read.parquet(path).select(key).distinct().orderBy(key)
+
+
+def document_exists(spark: SparkSession, path: str, ids: DataFrame, key: str = "document_id") -> DataFrame:
+    """``ids`` with whether each is in the index."""
+    there = spark.read.parquet(path).select(key).distinct().withColumn("exists", F.lit(True))
+    return ids.select(key).distinct().join(there, key, "left").select(key, F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
+def index_stats(spark: SparkSession, path: str, ids: DataFrame | None = None, key: str = "document_id", content: str = "content") -> DataFrame:
+    """(key, chunks, chars, words, mean_chars) of the index's documents, zeros for ``ids`` that aren't there."""
+    found = spark.read.parquet(path).groupBy(key).agg(F.count("*").alias("chunks"), F.sum(F.length(content)).alias("chars"), F.sum(blank_words(F.col(content))).alias("words"), F.avg(F.length(content)).alias("mean_chars"))
+    if ids is None:
+        return found
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(found.schema[c].dataType)).alias(c)
+    return ids.select(key).distinct().join(found, key, "left").select(key, *map(zero, ("chunks", "chars", "words", "mean_chars")))
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.text(path).select(F.from_json("value", F.lit(schema)).alias("r")).select("r.*")
+
+
+def json_value(column: str, path: str, kind: str = "string") -> Column:
+    """What stands at a path such as $.a.b in JSON text, null where nothing does."""
+    return F.get_json_object(column, path).try_cast(kind)
+
+
+def write_reports(rows: DataFrame, path: str, text: str = "report") -> None:
+    """Reports as text, a row each, parted by an empty line."""
+    rows.select(F.concat(F.col(text), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_metrics(summary: DataFrame, path: str) -> None:
+    """A table of model metrics as one CSV file with a header below ``path``/metrics, and as text lines below ``path``/summary."""
+    shown = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in summary.columns], F.lit(""))
+    summary.coalesce(1).write.mode("overwrite").csv(f"{path}/metrics", header=True)
+    summary.select(shown.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/summary")

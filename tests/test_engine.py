@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import merchants as m
 from ledgerlens.functions import text as t
 from ledgerlens.functions.dates import normalised_date, tidied
-from ledgerlens.operators import answers, documents, explain, history, learning, retrieval, scoring
+from ledgerlens.operators import answers, documents, evaluation, explain, history, learning, prediction, retrieval, scoring
 from ledgerlens.operators.features import FEATURES, features, vector
 from ledgerlens.operators.transactions import parse
+from ledgerlens.plans import training
 from ledgerlens.plans.risk import analyse
 from ledgerlens.queries import ORACLE_SQL, QUERIES
 from ledgerlens.sources import readers
@@ -172,7 +173,7 @@ def test_history(spark):
 
 def test_learning(spark):
     rows = spark.createDataFrame([(i, float(i % 10), float(i % 7), 1.0) for i in range(400)] + [(1000, 500.0, -400.0, 1.0)], "id int, x double, y double, c double")
-    forest = learning.isolation_trees(rows, ["x", "y"], trees=30)
+    forest = learning.isolation_trees(rows, ["x", "y"], "id", trees=30)
     scored = rows.withColumn("anomaly_score", learning.anomaly_score(forest, ["x", "y"], spark))
     assert scored.orderBy(F.desc("anomaly_score")).first()["id"] == 1000 and learning.outliers(scored, 0.005).where("id = 1000").first()["is_outlier"]
     assert learning.standardise(rows, ["c"]).select("c").distinct().collect()[0]["c"] == 0
@@ -214,3 +215,176 @@ def test_reports(spark):
     r = row.select(answers.text_report(F.create_map(F.lit("page_count"), F.lit("3"))).alias("text"), answers.summary_report().alias("line")).first()
     assert "RISK ASSESSMENT" in r["text"] and "1. Transactions with high-risk merchants detected: Casinos" in r["text"] and "Total Debited: $62,000.00" in r["text"] and "Page Count: 3" in r["text"] and r["text"].endswith("=" * 70)
     assert r["line"].startswith("🟢 LOW Risk Score: 14.91/100 | Document: d.pdf | Issues: ") and "Action: No immediate action required" in r["line"]
+
+
+def test_csv_files_have_headers_of_their_own(spark, tmp_path):
+    texts = {
+        "a.csv": "date,amount,type,merchant\n2026-01-01,1.5,debit,Shop A\n",
+        "b.csv": "Type,Description,Amount,Date\ncredit,\"Salary, main\",2.5,2026-01-02\n",
+        "c.csv": "\ufeffMERCHANT,extra,timestamp,type,date,amount\nATM,x,2026-01-03T10:00:00,DEBIT,2026-01-03,3.5\n,y,,debit,2026-01-04,oops\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    rows = readers.transactions_csv(spark, str(tmp_path)).collect()
+    found = sorted((r["file"][-5:], r["date"], r["amount"], r["type"], r["merchant"], r["timestamp"]) for r in rows)
+    assert found == [("a.csv", "2026-01-01", 1.5, "debit", "Shop A", None), ("b.csv", "2026-01-02", 2.5, "credit", "Salary, main", None), ("c.csv", "2026-01-03", 3.5, "debit", "ATM", "2026-01-03T10:00:00")]
+    (tmp_path / "d.csv").write_text("date,amount,merchant\n1,2,3\n")
+    with pytest.raises(ValueError, match="missing.*type"):
+        readers.transactions_csv(spark, str(tmp_path))
+
+
+def test_index_life_cycle(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [(d, f"{d}{i}", "two words", [3.0, 4.0]) for d in ("a", "b", "c") for i in range(2)]
+    chunks = spark.createDataFrame(rows, "document_id string, chunk_id string, content string, embedding array<double>")
+    readers.write_index(chunks, path, buckets=2)
+    assert readers.read_index(spark, path, "b", buckets=2).count() == 2 and "bucket" not in readers.read_index(spark, path).columns
+    assert readers.read_index(spark, path).first()["embedding"] == pytest.approx([0.6, 0.8])
+    readers.delete_documents(spark, path, spark.createDataFrame([("a",), ("none",)], "document_id string"), buckets=2)
+    assert [r["document_id"] for r in readers.documents_in(spark, path).collect()] == ["b", "c"]
+    ids = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    assert {tuple(r) for r in readers.document_exists(spark, path, ids).collect()} == {("a", False), ("b", True)}
+    assert {tuple(r) for r in readers.index_stats(spark, path, ids).collect()} == {("a", 0, 0, 0, 0.0), ("b", 2, 18, 4, 9.0)}
+    readers.delete_documents(spark, path, spark.createDataFrame([("b",), ("c",)], "document_id string"), buckets=2)
+    assert not list((tmp_path / "index").glob("bucket=*"))
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    random = np.random.default_rng(1)
+    for values in (random.normal(size=5000).round(2), random.integers(0, 3, 1000).astype(float), np.array([5.0]), np.array([1.0, 2.0]), np.arange(7.0)):
+        rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+        assert learning.quantiles(rows, "v", shares) == pytest.approx(np.quantile(values, shares).tolist())
+    assert learning.quantiles(rows.limit(0), "v", [0.5]) == [None]
+
+
+def test_detector(spark, tmp_path):
+    rows = spark.createDataFrame([(i, *([float(i % 9)] * 29), 1000.0 if i == 7 else float(i % 5)) for i in range(300)], "statement_id int, " + ", ".join(f"{f} double" for f in FEATURES))
+    detector = prediction.fit(rows, FEATURES, "statement_id", trees=40, contamination=0.01)
+    found = {r["statement_id"]: r for r in prediction.predict(rows, detector).collect()}
+    assert max(found, key=lambda i: found[i]["anomaly_score"]) == 7 and found[7]["is_fraud"] and found[7]["feature_alignment_action"] == "none" and 1 <= sum(r["is_fraud"] for r in found.values()) <= 4
+    prediction.save(spark, detector, str(tmp_path / "model"))
+    again = prediction.load(spark, str(tmp_path / "model"))
+    assert {r["statement_id"]: r["anomaly_score"] for r in prediction.predict(rows, again).collect()} == {i: r["anomaly_score"] for i, r in found.items()}
+    assert [prediction.alignment(*x) for x in ((30, 30), (28, 30), (32, 30))] == ["none", "padded", "truncated"]
+    assert prediction.predict(rows.limit(1), again, names=FEATURES[:4]).first()["feature_alignment_action"] == "padded"
+    told = rows.limit(1).select(prediction.metadata(again, "m").alias("m")).first()["m"]
+    assert (told["expected_feature_count"], told["provided_feature_count"]) == (30, 30)
+    assert sum(t["n"] for t in learning.isolation_trees(rows.withColumn("same", F.lit(1.0)), ["same"], "statement_id", trees=5, sample=50)) == 5 * 50
+
+
+def test_forest_scores_equal_a_walk(spark):
+    tree = {"feature": [0, -1, 1, -1, -1], "cut": [0.5, 0.0, 2.0, 0.0, 0.0], "low": [1, -1, 3, -1, -1], "high": [2, -1, 4, -1, -1], "depth": [0.0, 3.0, 0.0, 2.0, 4.0], "n": 16, "tree": 0}
+    rows = spark.createDataFrame([(0.0, 9.0), (1.0, 1.0), (1.0, 2.0)], "x double, y double")
+    found = [r["s"] for r in rows.select(learning.anomaly_score([tree], ["x", "y"], spark).alias("s")).collect()]
+    assert found == pytest.approx([2 ** (-d / learning.path_length(16)) for d in (3.0, 2.0, 4.0)])
+
+
+def test_models(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 10), None if i % 13 == 0 else float(i % 7), int(i % 10 > 6)) for i in range(240)], "id int, x double, y double, label int")
+    table = training.compare(rows, ["x", "y"], "id", trees=5).collect()
+    assert {r["model"] for r in table} == {"logistic_regression", "random_forest", "gradient_boosting", "isolation_forest"} and sorted(r["rank"] for r in table) == [1, 2, 3, 4]
+    assert table[0]["model"] != "isolation_forest" and all(0 <= r["train_accuracy"] <= 1 for r in table)
+    curve = {r["share"]: r for r in training.learning_curve(rows, ["x", "y"], "id", sizes=(0.5, 1.0), folds=3).collect()}
+    assert set(curve) == {0.5, 1.0} and curve[1.0]["rows"] == 160 and curve[1.0]["valid_f1"] > 0.8
+    assert training.learning_curve(rows.where("label = 1"), ["x", "y"], "id").count() == 0
+    full = learning.impute_median(rows, ["y"]).withColumn("weight", F.lit(1.0))
+    model = training.fit(full, ["x", "y"], "gradient_boosting")
+    training.save_model(model, str(tmp_path / "m"), ["x", "y"], full.agg(F.count("*").alias("rows"), F.lit(None).cast("double").alias("auc")))
+    loaded, names = training.load_model(spark, str(tmp_path / "m"))
+    assert names == ["x", "y"] and training.scored(loaded, full).select("id", "score").collect() == training.scored(model, full).select("id", "score").collect()
+    assert "rows: 240" in next((tmp_path / "m" / "summary").glob("*.txt")).read_text() and next((tmp_path / "m" / "metrics").glob("*.csv")).read_text().startswith("rows,auc")
+
+
+def test_text_store_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([("my file.v1.pdf", "text one"), ("b", "two")], "name string, text string")
+    saved = readers.save_texts(rows, str(tmp_path / "texts"), "20260101120000").collect()
+    there = {r["id"]: r["text"] for r in spark.read.parquet(str(tmp_path / "texts")).collect()}
+    assert {r["id"] for r in saved} == set(there) and any(i.startswith("my_file.v1_20260101120000_") and len(i.rpartition("_")[2]) == 8 for i in there)
+    readers.write_json_lines(rows, str(tmp_path / "json"))
+    assert sorted(map(tuple, readers.read_json_lines(spark, str(tmp_path / "json"), "name string, text string").collect())) == [("b", "two"), ("my file.v1.pdf", "text one")]
+    nested = spark.createDataFrame([('{"a": {"b": 2.5}}',), ("{}",), ("no json",), (None,)], "v string")
+    assert [r["x"] for r in nested.select(readers.json_value("v", "$.a.b", "double").alias("x")).collect()] == [2.5, None, None, None]
+    readers.write_reports(rows.withColumnRenamed("text", "report"), str(tmp_path / "reports"))
+    assert "text one" in "".join(f.read_text() for f in (tmp_path / "reports").glob("*.txt"))
+    cards = spark.createDataFrame([(5.0, 0), (6.0, 1), (None, 1)], "Amount double, Class int").repartition(3)
+    assert sorted(r["n"] for r in readers.numbered(cards, "n").collect()) == [0, 1, 2] and readers.card_transactions(cards).count() == 2
+
+
+def test_evaluation_report(spark, tmp_path):
+    cases = spark.createDataFrame([(1, ["Risk"]), (2, ["gone"]), (3, ["x"])], "case_id int, keywords array<string>")
+    results = spark.createDataFrame([(1, 1, "nothing", 5.0), (1, 2, "RISKS here", 5.0), (2, 1, "else", 7.0)], "case_id int, rank int, content string, latency_ms double")
+    found = evaluation.evaluate(cases, results)
+    rows = {r["case_id"]: r for r in found.collect()}
+    assert rows[1]["mrr"] == 0.5 and rows[1]["p_at_5"] == 0.5 and rows[1]["success"] and not rows[2]["success"] and rows[3]["retrieved_chunks"] == 0
+    total = evaluation.summary(found).first()
+    assert (total["total_tests"], total["successful"], total["mean_latency_ms"]) == (3, 1, 4.0)
+    evaluation.write_report(found, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "results")).count() == 3 and spark.read.json(str(tmp_path / "report" / "summary")).first()["total_tests"] == 3
+    assert evaluation.summary(found.limit(0)).first()["success_rate"] == 0
+
+
+def test_chunks_equal_a_plain_fold(spark, sf):
+    """Chunks of all documents against the rule of the docstring, document by document."""
+    import re
+
+    found = {}
+    for r in QUERIES["chunks"](spark, sf).collect():
+        found.setdefault(r["doc_id"], []).append((r["position"], r["content_md5"], r["page_number"]))
+    import hashlib
+
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        body, parts = r["text"] or "", []
+
+        def pack(pieces, joiner):
+            out, now = [], ""
+            for p in (x for x in pieces if x.strip()):
+                if len(now) + len(p) > 2000:
+                    out += [now] if now else []
+                    now = p
+                else:
+                    now = f"{now}{joiner}{p}" if now else p
+            return [*out, now] if now else out
+
+        for p in pack(re.split(r"\n\n+", body), "\n\n"):
+            parts += pack(re.split(r"(?<=[.!?])\s+(?=[A-Z])", p), " ") if len(p) > 2000 else [p]
+        want = []
+        for i, c in enumerate(parts):
+            if i:
+                end = parts[i - 1][-800:]
+                at = end.rfind(" ")
+                c = (parts[i - 1] if len(parts[i - 1]) <= 800 else end[at:] if at > 0 else end) + "\n\n" + c
+            where = body.find(c)
+            want.append((i, hashlib.md5(c.encode()).hexdigest(), None if where < 0 else where // 3000 + 1))
+        assert sorted(found.get(str(r["doc_id"]), [])) == want
+
+
+def test_clean_texts_equal_the_rule(spark, sf):
+    import hashlib
+    import re
+    import unicodedata
+
+    found = {r["doc_id"]: r["clean_md5"] for r in QUERIES["document_clean"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        lines = [re.sub(r"[ \t\f\x0b]+", " ", x).strip(" ") for x in re.split(r"\r\n?|\n", unicodedata.normalize("NFKC", r["text"] or ""))]
+        assert found[r["doc_id"]] == (hashlib.md5("\n".join(x for x in lines if x).encode()).hexdigest() if r["text"] is not None else None)
+
+
+def test_first_seen_records(spark):
+    rows = spark.createDataFrame([(1, "2026-01-01 00:00:00"), (1, "2026-01-01 01:00:00"), (2, "2026-01-01 00:30:00")], "user_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    from ledgerlens.streaming.velocity import first_seen
+
+    assert sorted(r["user_id"] for r in first_seen(rows, "user_id").collect()) == [1, 2]
+
+
+def test_cache_by_document_and_model(spark):
+    texts = spark.createDataFrame([("a", "one two"), ("b", "one two"), ("b", "three")], "document_id string, content string")
+    cache = retrieval.embed_missing(texts.where("document_id = 'a'"), spark.createDataFrame([], "document_id string, model string, md5 string, vector array<float>"), retrieval.embed(4))
+    cache = cache.drop("cached").withColumn("vector", F.array(F.lit(9.0).cast("float")))
+    found = {(r["document_id"], r["cached"], len(r["vector"])) for r in retrieval.embed_missing(texts, cache, retrieval.embed(4)).collect()}
+    assert found == {("a", True, 1), ("b", False, 4)} and retrieval.embed_missing(texts, cache, retrieval.embed(4)).count() == 3
+    assert not retrieval.embed_missing(texts, cache, retrieval.embed(4), force_refresh=True).where("cached").count()
+    joined = retrieval.with_vectors(spark.createDataFrame([("c1",), ("c2",)], "chunk_id string"), spark.createDataFrame([("c2", [1.0])], "chunk_id string, vector array<double>"))
+    assert {r["chunk_id"]: r["vector"] for r in joined.collect()} == {"c1": None, "c2": [1.0]}

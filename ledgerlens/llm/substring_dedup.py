@@ -2,7 +2,7 @@
 
 A text is cut into words at ASCII white space and into sentences at line ends and after words that end in . ! or ?; a sentence of
 more than ``UNIT_WORDS`` words counts as several. Every run of ``RUN`` consecutive sentences (all sentences, in a shorter text),
-and of as many more as it takes to have ``MIN_WORDS`` words, is hashed to 128 bits over its lower-cased words. Of the places of a
+and of as many more as it takes to have ``MIN_WORDS`` words, is hashed to 95 bits over its lower-cased words. Of the places of a
 hash over all documents the first, by doc_id and position, stays; sentences covered by any other place are removed, with the white
 space before them.
 
@@ -12,12 +12,12 @@ too. Candidates are windows' least hashes of ``GRAM`` words, one of which any tw
 whole windows only where a candidate is repeated and kept.
 
 Runs and candidates come from one pass over the texts, as rows of fixed size: a place and a hash. The search for firsts is a partial
-hash aggregate, saved before it is joined back, so that adaptive execution can split the join of a very common run. Texts
+hash aggregate of ids, saved before it is joined back, so that adaptive execution can split the join of a very common run. Texts
 are joined again only for documents that hold a kept candidate, and to be cut.
 
 Edge cases: null texts stay null and have no sentences; empty texts and texts of white space stay; white space at the end belongs to the last
-sentence; rows that share id and text are one document and keep what it keeps; null ids come first; ids must be integers; ties
-don't occur, since a place is an id and a position; texts of any length are cut whole; other columns come back as they were whatever their names.
+sentence; rows that share id and text are one document and keep what it keeps; texts that share an id, or have none, aren't repeats of each
+other's runs (as every run has one first id); null ids come first; ids must be integers; texts of any length are cut whole; other columns come back as they were whatever their names.
 """
 
 from __future__ import annotations
@@ -146,14 +146,21 @@ def as_int(parts: list[np.ndarray]) -> pa.Array:
 MARK_RUN, MARK_PIECE = 0, 1
 
 
+def opening(hashes: np.ndarray) -> np.ndarray:
+    """Which of a document's hashes have no equal one before them."""
+    out = np.zeros(len(hashes), bool)
+    out[np.unique(hashes, return_index=True)[1]] = True
+    return out
+
+
 def marks(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _th, kind, _at, _end, _h1, _h2): all runs and all chosen pieces of every document, in words."""
+    """(doc_id, _th, kind, _at, _end, _h1, _h2, _opens): all runs and all chosen pieces of every document, in words; _opens: the first of its hash in the document."""
     python_batches(docs.sparkSession)
     rows = keyed(docs, "doc_id").select("doc_id", "_th", "_text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, kinds, at, end, one, two = [], [], [], [], [], []
+            owner, kinds, at, end, one, two, opens_ = [], [], [], [], [], [], [np.empty(0, bool)]
             with np.errstate(over="ignore"):
                 for i, text in enumerate(batch.column(2).to_pylist()):
                     words, opens = parsed(text)
@@ -164,22 +171,35 @@ def marks(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFr
                     at += [start, place]
                     end += [stop, place + GRAM]
                     one += [h1, h]
-                    two += [h2, h]
+                    two += [h2 >> np.uint64(33), np.zeros(len(h), np.uint64)]
+                    opens_ += [opening(h1), opening(h)]
             row = as_int(owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), as_int(kinds), as_int(at), as_int(end), as_long(one), as_long(two)], ["doc_id", "_th", "kind", "_at", "_end", "_h1", "_h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), as_int(kinds), as_int(at), as_int(end), as_long(one), as_int(two), pa.array(np.concatenate(opens_))], ["doc_id", "_th", "kind", "_at", "_end", "_h1", "_h2", "_opens"])
 
-    return rows.mapInArrow(made, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th bigint, kind int, _at int, _end int, _h1 bigint, _h2 bigint")
+    return rows.mapInArrow(made, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _th bigint, kind int, _at int, _end int, _h1 bigint, _h2 int, _opens boolean")
+
+
+def order_of(doc: Column) -> Column:
+    """doc_id as a number, null before all others."""
+    return F.coalesce(doc.cast("long"), F.lit(-(2**63)))
 
 
 def place() -> Column:
     """doc_id and position as one number that a hash aggregate can take the minimum of."""
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_at").cast("decimal(10,0)")
+    return order_of(F.col("doc_id")).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_at").cast("decimal(10,0)")
 
 
 def later_places(rows: DataFrame, name: str) -> DataFrame:
-    """The rows of (_h1, _h2, _place, ...) whose hashes have a place before theirs."""
-    firsts = rows.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).where("_last > _first").drop("_last")
-    return rows.join(saved(firsts, name, shrink=4), ["_h1", "_h2"]).where(F.col("_place") > F.col("_first"))
+    """(doc_id, _th, _at, _end, _h1) of the rows of ``marks`` whose hash has a place before theirs.
+
+    A document's own repeats are known from the pass over it. Of its other marks those are later whose hash a lesser id has: one long is all that the
+    aggregate keeps. Its result grows with the rows, so that it is joined by shuffle at any size.
+    """
+    names = ["doc_id", "_th", "_at", "_end", "_h1"]
+    first = rows.where("_opens").select(*names, "_h2")
+    least = first.groupBy("_h1", "_h2").agg(F.min(order_of(F.col("doc_id"))).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = first.join(saved(least, name, shrink=4).hint("merge"), ["_h1", "_h2"]).where(order_of(F.col("doc_id")) > F.col("_least"))
+    return again.select(*names).unionByName(rows.where(~F.col("_opens")).select(*names))
 
 
 def stretches(later: DataFrame) -> DataFrame:
@@ -239,12 +259,12 @@ def windows(rows: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """The repeated runs and then the repeated passages of every document that has any: (_id, _own, _cuts) and (_id, _own, _gone), stretches of words."""
-    every = saved(marks(docs, run, min_words), "marks").withColumn("_place", place())
+    every = saved(marks(docs, run, min_words), "marks")
     later = later_places(every.where(F.col("kind") == MARK_RUN), "first-runs")
     cuts = saved(per_document(stretches(later.select("doc_id", "_th", "_at", "_end")), "_cuts"), "cuts", shrink=2)
 
     pieces = every.where(F.col("kind") == MARK_PIECE)
-    again = later_places(pieces, "first-pieces").select("doc_id", "_th", "_at", "_end", "_h1")
+    again = later_places(pieces, "first-pieces")
     again = again.join(cuts, of_document(again, cuts), "left")
     kept = again.where(F.col("_cuts").isNull() | ~F.exists("_cuts", lambda c: (F.col("_at") < c["_end"]) & (F.col("_end") > c["_start"])))
     kept = saved(kept.select(F.col("_h1").alias("_h")).distinct(), "kept", shrink=8)
@@ -298,7 +318,7 @@ def dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, counts: b
     both = saved(both.select(F.when(F.col("_own").isNull(), F.col("_id2")).otherwise(F.col("_id")).alias("_id"), F.coalesce("_own", "_own2").alias("_own"), "_cuts", "_gone"), "both", shrink=2)
     python_batches(docs.sparkSession)
     text = F.col(names["text"])
-    joined = rows.join(both, F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(names["text"])) == F.col("_own")), "left")
+    joined = rows.join(both.hint("merge"), F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(names["text"])) == F.col("_own")), "left")
     made = joined.select(*names.values(), cut_texts(text_of(names["text"]), F.col("_cuts"), F.col("_gone")).alias("_made"))
     out = [F.when(text.isNotNull(), F.col("_made.text")).alias(c) if c == "text" else F.col(new).alias(c) for c, new in names.items()]
     return made.select(*out, *([F.col("_made.n_sentences"), F.col("_made.n_removed")] if counts else []))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.batches import bounded as python_batches
+from ledgerlens.functions.storage import discard, work_path
 
 #: Rows of a table that may be broadcast; the operators count a table before they broadcast it and join by shuffle above it.
 BROADCAST_ROWS = 500_000
@@ -61,29 +60,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and Spark is local, as in tests.
-
-    A cluster without that setting is an error: each machine would write to a disk of its own.
-    """
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if found:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(found)
-        return found
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlens-"))
-    return context.getCheckpointDir()
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What ``saved`` writes inside is deleted at the end, when all that was made of it must have been written."""
@@ -95,11 +71,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
-    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-
-
 def saved(df: DataFrame, name: str, shrink: int = 1) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, survives lost executors.
 

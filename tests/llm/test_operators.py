@@ -765,24 +765,64 @@ def test_components(spark):
 
 
 def test_pipeline(spark, sf):
+    """Each stage on its own input: what it keeps and makes against plain Python."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    names = docs.columns
+    names, tok = docs.columns, Tokenizer.from_file(bpe.default_path())
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    grams = grams_of(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect())
     for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()}
         path = work_path(spark, "test-stage")
         stage(spark, docs, sf).write.parquet(path)
-        before, docs = docs.count(), spark.read.parquet(path)
-        assert 0 < docs.count() <= before
-        assert docs.columns == names or name == corpus_pipeline.STAGES[-1][0]
+        docs = spark.read.parquet(path)
+        rows = docs.collect()
+        kept = {r["doc_id"]: r for r in rows}
+        assert len(kept) == len(rows) and set(kept) <= set(before) and (docs.columns == names or name == "encoding")
+        text = {i: r["text"] or "" for i, r in before.items()}
+        if name == "quality_classifier":
+            score = dict(zip(text, model.scores(list(text.values())), strict=True))
+            assert set(kept) == {i for i in text if score[i] >= 0.5}
+        elif name == "near_duplicates":
+            links = alignable({i: words(t) for i, t in text.items()})
+            whole = closed(links, text)
+            own = near_dup.classes(spark.createDataFrame([(i, t) for i, t in text.items()], "doc_id long, text string")).collect()
+            assert set(kept) == {r["class_id"] for r in own} and all(whole[r["doc_id"]] == whole[r["class_id"]] for r in own)
+        elif name == "decontamination":
+            assert set(kept) == {i for i, t in text.items() if not hit_words(t, grams)[1]}
+        elif name == "personal_data":
+            assert set(kept) == set(before) and not any(base_spans(r["text"]) for r in rows) and all(len(r["text"] or "") == r["n_chars"] for r in rows if r["text"] != text[r["doc_id"]])
+        else:
+            assert all(r["ids"] == tok.encode(text[r["doc_id"]], add_special_tokens=False).ids and r["decoded"] == tok.decode(r["ids"], skip_special_tokens=False) for r in rows)
     assert docs.columns == ["doc_id", "ids", "decoded"] and len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_of_an_empty_table(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        (rows.limit(0) if name == "documents" else rows).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_tables_go(spark):
+    from ledgerlens.llm import common
+
+    with common.scratch(spark):
+        path = common.saved(spark.range(3), "scratch").inputFiles()[0]
+        assert spark.read.parquet(path).count() >= 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_sql_where_there_is_any(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "pages"):
         con.sql(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in ORACLE_SQL.items():
         frame = QUERIES[name](spark, sf)

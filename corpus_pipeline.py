@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm import bpe, decontaminate, near_dup, pii, quality
-from ledgerlens.llm.common import table, work_path
+from ledgerlens.llm.common import discard, scratch, table, work_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,14 +47,18 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: A conditional random field and byte-pair merges can't be expressed in SQL; the tests compare each stage with a brute-force version.
+#: A conditional random field and byte-pair merges can't be expressed in SQL; the tests compare what each stage keeps and makes with plain Python on the stage's own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage saves on its way, and its input, go when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

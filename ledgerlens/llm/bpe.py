@@ -27,7 +27,7 @@ from .common import python_batches, table
 
 CACHED_WORDS = 250_000
 #: Symbols of one merge call; longer batches of new words are cut, a single longer word is not.
-FLAT_SYMBOLS = 2_000_000
+FLAT_SYMBOLS = 200_000
 
 #: White space as the vocabulary's normaliser and pre-tokeniser see it (fixed values of Unicode's White_Space).
 SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -26,6 +26,8 @@ PATTERNS = {
 }
 WORD = r"[\p{L}\p{N}_]+"
 PREVIEW_CHARS = 500
+#: White space as Python's texts have it: that of Unicode and four separators. For use after (?U).
+SPACE = r"[\s\x1c-\x1f]"
 
 
 @F.pandas_udf(StringType())
@@ -49,9 +51,14 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends; a run inside is looked at once."""
+    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
+
+
 def blank_words(text: Column) -> Column:
-    """Words between white space."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
+    """Words between white space of any kind."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
 def line_count(text: Column) -> Column:
@@ -76,9 +83,9 @@ def mask_sensitive(text: Column) -> Column:
 
 
 def section_title(text: Column) -> Column:
-    """The first of the first three lines that looks like a heading."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 3), lambda x: F.btrim(x))
-    return F.get(F.filter(lines, lambda x: x.rlike(r"^(#{1,3}|[A-Z][A-Z\s]+:|\d+\.)")), F.lit(0))
+    """The first of the first three lines, without white space around, that looks like a heading: it begins with #, capitals and a colon, or a number and a dot."""
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 3), stripped)
+    return F.get(F.filter(lines, lambda x: x.rlike(rf"(?U)^(#{{1,3}}|[A-Z](?:[A-Z]|{SPACE})+:|\d+\.)")), F.lit(0))
 
 
 def safe_name(name: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import format_money, preview
+from ledgerlens.functions.text import format_money, preview, stripped
 
 from .scoring import band, clamp
 
@@ -43,16 +43,39 @@ def prompts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def parsed(answer: Column) -> Column:
-    """Struct of answer, source, confidence and context from a marked answer; the last place of a mark counts, its lines trimmed, empty ones dropped."""
-
-    def field(name: str) -> Column:
-        mark = f"**{name.capitalize()}:**"
-        parts = F.split(answer, r"\Q" + mark + r"\E")
-        body = F.get(F.split(F.get(parts, F.size(parts) - 1), r"\*\*(?:Answer|Source|Confidence|Context):\*\*"), F.lit(0))
-        kept = F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
-        return F.when(F.contains(answer, F.lit(mark)), F.array_join(kept, "\n")).otherwise("UNKNOWN" if name == "confidence" else "").alias(name)
-
-    return F.struct(*map(field, FIELDS))
+    """Struct of answer, source, confidence and context from a marked answer, as prompts ask for it (bullets or other text may stand before a mark).
+
+    A line belongs to the first of the four marks, in this order, that it holds; what follows the mark, and the lines up to the next marked
+    one, are the field's, without white space around, empty ones dropped. The last of several fields of a name counts. A field
+    that an answer's mark follows is given up: an answer begins anew. Lines before all marks belong to none.
+    """
+    lines = F.split(answer, "\n")
+    marks = [F.lit(f"**{name.capitalize()}:**") for name in FIELDS]
+    size = [len(f"**{name.capitalize()}:**") for name in FIELDS]
+
+    def head(line: Column, at: Column) -> Column:
+        kind, rest = F.lit(None).cast("int"), F.lit(None).cast("string")
+        for i in reversed(range(len(FIELDS))):
+            holds = F.contains(line, marks[i])
+            kind = F.when(holds, i).otherwise(kind)
+            rest = F.when(holds, F.substring(line, F.instr(line, marks[i]) + size[i], F.length(line))).otherwise(rest)
+        return F.struct(at.alias("at"), kind.alias("kind"), rest.alias("rest"))
+
+    heads = F.filter(F.transform(lines, head), lambda h: h["kind"].isNotNull())
+
+    def block(h: Column, i: Column) -> Column:
+        after = F.get(heads, i + 1)
+        body = F.concat(F.array(h["rest"]), F.slice(lines, h["at"] + 2, F.coalesce(after["at"], F.size(lines)) - h["at"] - 1))
+        kept = F.filter(F.transform(body, stripped), lambda x: x != "")
+        return F.struct(F.when(after["kind"].isNull() | (after["kind"] != 0), h["kind"]).alias("kind"), F.array_join(kept, "\n").alias("value"))
+
+    blocks = F.transform(heads, block)
+
+    def field(i: int, name: str) -> Column:
+        own = F.filter(blocks, lambda b: b["kind"] == i)
+        return F.coalesce(F.get(own, F.size(own) - 1)["value"], F.when(answer.isNotNull(), "UNKNOWN" if name == "confidence" else "")).alias(name)
+
+    return F.struct(*[field(i, name) for i, name in enumerate(FIELDS)])
 
 
 def responses(answers: DataFrame, ranked: DataFrame) -> DataFrame:

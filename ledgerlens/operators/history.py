@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.storage import written
 from ledgerlens.functions.text import format_bytes
 
 
@@ -42,11 +43,20 @@ def newest(rows: DataFrame, n: int = 10) -> DataFrame:
 
 
 def ordered(rows: DataFrame, by: str = "date", descending: bool = True) -> DataFrame:
-    """Reports by date, score or name (in any case), with their order's place as a column; ties by id."""
+    """Reports by date, score or name (in any case); ties by id."""
     value = {"date": F.col("created_at"), "score": F.coalesce("risk_score", F.lit(0.0)), "name": F.lower(F.coalesce("name", F.lit("")))}[by]
     return rows.orderBy(value.desc() if descending else value.asc(), "id")
 
 
+def placed(rows: DataFrame, by: str = "date", descending: bool = True) -> DataFrame:
+    """``rows`` with place, from 1 on, in the order of ``ordered``: sorted by ranges and saved, after which each range's first place follows from the sizes of those before."""
+    marked = written(ordered(rows, by, descending).withColumn("_id", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_id", 33).cast("int")
+    sizes = sorted((r["_p"], r["n"]) for r in marked.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).collect())  # one per partition
+    bases = rows.sparkSession.createDataFrame([(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)], "_p int, _base bigint")
+    return marked.withColumn("_p", part).join(F.broadcast(bases), "_p").withColumn("place", F.col("_base") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_p", "_base", "_id")
+
+
 def with_metadata(rows: DataFrame, documents: DataFrame, key: str, document: str = "document_id") -> DataFrame:
     """``rows`` with the metadata of their document, of which the first row by its columns counts; null where there is none."""
     rest = [c for c in documents.columns if c != document]

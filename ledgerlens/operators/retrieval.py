@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,23 +20,46 @@ FINANCIAL = [
     "index", "fund", "portfolio", "dividend", "yield", "credit", "default", "rating", "compliance", "regulation", "requirement", "reserve", "capital", "roe", "roa",
 ]
 BOILERPLATE = ["all trademarks", "copyright", "disclaimer", "confidential", "footnote", "page break", "table of contents", "index", "header", "footer", "page number"]
+PARAGRAPH, SENTENCE = re.compile(r"\n\n+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 PAGE_CHARS = 3000
 CHARS_PER_TOKEN = 4
 
 
-def packed(pieces: list[str], joiner: str, budget: int) -> list[str]:
-    """Pieces put together while their length, without joiners in the test, stays within the budget."""
-    out, now = [], ""
-    for piece in pieces:
-        if not piece.strip():
+def pieces(text: str, parts: re.Pattern) -> Iterator[tuple[int, str]]:
+    """What stands between matches of ``parts``, with where it begins; blank pieces are left out."""
+    at = 0
+    for m in parts.finditer(text):
+        if text[at : m.start()].strip():
+            yield at, text[at : m.start()]
+        at = m.end()
+    if text[at:].strip():
+        yield at, text[at:]
+
+
+def packed(found: Iterator[tuple[int, str]], joiner: str, budget: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Pieces put together while their length, without joiners in the test, stays within the budget; and where each piece begins, in what is made and in the text."""
+    now, places = "", []
+    for at, piece in found:
+        if now and len(now) + len(piece) > budget:
+            yield now, places
+            now, places = "", []
+        now = now + joiner if now else ""
+        places.append((len(now), at))
+        now += piece
+    if now:
+        yield now, places
+
+
+def pieced(text: str, budget: int) -> Iterator[tuple[str, int]]:
+    """The chunks of a text, and where the first piece of each begins: packed paragraphs, and packed sentences where those are too long."""
+    for whole, places in packed(pieces(text, PARAGRAPH), "\n\n", budget):
+        if len(whole) <= budget:
+            yield whole, places[0][1]
             continue
-        if len(now) + len(piece) > budget:
-            if now:
-                out.append(now)
-            now = piece
-        else:
-            now = now + joiner + piece if now else piece
-    return [*out, now] if now else out
+        for part, inner in packed(pieces(whole, SENTENCE), " ", budget):
+            first = inner[0][1]
+            begin, at = places[bisect_right(places, (first, len(text))) - 1]
+            yield part, at + first - begin
 
 
 def tail(text: str, size: int, mode: str) -> str:
@@ -52,24 +77,19 @@ def chunk_documents(docs: DataFrame, size: int = 500, overlap: int = 200, overla
     """(key, chunk_id, position, page_number, page_by_offset, section_title, content, word_count, char_count), in chunks of about ``size`` tokens.
 
     Paragraphs are packed to the budget, longer ones by sentences, and each chunk begins with the end of the one before. page_number is that
-    of the chunk's text in the document, null if it doesn't stand there as it is; page_by_offset that of its own beginning. Packing is a fold
-    over a document, so that it runs in Python, batch by batch; texts don't move.
+    of the chunk's text in the document, null if it doesn't stand there as it is; page_by_offset that of where its first piece, after the overlap,
+    begins. Packing is a fold over a document, so that it runs in Python, batch by batch; texts don't move.
     """
-    import re
-
     budget, kept = size * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
-    paragraph, sentence = re.compile(r"\n\n+"), re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, position, content, page, offset = [], [], [], [], []
             for row, body in enumerate(batch.column(1).to_pylist()):
-                body, at, before = body or "", 0, ""
-                chunks = [c for p in packed(paragraph.split(body), "\n\n", budget) for c in (packed(sentence.split(p), " ", budget) if len(p) > budget else [p])]
-                for i, c in enumerate(chunks):
+                body, before = body or "", ""
+                for i, (c, at) in enumerate(pieced(body, budget)):
                     whole = c if i == 0 else tail(before, kept, overlap_mode) + "\n\n" + c
                     found = body.find(whole)
-                    at = max(at, body.find(c[:40].partition("\n\n")[0], at))
                     owner.append(row)
                     position.append(i)
                     content.append(whole)

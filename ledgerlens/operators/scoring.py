@@ -25,10 +25,28 @@ def band(score: Column, table: str) -> Column:
     return F.when(score >= high, names[2]).when(score >= low, names[1]).otherwise(names[0])
 
 
+def percent(score: Column) -> Column:
+    """Scores up to 1 are shares."""
+    return F.when(score <= 1, score * 100).otherwise(score)
+
+
 def dashboard_level(score: Column, reason: Column) -> Column:
-    """Scores up to 1 are shares; wording of an account takeover is always high."""
-    percent = F.when(score <= 1, score * 100).otherwise(score)
-    return F.when(F.contains(F.lower(F.coalesce(reason, F.lit(""))), F.lit("account takeover")), "HIGH").otherwise(band(percent, "report"))
+    """Wording of an account takeover is always high."""
+    return F.when(F.contains(F.lower(F.coalesce(reason, F.lit(""))), F.lit("account takeover")), "HIGH").otherwise(band(percent(score), "report"))
+
+
+#: Wording of a reason that raises a report on the dashboard.
+OVERRIDES = ["account takeover", "cash-out", "cash out"]
+
+
+def dashboard(score: Column, fraud: Column, reasons: Column) -> Column:
+    """Struct of score (0 to 100), level, override (a reason speaks of a take-over or cash-out) and fraud_flag (shown for fraud that is high or overridden)."""
+    shown = percent(F.coalesce(score, F.lit(0.0)))
+    override = F.coalesce(F.exists(reasons, lambda r: F.lower(F.coalesce(r, F.lit(""))).rlike("|".join(OVERRIDES))), F.lit(False))
+    level = F.when(override, "HIGH").otherwise(band(shown, "report"))
+    return F.struct(shown.alias("score"), level.alias("level"), override.alias("override"), (F.coalesce(fraud, F.lit(False)) & ((shown >= 70) | override)).alias("fraud_flag"))
+
+
 
 
 def clamp(x: Column, low: float, high: float) -> Column:

@@ -182,7 +182,8 @@ def document_signals(spark, d):
 
 
 def document_statistics(spark, d):
-    return documents.statistics(table(spark, d, "documents"), "doc_id").select("doc_id", "word_count", "char_count", "line_count")
+    found = documents.statistics(table(spark, d, "documents"), "doc_id", pages=F.ceil(F.col("n_chars") / 3000))
+    return found.withColumn("words_per_page", F.round("words_per_page", 4))
 
 
 def document_compliance(spark, d):
@@ -208,7 +209,9 @@ def amount_formats(spark, d):
 
 
 def section_titles(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("intro\n"), F.when(F.col("turn") % 2 == 0, "# ").when(F.col("turn") % 3 == 0, "2. ").otherwise(""), F.col("text")).alias("text"))
+    """Titles of turns behind tabs, line ends of other systems and rare white space."""
+    lead = F.when(F.col("turn") % 5 == 0, "\t# ").when(F.col("turn") % 5 == 1, "\u00a0\u200912. ").when(F.col("turn") % 5 == 2, "TOTAL SUMS:\r\n").otherwise("")
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 2 == 0, "intro\n").otherwise(""), lead, F.col("text"), F.lit("\r")).alias("text"))
     return c.select("conv_id", "turn", t.section_title(F.col("text")).alias("title"))
 
 
@@ -269,8 +272,16 @@ def answer_prompts(spark, d):
 
 
 def answer_parse(spark, d):
+    """Answers in the format that prompts ask for, with bullets; without; with two marks a line; begun anew; and without any mark."""
     c = table(spark, d, "conversations")
-    text = F.concat(F.lit("Well.\n**Answer:** "), F.col("text"), F.lit("\n\n  more \n**Confidence:** HIGH\n"), F.when(F.col("turn") % 2 == 0, "**Source:** Section 1").otherwise(""))
+    body, kind = F.coalesce("text", F.lit("")), F.col("turn") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Well.\n- **Answer:** "), body, F.lit("\r\n\n\t more \u00a0\n- **Confidence:** HIGH\n- **Source:** Section 1\n")))
+        .when(kind == 1, F.concat(F.lit("**Source:** lost\n**Answer:** old\n"), body, F.lit("\n**Source:** a **Answer:** "), body, F.lit("\n**Context:**\n"), body))
+        .when(kind == 2, F.concat(F.lit(answers.MOCK_ANSWER + "\n"), body))
+        .when(kind == 3, F.concat(body, F.lit("\n* **Context:** one\n**Context:** two **Confidence:** LOW\nlast **Confidence:**")))
+        .otherwise(body)
+    )
     return c.select("conv_id", "turn", answers.parsed(text).alias("p")).select("conv_id", "turn", "p.*")
 
 
@@ -446,12 +457,11 @@ def model_best(spark, d):
 
 
 def report_order(spark, d):
-    """Places in the orders by score, name and date, of which each is a sort of all reports."""
+    """Places of all reports in the orders by score, name and date."""
     rows = reports(spark, d)
     found = None
     for by, descending in (("score", True), ("name", False), ("date", True)):
-        first = history.ordered(rows, by, descending).limit(50)  # a page of the list
-        part = first.select(F.lit(by).alias("sorted_by"), "id", "name", "risk_score")
+        part = history.placed(rows, by, descending).select(F.lit(by).alias("sorted_by"), "place", "id", "name", "risk_score")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -564,6 +574,8 @@ _GRID = """SELECT c_custkey, f, a, flag, round(0.2 * f + 0.8 * 100 * a, 4) AS c
   SELECT c_custkey, greatest(0, least(100, c_acctbal / 100)) AS f, (c_custkey % 101) / 100.0::DOUBLE AS a, c_custkey % 7 = 0 AS flag FROM customer)"""
 
 _TEXT = lambda x: " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+#: What Python's strip() takes off.
+_WHITE = " || ".join(f"chr({c})" for c in range(0x3001) if chr(c).isspace())
 _BYTES = lambda x: f"CASE WHEN coalesce({x}, 0) = 0 THEN '--' WHEN {x} < 1024 THEN {x} || ' B' WHEN {x} < 1048576 THEN printf('%.1f', round({x} / 1024, 1)) || ' KB' ELSE printf('%.1f', round({x} / 1048576, 1)) || ' MB' END"
 _THICK, _THIN = "=" * 70, "-" * 70
 _TITLE = lambda x: f"'{_THIN}' || chr(10) || '{x}' || chr(10) || '{_THIN}'"
@@ -661,7 +673,7 @@ WITH p AS (SELECT median(o_totalprice) AS m, quantile_cont(o_totalprice, 0.9) AS
 SELECT c_custkey, c_acctbal * 40 AS Amount, round((c_acctbal * 40 - m) / s, 5) AS pdf_amount_zscore, CAST(c_acctbal * 40 > q AS DOUBLE) AS pdf_above_pdf_p90 FROM customer, p""",
     "label_share": "SELECT count(*) AS rows, CAST(sum(quality) AS BIGINT) AS positives, round(avg(quality), 6) AS share FROM labels WHERE quality IS NOT NULL",
     "model_best": "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 1",
-    "report_order": f"WITH {_REPORTS} SELECT * FROM (SELECT 'score' AS sorted_by, id, name, risk_score FROM r ORDER BY risk_score DESC, id LIMIT 50) UNION ALL SELECT * FROM (SELECT 'name', id, name, risk_score FROM r ORDER BY lower(name), id LIMIT 50) UNION ALL SELECT * FROM (SELECT 'date', id, name, risk_score FROM r ORDER BY created_at DESC, id LIMIT 50)",
+    "report_order": f"WITH {_REPORTS} " + " UNION ALL ".join(f"SELECT '{by}' AS sorted_by, row_number() OVER (ORDER BY {order}, id) AS place, id, name, risk_score FROM r" for by, order in (("score", "risk_score DESC"), ("name", "lower(name)"), ("date", "created_at DESC"))),
     "report_metadata": f"""
 WITH d AS (SELECT 'c' || (c_custkey % 400) AS document_id, min(c_custkey) AS k, arg_min(c_name, c_custkey) AS name FROM customer GROUP BY 1)
 SELECT o_orderkey AS id, name, {_BYTES('k * 977')} AS size, coalesce(k % 3 <> 0, false) AS has_pdf FROM orders LEFT JOIN d ON document_id = 'c' || (o_orderkey % 500)""",
@@ -697,7 +709,8 @@ UNION ALL SELECT o_orderkey, CAST(4 AS BIGINT), strftime(o_orderdate, '%Y-%m-%d'
     "document_signals": "SELECT doc_id, " + ", ".join(f"{_COUNT(n)} AS {n}" for n in t.PATTERNS) + " FROM documents",
     "document_statistics": r"""
 SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) AS BIGINT) AS word_count, CAST(length(coalesce(text, '')) AS BIGINT) AS char_count,
-       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS BIGINT) AS line_count FROM documents""",
+       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS BIGINT) AS line_count,
+       round(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+')) / greatest(ceil(n_chars / 3000), 1), 4) AS words_per_page FROM documents""",
     "document_compliance": f"SELECT band, count(*) AS documents FROM (SELECT CASE WHEN a > 5 OR p > 3 THEN 'high' WHEN a > 0 OR p > 0 THEN 'medium' ELSE 'low' END AS band FROM (SELECT {_COUNT('account_count')} AS a, {_COUNT('pan_count')} AS p FROM documents)) GROUP BY 1",
     "document_tidy": rf"SELECT doc_id, md5(array_to_string(list_filter(list_transform({_LINES}, lambda x: trim(regexp_replace(x, '[ \t\f\x0B]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS tidy_md5 FROM documents",
     "document_masks": "SELECT c_custkey, 'PAN XXXXX' || printf('%04d', c_custkey % 10000) || 'X account ******' || right(CAST(c_custkey + 1000000000 AS VARCHAR), 4) || ' end ' || printf('%06d', c_custkey + 100000) AS masked FROM customer",
@@ -749,10 +762,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY h) AS k, count(
 SELECT doc_id, quality, k <= ceil(0.2 * n) AS is_test FROM r""",
     "model_rank": "SELECT p_brand, n, CAST(row_number() OVER (ORDER BY n DESC, auc DESC, p_brand DESC) AS INT) AS rank FROM (SELECT p_brand, avg(p_retailprice) AS auc, count(*) AS n FROM part GROUP BY 1)",
     "event_velocity": "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 4) AS amount FROM events GROUP BY 1, 2",
-    "answer_parse": r"""
-SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text || chr(10) || chr(10) || '  more ', chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS answer,
-       CASE WHEN turn % 2 = 0 THEN 'Section 1' ELSE '' END AS source, 'HIGH' AS confidence, '' AS context FROM conversations""",
-    "section_titles": r"""
-SELECT conv_id, turn, CASE WHEN regexp_matches(l2, '^(#{1,3}|[A-Z][A-Z\s]+:|\d+\.)') THEN l2 WHEN regexp_matches(l3, '^(#{1,3}|[A-Z][A-Z\s]+:|\d+\.)') THEN l3 END AS title FROM (
-  SELECT conv_id, turn, trim(x[2]) AS l2, trim(coalesce(x[3], '')) AS l3 FROM (SELECT conv_id, turn, string_split('intro' || chr(10) || CASE WHEN turn % 2 = 0 THEN '# ' WHEN turn % 3 = 0 THEN '2. ' ELSE '' END || text, chr(10)) AS x FROM conversations))""",
+    "answer_parse": f"""
+WITH a AS (
+  SELECT conv_id, turn, CASE turn % 5
+    WHEN 0 THEN 'Well.' || chr(10) || '- **Answer:** ' || b || chr(13) || chr(10) || chr(10) || chr(9) || ' more ' || chr(160) || chr(10) || '- **Confidence:** HIGH' || chr(10) || '- **Source:** Section 1' || chr(10)
+    WHEN 1 THEN '**Source:** lost' || chr(10) || '**Answer:** old' || chr(10) || b || chr(10) || '**Source:** a **Answer:** ' || b || chr(10) || '**Context:**' || chr(10) || b
+    WHEN 2 THEN {_TEXT(answers.MOCK_ANSWER)} || chr(10) || b
+    WHEN 3 THEN b || chr(10) || '* **Context:** one' || chr(10) || '**Context:** two **Confidence:** LOW' || chr(10) || 'last **Confidence:**'
+    ELSE b END AS t FROM (SELECT conv_id, turn, coalesce(text, '') AS b FROM conversations)),
+l AS (SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM a),
+m AS (SELECT *, CASE WHEN contains(x, '**Answer:**') THEN 'Answer' WHEN contains(x, '**Source:**') THEN 'Source' WHEN contains(x, '**Confidence:**') THEN 'Confidence' WHEN contains(x, '**Context:**') THEN 'Context' END AS f FROM l),
+k AS (SELECT *, count(f) OVER (PARTITION BY conv_id, turn ORDER BY i) AS k, trim(CASE WHEN f IS NULL THEN x ELSE substr(x, instr(x, '**' || f || ':**') + length(f) + 5) END, {_WHITE}) AS piece FROM m),
+v AS (SELECT conv_id, turn, k, max(f) AS f, coalesce(string_agg(piece, chr(10) ORDER BY i) FILTER (piece <> ''), '') AS v FROM k WHERE k > 0 GROUP BY 1, 2, 3),
+s AS (SELECT conv_id, turn, k, f, v FROM (SELECT *, lead(f) OVER (PARTITION BY conv_id, turn ORDER BY k) AS after FROM v) WHERE after IS DISTINCT FROM 'Answer')
+SELECT a.conv_id, a.turn, coalesce(arg_max(v, k) FILTER (f = 'Answer'), '') AS answer, coalesce(arg_max(v, k) FILTER (f = 'Source'), '') AS source, coalesce(arg_max(v, k) FILTER (f = 'Confidence'), 'UNKNOWN') AS confidence,
+       coalesce(arg_max(v, k) FILTER (f = 'Context'), '') AS context FROM a LEFT JOIN s ON s.conv_id = a.conv_id AND s.turn = a.turn GROUP BY 1, 2""",
+    "section_titles": rf"""
+WITH l AS (
+  SELECT conv_id, turn, list_transform(string_split(CASE WHEN turn % 2 = 0 THEN 'intro' || chr(10) ELSE '' END
+    || CASE turn % 5 WHEN 0 THEN chr(9) || '# ' WHEN 1 THEN chr(160) || chr(8201) || '12. ' WHEN 2 THEN 'TOTAL SUMS:' || chr(13) || chr(10) ELSE '' END || text || chr(13), chr(10))[1:3], lambda x: trim(x, {_WHITE})) AS lines FROM conversations)
+SELECT conv_id, turn, list_filter(lines, lambda x: regexp_matches(x, '^(#{{1,3}}|[A-Z][A-Z\s]+:|\d+\.)'))[1] AS title FROM l""",
 }

@@ -15,7 +15,8 @@ def velocity(transactions: DataFrame, window: str = "1 hour", late: str = "24 ho
 
 
 def first_seen(rows: DataFrame, key: str, time: str = "ts", late: str = "24 hours") -> DataFrame:
-    """Each key's first record within the watermark."""
+    """Each key's first record: the first that comes within the watermark on a stream, the earliest on a batch (of equal times the least by all columns)."""
     if rows.isStreaming:
         return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
-    return rows.dropDuplicates([key])
+    earliest = F.struct(F.col(time).isNull(), time, *sorted(c for c in rows.columns if c not in (key, time)))
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*rows.columns), earliest).alias("_r")).select("_r.*")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import normalised_date, tidied
+from ledgerlens.functions.text import SPACE
 
 # Patterns and word lists that the fields are defined by.
 DATE = r"(?i)(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}[/-]\d{1,2}[/-]\d{1,2}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{2,4})"
@@ -15,13 +19,20 @@ CREDIT_WORDS = ["credit", "cr", "deposit", "salary", "refund", "reversal", "inte
 NOISE_WORDS = ["txn", "txnid", "narration", "ref", "utr", "imps", "neft", "rtgs", "upi", "pos", "debit", "credit", "dr", "cr", "payment", "transfer", "via", "to", "by"]
 MARKERS = ["opening balance", "closing balance", "available balance", "statement period", "balance"]
 EDGE = " -:|,./"
+#: Decimal digits of other scripts, which dates and amounts may be written in.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
 
 
 def lines(statements: DataFrame, key: str = "statement_id", text: str = "text") -> DataFrame:
     """(key, seq, line): the non-empty lines with single blanks; seq is the line's place in the text."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}\x{1c}-\x{1e}]")
     found = statements.select(key, F.posexplode(split).alias("seq", "raw"))
-    return found.select(key, F.col("seq").cast("long").alias("seq"), F.btrim(F.regexp_replace("raw", r"(?U)\s+", " ")).alias("line")).where("line <> ''")
+    return found.select(key, F.col("seq").cast("long").alias("seq"), F.btrim(F.regexp_replace("raw", rf"(?U){SPACE}+", " ")).alias("line")).where("line <> ''")
+
+
+def plain_digits(line: Column) -> Column:
+    """The line with the digits of other scripts as 0 to 9, place by place."""
+    return F.when(line.rlike(r"(?U)[\d&&[^0-9]]"), F.translate(line, DIGITS, "".join(str(unicodedata.digit(c)) for c in DIGITS))).otherwise(line)
 
 
 def cleaned(text: Column) -> Column:
@@ -47,17 +58,22 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
     """
     rows = lines(statements, key, text).withColumn("low", F.lower("line"))
     rows = rows.where(~F.col("low").rlike("|".join(MARKERS)))
-    rows = rows.withColumn("raw_date", F.regexp_extract("line", DATE, 0)).where("raw_date <> ''")
-    rows = rows.withColumn("tidy_date", tidied(F.col("raw_date")))
+    rows = rows.withColumn("plain", plain_digits(F.col("line")))
+    rows = rows.withColumn("raw_date", F.regexp_extract("plain", DATE, 0)).where("raw_date <> ''")
+    # days and months count in digits 0 to 9 only, years in those of other scripts too
+    rows = rows.withColumn("date_at", F.call_function("locate", "raw_date", "plain"))
+    own = F.substring("line", F.col("date_at"), F.length("raw_date"))
+    rows = rows.withColumn("tidy_date", F.when(own.rlike(r"^(?:\p{ASCII}*[^\p{Nd}])?\p{Nd}+$|^\p{Nd}{4}[/-]\p{ASCII}+$"), tidied(F.col("raw_date"))))
     rows = rows.select("*", some(normalised_date(F.col("tidy_date"))).alias("date"))
-    rows = rows.withColumn("date_end", F.regexp_instr("line", F.lit(DATE)) - 1 + F.length("raw_date"))
+    # the first place of a match's text is the match's; places are those of characters, which a pattern's aren't beyond the basic plane
+    rows = rows.withColumn("date_end", F.col("date_at") - 1 + F.length("raw_date"))
     # each amount is found once in its line; what it is made of, and where it stands, follows from the match
-    rows = rows.select("*", F.explode(F.array(F.regexp_extract_all("line", F.lit(AMOUNT), F.lit(0)))).alias("full"))
+    rows = rows.select("*", F.explode(F.array(F.regexp_extract_all("plain", F.lit(AMOUNT), F.lit(0)))).alias("full"))
     rows = rows.withColumn("number", F.transform("full", lambda x: F.regexp_extract(x, AMOUNT, 1))).withColumn("suffix", F.transform("full", lambda x: F.regexp_extract(x, AMOUNT, 2)))
     starts = F.aggregate(
         "full",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, x: F.struct((F.call_function("locate", x, F.col("line"), acc["at"] + 1) - 1 + F.length(x)).alias("at"), F.concat(acc["starts"], F.array(F.call_function("locate", x, F.col("line"), acc["at"] + 1) - 1)).alias("starts")),
+        lambda acc, x: F.struct((F.call_function("locate", x, F.col("plain"), acc["at"] + 1) - 1 + F.length(x)).alias("at"), F.concat(acc["starts"], F.array(F.call_function("locate", x, F.col("plain"), acc["at"] + 1) - 1)).alias("starts")),
     )["starts"]
     rows = rows.withColumn("starts", starts)
     found = F.transform(
@@ -73,7 +89,7 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
     kind = F.when(F.lower("best.suffix") == "dr", "debit").when(F.lower("best.suffix") == "cr", "credit").when(has_word(padded, DEBIT_WORDS), "debit").when(has_word(padded, CREDIT_WORDS), "credit").otherwise("debit")
     after = F.btrim(F.substring("line", F.col("best.start") + F.col("best.len") + 1, F.length("line")), F.lit(EDGE))
     between = F.btrim(F.substring("line", F.col("date_end") + 1, F.col("best.start") - F.col("date_end")), F.lit(EDGE))
-    rows = rows.withColumn("after", F.when(after.rlike(r"^\d+[\d,.]+\s*$"), "").otherwise(cleaned(after))).withColumn("between", cleaned(between))
+    rows = rows.withColumn("after", F.when(plain_digits(after).rlike(r"^\d+[\d,.]+\s*$"), "").otherwise(cleaned(after))).withColumn("between", cleaned(between))
     merchant = F.when(F.col("after") != "", F.col("after")).when(F.col("between") != "", F.col("between")).otherwise("UNKNOWN")
     return rows.select(key, "seq", "date", F.col("best.amount").alias("amount"), kind.alias("type"), merchant.alias("merchant"))
 

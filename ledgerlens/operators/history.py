@@ -77,8 +77,9 @@ def first_transactions(transactions: DataFrame, n: int = 10, key: str = "stateme
 
 
 def document_list(rows: DataFrame) -> DataFrame:
-    """What lists of documents show: id, name, size as text, and whether there is a file."""
-    return rows.select("id", "name", format_bytes(F.col("size")).alias("size"), (F.coalesce("file_path", F.lit("")) != "").alias("has_pdf"))
+    """What lists of documents show: id, name, size as text, whether there is a file (by the old path), and whether there is a stored blob, if rows name one."""
+    there = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) != "") if c in rows.columns else F.lit(False)
+    return rows.select("id", "name", format_bytes(F.col("size")).alias("size"), there("file_path").alias("has_pdf"), there("blob_id").alias("has_blob"))
 
 
 def level_counts(rows: DataFrame) -> DataFrame:
@@ -86,6 +87,16 @@ def level_counts(rows: DataFrame) -> DataFrame:
     return rows.agg(*[F.count_if(F.col("risk_level") == x).alias(x.lower()) for x in ("HIGH", "MEDIUM", "LOW")], F.count("*").alias("reports"), F.floor(F.avg("risk_score") + 0.5).cast("long").alias("mean_score"))
 
 
+def subtotals(rows: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
+    """``measures`` of ``rows`` for all keys, for each shorter beginning of them, and for all rows: keys that are summed over are null, and level tells how many count.
+
+    One pass makes all levels (an Expand before the partial aggregate), distinct counts among the measures included; a null key of
+    the rows themselves is told from a summed one by level.
+    """
+    level = F.lit(len(keys)) - F.bit_count(F.grouping_id(*keys))
+    return rows.rollup(*keys).agg(*[c.alias(name) for name, c in measures.items()], level.cast("int").alias("level"))
+
+
 def flagged(rows: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """``rows`` with whether the key is in ``other``."""
     there = other.select(key).distinct().withColumn("_there", F.lit(True))

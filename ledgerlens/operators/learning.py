@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Distinct scores of one range of a running sum, about.
+RANGE_ROWS = 500_000
 EULER = 0.5772156649015329
 
 
@@ -102,14 +104,16 @@ def classification_metrics(rows: DataFrame, label: str, predicted: str, by: list
     return a.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def thresholds(rows: DataFrame, label: str, score: str, buckets: int = 64) -> DataFrame:
+def thresholds(rows: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """A row per distinct score, descending: cumulative true and false positives.
 
     Rows are counted per score; running sums are taken within ranges of scores and shifted by the sums of the ranges above, of which
-    the driver sees one row each.
+    the driver sees one row each. Unless ``buckets`` is given there is a range for every ``RANGE_ROWS`` distinct scores, 64 at least.
     """
     per = rows.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    cuts = sorted(set(per.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
+    if buckets is None:
+        buckets = max(64, (per.agg(F.approx_count_distinct("score")).first()[0] or 0) // RANGE_ROWS)
+    cuts = sorted(set(per.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets))).first()[0] or []))
     per = per.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col("score"))))
     sums = {r["_b"]: (r["p"], r["n"]) for r in per.groupBy("_b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()}
     above = [tuple(sum(sums.get(k, (0, 0))[i] for k in range(b + 1, len(cuts) + 1)) for i in (0, 1)) for b in range(len(cuts) + 1)]

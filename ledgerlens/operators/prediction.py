@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.storage import written
+
 from . import learning
 from .features import FEATURES, vector
 from .scoring import band, calibrated
@@ -28,6 +30,7 @@ class Detector:
 
 def fit(rows: DataFrame, names: list[str], key: str, trees: int = 200, contamination: float = 0.05) -> Detector:
     """Scaling by mean and deviation, a forest, and the 1 - contamination quantile of the rows' own scores."""
+    rows = written(rows.select(key, *names), "detector")  # several passes follow
     by = learning.moments(rows, names)
     scaled = learning.standardise(rows, names, by)
     forest = learning.isolation_trees(scaled, names, key, trees)
@@ -40,6 +43,13 @@ def alignment(given: int, expected: int) -> str:
     return "none" if given == expected else "padded" if given < expected else "truncated"
 
 
+def scores(detector: Detector, spark: SparkSession, names: list[str] | None = None) -> Column:
+    """The anomaly score of a row of features: in model order, padded with zeros or cut to the detector's width, and scaled."""
+    scale = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in zip(detector.means, detector.deviations, strict=True)])
+    x = F.zip_with(vector(names or FEATURES, len(detector.names)), scale, lambda v, s: (v - s["m"]) / s["d"])
+    return learning.anomaly_score(detector.trees, x, spark)
+
+
 def predict(rows: DataFrame, detector: Detector, key: str = "statement_id", names: list[str] | None = None) -> DataFrame:
     """(key, anomaly_score, risk_score, is_fraud, risk_level, feature_alignment_action) of every row of features.
 
@@ -47,10 +57,7 @@ def predict(rows: DataFrame, detector: Detector, key: str = "statement_id", name
     """
     names = names or FEATURES
     width = len(detector.names)
-    scale = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d")) for m, d in zip(detector.means, detector.deviations, strict=True)])
-    x = F.zip_with(vector(names, width), scale, lambda v, s: (v - s["m"]) / s["d"])
-    score = learning.anomaly_score(detector.trees, x, rows.sparkSession)
-    scored = rows.select(key, score.alias("anomaly_score"))
+    scored = rows.select(key, scores(detector, rows.sparkSession, names).alias("anomaly_score"))
     risk = calibrated(F.col("anomaly_score"))
     return scored.select(key, "anomaly_score", risk.alias("risk_score"), (F.col("anomaly_score") > detector.cut).alias("is_fraud"), band(risk, "inference").alias("risk_level"), F.lit(alignment(len(names), width)).alias("feature_alignment_action"))
 

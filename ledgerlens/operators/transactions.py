@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,21 +51,28 @@ def some(value: Column) -> Column:
     return F.explode(F.filter(F.array(value), lambda x: x.isNotNull()))
 
 
-def parse(statements: DataFrame, key: str = "statement_id", text: str = "text") -> DataFrame:
+#: What rows are left after each step of ``parse``, as it tells an observer.
+STEPS = ["lines", "unmarked", "dated", "readable", "amounts"]
+
+
+def parse(statements: DataFrame, key: str = "statement_id", text: str = "text", observe: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(key, seq, date, amount, type, merchant) of all lines that hold a transaction.
 
     Of the amounts after the date the one with a currency sign or a CR/DR suffix wins, then the smaller, then the first; numbers of more
-    than eight digits without decimals are references. Nulls and lines without date or amount give no row.
+    than eight digits without decimals are references. Nulls and lines without date or amount give no row. ``observe`` gets the rows
+    and the name of each of ``STEPS`` and gives the rows to go on with.
     """
-    rows = lines(statements, key, text).withColumn("low", F.lower("line"))
-    rows = rows.where(~F.col("low").rlike("|".join(MARKERS)))
+    seen = observe or (lambda rows, _: rows)
+    rows = seen(lines(statements, key, text), "lines").withColumn("low", F.lower("line"))
+    rows = seen(rows.where(~F.col("low").rlike("|".join(MARKERS))), "unmarked")
     rows = rows.withColumn("plain", plain_digits(F.col("line")))
     rows = rows.withColumn("raw_date", F.regexp_extract("plain", DATE, 0)).where("raw_date <> ''")
+    rows = seen(rows, "dated")
     # days and months count in digits 0 to 9 only, years in those of other scripts too
     rows = rows.withColumn("date_at", F.call_function("locate", "raw_date", "plain"))
     own = F.substring("line", F.col("date_at"), F.length("raw_date"))
     rows = rows.withColumn("tidy_date", F.when(own.rlike(r"^(?:\p{ASCII}*[^\p{Nd}])?\p{Nd}+$|^\p{Nd}{4}[/-]\p{ASCII}+$"), tidied(F.col("raw_date"))))
-    rows = rows.select("*", some(normalised_date(F.col("tidy_date"))).alias("date"))
+    rows = seen(rows.select("*", some(normalised_date(F.col("tidy_date"))).alias("date")), "readable")
     # the first place of a match's text is the match's; places are those of characters, which a pattern's aren't beyond the basic plane
     rows = rows.withColumn("date_end", F.col("date_at") - 1 + F.length("raw_date"))
     # each amount is found once in its line; what it is made of, and where it stands, follows from the match
@@ -84,7 +92,7 @@ def parse(statements: DataFrame, key: str = "statement_id", text: str = "text")
         ),
     )
     usable = F.filter(found, lambda x: (x["start"] >= F.col("date_end")) & x["amount"].isNotNull() & (F.contains(x["number"], F.lit(".")) | (F.length(F.replace(x["number"], F.lit(","), F.lit(""))) <= 8)))
-    rows = rows.select("*", some(F.array_min(usable)).alias("best"))
+    rows = seen(rows.select("*", some(F.array_min(usable)).alias("best")), "amounts")
     padded = F.concat(F.lit(" "), F.col("low"), F.lit(" "))
     kind = F.when(F.lower("best.suffix") == "dr", "debit").when(F.lower("best.suffix") == "cr", "credit").when(has_word(padded, DEBIT_WORDS), "debit").when(has_word(padded, CREDIT_WORDS), "credit").otherwise("debit")
     after = F.btrim(F.substring("line", F.col("best.start") + F.col("best.len") + 1, F.length("line")), F.lit(EDGE))

@@ -470,10 +470,10 @@ def report_metadata(spark, d):
     """Reports with their document, named in JSON, of which the first by size and path counts."""
     rows = reports(spark, d).withColumn("response", F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("c"), F.col("id") % 500).alias("id")).alias("storage_ref")).alias("data"))))
     rows = rows.withColumn("document_id", readers.json_value("response", "$.data.storage_ref.id"))
-    docs = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey") % 400).alias("document_id"), (F.col("c_custkey") * 977).alias("size"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("/f/"), F.col("c_custkey").cast("string"))).alias("file_path"), F.col("c_name").alias("doc_name"))
+    docs = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey") % 400).alias("document_id"), (F.col("c_custkey") * 977).alias("size"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("/f/"), F.col("c_custkey").cast("string"))).alias("file_path"), F.when(F.col("c_custkey") % 4 != 0, F.md5(F.col("c_custkey").cast("string"))).alias("blob_id"), F.col("c_name").alias("doc_name"))
     found = history.with_metadata(rows.select("id", "document_id"), docs, "document_id")
     shown = history.document_list(found.withColumnRenamed("doc_name", "name"))
-    return shown.select("id", "name", "size", "has_pdf")
+    return shown.select("id", "name", "size", "has_pdf", "has_blob")
 
 
 def type_totals(spark, d):
@@ -676,7 +676,7 @@ SELECT c_custkey, c_acctbal * 40 AS Amount, round((c_acctbal * 40 - m) / s, 5) A
     "report_order": f"WITH {_REPORTS} " + " UNION ALL ".join(f"SELECT '{by}' AS sorted_by, row_number() OVER (ORDER BY {order}, id) AS place, id, name, risk_score FROM r" for by, order in (("score", "risk_score DESC"), ("name", "lower(name)"), ("date", "created_at DESC"))),
     "report_metadata": f"""
 WITH d AS (SELECT 'c' || (c_custkey % 400) AS document_id, min(c_custkey) AS k, arg_min(c_name, c_custkey) AS name FROM customer GROUP BY 1)
-SELECT o_orderkey AS id, name, {_BYTES('k * 977')} AS size, coalesce(k % 3 <> 0, false) AS has_pdf FROM orders LEFT JOIN d ON document_id = 'c' || (o_orderkey % 500)""",
+SELECT o_orderkey AS id, name, {_BYTES('k * 977')} AS size, coalesce(k % 3 <> 0, false) AS has_pdf, coalesce(k % 4 <> 0, false) AS has_blob FROM orders LEFT JOIN d ON document_id = 'c' || (o_orderkey % 500)""",
     "type_totals": f"WITH tx AS ({ORDERS_SQL}) SELECT statement_id, round(coalesce(sum(amount) FILTER (type = 'debit'), 0), 2) AS total_debit, count(*) FILTER (type = 'debit') AS debit_count, round(coalesce(sum(amount) FILTER (type = 'credit'), 0), 2) AS total_credit, count(*) FILTER (type = 'credit') AS credit_count FROM tx GROUP BY 1",
     "first_transactions": f"WITH tx AS ({EVENTS_SQL}) SELECT statement_id, seq, type, round(amount, 4) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY seq) AS k FROM tx) WHERE k <= 10",
     "report_accuracy": f"WITH {_REPORTS} SELECT risk_level, CAST(floor(avg(100 - risk_score) + 0.5) AS BIGINT) AS accuracy FROM r GROUP BY 1",

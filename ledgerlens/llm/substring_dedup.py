@@ -3,7 +3,7 @@
 A text is cut into words at ASCII white space and into sentences at line ends and after words that end in . ! or ?; a sentence of
 more than ``UNIT_WORDS`` words counts as several. Every run of ``RUN`` consecutive sentences (all sentences, in a shorter text),
 and of as many more as it takes to have ``MIN_WORDS`` words, is hashed to 95 bits over its lower-cased words. Of the places of a
-hash over all documents the first, by doc_id and position, stays; sentences covered by any other place are removed, with the white
+hash over all documents the first, by doc_id, text hash and position, stays; sentences covered by any other place are removed, with the white
 space before them.
 
 Sentences are cut from where they begin, so that a passage that begins inside one may share no run with its other places. What
@@ -12,12 +12,12 @@ too. Candidates are windows' least hashes of ``GRAM`` words, one of which any tw
 whole windows only where a candidate is repeated and kept.
 
 Runs and candidates come from one pass over the texts, as rows of fixed size: a place and a hash. The search for firsts is a partial
-hash aggregate of ids, saved before it is joined back, so that adaptive execution can split the join of a very common run. Texts
+hash aggregate of documents' ranks, saved before it is joined back, so that adaptive execution can split the join of a very common run. Texts
 are joined again only for documents that hold a kept candidate, and to be cut.
 
 Edge cases: null texts stay null and have no sentences; empty texts and texts of white space stay; white space at the end belongs to the last
-sentence; rows that share id and text are one document and keep what it keeps; texts that share an id, or have none, aren't repeats of each
-other's runs (as every run has one first id); null ids come first; ids must be integers; texts of any length are cut whole; other columns come back as they were whatever their names.
+sentence; rows that share id and text are one document and keep what it keeps; texts that share an id, or have none, are documents of
+their own, in the order of their hashes; null ids come first; ids must be integers; texts of any length are cut whole; other columns come back as they were whatever their names.
 """
 
 from __future__ import annotations
@@ -184,21 +184,27 @@ def order_of(doc: Column) -> Column:
     return F.coalesce(doc.cast("long"), F.lit(-(2**63)))
 
 
+def rank() -> Column:
+    """doc_id and 32 bits of the text's hash as one number that a hash aggregate can take the minimum of."""
+    low = F.col("_th").bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(10,0)")
+    return (order_of(F.col("doc_id")).cast("decimal(19,0)") * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(30,0)")
+
+
 def place() -> Column:
-    """doc_id and position as one number that a hash aggregate can take the minimum of."""
-    return order_of(F.col("doc_id")).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("_at").cast("decimal(10,0)")
+    """A document's rank and a position as one number."""
+    return (rank().cast("decimal(29,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_at").cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def later_places(rows: DataFrame, name: str) -> DataFrame:
     """(doc_id, _th, _at, _end, _h1) of the rows of ``marks`` whose hash has a place before theirs.
 
-    A document's own repeats are known from the pass over it. Of its other marks those are later whose hash a lesser id has: one long is all that the
-    aggregate keeps. Its result grows with the rows, so that it is joined by shuffle at any size.
+    A document's own repeats are known from the pass over it. Of its other marks those are later whose hash a document of lesser rank has: one
+    number is all that the aggregate keeps. Its result grows with the rows, so that it is joined by shuffle at any size.
     """
     names = ["doc_id", "_th", "_at", "_end", "_h1"]
     first = rows.where("_opens").select(*names, "_h2")
-    least = first.groupBy("_h1", "_h2").agg(F.min(order_of(F.col("doc_id"))).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = first.join(saved(least, name, shrink=4).hint("merge"), ["_h1", "_h2"]).where(order_of(F.col("doc_id")) > F.col("_least"))
+    least = first.groupBy("_h1", "_h2").agg(F.min(rank()).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = first.join(saved(least, name, shrink=4).hint("merge"), ["_h1", "_h2"]).where(rank() > F.col("_least"))
     return again.select(*names).unionByName(rows.where(~F.col("_opens")).select(*names))
 
 

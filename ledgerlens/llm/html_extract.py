@@ -9,12 +9,14 @@ block with the largest sum of its children's densities is the core of the text;
 inline elements included, is a child of its share of the density. The least density on the path from the core to the body is the threshold: as
 long as a sibling of the chosen subtree reaches it, the parent is chosen. Before that go elements that are no text of the article by
 name, role or class: menus, headers (but not an article's), footers, sidebars, notices, adverts, forms, scripts, styles and comments.
+Classes and ids are taken name by name; one that tells of a state or layout (has-sidebar, no-menu, search-results) marks nothing, and a
+mark that containers of articles bear as well (sidebar, widget, promo and such) doesn't remove what holds most of the page's text.
 
 The text is taken block by block: character references decoded, white space as one blank, blocks and line breaks joined by a line
 end. Pages are taken one by one, without a shuffle, in time linear in their length.
 
 Edge cases: null and empty pages and pages without a body of text give the empty text; unclosed and stray tags are closed and
-skipped as browsers do; repeated rows give equal texts; pages of any length are read whole; other columns are not read.
+skipped as browsers do; drawings and formulas that are closed in themselves or never end only themselves; repeated rows give equal texts; pages of any length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,39 +50,89 @@ MARKS = frozenset(
     "related recommended share sharing social newsletter subscribe subscription signup popup popups modal overlay widget widgets toolbar copyright "
     "pagination pager skip login search".split()
 )
+#: Marks that containers of articles bear as well.
+WEAK = frozenset("sidebar sidebars widget widgets search related recommended share sharing social promo promotion masthead topbar modal overlay toolbar copyright skip login".split())
+#: Words that begin a name of a state or layout, or stand before a mark in one.
+STATES = frozenset("has have no not with without is are hide show enable disable".split())
+#: What makes search a box and not what was found.
+BOXES = frozenset("form box bar field input button toggle widget container wrapper icon".split())
+#: Elements of other languages, which may be closed in themselves.
+FOREIGN = frozenset(["svg", "math"])
+NONE, SOFT, HARD = 0, 1, 2
 REMARKS = frozenset("comment comments disqus reply replies respond".split())
 #: What an opening tag closes if it is open in the same scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
 
+FOREIGN_TAG = {name: re.compile(rf"<(/?){name}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I) for name in FOREIGN}
+
+
 class Tree:
     """Nodes in page order with their parents and ends, and the texts and breaks between tags."""
 
     def __init__(self, page: str):
-        self.tags, self.parent, self.end, self.gone = ["#"], [-1], [0], [False]
+        self.tags, self.parent, self.end, self.mark = ["#"], [-1], [0], [NONE]
         self.events: list[tuple[int, str | None]] = []
         self.open = [0]
         self.depths: dict[str, list[int]] = {}  # where in the stack each tag is open
         self.blocks = [0]  # and where those are that aren't inline
-        at = 0
-        while m := TOKEN.search(page, at):
+        at, last = 0, page.rfind(">") + 1  # no tag ends behind it
+        foreign: dict[str, dict[int, int]] = {}
+        while m := TOKEN.search(page, at, last):
             self.text(page[at : m.start()])
             at = m.end()
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             name = (m[2] or m[5] or "").lower()
             if not name:
                 continue
             if m[1] or m[4]:
                 self.close(name)
                 continue
-            self.start(name, m[3] or m[6] or "")
+            attributes = m[3] or m[6] or ""
+            self.start(name, attributes)
             if name in RAW:
-                stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                if name not in FOREIGN:
+                    stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                    at = stop.end() if stop else len(page)
+                elif not attributes.endswith("/"):
+                    if name not in foreign:
+                        foreign[name] = self.foreign_ends(page, name, last)
+                    at = foreign[name].get(m.start(), at)
                 self.pop()
-        self.text(page[at:])
+        self.text(page[at:].partition("<!--")[0])
         while self.open:
             self.pop()
+        self.gone = self.settled()
+
+    @staticmethod
+    def foreign_ends(page: str, name: str, last: int) -> dict[int, int]:
+        """Where each drawing or formula that ends does so, by where it begins; others of its kind may stand inside it."""
+        ends, open_ = {}, []
+        for m in FOREIGN_TAG[name].finditer(page, 0, last):
+            if m[1]:
+                if open_:
+                    ends[open_.pop()] = m.end()
+            elif not m[0].endswith("/>"):
+                open_.append(m.start())
+        return ends
+
+    def settled(self) -> list[bool]:
+        """Which nodes go: marked ones and all below them, but for a soft mark on what holds more than half of the text that hard ones leave."""
+        n = len(self.tags)
+        hard, chars = [False] * n, [0] * n
+        for i in range(1, n):
+            hard[i] = self.mark[i] == HARD or hard[self.parent[i]]
+        for i, text in self.events:
+            if text and not hard[i]:
+                chars[i] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = hard[i] or gone[self.parent[i]] or self.mark[i] == SOFT and 2 * chars[i] <= chars[0]
+        return gone
 
     def text(self, raw: str) -> None:
         if raw:
@@ -121,7 +173,7 @@ class Tree:
         self.tags.append(name)
         self.parent.append(up)
         self.end.append(0)
-        self.gone.append(self.gone[up] or self.is_gone(name, attributes))
+        self.mark.append(self.marked(name, attributes))
         if name in VOID or attributes.endswith("/") and name in RAW | {"path"}:
             self.end[-1] = len(tags)
             if name in RAW:
@@ -129,19 +181,28 @@ class Tree:
         else:
             self.push(name)
 
-    def is_gone(self, name: str, attributes: str) -> bool:
+    def marked(self, name: str, attributes: str) -> int:
         if name in GONE or name in RAW:
-            return True
+            return HARD
         if name == "header" and not self.depth(WHOLE):
-            return True
+            return HARD
         if name in ("html", "body") or not attributes:
-            return False
-        marks = REMARKS if name in WHOLE else MARKS
+            return NONE
+        marks, found = REMARKS if name in WHOLE else MARKS, NONE
         for m in NAMED.finditer(attributes):
             value = (m[2] or m[3] or m[4] or "").lower()
-            if value in ROLES if m[1].lower() == "role" else not marks.isdisjoint(PART.findall(value)):
-                return True
-        return False
+            if m[1].lower() == "role":
+                found = HARD if value in ROLES else found
+                continue
+            for token in value.split():
+                words = PART.findall(token)
+                own = {w for before, w in zip(["", *words], words, strict=False) if w in marks and before not in STATES}
+                if not own or words[0] in STATES:
+                    continue
+                if own == {"search"} and len(words) > 1 and words[-1] != "search" and BOXES.isdisjoint(words):
+                    continue
+                found = max(found, SOFT if own <= WEAK else HARD)
+        return found
 
     def close(self, name: str) -> None:
         if self.depths.get(name):

@@ -2,7 +2,9 @@
 
 The distinct new words of an Arrow batch become one flat array of symbols. A round looks all neighbouring pairs up by binary
 search over the sorted pair keys, takes the lowest rank in each word, and merges every place that has it; words without a
-known pair leave the array. Ids of words seen before come from a bounded cache. Documents never leave their partition.
+known pair leave the array. A word of more than ``LONG_WORD`` symbols gets an array of its own, in which ranks are kept between rounds
+and only pairs beside merged places are looked up again, so that a round costs what it merges. Ids of words seen before come from
+a cache that is bounded by bytes. Documents never leave their partition.
 
 Edge cases: null and empty texts have no ids and decode to the empty text; repeated rows encode alike; texts of any length are
 encoded whole; the strings of added tokens within a text become their ids; other columns are not read.
@@ -16,6 +18,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -25,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import python_batches, table
 
-CACHED_WORDS = 250_000
+#: Bytes of the cache, with about ``ENTRY_BYTES`` for the objects of an entry.
+CACHED_BYTES, ENTRY_BYTES = 60 << 20, 200
+LONG_WORD = 2000
 #: Symbols of one merge call; longer batches of new words are cut, a single longer word is not.
 FLAT_SYMBOLS = 200_000
 
@@ -68,9 +73,66 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([ids[a + b] for a, b in merges], np.int64)
 
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], NO_RANK)
+
+    def merged_long(self, raw: bytes) -> bytes:
+        """The ids of one long word: places wait by the rank of their pair, the lowest rank first, in a linked list of symbols."""
+        flat = np.frombuffer(raw, np.uint8)
+        symbols = self.inner[flat]
+        symbols[-1] = self.last[flat[-1]]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n + 1, NO_RANK, np.int32)  # of the pair that begins at a place
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            found = self.ranked(symbols[places], symbols[after[places]])
+            rank[places] = found
+            places, found = places[found != NO_RANK], found[found != NO_RANK]
+            order = np.argsort(found, kind="stable")
+            found, firsts = np.unique(found[order], return_index=True)
+            for r, part in zip(found.tolist(), np.split(places[order], firsts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(queue, r)
+                waiting[r].append(part)
+
+        wait(np.arange(n - 1))
+        while queue:
+            r = heappop(queue)
+            parts = waiting.pop(r)
+            places = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            places = places[rank[places] == r]
+            if not len(places):
+                continue
+            # of a run of overlapping places every second one merges, from the left
+            fresh = np.append(True, after[places[:-1]] != places[1:])
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
+            places = places[(np.arange(len(places)) - run) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made[r]
+            symbols[gone] = -1
+            rank[gone] = rank[places] = NO_RANK
+            after[places] = after[gone]
+            inner = after[places] < n
+            before[after[places[inner]]] = places[inner]
+            left = before[places]
+            wait(np.unique(np.concatenate([left[left >= 0], places[inner]])))
+        return symbols[symbols >= 0].astype(np.int32).tobytes()
+
     def merged(self, words: list[str]) -> list[bytes]:
         """The ids of each word (not empty), as 32-bit integers."""
         raw = [w.encode("utf-8", "replace") for w in words]
+        if any(len(w) > LONG_WORD for w in raw):
+            rest = iter(self.merged([w for w, r in zip(words, raw, strict=True) if len(r) <= LONG_WORD]))
+            return [self.merged_long(r) if len(r) > LONG_WORD else next(rest) for r in raw]
+        if not raw:
+            return []
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(sizes)
@@ -80,10 +142,7 @@ class Vocabulary:
         done_owner, done_symbols = [], []
         while len(symbols):
             inside = owner[1:] == owner[:-1]
-            keys = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            ranks = np.where(inside & (self.keys[at] == keys), self.ranks[at], NO_RANK)
-            ranks = np.append(ranks, NO_RANK)
+            ranks = np.append(np.where(inside, self.ranked(symbols[:-1], symbols[1:]), NO_RANK), NO_RANK)
             starts = np.flatnonzero(np.append(True, ~inside))
             lowest = np.minimum.reduceat(ranks, starts)
             width = np.diff(np.append(starts, len(symbols)))
@@ -112,14 +171,18 @@ class Vocabulary:
         return [symbols[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+#: Combining marks of the lowest and the highest class.
+LOW_MARK, HIGH_MARK = "\u0334", "\u0345"
 #: Code points that the letter tables are made of at a time.
 LETTER_BLOCK = 4096
 
 
 class Letters:
-    """What counts as a letter or digit, and lower case and NFC where the interpreter's Unicode version differs, as the tokenizers library has them.
+    """What counts as a letter or digit, lower case where the interpreter's Unicode version differs, and the code points in ``odd`` beside which NFC may differ, as the tokenizers library has them.
 
-    The code points are looked at block by block, so that no more than one block's strings are held.
+    The code points are looked at block by block, so that no more than one block's strings are held. NFC of a text without odd ones is the
+    same in both: they compose alike, alone and from their parts, and are marks of the same order, which shows beside a mark of a low
+    and of a high class.
     """
 
     def __init__(self) -> None:
@@ -129,7 +192,7 @@ class Letters:
         low, nfc = normalizers.Lowercase(), normalizers.NFC()
         found: list[list[list[int]]] = [[], []]
         self.lower: dict[int, str] = {}
-        self.composed: dict[int, str] = {}
+        odd: set[int] = set()
         for first in range(0, sys.maxunicode + 1, LETTER_BLOCK):
             points = [c for c in range(first, first + LETTER_BLOCK) if not 0xD800 <= c < 0xE000 and c != 10]
             if not points:
@@ -144,7 +207,12 @@ class Letters:
                         runs.append([points[a], points[b - 1]])
             lines = "\n".join(chars)
             self.lower |= {c: x for c, x in zip(points, low.normalize_str(lines).split("\n"), strict=True) if x != chr(c).lower()}
-            self.composed |= {c: x for c, x in zip(points, nfc.normalize_str(lines).split("\n"), strict=True) if x != unicodedata.normalize("NFC", chr(c))}
+            for make in (str, lambda x: unicodedata.normalize("NFD", x), lambda x: f"a{HIGH_MARK}{x}", lambda x: f"a{x}{LOW_MARK}", lambda x: f"a{LOW_MARK}{HIGH_MARK}{x}{LOW_MARK}"):
+                shown = "\n".join(map(make, chars))
+                theirs, ours = nfc.normalize_str(shown), unicodedata.normalize("NFC", shown)
+                if theirs != ours:
+                    odd |= {c for c, x, y in zip(points, theirs.split("\n"), ours.split("\n"), strict=True) if x != y}
+        self.odd = re.escape("".join(map(chr, sorted(odd))))
         self.letters, self.digits = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) for runs in found)
 
 
@@ -154,9 +222,11 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         letters, digits = vocabulary.kinds.letters, vocabulary.kinds.digits
         self.lower = vocabulary.kinds.lower | {ord("Σ"): "σ"}  # letter by letter, so that a final sigma gets no form of its own
-        self.composed = vocabulary.kinds.composed
+        self.odd = re.compile(f"[{vocabulary.kinds.odd}]" if vocabulary.kinds.odd else r"(?!)")
+        self.nfc = None
         self.word = re.compile(rf"[{letters}]+|[{digits}]|'s|'t|'re|'ve|'m|'ll|'d|[^{SPACE}{letters}{digits}]+")
         self.heads = {t[:2] for t in self.v.added}  # what a text must contain for an added token to be looked for
         self.special = re.compile("|".join(map(re.escape, sorted(self.v.added, key=len, reverse=True))) or r"(?!)")
@@ -168,10 +238,19 @@ class Encoder:
             vocabulary.encoder = cls(vocabulary)
         return vocabulary.encoder
 
+    def composed(self, text: str) -> str:
+        if not self.odd.search(text):
+            return unicodedata.normalize("NFC", text)
+        if self.nfc is None:
+            from tokenizers import normalizers
+
+            self.nfc = normalizers.NFC()
+        return self.nfc.normalize_str(text)
+
     def chunks(self, text: str) -> list[str]:
         """What stands between white space, in NFC and lower case."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text.translate(self.composed) if self.composed else text).translate(self.lower)
+            text = self.composed(text).translate(self.lower)
         text = text.lower()
         if SEPARATORS.search(text):  # white space to str.split(), but not to the vocabulary
             return re.split(f"[{SPACE}]+", text.strip(SPACES))
@@ -201,13 +280,15 @@ class Encoder:
         if part:
             words.update(zip(part, self.v.merged(part), strict=True))
         for c, own in zip(new, cut, strict=True):
-            self.cache[c] = words[own[0]] if len(own) == 1 else b"".join(map(words.__getitem__, own))
+            self.cache[c] = found = words[own[0]] if len(own) == 1 else b"".join(map(words.__getitem__, own))
+            self.held += ENTRY_BYTES + len(c) + len(found)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         cut = [self.pieces(t or "") for t in texts]
-        if len(self.cache) > CACHED_WORDS:
+        if self.held > CACHED_BYTES:
             self.cache.clear()
+            self.held = 0
         self.learn(chain.from_iterable(cut))
         get = self.cache.__getitem__
         for chunks in cut:

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters
+from .bpe import SPACE, byte_letters
 from .common import discard, keyed, partitions, python_batches, table, work_path
 from .neighbours import bucket_of, cut_points
 
@@ -62,6 +63,45 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], dict[str, int
     return {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}, added
 
 
+#: White space from here on is taken out of a text: the pattern's engine backtracks over a run of it and fails on a million.
+LONG_RUN = 100_000
+
+
+class IdEncoder:
+    """Ids of whole texts, those of the tokenizers library."""
+
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int]):
+        import tiktoken
+
+        self.ranks, self.added = ranks, added
+        self.encoding = tiktoken.Encoding("store", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        self.single = None
+        self.run = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) < LONG_RUN or not self.run.search(text):
+            return self.encoding.encode_to_numpy(text, allowed_special="all")
+        parts, at = [], 0
+        for m in self.special.finditer(text):
+            parts += [*self.plain(text[at : m.start()]), np.array([self.added[m[0]]], np.uint32)]
+            at = m.end()
+        return np.concatenate([*parts, *self.plain(text[at:])])
+
+    def plain(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text without added tokens, part by part. A run of white space is one word of its own up to its last character, which goes with what follows."""
+        import tiktoken
+
+        at = 0
+        for m in self.run.finditer(text):
+            yield self.encoding.encode_to_numpy(text[at : m.start()], disallowed_special=())
+            at = m.end() if m.end() == len(text) else m.end() - 1
+            if self.single is None:
+                self.single = tiktoken.Encoding("run", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+            yield self.single.encode_to_numpy(text[m.start() : at])
+        yield self.encoding.encode_to_numpy(text[at:], disallowed_special=())
+
+
 def cut(ids: np.ndarray) -> list[int]:
     """The ends of a document's chunks: where the hash of the last WINDOW ids has MEAN_BITS zeros, at least LEAST and at most MOST ids apart."""
     n = len(ids)
@@ -100,16 +140,13 @@ def pack(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
     width = 2 if max([*ranks.values(), *added.values(), end_id]) < 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks, added = shared.value
-        encoding = tiktoken.Encoding("store", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
+        encode = IdEncoder(*shared.value)
         seen: set[bytes] = set()
         for batch in batches:
             out: dict[str, list] = {"n_tokens": [], "root": [], "digests": [], "sizes": [], "data": []}
             with np.errstate(over="ignore"):
                 for text in batch.column(2).to_pylist():
-                    ids = np.append(encoding.encode_to_numpy(text, allowed_special="all"), np.uint32(end_id))
+                    ids = np.append(encode(text), np.uint32(end_id))
                     raw, ends = ids.astype(f"<u{width}").tobytes(), cut(ids)
                     parts = [raw[width * a : width * b] for a, b in zip([0, *ends], ends, strict=False)]
                     digests = [hashlib.blake2b(p, digest_size=DIGEST).digest() for p in parts]

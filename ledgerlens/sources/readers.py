@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import math
+import sys
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,38 +23,84 @@ NEEDED = {"date", "amount", "type"}
 #: Limits of the service and of the gateway before it.
 MAX_BYTES, GATEWAY_BYTES = 30 << 20, 50 << 20
 MIME = {"pdf": "application/pdf", "csv": "text/csv", "txt": "text/plain", "json": "application/json"}
+#: Rows of a CSV file that are given on together.
+CSV_BATCH = 10_000
 #: Partitions of a vector index; a document is in the one its id's hash names.
 INDEX_BUCKETS = 64
 
 
-def header_of(lines: DataFrame) -> DataFrame:
-    """(file, _at, header, count): the first line of each file, where it is, and its cells in lower case."""
-    first = lines.where("_start = 0").groupBy("file").agg(F.min(F.struct("_seq", "value")).alias("_f"))
-    cells = F.transform(F.split(F.regexp_replace("_f.value", "\ufeff", ""), ","), lambda x: F.lower(F.btrim(F.btrim(x), F.lit('"'))))
-    return first.select("file", F.col("_f._seq").alias("_at"), cells.alias("header")).withColumn("count", F.size("header"))
+CSV_ROWS = "file string, seq bigint, date string, amount double, type string, merchant string, timestamp string, error string"
+
+
+def csv_table(content: bytes) -> Iterator[tuple]:
+    """(seq, date, amount, type, merchant, timestamp, error) of a CSV file's rows; one with a null seq if the file can't be read, at all or from there on."""
+    cells = csv.reader(io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", newline=""))
+    try:
+        names = [c.lower().strip() for c in next(cells, [])]
+        at = {c: i for i, c in enumerate(names)}
+        if missing := sorted(NEEDED - at.keys()):
+            yield None, None, None, None, None, None, f"columns are missing: {missing}"
+            return
+        if not at.keys() & {"merchant", "description"}:
+            yield None, None, None, None, None, None, "a merchant or description column is needed"
+            return
+        for seq, row in enumerate(r for r in cells if r):
+            if len(row) != len(names):
+                yield seq, None, None, None, None, None, f"{len(row)} cells for {len(names)} columns"
+                continue
+            value = {c: row[i].strip() for c, i in at.items()}
+            try:
+                amount = float(value["amount"])
+            except ValueError:
+                amount = math.nan
+            kind = value["type"].lower()
+            error = "amount" if not math.isfinite(amount) else "type" if kind not in ("debit", "credit") else None
+            yield seq, value["date"], None if error == "amount" else amount, kind, value.get("merchant") or value.get("description") or "UNKNOWN", value.get("timestamp"), error
+    except (UnicodeDecodeError, csv.Error) as e:
+        yield None, None, None, None, None, None, f"not a CSV file in UTF-8: {e}"
+
+
+def csv_rows(binary: DataFrame) -> DataFrame:
+    """(file, seq, date, amount, type, merchant, timestamp, error) of binary files (path, content), a batch or a stream.
+
+    Each file has a header of its own, in any order and case, and is read as a whole, so that quoted cells may go over several lines; seq
+    numbers its rows from 0. Rows that are too short or long, or whose amount or type can't be read, have that as error; so has a row without seq for
+    a file that lacks columns, isn't UTF-8, or breaks off; an empty file has no rows at all. Files are bounded by what a binary cell holds (2 GB); uploads are far below.
+    """
+    csv.field_size_limit(sys.maxsize)
+    names = [c.split()[0] for c in CSV_ROWS.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        schema = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("date", pa.string()), ("amount", pa.float64()), *[(c, pa.string()) for c in names[4:]]])
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = ((path, *r) for r in csv_table(content.as_py() or b""))
+                while part := list(islice(rows, CSV_BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
 
-def transactions_csv(spark: SparkSession, path: str, statement_id: str = "file") -> DataFrame:
-    """(statement_id, seq, date, amount, type, merchant, timestamp): rows of the CSV files below ``path`` that can be read; a file is a statement.
+    bounded(binary.sparkSession)
+    return binary.select("path", "content").mapInArrow(run, CSV_ROWS)
 
-    Each file has a header of its own, in any order and case; merchant may be called description. Rows with an unreadable amount or
-    type are skipped; a file without the needed columns is an error. Cells may be quoted, but not over several lines.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq"))
-    headers = header_of(lines)
-    has = lambda c: F.array_contains("header", c)
-    told = headers.select("header", F.array_except(F.array(*map(F.lit, sorted(NEEDED))), "header").alias("missing"), (has("merchant") | has("description")).alias("named"), "count")
-    width = told.agg(F.max("count"), F.max(F.struct(F.size("missing"), "missing")), F.min("named")).first()
-    if width[0] is not None and width[1][0]:
-        raise ValueError(f"columns are missing: {width[1][1]}")
-    if width[2] is False:
-        raise ValueError("a merchant or description column is needed")
-    cells = F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(width[0] or 1))))
-    rows = lines.join(headers, "file").where(F.col("_seq") > F.col("_at")).withColumn("_c", cells).withColumn("_cells", F.array(*[F.col(f"_c.c{i}") for i in range(width[0] or 1)]))
-    cell = lambda c: F.when(has(c), F.get("_cells", F.array_position("header", c).cast("int") - 1))
-    merchant = F.coalesce(*[F.nullif(F.btrim(cell(c)), F.lit("")) for c in ("merchant", "description")], F.lit("UNKNOWN"))
-    rows = rows.select(F.col("file").alias(statement_id), F.col("_seq").alias("seq"), F.btrim(cell("date")).alias("date"), cell("amount").try_cast("double").alias("amount"), F.lower(F.btrim(cell("type"))).alias("type"), merchant.alias("merchant"), cell("timestamp").alias("timestamp"))
-    return rows.where(F.col("amount").isNotNull() & F.col("type").isin("debit", "credit"))
+
+def readable(rows: DataFrame, statement_id: str = "file") -> DataFrame:
+    """The transactions among ``csv_rows``; a file is a statement."""
+    return rows.where(F.col("error").isNull()).select(F.col("file").alias(statement_id), "seq", "date", "amount", "type", "merchant", "timestamp")
+
+
+def transactions_csv(spark: SparkSession, path: str, statement_id: str = "file") -> DataFrame:
+    """(statement_id, seq, date, amount, type, merchant, timestamp): rows of the CSV files below ``path`` that can be read, as of ``csv_rows``; a file that can't is an error."""
+    rows = written(csv_rows(spark.read.format("binaryFile").load(path)), "csv")
+    broken = rows.where(F.col("seq").isNull()).agg(F.min(F.struct("error", "file")).alias("e")).first()["e"]
+    if broken:
+        raise ValueError(f"{broken['error']} ({broken['file']})")
+    return readable(rows, statement_id)
+
+
+def transactions_csv_stream(spark: SparkSession, path: str, statement_id: str = "file", files_at_once: int = 1000) -> DataFrame:
+    """The same of files as they come below ``path``; files that can't be read give no rows."""
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_at_once).load(path)
+    return readable(csv_rows(found), statement_id)
 
 
 def training_csv(spark: SparkSession, path: str) -> DataFrame:

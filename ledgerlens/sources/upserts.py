@@ -17,6 +17,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerlens.functions.storage import discard, written
 
@@ -76,6 +77,8 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the table as of its last commit."""
     state = last_commit(spark, path)
     rows = stored(spark, path, state)
+    if rows is None and "schema" in state:
+        rows = spark.createDataFrame([], StructType.fromJson(json.loads(state["schema"])))
     if rows is None:
         raise ValueError(f"nothing has been written to {path}")
     return rows.drop(*OWN)
@@ -104,17 +107,22 @@ def write(rows: DataFrame, path: str, keys: list[str], merge: Callable[[DataFram
     new = written(rows.withColumns({"_bucket": bucket(keys, buckets), "_stream": F.lit(stream), "_batch": F.lit(-1 if batch is None else batch).cast("long")}), "upsert")  # a source may be read only once
     touched = {r["_bucket"] for r in new.select("_bucket").distinct().collect()}  # at most ``buckets``
     generation = state["generation"] + 1
+    filled = set()
     token = spark._jvm.java.util.UUID.randomUUID().toString()[:8]
+    schema = state.get("schema")
     if touched:
         there = stored(spark, path, state, touched)
         kept, refused = merge(there, new)
-        kept.repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/rows/generation={generation}")
+        schema = kept.schema.json()
+        place = f"{path}/rows/generation={generation}"
+        kept.repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(place)
+        filled = {b for b in touched if folder(spark, f"{place}/_bucket={b}")[1].exists(folder(spark, f"{place}/_bucket={b}")[0])}  # a bucket may have become empty
         if refused is not None:
             refused = written(refused, "refused")
             if not refused.isEmpty():
                 refused.write.mode("overwrite").parquet(f"{path}/conflicts/generation={generation}")
     streams = state["streams"] | ({} if batch is None else {stream: batch})
-    commit(spark, path, {"generation": generation, "token": token, "count": buckets, "keys": keys, "buckets": state["buckets"] | {str(b): generation for b in touched}, "streams": streams})
+    commit(spark, path, {"generation": generation, "token": token, "count": buckets, "keys": keys, **({"schema": schema} if schema else {}), "buckets": {b: g for b, g in state["buckets"].items() if int(b) not in touched} | {str(b): generation for b in filled}, "streams": streams})
     return True
 
 
@@ -153,6 +161,21 @@ def insert_unique(rows: DataFrame, path: str, keys: list[str], stream: str = "",
     return write(rows, path, keys, merge, stream, batch, buckets)
 
 
+def delete(rows: DataFrame, path: str, keys: list[str], stream: str = "", batch: int | None = None, buckets: int = BUCKETS) -> bool:
+    """Remove the rows with the keys of ``rows``; keys that aren't there are no error."""
+
+    def merge(there: DataFrame | None, new: DataFrame) -> tuple[DataFrame, None]:
+        if there is None:
+            return new.where(F.lit(False)), None
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_gone_{k}"))
+        gone = new.select(*[F.col(k).alias(f"_gone_{k}") for k in keys]).distinct()
+        return there.join(gone, same, "left_anti"), None
+
+    return write(rows.select(*keys), path, keys, merge, stream, batch, buckets)
+
+
 def sink(path: str, keys: list[str], stamp: str, stream: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """For ``writeStream.foreachBatch``: upserts, of which replayed batches change nothing."""
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens import queries as own
 from ledgerlens.functions import metrics, storage, tables
-from ledgerlens.operators import answers, history, prediction, requests, retrieval, scoring
+from ledgerlens.operators import answers, history, prediction, requests, retrieval, scoring, semantic, vector_index
 from ledgerlens.operators.transactions import STEPS, parse
 from ledgerlens.plans import sql_surface
 from ledgerlens.plans.risk import analyse, analyse_text
-from ledgerlens.sources import upserts
+from ledgerlens.sources import blobs, readers, upserts
 from ledgerlens.streaming import takeover
 
 table = own.table
@@ -142,9 +142,51 @@ def rag_responses(spark, d):
     return answers.responses(asked, best).withColumn("citations", F.array_join(cited, " "))
 
 
+def csv_transactions(spark, d):
+    """Orders written as CSV files, with quotes and line breaks in their cells, and read back as transactions."""
+    path = storage.work_path(spark, "csv")
+    o = table(spark, d, "orders")
+    merchant = F.concat(F.lit("Shop \""), F.col("o_custkey").cast("string"), F.lit("\",\nsecond line\r\n"), F.col("o_orderpriority"))
+    kind = F.when(F.col("o_orderkey") % 11 == 0, "transfer").when(F.col("o_orderstatus") == "F", "Credit").otherwise("DEBIT")
+    rows = o.select(kind.alias("Type"), merchant.alias("description"), F.when(F.col("o_orderkey") % 13 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("AMOUNT"), F.col("o_orderkey").alias("note"), F.date_format("o_orderdate", "yyyy-MM-dd").alias(" date"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("maxRecordsPerFile", 100_000).csv(path)
+    found = readers.transactions_csv(spark, f"{path}/*.csv")
+    return found.select("date", "amount", "type", F.md5("merchant").alias("merchant_md5"))
+
+
+def blob_cycle(spark, d):
+    """Documents as stored files: put, some put again, some deleted, then what is told of all of them and what their chunks give when they are read."""
+    path = storage.work_path(spark, "blobs")
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("blob_id"), F.concat(F.lit("doc "), F.col("doc_id"), F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    blobs.put(t.select("blob_id", "name", F.col("text").cast("binary").alias("content")), path, "2026-01-01", chunk=1000, batch=0)
+    blobs.put(t.where("doc_id % 10 = 3").select("blob_id", "name", F.concat(F.lit("new "), "text").cast("binary").alias("content")), path, "2026-01-02", chunk=700, batch=1)
+    blobs.delete(t.where("doc_id % 10 = 4"), path)
+    read = blobs.get(spark, path).groupBy("blob_id").agg(F.count("*").alias("read_chunks"), F.sum(F.octet_length("data")).alias("read_bytes"))
+    told = blobs.info(spark, path, t).join(read, "blob_id", "left")
+    return told.select("blob_id", "found", "name", "length", "chunks", "sha256", F.coalesce("read_chunks", F.lit(0)).alias("read_chunks"), F.coalesce("read_bytes", F.lit(0)).alias("read_bytes"))
+
+
+def vector_search_indexed(spark, d):
+    """The nearest vectors of the same label, through the index and its bounds."""
+    asked, vectors = own.asked(spark, d)
+    index = vector_index.build(vectors, storage.work_path(spark, "vectors"))
+    found, _ = vector_index.search(asked, index, 10, key="document_id")
+    return found.withColumn("similarity", F.round("similarity", 5))
+
+
+def semantic_neighbours(spark, d):
+    """The five nearest documents of every fiftieth one's text without its first half, by embeddings that are fitted to all others, through the index."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vectors = semantic.embedder(semantic.fit(docs.where("doc_id % 50 <> 0")), spark)
+    index = vector_index.build(docs.select(F.col("doc_id").alias("chunk_id"), vectors(F.col("text")).cast("array<double>").alias("v")), storage.work_path(spark, "semantic"))
+    half = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.expr("substring(text, CAST(length(text) / 2 AS INT) + 1)").alias("half"))
+    found, _ = vector_index.search(half.select("query_id", vectors(F.col("half")).cast("array<double>").alias("q")), index, 5)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (risk_takeover_stream, history_upsert, history_insert_unique, statement_report, statement_parse_sql, parser_metrics, risk_verdict_sql, report_subtotals, risk_dashboard, requests_checked, rag_responses)
+    for q in (csv_transactions, blob_cycle, vector_search_indexed, semantic_neighbours, risk_takeover_stream, history_upsert, history_insert_unique, statement_report, statement_parse_sql, parser_metrics, risk_verdict_sql, report_subtotals, risk_dashboard, requests_checked, rag_responses)
 }
 
 _SHOP = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHOPS.items()) + " ELSE 'Wire Intl' END"
@@ -177,6 +219,15 @@ WITH l AS (SELECT unnest(CASE o_orderkey % 5 WHEN 0 THEN [0, 4] WHEN 1 THEN [1,
 n AS (SELECT 'lines' AS step, count(*) AS rows, NULL AS dropped FROM l UNION ALL SELECT 'unmarked', count(*) FILTER (k <> 0), count(*) FILTER (k = 0) FROM l UNION ALL SELECT 'dated', count(*) FILTER (k >= 2), count(*) FILTER (k = 1) FROM l
   UNION ALL SELECT 'readable', count(*) FILTER (k >= 3), count(*) FILTER (k = 2) FROM l UNION ALL SELECT 'amounts', count(*) FILTER (k = 4), count(*) FILTER (k = 3) FROM l)
 SELECT step, rows, CAST(dropped AS BIGINT) AS dropped FROM n""",
+    "csv_transactions": """
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_totalprice AS amount, CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END AS type,
+       md5('Shop "' || o_custkey || '",' || chr(10) || 'second line' || chr(13) || chr(10) || o_orderpriority) AS merchant_md5 FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""",
+    "blob_cycle": """
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'new ' ELSE '' END || coalesce(text, '') AS x, CASE WHEN doc_id % 10 = 3 THEN 700 ELSE 1000 END AS c, doc_id % 10 <> 4 AS found FROM documents),
+n AS (SELECT *, strlen(x) AS n FROM t)
+SELECT CAST(doc_id AS VARCHAR) AS blob_id, found, CASE WHEN found THEN 'doc ' || doc_id || '.txt' END AS name, CASE WHEN found THEN CAST(n AS BIGINT) END AS length, CASE WHEN found THEN CAST(ceil(n / c) AS INTEGER) END AS chunks,
+       CASE WHEN found THEN sha256(x) END AS sha256, CAST(CASE WHEN found THEN ceil(n / c) ELSE 0 END AS BIGINT) AS read_chunks, CAST(CASE WHEN found THEN n ELSE 0 END AS BIGINT) AS read_bytes FROM n""",
+    "vector_search_indexed": own.ORACLE_SQL["vector_search"],
     "risk_verdict_sql": own.ORACLE_SQL["risk_verdict"],
     "report_subtotals": f"""
 WITH r AS (SELECT {own._band('o_orderkey % 101', 'report')} AS risk_level, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_custkey % 4 <> 0 THEN o_custkey % 12 END AS owner, o_custkey, CAST(o_orderkey % 101 AS DOUBLE) AS score FROM orders)

@@ -19,6 +19,8 @@ from ledgerlens.functions.storage import discard, written
 from ledgerlens.functions.text import blank_words
 from ledgerlens.operators.retrieval import unit
 
+from .pdf import page_texts
+
 NEEDED = {"date", "amount", "type"}
 #: Limits of the service and of the gateway before it.
 MAX_BYTES, GATEWAY_BYTES = 30 << 20, 50 << 20
@@ -149,8 +151,8 @@ def files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFra
     )
 
 
-def pages(rows: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """(path, page_number, text) by a pluggable extractor; a page that can't be read is empty."""
+def pages(rows: DataFrame, extract: Callable[[bytes], list[str]] = page_texts) -> DataFrame:
+    """(path, page_number, text) of binary files, PDFs unless another extractor is given; a page, or a file, that can't be read is empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

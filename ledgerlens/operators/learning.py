@@ -15,33 +15,50 @@ RANGE_ROWS = 500_000
 EULER = 0.5772156649015329
 
 
-def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Exact interpolated quantiles. Approximate ones bracket each; only the values between, 4 of 10,000 rows and ties, are counted one by one."""
-    value = F.col(column).cast("double")
-    some = rows.where(value.isNotNull() & ~F.isnan(value)).select(value.alias("v"))
-    n = some.count()
-    if not n:
-        return [None] * len(shares)
-    room = 2e-4 + 2 / n
-    low, high = [max(0.0, p - room) for p in shares], [min(1.0, p + room) for p in shares]
-    found = some.agg(F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", low, 20_000).alias("low"), F.percentile_approx("v", high, 20_000).alias("high")).first()
-    edges = [(found["min"] if p == 0 else a, found["max"] if q == 1 else b) for p, q, a, b in zip(low, high, found["low"], found["high"], strict=True)]
-    below = some.agg(*[F.count_if(F.col("v") < a).alias(f"b{i}") for i, (a, _) in enumerate(edges)]).first()
-    out: list[float | None] = []
-    for i, (p, (a, b)) in enumerate(zip(shares, edges, strict=True)):
-        ranks = [math.floor(p * (n - 1)), min(math.floor(p * (n - 1)) + 1, n - 1)]
-        band = some.where((F.col("v") >= a) & (F.col("v") <= b)).groupBy("v").agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + below[f"b{i}"]
-        marked = band.withColumn("upto", upto)
-        x, y = marked.agg(*[F.min(F.when(F.col("upto") > r, F.col("v"))) for r in ranks]).first()
-        out.append(x + ((y if y is not None else x) - x) * (p * (n - 1) - ranks[0]))
+def quantiles_of(rows: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of several columns, in three passes for all of them; None for a column without values.
+
+    Approximate quantiles bracket each; only the values between, 4 of 10,000 rows and ties, are counted one by one, by column and share.
+    """
+    names = [f"c{i}" for i in range(len(columns))]
+    clean = lambda v: F.when(~F.isnan(v), v)
+    some = rows.select(*[clean(F.col(c).cast("double")).alias(n) for c, n in zip(columns, names, strict=True)])
+    facts = some.agg(*[x for n in names for x in (F.count(n).alias(f"n_{n}"), F.min(n).alias(f"min_{n}"), F.max(n).alias(f"max_{n}"))]).first()
+    live = [n for n in names if facts[f"n_{n}"]]
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    if not live:
+        return out
+    brackets = {}
+    for n in live:
+        room = 2e-4 + 2 / facts[f"n_{n}"]
+        brackets[n] = [max(0.0, p - room) for p in shares], [min(1.0, p + room) for p in shares]
+    found = some.agg(*[F.percentile_approx(n, side, 20_000).alias(f"{k}_{n}") for n in live for k, side in zip(("low", "high"), brackets[n], strict=True)]).first()
+    edges = {(n, i): (facts[f"min_{n}"] if brackets[n][0][i] == 0 else found[f"low_{n}"][i], facts[f"max_{n}"] if brackets[n][1][i] == 1 else found[f"high_{n}"][i]) for n in live for i in range(len(shares))}
+    ranks = {(n, i): (math.floor(p * (facts[f"n_{n}"] - 1)), min(math.floor(p * (facts[f"n_{n}"] - 1)) + 1, facts[f"n_{n}"] - 1)) for n in live for i, p in enumerate(shares)}
+    # a value in a bracket is a row of its own; of those below, a row of a partition's count
+    place = {key: k for k, key in enumerate(edges)}
+    marks = [F.when((F.col(n) >= a) & (F.col(n) <= b), F.struct(F.lit(place[n, i]).alias("k"), F.col(n).alias("v"))).when(F.col(n) < a, F.struct(F.lit(place[n, i]).alias("k"), F.lit(None).cast("double").alias("v"))) for (n, i), (a, b) in edges.items()]
+    counts = some.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).groupBy("m.k", "m.v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    told = F.array(*[F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in ranks.values()])
+    marked = counts.withColumn("upto", upto).withColumn("r", F.get(told, F.col("k"))).where(F.col("v").isNotNull())
+    ends = {r["k"]: (r["x"], r["y"]) for r in marked.groupBy("k").agg(F.min(F.when(F.col("upto") > F.col("r.x"), F.col("v"))).alias("x"), F.min(F.when(F.col("upto") > F.col("r.y"), F.col("v"))).alias("y")).collect()}
+    for (n, i), k in place.items():
+        x, y = ends[k]
+        p = shares[i] * (facts[f"n_{n}"] - 1)
+        out[columns[names.index(n)]][i] = x + ((y if y is not None else x) - x) * (p - ranks[n, i][0])
     return out
 
 
+def quantiles(rows: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact interpolated quantiles of one column."""
+    return quantiles_of(rows, [column], shares)[column]
+
+
 def impute_median(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls replaced by the column's median."""
-    found = {c: quantiles(rows, c, [0.5])[0] for c in columns}
-    return rows.fillna({c: v for c, v in found.items() if v is not None})
+    found = quantiles_of(rows, columns, [0.5])
+    return rows.fillna({c: v[0] for c, v in found.items() if v[0] is not None})
 
 
 def moments(rows: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

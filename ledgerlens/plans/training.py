@@ -63,7 +63,7 @@ def compare(rows: DataFrame, columns: list[str], key: str, names: list[str] | No
     split = learning.stratified_split(rows, "label", key).select(key, "label", "is_test", *columns)
     split = written(split, "split")
     train = split.where("not is_test")
-    medians = {c: v for c in columns if (v := learning.quantiles(train, c, [0.5])[0]) is not None}
+    medians = {c: v[0] for c, v in learning.quantiles_of(train, columns, [0.5]).items() if v[0] is not None}
     split = split.fillna(medians)
     by = learning.moments(split.where("not is_test"), columns)
     split = written(learning.standardise(split, columns, by), "scaled")

@@ -258,6 +258,10 @@ def test_quantiles_are_exact(spark):
         shares = [0.0, 0.1, 0.5, 0.9, 1.0]
         assert learning.quantiles(rows, "v", shares) == pytest.approx(np.quantile(values, shares).tolist())
     assert learning.quantiles(rows.limit(0), "v", [0.5]) == [None]
+    several = spark.createDataFrame([(float(a), None if b < -1 else float(b), float("nan"), int(c)) for a, b, c in zip(random.normal(size=3000), random.normal(size=3000), random.integers(0, 9, 3000), strict=True)], "a double, b double, c double, d int")
+    found = learning.quantiles_of(several, ["a", "b", "c", "d"], shares)
+    table = several.toPandas()
+    assert found["c"] == [None] * 5 and all(found[c] == pytest.approx(np.quantile(table[c].dropna(), shares).tolist()) for c in "abd")
 
 
 def test_detector(spark, tmp_path):

@@ -6,8 +6,9 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import bpe, html_extract, substring_dedup, token_store
+from ledgerlens.llm import bpe, fingerprint, html_extract, neighbours, substring_dedup, token_store
 
 # 4
 
@@ -124,6 +125,27 @@ def test_the_cache_is_bounded_by_bytes(monkeypatch):
         assert sum(map(len, coder.cache)) < 200_000
 
 
+# 7
+
+
+def test_buckets_beyond_what_a_plan_holds(spark, monkeypatch):
+    rows = [(i * 7 % 1000, f"text {i} " * (i % 5)) for i in range(300)] + [(None, "x"), (None, "y"), (5000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(r["doc_id"], r["_text"], r["_edited"]) for r in fingerprint.edited_pairs(docs).where("not _ghost").collect()}
+    monkeypatch.setattr(neighbours, "MOST_CUTS", 4)
+    monkeypatch.setattr(neighbours, "BUCKET_BYTES", 100)
+    pairs = fingerprint.edited_pairs(docs)
+    assert {(r["doc_id"], r["_text"], r["_edited"]) for r in pairs.where("not _ghost").collect()} == want and len(want) == 303
+    per = pairs.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("_bucket").alias("n")).collect()
+    assert {r["n"] for r in per} == {1} and len(per) > 30
+    monkeypatch.setattr(neighbours, "BUCKET_BYTES", 10)
+    size = lambda p: len(p._jdf.queryExecution().optimizedPlan().toString())
+    assert size(fingerprint.edited_pairs(docs)) < 1.2 * size(pairs)
+    assert fingerprint.edited_pairs(docs.where("doc_id < 0")).count() == 0
+    alone = fingerprint.edited_pairs(docs.where("doc_id = 5000")).where("not _ghost").first()
+    assert alone["_edited"] == "z"
+
+
 # 8
 
 BLANKS = [" " * 2_000_000, "\n" * 2_000_000, " \n\t　" * 400_000, "a" + " " * 2_000_000 + "b", "a" + "\n" * 1_000_000 + "<|endoftext|>" + " " * 200_000 + "x", " " * 150_000 + "\x1c" + " " * 150_000, "x  " + "\r\n" * 300_000 + "'s" + " " * 100_000 + "9"]

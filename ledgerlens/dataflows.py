@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import queries as own
 from ledgerlens.functions import metrics, storage, tables
-from ledgerlens.operators import answers, history, prediction, requests, retrieval, scoring, semantic, vector_index
+from ledgerlens.operators import answers, history, language, prediction, requests, retrieval, scoring, semantic, vector_index
 from ledgerlens.operators.transactions import STEPS, parse
 from ledgerlens.plans import sql_surface
 from ledgerlens.plans.risk import analyse, analyse_text
@@ -142,6 +142,22 @@ def rag_responses(spark, d):
     return answers.responses(asked, best).withColumn("citations", F.array_join(cited, " "))
 
 
+def counting_client(prompts: list[str], system: str) -> list[str]:
+    """A stand-in for a model: urgent advice at any score, summaries that tell the prompt's length, and no answer to prompts of odd length."""
+    if system == language.ADVISER:
+        return ["URGENT: Immediate account review of this statement."] * len(prompts)
+    if any(len(p) % 2 for p in prompts):
+        raise TimeoutError("no answer")
+    return [f" The prompt has {len(p)} characters.\n" for p in prompts]
+
+
+def language_reports(spark, d):
+    """Summaries and recommendations of all statements by a client that fails at times, with the offline texts in its place."""
+    rows = analyse(own.order_transactions(spark, d)).withColumn("document_name", F.concat(F.col("statement_id").cast("string"), F.lit(".pdf")))
+    found = language.report_texts(rows, counting_client, F.floor("risk_score").cast("long"))
+    return found.select("statement_id", "llm_summary", "summary_by", "llm_recommendation", "recommendation_by", F.size("llm_errors").alias("errors"))
+
+
 def csv_transactions(spark, d):
     """Orders written as CSV files, with quotes and line breaks in their cells, and read back as transactions."""
     path = storage.work_path(spark, "csv")
@@ -186,7 +202,7 @@ def semantic_neighbours(spark, d):
 
 QUERIES = {
     q.__name__: q
-    for q in (csv_transactions, blob_cycle, vector_search_indexed, semantic_neighbours, risk_takeover_stream, history_upsert, history_insert_unique, statement_report, statement_parse_sql, parser_metrics, risk_verdict_sql, report_subtotals, risk_dashboard, requests_checked, rag_responses)
+    for q in (language_reports, csv_transactions, blob_cycle, vector_search_indexed, semantic_neighbours, risk_takeover_stream, history_upsert, history_insert_unique, statement_report, statement_parse_sql, parser_metrics, risk_verdict_sql, report_subtotals, risk_dashboard, requests_checked, rag_responses)
 }
 
 _SHOP = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHOPS.items()) + " ELSE 'Wire Intl' END"
@@ -219,6 +235,12 @@ WITH l AS (SELECT unnest(CASE o_orderkey % 5 WHEN 0 THEN [0, 4] WHEN 1 THEN [1,
 n AS (SELECT 'lines' AS step, count(*) AS rows, NULL AS dropped FROM l UNION ALL SELECT 'unmarked', count(*) FILTER (k <> 0), count(*) FILTER (k = 0) FROM l UNION ALL SELECT 'dated', count(*) FILTER (k >= 2), count(*) FILTER (k = 1) FROM l
   UNION ALL SELECT 'readable', count(*) FILTER (k >= 3), count(*) FILTER (k = 2) FROM l UNION ALL SELECT 'amounts', count(*) FILTER (k = 4), count(*) FILTER (k = 3) FROM l)
 SELECT step, rows, CAST(dropped AS BIGINT) AS dropped FROM n""",
+    "language_reports": own._EXPLAINED + f""", prompts AS ({own.ORACLE_SQL["report_prompts"].removeprefix(own._EXPLAINED)}),
+z AS (SELECT t.*, length(p.summary) AS n, CAST(floor(risk_score) AS BIGINT) AS s FROM told t JOIN prompts p USING (statement_id))
+SELECT statement_id, CASE WHEN n % 2 = 0 THEN 'The prompt has ' || n || ' characters.' ELSE 'This analysis identified a risk score of ' || s || '/100 with ' || CASE WHEN is_fraud THEN 'fraudulent activity detected' ELSE 'no fraud detected' END
+  || '. ' || len(reasons) || ' suspicious patterns were flagged. ' || CASE WHEN is_fraud THEN 'Immediate manual review is recommended.' ELSE 'Standard monitoring procedures apply.' END END AS llm_summary,
+  CASE WHEN n % 2 = 0 THEN 'model' ELSE 'offline' END AS summary_by, CASE WHEN s >= 70 THEN 'URGENT: Immediate account review of this statement.' WHEN is_fraud AND s >= 45 THEN '{own._ADVICE["review"]}' WHEN s >= 45 THEN '{own._ADVICE["enhanced"]}'
+  WHEN s >= 35 THEN '{own._ADVICE["standard"]}' ELSE '{own._ADVICE["none"]}' END AS llm_recommendation, CASE WHEN s >= 70 THEN 'model' ELSE 'offline' END AS recommendation_by, CAST(n % 2 AS INTEGER) AS errors FROM z""",
     "csv_transactions": """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_totalprice AS amount, CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END AS type,
        md5('Shop "' || o_custkey || '",' || chr(10) || 'second line' || chr(13) || chr(10) || o_orderpriority) AS merchant_md5 FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""",

@@ -428,16 +428,17 @@ def retrieval_summary(spark, d):
 
 
 def index_cycle(spark, d):
-    """Turns of conversations as an index: written, one part replaced, one deleted, then what is there of all conversations."""
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), F.array(F.lit(3.0), F.lit(4.0)).alias("embedding"))
+    """Turns of conversations, each with a vector of the table of vectors, as an index: written, one part replaced, one deleted, then what is there of all conversations."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), ((F.col("conv_id") * 8 + F.col("turn")) % 500).alias("vec_id"))
+    c = c.join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vec_id", "left").drop("vec_id")
     path = storage.work_path(spark, "index")
     readers.write_index(c, path)
     readers.write_index(c.where("document_id % 5 = 1").withColumn("content", F.concat(F.lit("new "), F.col("content"))), path)
     readers.delete_documents(spark, path, c.where("document_id % 5 = 2").select("document_id"))
     ids = c.select("document_id").distinct()
     stats = readers.index_stats(spark, path, ids)
-    norm = readers.read_index(spark, path).groupBy("document_id").agg(F.round(F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)")), 6).alias("norm"))
-    return readers.document_exists(spark, path, ids).join(stats, "document_id").join(norm, "document_id", "left").select("document_id", "exists", "chunks", "chars", "words", F.round("mean_chars", 4).alias("mean_chars"), "norm")
+    norm = readers.read_index(spark, path).groupBy("document_id").agg(F.round(F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)")), 6).alias("norm"), F.round(F.sum(F.col("embedding")[0] - F.col("embedding")[1]), 5).alias("mark"))
+    return readers.document_exists(spark, path, ids).join(stats, "document_id").join(norm, "document_id", "left").select("document_id", "exists", "chunks", "chars", "words", F.round("mean_chars", 4).alias("mean_chars"), "norm", "mark")
 
 
 def model_profile_columns(spark, d):
@@ -665,9 +666,10 @@ SELECT statement_id, round(a, 6) AS anomaly_score, round(r, 6) AS risk_score, a
 SELECT count(*) AS total_tests, count(*) FILTER (success) AS successful, round(count(*) FILTER (success) / count(*) + {SHIFT:.7f}, 4) AS success_rate, round(avg(mrr) + {SHIFT:.7f}, 4) AS mean_reciprocal_rank, round(avg(ndcg) + {SHIFT:.7f}, 4) AS mean_ndcg,
        round(avg(p_at_5) + {SHIFT:.7f}, 4) AS mean_precision_at_5, round(avg(latency_ms) + {SHIFT:.7f}, 4) AS mean_latency_ms FROM evaluated""",
     "index_cycle": r"""
-WITH c AS (SELECT conv_id AS document_id, CASE WHEN conv_id % 5 = 1 THEN 'new ' ELSE '' END || coalesce(text, '') AS content FROM conversations)
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, (v[1] - v[2]) / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-10) AS m FROM e),
+c AS (SELECT conv_id AS document_id, CASE WHEN conv_id % 5 = 1 THEN 'new ' ELSE '' END || coalesce(text, '') AS content, m FROM conversations LEFT JOIN u ON vec_id = (conv_id * 8 + turn) % 500)
 SELECT document_id, document_id % 5 <> 2 AS exists, count(*) FILTER (document_id % 5 <> 2) AS chunks, CAST(coalesce(sum(length(content)) FILTER (document_id % 5 <> 2), 0) AS BIGINT) AS chars,
-       CAST(coalesce(sum(len(regexp_extract_all(content, '\S+'))) FILTER (document_id % 5 <> 2), 0) AS BIGINT) AS words, round(coalesce(avg(length(content)) FILTER (document_id % 5 <> 2), 0), 4) AS mean_chars, CASE WHEN document_id % 5 <> 2 THEN 1.0::DOUBLE END AS norm FROM c GROUP BY 1""",
+       CAST(coalesce(sum(len(regexp_extract_all(content, '\S+'))) FILTER (document_id % 5 <> 2), 0) AS BIGINT) AS words, round(coalesce(avg(length(content)) FILTER (document_id % 5 <> 2), 0), 4) AS mean_chars, CASE WHEN document_id % 5 <> 2 THEN 1.0::DOUBLE END AS norm, CASE WHEN document_id % 5 <> 2 THEN round(sum(m), 5) END AS mark FROM c GROUP BY 1""",
     "model_profile_columns": """
 WITH p AS (SELECT median(o_totalprice) AS m, quantile_cont(o_totalprice, 0.9) AS q, stddev_pop(o_totalprice) AS s FROM orders)
 SELECT c_custkey, c_acctbal * 40 AS Amount, round((c_acctbal * 40 - m) / s, 5) AS pdf_amount_zscore, CAST(c_acctbal * 40 > q AS DOUBLE) AS pdf_above_pdf_p90 FROM customer, p""",

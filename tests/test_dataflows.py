@@ -107,3 +107,30 @@ def test_search_from_sql(spark, sf):
     vectors = {r["chunk_id"]: r["vector"] for r in rows.collect()}
     near = sorted(vectors, key=lambda i: sum((a / sum(x * x for x in vectors[i]) ** 0.5 - b / sum(x * x for x in vectors[7]) ** 0.5) ** 2 for a, b in zip(vectors[i], vectors[7], strict=True)))[:5]
     assert got == [(str(i), k) for k, i in enumerate(near, 1)]
+
+
+def test_language_client(spark):
+    from ledgerlens.operators import answers, language
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def client(prompts, system):
+        calls.add(1)
+        if any("fail" in p for p in prompts):
+            raise ConnectionError("away")
+        return [""] * len(prompts) if system == "mute" else [f"{system}: {p} " for p in prompts]
+
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "fail", None, "b", "c", "fail", "d"])], "query_id int, prompt string").coalesce(1)
+    found = {r["query_id"]: r["answer_text"] for r in language.answered(rows, client, "s").collect()}
+    assert found == {0: "s: a", 1: None, 2: None, 3: "s: b", 4: "s: c", 5: None, 6: "s: d"}
+    told = rows.select(language.completed(F.col("prompt"), client, "s", lot=2).alias("x")).select("x.text", "x.error").collect()
+    assert [bool(r["error"]) for r in told] == [False, True, False, False, False, True, False] and "ConnectionError: away" in told[1]["error"]
+    assert {r["answer_text"] for r in language.answered(rows, client, "mute").collect()} == {None} == {r["answer_text"] for r in language.answered(rows, None, "s").collect()}
+    short = rows.select(language.completed(F.col("prompt"), lambda p, s: ["x"] if len(p) == 1 else ["x"] * (len(p) + 1), "s").alias("x"))
+    assert [r["x"]["text"] for r in short.collect()] == ["x", "x", None, "x", "x", "x", "x"]
+    before = calls.value
+    language.answered(rows.where("query_id = 0"), client, "s").select("answer_text", F.length("answer_text").alias("n")).collect()
+    assert calls.value == before + 1  # a row is asked once
+    ranked = spark.createDataFrame([(0, 1, "c1", 3, "Risk", 0.5)], "query_id int, rank int, chunk_id string, page_number int, section_title string, final_score double")
+    out = answers.responses(language.answered(rows.withColumn("query", F.lit("q")), client, "**Answer:** x"), ranked)
+    assert {r["query_id"]: r["answer"] for r in out.collect()}[1] == answers.NOT_FOUND

@@ -170,6 +170,29 @@ def csv_transactions(spark, d):
     return found.select("date", "amount", "type", F.md5("merchant").alias("merchant_md5"))
 
 
+def training_rows(spark, d):
+    """Lineitems written as a labelled CSV table and read back: numeric columns only, and the label."""
+    path = storage.work_path(spark, "training")
+    li = table(spark, d, "lineitem")
+    li.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("Amount"), "l_discount", "l_shipmode" if "l_shipmode" in li.columns else F.col("l_returnflag"), F.when(F.col("l_linenumber") < 7, (F.col("l_quantity") > 25).cast("int")).alias("isFraud")).write.option("header", True).csv(path)
+    return readers.training_csv(spark, path)
+
+
+def card_rows(spark, d):
+    """Card rows as statements of one transaction each; rows without amount or class are left out."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), F.when(F.col("l_linenumber") % 5 != 0, F.col("l_extendedprice")).alias("Amount"), F.when(F.col("l_partkey") % 7 != 0, (F.col("l_returnflag") == "R").cast("int")).alias("Class"))
+    return readers.card_transactions(rows, "row")
+
+
+def stored_texts(spark, d):
+    """Documents' texts saved in the text store, under ids of their own, and read back."""
+    path = storage.work_path(spark, "texts")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc no "), F.col("doc_id").cast("string"), F.lit(".v1.pdf")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+    saved = readers.save_texts(docs, path, "20260101")
+    rows = spark.read.parquet(path).join(saved.withColumnRenamed("name", "told"), "id")
+    return rows.select("name", F.col("told"), F.regexp_replace("id", "[0-9a-f]{8}$", "").alias("id_stem"), F.length("id").alias("id_chars"), F.md5("text").alias("text_md5"))
+
+
 def blob_cycle(spark, d):
     """Documents as stored files: put, some put again, some deleted, then what is told of all of them and what their chunks give when they are read."""
     path = storage.work_path(spark, "blobs")
@@ -202,7 +225,7 @@ def semantic_neighbours(spark, d):
 
 QUERIES = {
     q.__name__: q
-    for q in (language_reports, csv_transactions, blob_cycle, vector_search_indexed, semantic_neighbours, risk_takeover_stream, history_upsert, history_insert_unique, statement_report, statement_parse_sql, parser_metrics, risk_verdict_sql, report_subtotals, risk_dashboard, requests_checked, rag_responses)
+    for q in (language_reports, csv_transactions, training_rows, card_rows, stored_texts, blob_cycle, vector_search_indexed, semantic_neighbours, risk_takeover_stream, history_upsert, history_insert_unique, statement_report, statement_parse_sql, parser_metrics, risk_verdict_sql, report_subtotals, risk_dashboard, requests_checked, rag_responses)
 }
 
 _SHOP = "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SHOPS.items()) + " ELSE 'Wire Intl' END"
@@ -244,6 +267,12 @@ SELECT statement_id, CASE WHEN n % 2 = 0 THEN 'The prompt has ' || n || ' charac
     "csv_transactions": """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, o_totalprice AS amount, CASE WHEN o_orderstatus = 'F' THEN 'credit' ELSE 'debit' END AS type,
        md5('Shop "' || o_custkey || '",' || chr(10) || 'second line' || chr(13) || chr(10) || o_orderpriority) AS merchant_md5 FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""",
+    "training_rows": "SELECT l_orderkey, l_linenumber, l_quantity AS Amount, l_discount, CAST(l_quantity > 25 AS INTEGER) AS label FROM lineitem WHERE l_linenumber < 7",
+    "card_rows": """
+WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS i, l_extendedprice AS amount, CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem WHERE l_linenumber % 5 <> 0 AND l_partkey % 7 <> 0)
+SELECT CAST(i AS VARCHAR) AS statement_id, CAST(0 AS BIGINT) AS seq, '2024-01-' || lpad(CAST(i % 28 + 1 AS VARCHAR), 2, '0') || ' 12:00:00' AS date, amount, 'debit' AS type, 'Merchant_' || (i % 100) AS merchant, label FROM c""",
+    "stored_texts": """
+SELECT 'doc no ' || doc_id || '.v1.pdf' AS name, 'doc no ' || doc_id || '.v1.pdf' AS told, 'doc_no_' || doc_id || '.v1_20260101_' AS id_stem, CAST(length('doc_no_' || doc_id || '.v1_20260101_') + 8 AS INTEGER) AS id_chars, md5(coalesce(text, '')) AS text_md5 FROM documents""",
     "blob_cycle": """
 WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'new ' ELSE '' END || coalesce(text, '') AS x, CASE WHEN doc_id % 10 = 3 THEN 700 ELSE 1000 END AS c, doc_id % 10 <> 4 AS found FROM documents),
 n AS (SELECT *, strlen(x) AS n FROM t)

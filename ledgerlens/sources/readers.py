@@ -106,13 +106,17 @@ def transactions_csv_stream(spark: SparkSession, path: str, statement_id: str =
 
 
 def training_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Numeric columns and label (from Class or isFraud)."""
+    """Numeric columns and label (from Class or isFraud, which must be 0 or 1; rows without one are left out)."""
     rows = spark.read.csv(path, header=True, inferSchema=True)
     label = next((c for c in ("Class", "isFraud") if c in rows.columns), None)
     if label is None:
         raise ValueError("a label column Class or isFraud is needed")
     numeric = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float", "short", "byte", "decimal") and f.name != label]
-    return rows.select(*numeric, F.col(label).cast("int").alias("label"))
+    found = rows.select(*numeric, F.col(label).try_cast("double").alias("label"), F.col(label).cast("string").alias("_told")).where(F.col("_told").isNotNull())
+    odd = found.where(F.col("label").isNull() | ~F.col("label").isin(0.0, 1.0)).agg(F.min("_told").alias("x")).first()["x"]
+    if odd is not None:
+        raise ValueError(f"labels must be 0 or 1, and one is {odd}")
+    return found.select(*numeric, F.col("label").cast("int").alias("label"))
 
 
 def numbered(rows: DataFrame, name: str = "row") -> DataFrame:

@@ -63,8 +63,12 @@ def weighted(column: pa.ListArray, weights: np.ndarray) -> tuple[np.ndarray, np.
 
 def projected(column: pa.ListArray, weights: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """The rows' coordinates along ``directions``."""
-    row, place, value = weighted(column, weights)
-    out = np.zeros((len(column), directions.shape[1]))
+    return along_rows(*weighted(column, weights), directions, len(column))
+
+
+def along_rows(row: np.ndarray, place: np.ndarray, value: np.ndarray, directions: np.ndarray, rows: int) -> np.ndarray:
+    """The products of ``rows`` sparse rows with ``directions``."""
+    out = np.zeros((rows, directions.shape[1]))
     if len(row):
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         out[row[first]] = np.add.reduceat(value[:, None] * directions[place], first, axis=0)
@@ -73,7 +77,8 @@ def projected(column: pa.ListArray, weights: np.ndarray, directions: np.ndarray)
 
 def fit(docs: DataFrame, text: str = "text", dims: int = DIMS, features: int = FEATURES, seed: int = 7) -> Semantic:
     """The model of all texts of ``docs``."""
-    rows = written(docs.select(places(F.col(text), features).alias("w")).where(F.size("w") > 0), "places")
+    rows = docs.select(places(F.col(text), features).alias("w")).where(F.size("w") > 0)
+    rows = written(rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "places")  # evenly, as five passes follow
 
     def frequencies(batch: pa.RecordBatch) -> np.ndarray:
         _, place, _ = counted(batch.column(0), features)
@@ -86,8 +91,13 @@ def fit(docs: DataFrame, text: str = "text", dims: int = DIMS, features: int = F
 
     def spread(batch: pa.RecordBatch) -> np.ndarray:
         row, place, value = weighted(batch.column(0), weights)
-        along = projected(batch.column(0), weights, found)[row] * value[:, None]
-        return np.column_stack([np.bincount(place, along[:, k], minlength=features) for k in range(width)])
+        out = np.zeros((features, width))
+        if len(row):
+            order = np.argsort(place, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(place[order]) > 0))
+            along = along_rows(row, place, value, found, batch.num_rows)
+            out[place[order][first]] = np.add.reduceat(along[row[order]] * value[order, None], first, axis=0)
+        return out
 
     for _ in range(POWERS + 1):
         found = np.linalg.qr(summed(rows, spread, features, width))[0]

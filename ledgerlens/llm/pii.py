@@ -185,7 +185,7 @@ def sanitise(docs: DataFrame, bits: float = BITS, z: float = Z) -> DataFrame:
     found = found.groupBy("doc_id", "_th", "_group").agg(F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.min_by("kind", F.struct("_start", "kind")).alias("kind"))
     per = per_document(found).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_own"), "_spans")
     text = F.col(names["text"])
-    joined = rows.join(per, F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(names["text"])) == F.col("_own")), "left")
+    joined = rows.join(per.hint("merge"), F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(names["text"])) == F.col("_own")), "left")
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in [*KINDS, TERM]])
     parts = F.transform(
         F.sequence(F.lit(0), F.size("_spans")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import merchants as m
 from ledgerlens.functions import storage
 from ledgerlens.functions import text as t
+from ledgerlens.functions.batches import spread
 from ledgerlens.operators import answers, documents, evaluation, explain, history, learning, prediction, retrieval, scoring
 from ledgerlens.operators.features import FEATURES, features
 from ledgerlens.operators.transactions import parse
@@ -170,7 +171,7 @@ def merchant_predicates(spark, d):
 
 def statement_parse(spark, d):
     """Statement lines made of orders, parsed back."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     line = F.concat(F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("  UPI DR INR "), F.format_number("o_totalprice", 2), F.lit(" Shop_"), F.col("o_custkey").cast("string"), F.lit(" ref"))
     dated = F.concat(F.date_format("o_orderdate", "d MMM yyyy"), F.lit(" NEFT SALARY CREDIT "), F.format_string("%.2f", F.col("o_totalprice")), F.lit(" 999999999.99"))
     text = F.concat(F.lit("Opening balance 5.00\n\n"), line, F.lit("\nno date 12.00\n"), dated)
@@ -178,7 +179,7 @@ def statement_parse(spark, d):
 
 
 def document_signals(spark, d):
-    return documents.signals(table(spark, d, "documents"), "doc_id")
+    return documents.signals(spread(table(spark, d, "documents")), "doc_id")
 
 
 def document_statistics(spark, d):
@@ -196,7 +197,7 @@ def document_tidy(spark, d):
 
 
 def document_clean(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(t.clean(F.col("text"))).alias("clean_md5"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(t.clean(F.col("text"))).alias("clean_md5"))
 
 
 def document_masks(spark, d):
@@ -224,12 +225,12 @@ def page_range_join(spark, d):
 
 
 def chunks(spark, d):
-    found = retrieval.chunk_documents(table(spark, d, "documents"), 500, 200, key="doc_id")
+    found = retrieval.chunk_documents(spread(table(spark, d, "documents")), 500, 200, key="doc_id")
     return found.select("doc_id", "chunk_id", "position", "page_number", "page_by_offset", "section_title", F.md5("content").alias("content_md5"), "word_count", "char_count")
 
 
 def chunk_statistics(spark, d):
-    return retrieval.chunk_statistics(retrieval.chunk_documents(table(spark, d, "documents"), key="doc_id"), "doc_id")
+    return retrieval.chunk_statistics(retrieval.chunk_documents(spread(table(spark, d, "documents")), key="doc_id"), "doc_id")
 
 
 def asked(spark, d):
@@ -395,7 +396,7 @@ def model_rank(spark, d):
 
 def anomaly_forest(spark, d):
     """The detector with its presets: all features, 200 trees."""
-    rows = features(order_transactions(spark, d))
+    rows = storage.written(features(order_transactions(spark, d)), "features")
     return prediction.predict(rows, prediction.fit(rows, FEATURES, "statement_id"))
 
 

@@ -1,9 +1,9 @@
 """Keyed tables on plain files that survive replays: upserts and insert-if-absent, batch by batch, for batch jobs and foreachBatch.
 
-A table is a folder of generations. A batch rewrites the buckets that its keys fall into as a new generation and then commits it by one
-small file, made only if it isn't there yet; readers take each bucket from the generation that the last commit names. So a job that
-dies between the two leaves nothing to see, a batch that is replayed is known by its stream's batch id and changes nothing, and of two
-writers at once one fails. Every row moves once per batch that touches its bucket; only touched buckets are read. Rows keep the
+A table is a folder of generations. A batch rewrites the buckets that its keys fall into as a new generation, in a folder of its own name,
+and then commits it by one small file, made only if it isn't there yet; readers take each bucket from the generation that the last commit
+names. So a job that dies between the two leaves nothing to see, a batch that is replayed is known by its stream's batch id and changes
+nothing, and of two writers at once one fails and has touched nothing of the other's. Every row moves once per batch that touches its bucket; only touched buckets are read. Rows keep the
 stream and batch that wrote them, and keys that couldn't be inserted are kept as a table of conflicts.
 
 Keys may be null (null is a key of its own). Of a batch's rows with one key the newest counts for upserts, the first for inserts;
@@ -13,6 +13,7 @@ ties go to the greater and the lesser row by all columns. An empty batch is comm
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,10 +39,10 @@ def commits(spark: SparkSession, path: str) -> list[int]:
 
 
 def last_commit(spark: SparkSession, path: str) -> dict:
-    """What the last commit says: its generation, the generation of each bucket, the last batch of each stream."""
+    """What the last commit says: its generation, the folder of each bucket, the folders of conflicts, the last batch of each stream."""
     done = commits(spark, path)
     if not done:
-        return {"generation": 0, "buckets": {}, "streams": {}}
+        return {"generation": 0, "buckets": {}, "conflicts": [], "streams": {}}
     place, fs = folder(spark, f"{path}/commits/{done[-1]}")
     file = fs.open(place)
     try:
@@ -86,9 +87,7 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 def conflicts(spark: SparkSession, path: str) -> DataFrame | None:
     """(keys, _stream, _batch, reason) of the rows that committed inserts have refused; None if there are none."""
-    done = set(commits(spark, path))
-    place, fs = folder(spark, f"{path}/conflicts")
-    kept = [f"{path}/conflicts/generation={g}" for g in sorted(done) if fs.exists(folder(spark, f"{path}/conflicts/generation={g}")[0])]
+    kept = [f"{path}/conflicts/generation={g}" for g in last_commit(spark, path)["conflicts"]]
     return spark.read.option("basePath", f"{path}/conflicts").parquet(*kept).drop("generation") if kept else None
 
 
@@ -106,23 +105,24 @@ def write(rows: DataFrame, path: str, keys: list[str], merge: Callable[[DataFram
         raise ValueError(f"{path} has {state['count']} buckets by {state['keys']}")
     new = written(rows.withColumns({"_bucket": bucket(keys, buckets), "_stream": F.lit(stream), "_batch": F.lit(-1 if batch is None else batch).cast("long")}), "upsert")  # a source may be read only once
     touched = {r["_bucket"] for r in new.select("_bucket").distinct().collect()}  # at most ``buckets``
-    generation = state["generation"] + 1
-    filled = set()
-    token = spark._jvm.java.util.UUID.randomUUID().toString()[:8]
-    schema = state.get("schema")
+    token = uuid.uuid4().hex[:8]
+    generation, schema, filled, told = state["generation"] + 1, state.get("schema"), set(), state["conflicts"]
+    name = f"{generation}-{token}"
     if touched:
         there = stored(spark, path, state, touched)
         kept, refused = merge(there, new)
         schema = kept.schema.json()
-        place = f"{path}/rows/generation={generation}"
-        kept.repartition(buckets, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(place)
+        place = f"{path}/rows/generation={name}"
+        kept.repartition(buckets, "_bucket").write.partitionBy("_bucket").parquet(place)
         filled = {b for b in touched if folder(spark, f"{place}/_bucket={b}")[1].exists(folder(spark, f"{place}/_bucket={b}")[0])}  # a bucket may have become empty
         if refused is not None:
             refused = written(refused, "refused")
             if not refused.isEmpty():
-                refused.write.mode("overwrite").parquet(f"{path}/conflicts/generation={generation}")
+                refused.write.parquet(f"{path}/conflicts/generation={name}")
+                told = [*told, name]
     streams = state["streams"] | ({} if batch is None else {stream: batch})
-    commit(spark, path, {"generation": generation, "token": token, "count": buckets, "keys": keys, **({"schema": schema} if schema else {}), "buckets": {b: g for b, g in state["buckets"].items() if int(b) not in touched} | {str(b): generation for b in filled}, "streams": streams})
+    own = {b: g for b, g in state["buckets"].items() if int(b) not in touched} | {str(b): name for b in filled}
+    commit(spark, path, {"generation": generation, "token": token, "count": buckets, "keys": keys, **({"schema": schema} if schema else {}), "buckets": own, "conflicts": told, "streams": streams})
     return True
 
 
@@ -191,7 +191,7 @@ def vacuum(spark: SparkSession, path: str) -> int:
     needed, gone = {*state["buckets"].values()}, 0
     place, fs = folder(spark, f"{path}/rows")
     for f in fs.listStatus(place) if fs.exists(place) else []:
-        if int(f.getPath().getName().partition("=")[2]) not in needed:
+        if f.getPath().getName().partition("=")[2] not in needed:
             discard(spark, f.getPath().toString())
             gone += 1
     return gone

@@ -115,6 +115,12 @@ def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(upserts, "commit", overtaken)
     with pytest.raises(RuntimeError, match="another writer"):
         put(spark, [(1, "a", 2, "slower", 1)], path, 1)
+    real_last = upserts.last_commit
+    stale = real_last(spark, path) | {"generation": 1}
+    monkeypatch.setattr(upserts, "last_commit", lambda *_: stale)  # one that has read the table before the other's commit and writes after it
+    with pytest.raises(RuntimeError, match="another writer"):
+        put(spark, [(2, "b", 9, "too late", 1)], path, 7)
+    monkeypatch.setattr(upserts, "last_commit", real_last)
     assert content(spark, path) == sorted(map(str, [(1, "a", 1, "x", 1), (2, "b", 1, "faster", 1)]))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import queries as own
 from ledgerlens.functions import metrics, storage, tables
+from ledgerlens.functions.text import rounded
 from ledgerlens.operators import answers, history, language, prediction, requests, retrieval, scoring, semantic, vector_index
 from ledgerlens.operators.transactions import STEPS, parse
 from ledgerlens.plans import sql_surface
@@ -106,7 +107,7 @@ def risk_verdict_sql(spark, d):
     """The verdict over customers' orders, written in SQL alone."""
     sql_surface.register(spark, own.order_transactions(spark, d))
     return spark.sql("""
-SELECT statement_id, round(rule, 4) AS rule_score, round(risk_score, 3) AS risk_score, is_fraud, hybrid_level(rule, 0D) AS hybrid_level, risk_band(risk_score, 'report') AS risk_level,
+SELECT statement_id, round(rule, 4) AS rule_score, round(risk_score * 1000D) / 1000D AS risk_score, is_fraud, hybrid_level(rule, 0D) AS hybrid_level, risk_band(risk_score, 'report') AS risk_level,
        risk_band(risk_score, 'confidence') AS confidence, risk_verdict_text(risk_score, is_fraud) AS verdict, risk_recommendation(risk_score, is_fraud) AS recommendation
 FROM statement_risk""")
 
@@ -122,7 +123,7 @@ def risk_dashboard(spark, d):
     """What the dashboard shows of each statement; reasons that speak of a take-over raise it."""
     rows = analyse(own.order_transactions(spark, d))
     shown = scoring.dashboard(F.col("risk_score") / F.when(F.col("statement_id") % 2 == 0, 100.0).otherwise(1.0), F.col("is_fraud"), F.col("reasons"))
-    return rows.select("statement_id", shown.alias("v")).select("statement_id", F.round("v.score", 3).alias("score"), "v.level", "v.override", "v.fraud_flag")
+    return rows.select("statement_id", shown.alias("v")).select("statement_id", rounded(F.col("v.score"), 3).alias("score"), "v.level", "v.override", "v.fraud_flag")
 
 
 def requests_checked(spark, d):

@@ -114,6 +114,11 @@ def format_bytes(size: Column) -> Column:
     )
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as a double: its product with a power of ten to whole numbers, halves away from 0. ``F.round`` goes by the digits that are shown: 19.955 is a little less than that, but becomes 19.96."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def format_money(value: Column) -> Column:
     return F.format_number(F.coalesce(value, F.lit(0.0)), 2)
 

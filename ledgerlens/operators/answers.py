@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import format_money, preview, stripped
+from ledgerlens.functions.text import format_money, preview, rounded, stripped
 
 from .scoring import band, clamp
 
@@ -100,7 +100,7 @@ def text_report(insights: Column | None = None) -> Column:
     issues = F.array_join(F.transform("reasons", lambda r, i: F.concat((i + 1).cast("string"), F.lit(". "), r)), "\n")
     parts = [
         F.lit(f"{thick}\nFINANCIAL RISK COMPLIANCE REPORT\n{thick}\n"), F.concat(F.lit("Report ID: "), F.col("report_id")), F.concat(F.lit("Generated: "), F.col("generated")), F.concat(F.lit("Document: "), F.col("document_name"), F.lit("\n")),
-        title("RISK ASSESSMENT"), F.concat(F.lit("Risk Level: "), F.col("risk_level"), F.lit(" ("), F.round("risk_score", 2).cast("string"), F.lit("/100)")), F.concat(F.lit("ML Anomaly Score: "), F.round("model_risk", 4).cast("string")),
+        title("RISK ASSESSMENT"), F.concat(F.lit("Risk Level: "), F.col("risk_level"), F.lit(" ("), rounded(F.col("risk_score"), 2).cast("string"), F.lit("/100)")), F.concat(F.lit("ML Anomaly Score: "), rounded(F.col("model_risk"), 4).cast("string")),
         F.concat(F.lit("Fraud Verdict: "), F.when(F.col("is_fraud"), "YES - Fraudulent activity detected").otherwise("NO - Activity within normal range"), F.lit("\n")),
         title("DETECTED ISSUES"), F.concat(F.when(F.size("reasons") > 0, issues).otherwise("No significant issues detected."), F.lit("\n")),
         title("KEY TRANSACTION METRICS"), *[F.concat(F.lit(f"{label}: "), shown(F.col(f"key_metrics.{c}"), is_money), F.lit("\n" if label == "Large Debits" else "")) for label, c, is_money in METRICS],
@@ -118,7 +118,7 @@ def summary_report() -> Column:
     more = F.when(F.size("reasons") > 3, F.concat(F.lit(" (+"), (F.size("reasons") - 3).cast("string"), F.lit(" more)"))).otherwise("")
     issues = F.when(F.size("reasons") > 0, F.concat(F.lit("Issues: "), F.array_join(F.slice("reasons", 1, 3), ", "), more))
     action = F.coalesce(*[F.when(F.contains("recommendation", F.lit(k)), v) for k, v in ACTIONS], F.lit("No immediate action required"))
-    return F.concat_ws(" | ", F.concat(mark, F.lit(" "), F.col("risk_level"), F.lit(" Risk Score: "), F.round("risk_score", 2).cast("string"), F.lit("/100")), F.concat(F.lit("Document: "), F.col("document_name")), issues, F.concat(F.lit("Action: "), action))
+    return F.concat_ws(" | ", F.concat(mark, F.lit(" "), F.col("risk_level"), F.lit(" Risk Score: "), rounded(F.col("risk_score"), 2).cast("string"), F.lit("/100")), F.concat(F.lit("Document: "), F.col("document_name")), issues, F.concat(F.lit("Action: "), action))
 
 
 def offline_summary(score: Column, fraud: Column, issues: Column) -> Column:

@@ -134,7 +134,7 @@ def risk_takeover(spark, d):
 
 def risk_verdict(spark, d):
     rows = analyse(order_transactions(spark, d))
-    return rows.select("statement_id", F.round("rule_score", 4).alias("rule_score"), F.round("risk_score", 3).alias("risk_score"), "is_fraud", "hybrid_level", "risk_level", "confidence", "verdict", "recommendation")
+    return rows.select("statement_id", F.round("rule_score", 4).alias("rule_score"), t.rounded(F.col("risk_score"), 3).alias("risk_score"), "is_fraud", "hybrid_level", "risk_level", "confidence", "verdict", "recommendation")
 
 
 def risk_reasons(spark, d):
@@ -150,7 +150,7 @@ def hybrid_verdict_grid(spark, d):
     """The hybrid rule over all customers: the balance stands for the rule score, the key for the model's risk."""
     c = table(spark, d, "customer")
     v = scoring.verdict(F.col("c_acctbal") / 100, (F.col("c_custkey") % 101) / 100.0, F.col("c_custkey") % 7 == 0)
-    return c.select("c_custkey", v.alias("v")).select("c_custkey", F.round("v.combined_score", 3).alias("combined_score"), "v.is_fraud", "v.risk_level")
+    return c.select("c_custkey", v.alias("v")).select("c_custkey", t.rounded(F.col("v.combined_score"), 3).alias("combined_score"), "v.is_fraud", "v.risk_level")
 
 
 def band_tables(spark, d):
@@ -289,7 +289,7 @@ def answer_parse(spark, d):
 def risk_text_report(spark, d):
     rows = analyse(order_transactions(spark, d)).withColumn("report_id", explain.report_id(F.concat(F.lit("customer "), F.col("statement_id").cast("string"), F.lit(".pdf")), F.lit("20260101"))).withColumn("generated", F.lit("2026-01-01"))
     rows = rows.withColumn("document_name", F.concat(F.col("statement_id").cast("string"), F.lit(".pdf")))
-    return rows.select("statement_id", answers.text_report().alias("report"), answers.summary_report().alias("summary"), answers.offline_summary(F.round("risk_score", 2), F.col("is_fraud"), F.col("reasons")).alias("offline"))
+    return rows.select("statement_id", answers.text_report().alias("report"), answers.summary_report().alias("summary"), answers.offline_summary(t.rounded(F.col("risk_score"), 2), F.col("is_fraud"), F.col("reasons")).alias("offline"))
 
 
 def model_compare(spark, d):

@@ -19,14 +19,17 @@ METRICS = [
 ]
 ACTIONS = [("URGENT", "Immediate manual review required"), ("Manual compliance review", "Manual compliance review required"), ("Enhanced monitoring", "Enhanced monitoring recommended"), ("Continue standard monitoring", "Continue monitoring")]
 MARKS = {"HIGH": "🔴", "MEDIUM": "🟡", "LOW": "🟢"}
+#: What scores may be below the decimals that their weights make: 0.895 is a tie, though the double is a little less.
+NUDGE = 1e-9
 RULE = "1. Use ONLY the retrieved sections above to answer.\n2. If the answer cannot be found in the retrieved sections, respond with \"Information not found in document.\"\n3. Always cite which section (by number above) your answer comes from.\n4. Provide confidence level (HIGH/MEDIUM/LOW) for your answer.\n5. Use the response template: Answer | Source | Confidence | Context"
 
 
 def section(rank: Column, page: Column, title: Column, score: Column, confidence: Column, content: Column) -> Column:
     """One retrieved chunk as the prompt shows it."""
+    shown = lambda x: F.format_string("%.2f", rounded(x + NUDGE, 2))
     head = F.concat(
         F.lit("[Section "), rank.cast("string"), F.lit("]"), F.when(page > 0, F.concat(F.lit(" Page "), page.cast("string"))).otherwise(""), F.when(title != "", F.concat(F.lit(" | "), title)).otherwise(""),
-        F.lit(" (Relevance: "), F.format_string("%.2f", score), F.lit(", Confidence: "), F.format_string("%.2f", confidence), F.lit(")"),
+        F.lit(" (Relevance: "), shown(score), F.lit(", Confidence: "), shown(confidence), F.lit(")"),
     )
     return F.concat(F.lit("\n"), head, F.lit("\n" + "-" * 60 + "\n"), preview(content, SHOWN_CHARS), F.when(F.length(content) > SHOWN_CHARS, "... [truncated]").otherwise(""), F.lit("\n"))
 

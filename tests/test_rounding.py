@@ -28,3 +28,9 @@ def test_report_scores_are_rounded_as_doubles(spark):
     )
     r = row.select(answers.text_report().alias("text"), answers.summary_report().alias("line")).first()
     assert "Risk Level: LOW (19.95/100)" in r["text"] and "Risk Score: 19.95/100" in r["line"]
+
+
+def test_prompt_scores_are_rounded_as_decimals(spark):
+    a, b = 0.7 + 0.3 * 0.65, 0.8949999999999999  # both stand for 0.895
+    shown = spark.createDataFrame([(a,), (b,), (0.8949,)], "s double").select(answers.section(F.lit(1), F.lit(0), F.lit(""), F.col("s"), F.col("s"), F.lit("x")).alias("t")).collect()
+    assert [r["t"].split("\n")[1] for r in shown] == [f"[Section 1] (Relevance: {x}, Confidence: {x})" for x in ("0.90", "0.90", "0.89")]

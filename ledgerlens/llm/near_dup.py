@@ -10,10 +10,11 @@ The rule that holds in every bucket: texts of shingle similarity 0.8 or more tha
 
 All pairs of a bucket of up to ``ALL_PAIRS`` nodes are aligned. In a larger bucket every node meets two hubs: the node that stands in
 the fullest buckets, which in a group of edited copies is the one they come from, and the least node. Where that leaves a large
-bucket with more than one class, its nodes, linked or not, are sketched again with ``FINE_SAMPLES`` samples of ``FINE`` shingles,
-which texts of shingle similarity 0.8 share as surely and those with a common passage seldom. Large buckets of that sketch that
-still hold several classes are settled whole: nodes outside a bucket's largest class become hubs that meet all its nodes of other
-classes, four times as many in each round, until no two nodes of different classes are left untested. So no bucket is cut or
+bucket with more than one class, its nodes, linked or not, are dealt again, by their rarest words: texts that align have all but a
+fifth of the longer one's words in common, each as often, so that they share one of the rarest fifth of their words and one more, in any order that is the same for
+all. Large buckets of those words that still hold several classes are settled whole: nodes outside a bucket's largest class become
+hubs that meet all its nodes of other classes, four times as many in each round, until no two nodes of different classes are left
+untested. So two texts that share a sample and align are in one class, however full the bucket is; none is cut or
 sampled, no pair within a class is tested for its own sake, and the rounds are as many as the logarithm of a bucket's classes.
 Classes are distributed connected components.
 
@@ -33,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.matrices import summed
+
 from .common import covered, python_batches, saved, small, table, uncovered
 from .components import components
 from .decontaminate import RAW_WORD
@@ -41,9 +44,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Samples of a sketch and shingles of a sample.
 SAMPLES, KEPT = 24, 4
-#: Samples of the finer sketch; shingles of a sample for texts of so many shingles, from and to. Ranges overlap, so that texts of similarity 0.8 share one.
-FINE_SAMPLES = 96
-FINE = [(1, 14, 4), (12, 40, 8), (33, 1 << 62, 12)]
+#: Places, as rows and columns, at which words are counted to tell the rare ones. Words that share a place only make each other look more frequent.
+PLACES = (256, 64)
 #: Nodes of a bucket up to which all its pairs are aligned.
 ALL_PAIRS = 8
 #: Hubs of a bucket in the first settling round, and how many times more there are in each further one.
@@ -106,9 +108,36 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return sampled(labelled_shingles(words), SAMPLES, KEPT)
 
 
-def fine_sketch(words: np.ndarray) -> np.ndarray:
-    labelled = labelled_shingles(words)
-    return np.concatenate([sampled(labelled, FINE_SAMPLES, keep) for low, high, keep in FINE if low <= len(labelled) <= high])
+def labelled_words(words: np.ndarray) -> np.ndarray:
+    """Hashes of the words of a document, each with its number among equal ones."""
+    w = np.sort(words.view(np.uint64))
+    starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+    nth = np.arange(len(w)) - np.repeat(starts, np.diff(np.append(starts, len(w))))
+    return mixed(w + nth.astype(np.uint64) * MIX)
+
+
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """How often labelled words of (node, text) occur, by place."""
+    size = PLACES[0] * PLACES[1]
+
+    def counts(batch: pa.RecordBatch) -> np.ndarray:
+        flat, cuts = batch.column(0).values.to_numpy(zero_copy_only=False), batch.column(0).offsets.to_numpy()
+        with np.errstate(over="ignore"):
+            found = [labelled_words(flat[a:b]) % np.uint64(size) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return np.bincount(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), minlength=size).reshape(PLACES).astype(float)
+
+    return summed(texts.select(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words")), counts, *PLACES).ravel()
+
+
+def rarest(seen: np.ndarray, similarity: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The rarest labelled words of a document, of which texts that align share one: one more than may be edited."""
+
+    def chosen(words: np.ndarray) -> np.ndarray:
+        labelled = labelled_words(words)
+        order = np.lexsort((labelled, seen[(labelled % np.uint64(len(seen))).astype(np.int64)]))
+        return labelled[order[: int((1 - similarity) * len(words) + 1e-9) + 1]].view(np.int64)
+
+    return chosen
 
 
 def sketches(texts: DataFrame, made_by: Callable[[np.ndarray], np.ndarray] = sketch) -> DataFrame:
@@ -307,7 +336,7 @@ def roots_of(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     if crowd.isEmpty():
         return roots
     texts = saved(node_texts(nodes, crowd, docs), "texts", shrink=2)  # all that the rest looks at
-    fine = saved(sketches(texts.withColumnRenamed("node", "id"), fine_sketch).withColumnRenamed("id", "node"), "fine", shrink=2)
+    fine = saved(sketches(texts.withColumnRenamed("node", "id"), rarest(frequencies(texts), similarity)).withColumnRenamed("id", "node"), "fine", shrink=2)
     pairs, many = hub_pairs(dealt(fine), similarity)
     roots = linked(pairs, texts)
     done, hubs = None, HUBS

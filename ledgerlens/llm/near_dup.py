@@ -12,10 +12,11 @@ All pairs of a bucket of up to ``ALL_PAIRS`` nodes are aligned. In a larger buck
 the fullest buckets, which in a group of edited copies is the one they come from, and the least node. Where that leaves a large
 bucket with more than one class, its nodes, linked or not, are dealt again, by their rarest words: texts that align have all but a
 fifth of the longer one's words in common, each as often, so that they share one of the rarest fifth of their words and one more, in any order that is the same for
-all. Large buckets of those words that still hold several classes are settled whole: nodes outside a bucket's largest class become
-hubs that meet all its nodes of other classes, four times as many in each round, until no two nodes of different classes are left
-untested. So two texts that share a sample and align are in one class, however full the bucket is; none is cut or
-sampled, no pair within a class is tested for its own sake, and the rounds are as many as the logarithm of a bucket's classes.
+all. Large buckets of those words that still hold several classes are settled whole: their nodes outside the bucket's largest class become
+hubs that meet all its nodes of other classes, four times as many in each round, save those that have joined that class meanwhile, until
+all have been. Of two nodes of different classes one at least is such a hub, so that none is left untested; nodes that share several
+buckets meet in the least. Classes are found once for each node and bucket, and after that only for hubs and pairs. So two texts that share a sample and align are in one class, however full the bucket is;
+none is cut or sampled, no pair within a class is tested for its own sake, and the rounds are as many as the logarithm of a bucket's nodes.
 Classes are distributed connected components.
 
 Edge cases: a text without words equals only texts that are the same as a whole; texts of fewer than five words are one shingle;
@@ -46,6 +47,8 @@ SIMILARITY = 0.8
 SAMPLES, KEPT = 24, 4
 #: Places, as rows and columns, at which words are counted to tell the rare ones. Words that share a place only make each other look more frequent.
 PLACES = (256, 64)
+#: Least buckets of a node that its rows carry, so that two nodes are paired in the least they share and seldom in another.
+LEAST = 64
 #: Nodes of a bucket up to which all its pairs are aligned.
 ALL_PAIRS = 8
 #: Hubs of a bucket in the first settling round, and how many times more there are in each further one.
@@ -273,7 +276,7 @@ def near_in_length(x: str, y: str, similarity: float) -> Column:
 
 
 def hub_pairs(buckets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b), a above b, of small buckets and with the two hubs of each larger one, and the larger buckets' rows (bucket, node, n)."""
+    """Pairs (a, b), a above b, of small buckets and with the two hubs of each larger one, and the larger buckets' rows."""
     sizes = saved(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes", shrink=4)  # so that a join with a full bucket can be split
     members = buckets.join(sizes, "bucket")
     few = members.where(F.col("size") <= ALL_PAIRS)
@@ -284,72 +287,92 @@ def hub_pairs(buckets: DataFrame, similarity: float) -> tuple[DataFrame, DataFra
     spokes = many.select("bucket", "node", "n").join(small(hubs, hubs.count()), "bucket")
     to_hub = [spokes.where(F.col("node") != h["node"]).select(F.greatest("node", h["node"]).alias("a"), F.least("node", h["node"]).alias("b"), F.col("n").alias("na"), h["n"].alias("nb")) for h in (F.col("_top"), F.col("_low"))]
     pairs = close.select("a", "b", "na", "nb").unionByName(to_hub[0]).unionByName(to_hub[1])
-    return pairs.where(near_in_length("na", "nb", similarity)).select("a", "b").distinct(), many.select("bucket", "node", "n")
+    return pairs.where(near_in_length("na", "nb", similarity)).select("a", "b").distinct(), many.drop("size")
 
 
-def unsettled(many: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of ``many`` with their class (root), of buckets that hold more than one."""
-    rows = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return rows.join(rows.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("bucket"), "bucket", "left_semi")
+def classed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` of a node each, or of a node and bucket, with the node's class (root)."""
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def settling_pairs(rows: DataFrame, done: DataFrame, hubs: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of ``hubs`` nodes per bucket of ``rows`` (bucket, node, n, root), of those outside its largest class that aren't ``done``, with the nodes of other classes; and those hubs."""
-    most = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("_m"))
-    outside = rows.join(most, "bucket").where(F.col("root") != F.col("_m.root")).select("bucket", "node", "n", "root").join(done, ["bucket", "node"], "left_anti")
-    chosen = outside.withColumn("_i", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).where(F.col("_i") <= hubs)
-    chosen = saved(chosen.select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("root").alias("rh")), "hubs", shrink=8)
-    met = rows.join(small(chosen, chosen.count()), "bucket").where((F.col("root") != F.col("rh")) & near_in_length("n", "nh", similarity))
-    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct(), chosen.select("bucket", F.col("hub").alias("node"))
+def unsettled(rows: DataFrame) -> DataFrame:
+    """The ``rows`` (bucket, node, n, root) of large buckets that hold more than one class."""
+    several = rows.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count("*").alias("_c")).where((F.col("_x") != F.col("_y")) & (F.col("_c") > ALL_PAIRS))
+    return rows.join(several.select("bucket"), "bucket", "left_semi")
+
+
+def hub_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with a node of their bucket's largest class (main), and numbers from 1 on (i) for those of other classes, null for those of that class."""
+    most = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("_m")).select("bucket", F.col("_m.root").alias("main"))
+    outside = F.col("root") != F.col("main")
+    return rows.join(most, "bucket", "left").withColumn("i", F.when(outside, F.row_number().over(Window.partitionBy("bucket", outside).orderBy("node"))))
+
+
+def by_class(rows: DataFrame, x: str, y: str, roots: DataFrame) -> DataFrame:
+    """``rows`` with the classes of their nodes x and y as rx and ry."""
+    for c in (x, y):
+        rows = rows.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    return rows
+
+
+def settling_pairs(rows: DataFrame, chosen: DataFrame, skipped: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the ``chosen`` hubs with the later nodes of other classes in their buckets of ``rows``, with those outside its order, and with the earlier ones that were ``skipped`` as hubs.
+
+    Nodes that share a lesser bucket, as their ``LEAST`` ones tell, meet there: two classes that share a bucket aren't both its largest, and
+    all pairs of a small one have been tested.
+    """
+    hubs = chosen.select("bucket", F.col("node").alias("hub"), F.col("n").alias("nh"), F.col("root").alias("rh"), F.col("least").alias("lh"), F.col("i").alias("ih"))
+    others = rows.withColumn("again", F.lit(False)).unionByName(skipped.withColumn("again", F.lit(True)))
+    once = F.col("i").isNull() | ((F.col("i") > F.col("ih")) != F.col("again"))
+    first = F.coalesce(F.array_min(F.array_intersect("least", "lh")), F.col("bucket")) >= F.col("bucket")
+    met = others.join(small(hubs, chosen.count()), "bucket").where((F.col("root") != F.col("rh")) & near_in_length("n", "nh", similarity) & once & first)
+    return met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
 
 
 def roots_of(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of every node that isn't the root of its class; ``nodes``: node, key, low (an id), n, samples."""
-    dealt = lambda df: df.select("node", "n", F.explode("samples").alias("bucket"))
+    dealt = lambda df, *more: df.select("node", "n", *more, F.explode("samples").alias("bucket"))
+    between = lambda rows: by_class(rows, "a", "b", roots).where("ra <> rb")
     tested: DataFrame | None = None
     roots: DataFrame | None = None
 
     def linked(pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-        """Classes by all links up to those of ``pairs``: the new ones are taken between the classes there are."""
+        """Classes by all links up to those of ``pairs``: pairs within a class aren't aligned, new links are taken between the classes there are."""
         nonlocal tested, roots
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if roots is not None:
+            pairs = between(saved(pairs, "met", shrink=8).join(tested, ["a", "b"], "left_anti"))
         pairs = saved(pairs, "pairs", shrink=8)
         ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         own = node_texts(nodes, ids, docs) if texts is None else texts.join(ids, "node", "left_semi")
-        new = saved(aligned(pairs, own, similarity), "aligned", shrink=4)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = new.where("good").select("a", "b")
+        good = saved(aligned(pairs, own, similarity), "aligned", shrink=4).where("good").select("a", "b")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if roots is None:
             roots = components(good)
             return roots
-        of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-        between = good.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
-        merged = components(between)
+        merged = components(between(good).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
         up = merged.select(F.col("node").alias("root"), F.col("root").alias("_up"))
         roots = saved(roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")).unionByName(merged).distinct(), "classes", shrink=8)
         return roots
 
     pairs, many = hub_pairs(dealt(nodes), similarity)
     roots = linked(pairs)
-    crowd = saved(unsettled(many, roots).select("node").distinct(), "crowd", shrink=8)
+    crowd = saved(unsettled(saved(classed(many, roots), "classed", shrink=8)).select("node").distinct(), "crowd", shrink=8)
     if crowd.isEmpty():
         return roots
     texts = saved(node_texts(nodes, crowd, docs), "texts", shrink=2)  # all that the rest looks at
     fine = saved(sketches(texts.withColumnRenamed("node", "id"), rarest(frequencies(texts), similarity)).withColumnRenamed("id", "node"), "fine", shrink=2)
-    pairs, many = hub_pairs(dealt(fine), similarity)
+    pairs, many = hub_pairs(saved(dealt(fine, F.slice(F.array_sort("samples"), 1, LEAST).alias("least")), "dealt", shrink=4), similarity)
     roots = linked(pairs, texts)
-    done, hubs = None, HUBS
-    while True:
-        rows = saved(unsettled(many, roots), "unsettled", shrink=8)
-        if rows.isEmpty():
-            return roots
-        done = rows.select("bucket", "node").limit(0) if done is None else done
-        pairs, chosen = settling_pairs(rows, done, hubs, similarity)
-        if chosen.isEmpty():
-            return roots
-        roots = linked(pairs, texts)
-        done, hubs = done.unionByName(chosen), hubs * MORE_HUBS
+    # each row finds its class once, before the rounds; what they merge is looked up for hubs and pairs
+    rows = saved(hub_order(unsettled(saved(classed(many, roots), "classed", shrink=4))), "unsettled", shrink=4)
+    last, since, hubs, skipped = rows.agg(F.max("i")).first()[0] or 0, 0, HUBS, rows.limit(0)
+    while since < last:
+        part = saved(by_class(rows.where((F.col("i") > since) & (F.col("i") <= since + hubs)), "root", "main", roots), "hubs", shrink=8)
+        skipped = skipped.unionByName(part.where("rroot = rmain").select(*rows.columns))
+        later = rows.where(F.col("i").isNull() | (F.col("i") > since))
+        roots = linked(settling_pairs(later, part.where("rroot <> rmain"), skipped, similarity), texts)
+        since, hubs = since + hubs, hubs * MORE_HUBS
+    return roots
 
 
 def named(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

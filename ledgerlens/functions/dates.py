@@ -5,32 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The formats tried in this order, day first.
-FORMATS = ["d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "d/M/yyyy", "d/M/yy", "d-M-yyyy", "d-M-yy", "yyyy/M/d", "yyyy-M-d"]
-SHAPES = [r"\d{1,2} [A-Za-z]{3} \d{4}", r"\d{1,2} [A-Za-z]{4,} \d{4}", r"[A-Za-z]{3} \d{1,2} \d{4}", r"[A-Za-z]{4,} \d{1,2} \d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}/\d{1,2}/\d{2}", r"\d{1,2}-\d{1,2}-\d{4}", r"\d{1,2}-\d{1,2}-\d{2}", r"\d{4}/\d{1,2}/\d{1,2}", r"\d{4}-\d{1,2}-\d{1,2}"]
+# The names of months, short or whole, and the order of the parts of a date, day first.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+YEAR = r"(?!0000)\d{4}"
 
 
 def tidied(raw: Column) -> Column:
-    """A written date with single blanks, without commas, months with a capital."""
-    return F.initcap(F.btrim(F.regexp_replace(F.regexp_replace(raw, ",", ""), r"\s+", " ")))
+    """A written date with single blanks, without commas."""
+    return F.btrim(F.regexp_replace(F.replace(raw, F.lit(","), F.lit("")), r"\s+", " "))
 
 
 def normalised_date(text: Column) -> Column:
-    """yyyy-MM-dd of a tidied date, or null. Two-digit years from 69 on are of the last century. The signs in it tell which formats are tried; no text has two shapes."""
-    def day(i: int) -> Column:
-        found = F.to_date(F.try_to_timestamp(text, F.lit(FORMATS[i])))
-        short = FORMATS[i].endswith("yy") and not FORMATS[i].endswith("yyyy")
-        return F.when(F.year(found) >= 2069, F.add_months(found, -1200)).otherwise(found) if short else found
-
-    def first(*tried: int) -> Column:
-        out = F.when(text.rlike(f"^{SHAPES[tried[0]]}$"), day(tried[0]))
-        for i in tried[1:]:
-            out = out.when(text.rlike(f"^{SHAPES[i]}$"), day(i))
-        return out
-
-    slashes, dashes = ([i for i, f in enumerate(FORMATS) if sign in f] for sign in "/-")
-    words = [i for i, f in enumerate(FORMATS) if " " in f]
-    return F.date_format(F.when(F.contains(text, F.lit("/")), first(*slashes)).when(F.contains(text, F.lit("-")), first(*dashes)).otherwise(first(*words)), "yyyy-MM-dd")
+    """yyyy-MM-dd of a tidied date, or null. Two-digit years from 69 on are of the last century.
+
+    The parts are put in the order of a date and cast: a format would be tried by an exception for each day that isn't one.
+    """
+    low = F.lower(text)
+    names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for name in dict.fromkeys((m[:3], m)) for x in (name, f"-{i}-")])
+    named = F.concat(F.right(text, F.lit(4)), names[F.regexp_extract(low, "[a-z]+", 0)], F.regexp_extract(text, r"(\d{1,2}) ", 1))
+    day_first = rf"^(\d{{1,2}})([/-])(\d{{1,2}})\2({YEAR})$"
+    short = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$"
+    parts = (
+        F.when(text.rlike(day_first), F.regexp_replace(text, day_first, "$4-$3-$1"))
+        .when(text.rlike(rf"^{YEAR}([/-])\d{{1,2}}\1\d{{1,2}}$"), F.replace(text, F.lit("/"), F.lit("-")))
+        .when(text.rlike(rf"^(?:\d{{1,2}} [A-Za-z]{{3,}}|[A-Za-z]{{3,}} \d{{1,2}}) {YEAR}$"), named)
+        .when(text.rlike(short), F.concat(F.when(F.right(text, F.lit(2)) >= "69", "19").otherwise("20"), F.regexp_replace(text, short, "$4-$3-$1")))
+    )
+    return parts.try_cast("date").cast("string")
 
 
 def instant(text: Column) -> Column:

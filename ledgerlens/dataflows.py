@@ -72,7 +72,7 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" 123456789 "), amount, F.lit(" "), sign, F.lit(" "), shop, F.lit(" txn\r")),
         F.concat(F.date_format(day, "MMM d, yyyy"), F.lit("\tRs."), amount, F.initcap(sign), F.lit(" to "), shop),
     ]
-    line = F.element_at(F.array(*shapes), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    line = F.coalesce(*[F.when(F.col("o_orderkey") % 4 == i, shape) for i, shape in enumerate(shapes)])  # an array would write all four
     noise = F.element_at(F.array(*map(F.lit, ["Opening Balance 5.00", "no date 12.00", "31/02/2025 12.00 DR nowhere", "05/01/2025 nothing", ""])), (F.col("o_orderkey") % 5 + 1).cast("int"))
     found = o.select("o_custkey", F.struct("o_orderkey", F.concat_ws("\n", line, noise).alias("t")).alias("l")).groupBy(F.col("o_custkey").alias("statement_id")).agg(F.sort_array(F.collect_list("l")).alias("l"))
     return found.select("statement_id", F.array_join("l.t", "\n").alias("text"))

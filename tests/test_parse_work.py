@@ -1,6 +1,6 @@
 """How often the parser of statement text looks at a line, and the white space that it splits at."""
 
-from ledgerlens.functions.tables import transaction
+from ledgerlens.functions import tables
 from ledgerlens.operators import transactions as tx
 
 BLANKS = "\t\x1f       　 "
@@ -26,4 +26,11 @@ def test_amount_that_begins_in_the_date(spark):
     lines = ["Jan 5, 2025,000 7.00 x", "01/02/20251234 50 CR y", "2025-01-0512.50 3.00 z", "1/2/2025.75 dr 12 DR w", "1/2/2025CR 8 312 12 v", "5 Jan 2025 312 12 312 u"]
     rows = spark.createDataFrame([("s", "\n".join(lines))], "statement_id string, text string")
     told = {r["seq"]: (r["date"], r["amount"], r["type"], r["merchant"]) for r in tx.parse(rows).collect()}
-    assert told == {i: x for i, line in enumerate(lines) if (x := transaction(line))} and len(told) == len(lines)
+    assert told == {i: x for i, line in enumerate(lines) if (x := tables.transaction(line))} and len(told) == len(lines)
+
+
+def test_written_day_is_tried_once(monkeypatch):
+    tried, real = [], tables.datetime
+    monkeypatch.setattr(tables, "datetime", type("Told", (), {"strptime": staticmethod(lambda raw, form: tried.append(raw) or real.strptime(raw, form))}))
+    found = {tables.transaction(f"1987-03-0{i % 2 + 1} POS {i}.50 x")[0] for i in range(100)}
+    assert found == {"1987-03-01", "1987-03-02"} and len(tried) <= 2 * len(tables.FORMATS)

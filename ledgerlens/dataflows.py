@@ -79,7 +79,7 @@ def statements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def statement_report(spark, d):
-    """Statement text to hybrid verdict in one plan: lines, transactions, features, the detector as saved and read again, take-over, advice."""
+    """Statement text to hybrid verdict: lines, transactions, features, the detector as saved and read again, take-over, advice."""
     path = storage.work_path(spark, "detector")
     prediction.save(spark, own.SMALL_DETECTOR, path)
     found = analyse_text(statements(spark, d), prediction.load(spark, path), "small")

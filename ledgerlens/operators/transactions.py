@@ -24,8 +24,9 @@ LONGEST_NUMBER = 8
 DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
 
 
-#: White space that doesn't end a line: of ASCII texts, and of any.
-BLANKS = r"[\t \x1f]+", r"[\t \x1f\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
+#: White space that doesn't end a line: of ASCII, and beyond, where what is ASCII is passed over by one cheap test.
+BLANKS = r"[\t \x1f]+"
+RARE_BLANK = r"(?=[^\x00-\x7f])[\xa0\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 ENDS = r"[\x0B\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 #: An amount is tried where one can begin only.
 AMOUNT_HERE = "(?=[0-9RI$₹])" + AMOUNT
@@ -43,7 +44,7 @@ def ascii_only(text: Column) -> Column:
 def lines(statements: DataFrame, key: str = "statement_id", text: str = "text") -> DataFrame:
     """(key, seq, line): the non-empty lines with single blanks; seq is the line's place in the text."""
     ended = F.regexp_replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n")), ENDS, "\n")
-    single = F.when(ascii_only(F.col(text)), F.regexp_replace(ended, BLANKS[0], " ")).otherwise(F.regexp_replace(ended, BLANKS[1], " "))
+    single = F.regexp_replace(F.when(ascii_only(F.col(text)), ended).otherwise(F.regexp_replace(ended, RARE_BLANK, " ")), BLANKS, " ")
     split = F.split(single, "\n")  # by one plain character: a pattern would be compiled for each row
     found = statements.select(key, F.posexplode(split).alias("seq", "raw"))
     return found.select(key, F.col("seq").cast("long").alias("seq"), F.btrim("raw").alias("line")).where("line <> ''")
@@ -51,7 +52,7 @@ def lines(statements: DataFrame, key: str = "statement_id", text: str = "text")
 
 def plain_digits(line: Column) -> Column:
     """The line with the digits of other scripts as 0 to 9, place by place."""
-    other = ~ascii_only(line) & line.rlike(r"(?U)[\d&&[^0-9]]")
+    other = ~ascii_only(line) & line.rlike(r"(?U)(?=[^\x00-\x7f])\d")
     return F.when(other, F.translate(line, DIGITS, "".join(str(unicodedata.digit(c)) for c in DIGITS))).otherwise(line)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.storage import written
 from ledgerlens.operators import explain, prediction, scoring
 from ledgerlens.operators.features import features
 from ledgerlens.operators.transactions import parse
@@ -33,11 +34,12 @@ def analyse(transactions: DataFrame, key: str = "statement_id", anomaly: Column
 
 
 def analyse_text(statements: DataFrame, detector: prediction.Detector, artifact: str, key: str = "statement_id", text: str = "text") -> DataFrame:
-    """Statement text to report in one plan: lines to transactions, features, the rules and the saved ``detector``, hybrid verdict, take-over, reasons.
+    """Statement text to report: lines to transactions, features, the rules and the saved ``detector``, hybrid verdict, take-over, reasons.
 
     One row per statement that has any transaction, as of ``analyse``, with the detector's level and what the report says of it.
     """
-    transactions = parse(statements, key, text)
+    # features, take-over and categories need columns of their own, so that each would parse all text again
+    transactions = written(parse(statements, key, text), "transactions")
     spark = statements.sparkSession
     rows = analyse(transactions, key, prediction.scores(detector, spark), F.col("anomaly_score") > detector.cut)
     return rows.select("*", scoring.band(F.col("model_risk"), "inference").alias("model_level"), prediction.metadata(detector, artifact).alias("model"))

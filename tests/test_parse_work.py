@@ -1,7 +1,9 @@
 """How often the parser of statement text looks at a line, and the white space that it splits at."""
 
+from ledgerlens import dataflows
 from ledgerlens.functions import tables
 from ledgerlens.operators import transactions as tx
+from ledgerlens.plans import risk
 
 BLANKS = "\t\x1f       　 "
 ENDS = ["\n", "\r\n", "\r", "\x0b", "\f", "\x1c", "\x1d", "\x1e", "\x85", " ", " ", "\n\r", "\r\r\n"]
@@ -34,3 +36,11 @@ def test_written_day_is_tried_once(monkeypatch):
     monkeypatch.setattr(tables, "datetime", type("Told", (), {"strptime": staticmethod(lambda raw, form: tried.append(raw) or real.strptime(raw, form))}))
     found = {tables.transaction(f"1987-03-0{i % 2 + 1} POS {i}.50 x")[0] for i in range(100)}
     assert found == {"1987-03-01", "1987-03-02"} and len(tried) <= 2 * len(tables.FORMATS)
+
+
+def test_report_parses_once(spark, monkeypatch, sf):
+    plans, real = [], risk.analyse
+    monkeypatch.setattr(risk, "analyse", lambda rows, *more: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or real(rows, *more))
+    report = dataflows.statement_report(spark, sf)
+    assert len(plans) == 1 and "regexp" not in plans[0].lower() and report.count() > 100
+    assert "regexp_extract_all" not in report._jdf.queryExecution().optimizedPlan().toString()
